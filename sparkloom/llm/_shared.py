@@ -83,6 +83,24 @@ def bounded(df: DataFrame, most: int, *keys: Column) -> DataFrame:
     return df.orderBy(F.xxhash64(*keys), *keys).limit(most)
 
 
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """For each of n buckets a number that Spark's bucketing by a bigint column puts there."""
+    found: dict[int, int] = {}
+    start, step = 0, 16 * n + 64
+    while len(found) < n:
+        for b, k in spark.range(start, start + step, 1, 1).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("b")).agg(F.min("id")).collect():
+            found.setdefault(b, k)
+        start += step
+    return [found[b] for b in range(n)]
+
+
+def bucketed(df: DataFrame, name: str, by: str, n: int) -> DataFrame:
+    """``df`` as a table in the shared folder, in n buckets by a bigint column: joins and groups by it need no shuffle."""
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, by).option("path", shared_path(df.sparkSession, name)).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 class RowStore:
     """A DataFrame's rows written once, bucketed by the task that wrote them, and then addressed by row id.
 
@@ -94,29 +112,15 @@ class RowStore:
         spark = self.spark = df.sparkSession
         self.columns = df.columns
         n = partitions(spark)
-        keys = self._even_keys(spark, n)
+        keys = even_keys(spark, n)
         plain = [f"c{i}" for i in range(len(df.columns))]
         body = df.toDF(*plain)
         names = dict(zip(df.columns, plain, strict=True))
         extra = {k: v(lambda c: F.col(names[c])) for k, v in added.items()}
         body = body.select(*plain, *(v.alias(k) for k, v in extra.items()), F.monotonically_increasing_id().alias("row"))
-        body = body.withColumn("part", F.element_at(F.lit(keys), (F.shiftright("row", 33) % n + 1).cast("int")))
-        self.path = shared_path(spark, "rows")
-        table = f"rows_{uuid.uuid4().hex}"
-        body.write.bucketBy(n, "part").option("path", self.path).saveAsTable(table)
-        self.table, self.plain, self.names = table, plain, names
-        self.rows = spark.table(table)
-
-    @staticmethod
-    def _even_keys(spark: SparkSession, n: int) -> list[int]:
-        """For each of n buckets a number that Spark's bucketing puts there."""
-        found: dict[int, int] = {}
-        start, step = 0, 16 * n + 64
-        while len(found) < n:
-            for b, k in spark.range(start, start + step, 1, 1).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("b")).agg(F.min("id")).collect():
-                found.setdefault(b, k)
-            start += step
-        return [found[b] for b in range(n)]
+        body = body.withColumn("part", F.element_at(F.lit(keys), (F.shiftright("row", 33) % n + 1).cast("int")).cast("long"))
+        self.plain, self.names = plain, names
+        self.rows = bucketed(body, "rows", "part", n)
 
     def flagged(self, flags: DataFrame) -> DataFrame:
         """All rows with ``flag``; flags: (part, tasks array<long>, bitmaps array<binary>), at most one row for a part."""

@@ -19,12 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import in_fold, partitions, rows_of, staged
+from ._shared import bucketed, even_keys, in_fold, partitions, rows_of, staged
 
 #: Tokens in a chunk; counts above LARGE are not discounted; contexts of a HOT-th of all tokens are dealt by word.
 CHUNK, LARGE, HOT = 2_000_000, 5, 1000
-#: Two keys that no word can have: a line feed and a tab stand for the text's end and start.
-END_TOKEN, START_TOKEN = b"\n", b"\t"
+#: No word can be a line feed, which stands for the text's end.
+END_TOKEN = b"\n"
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -57,19 +57,26 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.int64)
 
 
-def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _chunks(keys: list[int]):
+    def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task = TaskContext.get().partitionId()
+        for number, chunk in enumerate(_cut(batches)):
+            yield pd.DataFrame({"part": [keys[task % len(keys)]], "chunk": [f"{task}-{number}"], **{k: [v] for k, v in chunk.items()}})
+
+    return chunks
+
+
+def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
     import xxhash
 
-    part = TaskContext.get().partitionId()
-    number, size, ids, held, lengths, pieces, index = 0, 0, [], [], [], [], {}
+    size, ids, held, lengths, pieces, index = 0, [], [], [], [], {}
 
-    def flush() -> pd.DataFrame:
+    def flush() -> dict:
         words = np.fromiter((xxhash.xxh64_intdigest(w) for w in index), np.uint64, len(index))
         flat = np.concatenate(pieces)
-        train = np.repeat(~np.array(held, bool), lengths)
-        counts = np.bincount(flat[train], minlength=len(words))
-        body = _pack(tokens=_small(flat), lengths=np.array(lengths, np.int64), held=np.array(held, bool))
-        return pd.DataFrame({"chunk": [f"{part}-{number}"], "ids": [ids], "words": [_pack(words=words, counts=counts)], "body": [body]})
+        counts = np.bincount(flat[np.repeat(~np.array(held, bool), lengths)], minlength=len(words))
+        body = _pack(tokens=flat, lengths=np.array(lengths, np.int64), held=np.array(held, bool))
+        return {"ids": ids, "words": _pack(words=words, counts=_small(counts)), "body": body}
 
     for pdf in batches:
         for doc, text, out in zip(pdf["id"].tolist(), pdf["text"], pdf["held"], strict=True):
@@ -82,7 +89,7 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             size += len(own)
             if size >= CHUNK or len(lengths) >= 50_000:
                 yield flush()
-                number, size, ids, held, lengths, pieces, index = number + 1, 0, [], [], [], [], {}
+                size, ids, held, lengths, pieces, index = 0, [], [], [], [], {}
     if ids:
         yield flush()
 
@@ -91,9 +98,9 @@ def _owner(keys: np.ndarray, owners: int) -> np.ndarray:
     return ((keys >> np.uint64(20)) % np.uint64(owners)).astype(np.int64)
 
 
-def _mix(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """One 64-bit key for a context and a word."""
-    x = h * np.uint64(0x9E3779B97F4A7C15) ^ (w + np.uint64(0xBF58476D1CE4E5B9)) * np.uint64(0x94D049BB133111EB)
+def _mix(h: np.ndarray, w: np.ndarray | int = 0) -> np.ndarray:
+    """One 64-bit key for a context and a word, by their numbers."""
+    x = h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (np.asarray(w).astype(np.uint64) + np.uint64(0xBF58476D1CE4E5B9)) * np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     return x ^ x >> np.uint64(32)
@@ -102,7 +109,7 @@ def _mix(h: np.ndarray, w: np.ndarray) -> np.ndarray:
 def _word_blocks(owners: int):
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for chunk, packed in zip(pdf["chunk"], pdf["words"], strict=True):
+            for part, chunk, packed in zip(pdf["part"], pdf["chunk"], pdf["words"], strict=True):
                 x = _unpack(packed)
                 owner = _owner(x["words"], owners)
                 order = np.argsort(owner, kind="stable")
@@ -110,21 +117,21 @@ def _word_blocks(owners: int):
                 for o in range(owners):
                     own = order[cuts[o] : cuts[o + 1]]
                     if len(own):
-                        yield pd.DataFrame({"owner": [o], "chunk": [chunk], "block": [_pack(words=x["words"][own], counts=_small(x["counts"][own]))]})
+                        yield pd.DataFrame({"owner": [o], "part": [part], "chunk": [chunk], "block": [_pack(words=x["words"][own], counts=_small(x["counts"][own]))]})
 
     return blocks
 
 
 def _count_words(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Counts over the corpus for each chunk's words, and this owner's totals: tokens, types, types counted 1, 2, ..."""
+    """Numbers and corpus counts of each chunk's words, and totals here: tokens, types, types counted 1, 2, ..."""
     sent = [_unpack(b) for b in pdf["block"]]
     words, place = np.unique(np.concatenate([x["words"] for x in sent]), return_inverse=True)
     total = np.bincount(place, np.concatenate([x["counts"] for x in sent]).astype(float), len(words)).astype(np.int64)
     cuts = np.cumsum([0, *(len(x["words"]) for x in sent)])
-    answers = [_pack(counts=_small(total[place[a:b]])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    answers = [_pack(place=_small(place[a:b]), counts=_small(total[place[a:b]])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     ranks = [int((total == r).sum()) for r in range(1, LARGE + 2)]
     facts = [int(total.sum()), int((total > 0).sum()), *ranks]
-    return pd.DataFrame({"owner": pdf["owner"], "chunk": pdf["chunk"], "counts": answers, "facts": [facts] + [[0] * len(facts)] * (len(answers) - 1)})
+    return pd.DataFrame({"owner": pdf["owner"], "part": pdf["part"], "chunk": pdf["chunk"], "answer": answers, "facts": [facts] + [[0] * len(facts)] * (len(answers) - 1)})
 
 
 def discounts(ranks: list[float]) -> np.ndarray:
@@ -173,71 +180,90 @@ class Words:
 def _pair_blocks(owners: int, model: Words, train_docs: int):
     import xxhash
 
-    start_key = np.uint64(xxhash.xxh64_intdigest(START_TOKEN))
     hot_from = max(1, -(-model.total // HOT))
 
-    def blocks(chunks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for chunk, packed, body in zip(chunks["chunk"], chunks["words"], chunks["body"], strict=True):
-            words, x = _unpack(packed)["words"], _unpack(body)
-            count = np.zeros(len(words), np.int64)
-            owner = _owner(words, owners)
-            for o, counts in zip(answers["owner"], answers["counts"], strict=True):
-                count[owner == o] = _unpack(counts)["counts"]
-            flat, lengths, held = x["tokens"].astype(np.int64), x["lengths"], x["held"]
-            doc = np.repeat(np.arange(len(lengths)), lengths)
-            base = np.bincount(doc, model.base(count)[flat], len(lengths))
-            known = np.bincount(doc, count[flat] > 0, len(lengths)).astype(np.int64)
-            # a document's own figures wait under a negative owner
-            out.append((-1 - xxhash.xxh32_intdigest(chunk) % owners, chunk, _pack(base=base, known=known, lengths=lengths, held=held)))
-            # contexts: local words, and the start as one more
-            n = len(words)
-            keys, counts = np.append(words, start_key), np.append(count, train_docs)
-            before = np.empty_like(flat)
-            before[1:] = flat[:-1]
-            before[np.cumsum(lengths) - lengths] = n
-            hot = counts >= hot_from
-            to = _owner(keys, owners)[before]
-            of_hot = hot[before]
-            to[of_hot] = _owner(_mix(keys[before[of_hot]], words[flat[of_hot]]), owners)
-            entry = np.stack([to, before, flat, doc])
-            order = np.lexsort(entry[::-1])
-            entry = entry[:, order]
-            new = np.ones(entry.shape[1], bool)
-            new[1:] = (entry[:, 1:] != entry[:, :-1]).any(0)
-            at = np.flatnonzero(new)
-            times = np.diff(np.append(at, entry.shape[1]))
-            entry = entry[:, at]
-            cuts = np.searchsorted(entry[0], np.arange(owners + 1))
-            for o in range(owners):
-                a, b = cuts[o], cuts[o + 1]
-                if a == b:
-                    continue
-                h, hi = np.unique(entry[1, a:b], return_inverse=True)
-                w, wi = np.unique(entry[2, a:b], return_inverse=True)
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for chunk, packed, body, answers in zip(pdf["chunk"], pdf["words"], pdf["body"], pdf["answers"], strict=True):
+                yield pd.DataFrame(of_chunk(chunk, _unpack(packed)["words"], _unpack(body), answers), columns=["owner", "chunk", "block"])
+
+    def of_chunk(chunk, words, x, answers):
+        # a word's number is its place with its owner; 0 is the start. Contexts and words go by the order of numbers.
+        n, owner = len(words), _owner(words, owners)
+        number, count = np.zeros(n + 1, np.int64), np.append(np.zeros(n, np.int64), train_docs)
+        for a in answers:
+            got, own = _unpack(a["answer"]), owner == a["owner"]
+            number[:n][own] = got["place"].astype(np.int64) * owners + a["owner"] + 1
+            count[:n][own] = got["counts"]
+        flat, lengths, held = x["tokens"], x["lengths"], x["held"]
+        doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        base = np.bincount(doc, model.base(count)[flat], len(lengths))
+        known = np.bincount(doc, count[flat] > 0, len(lengths)).astype(np.int64)
+        # a document's own figures wait under a negative owner
+        out = [(-1 - xxhash.xxh32_intdigest(chunk) % owners, chunk, _pack(base=base, known=known, lengths=lengths, held=held))]
+        order = np.argsort(number)
+        rank = np.empty(n + 1, np.int64)
+        rank[order] = np.arange(n + 1)
+        number, count = number[order], count[order]
+        key = np.empty(len(flat), np.int64)
+        key[1:] = rank[flat[:-1]]
+        key[np.cumsum(lengths) - lengths] = 0  # the start has the least number
+        key *= n + 1
+        key += rank[flat]
+        key *= len(lengths)
+        key += doc
+        del flat, doc
+        key, times = np.unique(key, return_counts=True)
+        key, of = np.divmod(key, len(lengths))
+        before, word = np.divmod(key, n + 1)
+        of, times = _small(of), _small(times)
+        to = _owner(_mix(number), owners).astype(np.int32)[before]
+        hot = (count >= hot_from)[before]
+        to[hot] = _owner(_mix(number[before[hot]], number[word[hot]]), owners)
+        place = np.argsort(to, kind="stable")
+        cuts = np.searchsorted(to[place], np.arange(owners + 1))
+        for o in range(owners):
+            at = place[cuts[o] : cuts[o + 1]]
+            if len(at):
+                h, hi = np.unique(before[at], return_inverse=True)
+                w, wi = np.unique(word[at], return_inverse=True)
                 runs = np.bincount(hi)  # entries stand in the order of their context
-                out.append((o, chunk, _pack(h=keys[h], hc=_small(counts[h]), runs=_small(runs), w=words[w], wc=_small(count[w]), wi=_small(wi), doc=_small(entry[3, a:b]), times=_small(times[a:b]), held=held)))
-        return pd.DataFrame(out, columns=["owner", "chunk", "block"])
+                steps = {"h": _small(np.diff(number[h], prepend=0)), "w": _small(np.diff(number[w], prepend=0))}
+                out.append((o, chunk, _pack(**steps, hc=_small(count[h]), runs=_small(runs), wc=_small(count[w]), wi=_small(wi), doc=_small(of[at]), times=_small(times[at]), held=held)))
+        return out
 
     return blocks
 
 
-def _joined(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    """All entries of an owner: context, its count, word's count, key of both, document, times, chunk, held out."""
-    parts = []
-    for i, packed in enumerate(pdf["block"]):
-        x = _unpack(packed)
-        hi, wi, doc = np.repeat(np.arange(len(x["h"])), x["runs"]), x["wi"], x["doc"]
-        h = x["h"][hi]
-        parts.append((h, x["hc"][hi].astype(np.int64), x["wc"][wi].astype(np.int64), _mix(h, x["w"][wi]), doc.astype(np.int64), x["times"].astype(np.int64), np.full(len(doc), i), x["held"][doc]))
-    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+#: Entries that an owner spreads out at once.
+SLICE = 500_000
+
+
+def _slices(blocks: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """An owner's entries, all of a context in one slice: context's count, word's count, context, key, document, times, block, held out."""
+    sent = [_unpack(b) for b in blocks]
+    for x in sent:
+        x["h"], x["w"] = np.cumsum(x["h"], dtype=np.int64), np.cumsum(x["w"], dtype=np.int64)
+        x["slice"] = _mix(x["h"], 1) >> np.uint64(8)
+    many = max(1, -(-sum(len(x["doc"]) for x in sent) // SLICE))
+    for k in range(many):
+        parts = []
+        for i, x in enumerate(sent):
+            ours = x["slice"] % np.uint64(many) == k
+            runs = x["runs"].astype(np.int64)
+            own = np.repeat(ours, runs)
+            h, wi, doc = np.repeat(x["h"][ours], runs[ours]), x["wi"][own], x["doc"][own].astype(np.int64)
+            parts.append((np.repeat(x["hc"][ours], runs[ours]).astype(np.int64), x["wc"][wi].astype(np.int64), h, _mix(h, x["w"][wi]), doc, x["times"][own].astype(np.int64), np.full(len(doc), i, np.int32), x["held"][doc]))
+        joined = tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+        if len(joined[0]):
+            yield joined
 
 
 def _bigrams(joined: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(place of each entry's bigram, training count, context and one entry of each bigram)."""
     _, first, place = np.unique(joined[3], return_index=True, return_inverse=True)
     count = np.bincount(place, np.where(joined[7], 0, joined[5]).astype(float), len(first)).astype(np.int64)
-    return place, count, joined[0][first], first
+    return place, count, joined[2][first], first
 
 
 def _context_facts(context: np.ndarray, count: np.ndarray, chance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -270,14 +296,14 @@ def _statistics(model: Words):
     def statistics(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["owner"].iloc[0] < 0:
             return pd.DataFrame(columns=["h", "all", "facts"], dtype=object)
-        joined = _joined(pdf)
-        _, count, context, first = _bigrams(joined)
-        ranks = [float((count == r).sum()) for r in range(1, LARGE + 2)]
-        rows = [(0, True, [*ranks, 0.0])]
-        hot = joined[1][first] >= hot_from
-        names, facts = _context_facts(context[hot], count[hot], model.chance(joined[2][first][hot]))
-        rows += [(int(np.int64(np.uint64(n).view(np.int64))), False, f.tolist()) for n, f in zip(names, facts, strict=True)]
-        return pd.DataFrame(rows, columns=["h", "all", "facts"])
+        ranks, rows = np.zeros(LARGE + 2), []
+        for joined in _slices(list(pdf["block"])):
+            _, count, context, first = _bigrams(joined)
+            ranks[: LARGE + 1] += [(count == r).sum() for r in range(1, LARGE + 2)]
+            hot = joined[0][first] >= hot_from
+            names, facts = _context_facts(context[hot], count[hot], model.chance(joined[1][first][hot]))
+            rows += [(int(n), False, f.tolist()) for n, f in zip(names, facts, strict=True)]
+        return pd.DataFrame([(0, True, ranks.tolist()), *rows], columns=["h", "all", "facts"])
 
     return statistics
 
@@ -288,33 +314,38 @@ def _score(model: Words):
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["owner"].iloc[0] < 0:
             return pdf[["chunk", "owner", "block"]]
-        joined = _joined(pdf)
-        _, total, wc, _, doc, times, chunk, _ = joined
-        every = pdf["facts"].iloc[0]
-        facts_of = {(bool(x["all"]), int(x["h"])): np.asarray(x["facts"], float) for x in every}
+        facts_of = {(bool(x["all"]), int(x["h"])): np.asarray(x["facts"], float) for x in pdf["known"].iloc[0]}
         factor = discounts(list(facts_of.pop((True, 0), np.zeros(LARGE + 2))[: LARGE + 1]))
-        place, count, context, first = _bigrams(joined)
-        chance = model.chance(wc)
-        hot = total[first] >= hot_from
-        names, facts = _context_facts(context[~hot], count[~hot], chance[first][~hot])
-        hot_names = np.array([h for _, h in facts_of], np.int64).view(np.uint64)
-        names, facts = np.concatenate([names, hot_names]), np.vstack([facts, *facts_of.values()])
-        order = np.argsort(names)
-        names, facts = names[order], facts[order]
-        at = np.searchsorted(names, context)
-        hit = at < len(names)
-        hit[hit] = names[at[hit]] == context[hit]
-        divisor, alpha = np.ones(len(context)), np.ones(len(context))
-        divisor[hit], alpha[hit] = backoff(facts[at[hit]], total[first][hit].astype(float), factor)
-        # the recursion, by bigram: its own discounted count, or the context's weight times the word's chance
-        direct = count > 0
-        p = np.where(direct, factor[np.where(count > LARGE, 0, count)] * count / divisor, alpha * chance[first])
-        value = np.log10(p)[place] * times
+        hot_names = np.array([h for _, h in facts_of], np.int64)
+        hot_facts = np.array(list(facts_of.values())).reshape(len(facts_of), LARGE + 2)
+        sums: list[list] = [[] for _ in range(len(pdf))]
+        for joined in _slices(list(pdf["block"])):
+            total, wc, _, _, doc, times, block, _ = joined
+            place, count, context, first = _bigrams(joined)
+            chance = model.chance(wc[first])
+            hot = total[first] >= hot_from
+            names, facts = _context_facts(context[~hot], count[~hot], chance[~hot])
+            names, facts = np.concatenate([names, hot_names]), np.vstack([facts, hot_facts])
+            order = np.argsort(names)
+            names, facts = names[order], facts[order]
+            at = np.searchsorted(names, context)
+            hit = at < len(names)
+            hit[hit] = names[at[hit]] == context[hit]
+            divisor, alpha = np.ones(len(context)), np.ones(len(context))
+            divisor[hit], alpha[hit] = backoff(facts[at[hit]], total[first][hit].astype(float), factor)
+            # the recursion, by bigram: its own discounted count, or the context's weight times the word's chance
+            direct = count > 0
+            p = np.where(direct, factor[np.where(count > LARGE, 0, count)] * count / divisor, alpha * chance)
+            value = np.log10(p)[place] * times
+            cuts = np.searchsorted(block, np.arange(len(pdf) + 1))
+            for i in range(len(pdf)):
+                own = slice(cuts[i], cuts[i + 1])
+                docs, back = np.unique(doc[own], return_inverse=True)
+                sums[i].append((docs, np.bincount(back, value[own], len(docs))))
         out = []
-        for i, name in enumerate(pdf["chunk"]):
-            own = chunk == i
-            docs, back = np.unique(doc[own], return_inverse=True)
-            out.append((name, int(pdf["owner"].iloc[0]), _pack(docs=_small(docs), sums=np.bincount(back, value[own], len(docs)))))
+        for name, own in zip(pdf["chunk"], sums, strict=True):
+            docs, back = np.unique(np.concatenate([d for d, _ in own]), return_inverse=True)
+            out.append((name, int(pdf["owner"].iloc[0]), _pack(docs=_small(docs), sums=np.bincount(back, np.concatenate([v for _, v in own]), len(docs)))))
         return pd.DataFrame(out, columns=["chunk", "owner", "block"])
 
     return score
@@ -347,18 +378,20 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = dict(docs.dtypes)[id_col]
     owners = partitions(docs.sparkSession)
     rows = rows_of(docs, id=id_col, text=text_col, held=in_fold(F.col(f"`{id_col}`"), modulus, held))
-    chunks = staged(rows.mapInPandas(_chunks, f"chunk string, ids array<{kind}>, words binary, body binary"), "chunks")
-    sent = chunks.select("chunk", "words").mapInPandas(_word_blocks(owners), "owner int, chunk string, block binary")
-    answers = staged(sent.groupBy("owner").applyInPandas(_count_words, "owner int, chunk string, counts binary, facts array<long>"), "words")
+    made = rows.mapInPandas(_chunks(even_keys(docs.sparkSession, owners)), f"part long, chunk string, ids array<{kind}>, words binary, body binary")
+    chunks = bucketed(made, "chunks", "part", owners)
+    sent = chunks.select("part", "chunk", "words").mapInPandas(_word_blocks(owners), "owner int, part long, chunk string, block binary")
+    answers = staged(sent.groupBy("owner").applyInPandas(_count_words, "owner int, part long, chunk string, answer binary, facts array<long>"), "words")
     facts = answers.agg(*(F.coalesce(F.sum(F.col("facts")[i]), F.lit(0)) for i in range(LARGE + 3))).first()
     model = Words(int(facts[0]), int(facts[1]), [int(x) for x in facts[2:]])
     train_docs = rows.where("not held").count()
-    made = chunks.select("chunk", "words", "body").groupBy("chunk").cogroup(answers.select("owner", "chunk", "counts").groupBy("chunk"))
-    pairs = made.applyInPandas(_pair_blocks(owners, model, train_docs), "owner int, chunk string, block binary").repartition(owners, "owner")
+    back = answers.groupBy("part").agg(F.collect_list(F.struct("chunk", "owner", "answer")).alias("answers")).hint("shuffle_hash")
+    told = chunks.select("part", "chunk", "words", "body").join(back, "part").withColumn("answers", F.filter("answers", lambda a: a["chunk"] == F.col("chunk")))
+    pairs = told.select("chunk", "words", "body", "answers").mapInPandas(_pair_blocks(owners, model, train_docs), "owner int, chunk string, block binary").repartition(owners, "owner")
     found = pairs.groupBy("owner").applyInPandas(_statistics(model), "h long, all boolean, facts array<double>")
     added = found.groupBy("all", "h").agg(F.array(*(F.sum(F.col("facts")[i]) for i in range(LARGE + 2))).alias("facts"))
     # at most HOT + 1 rows: the counts of counts, and the contexts that are a HOT-th of all tokens
-    known = added.agg(F.collect_list(F.struct("h", "all", "facts")).alias("facts"))
+    known = added.agg(F.collect_list(F.struct("h", "all", "facts")).alias("known"))
     scored = pairs.join(F.broadcast(known)).groupBy("owner").applyInPandas(_score(model), "chunk string, owner int, block binary")
     ids = chunks.select("chunk", "ids")
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
