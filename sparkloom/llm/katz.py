@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ._shared import bucketed, even_keys, in_fold, partitions, rows_of, staged
 
 #: Tokens in a chunk; counts above LARGE are not discounted; contexts of a HOT-th of all tokens are dealt by word.
-CHUNK, LARGE, HOT = 2_000_000, 5, 1000
+CHUNK, LARGE, HOT = 1_000_000, 5, 1000
 #: No word can be a line feed, which stands for the text's end.
 END_TOKEN = b"\n"
 
@@ -236,7 +236,7 @@ def _pair_blocks(owners: int, model: Words, train_docs: int):
 
 
 #: Entries that an owner spreads out at once.
-SLICE = 500_000
+SLICE = 200_000
 
 
 def _slices(blocks: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -314,10 +314,10 @@ def _score(model: Words):
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["owner"].iloc[0] < 0:
             return pdf[["chunk", "owner", "block"]]
-        facts_of = {(bool(x["all"]), int(x["h"])): np.asarray(x["facts"], float) for x in pdf["known"].iloc[0]}
-        factor = discounts(list(facts_of.pop((True, 0), np.zeros(LARGE + 2))[: LARGE + 1]))
-        hot_names = np.array([h for _, h in facts_of], np.int64)
-        hot_facts = np.array(list(facts_of.values())).reshape(len(facts_of), LARGE + 2)
+        every, hot_names = np.asarray(pdf["every"].iloc[0], bool), np.asarray(pdf["names"].iloc[0], np.int64)
+        hot_facts = np.asarray(pdf["facts"].iloc[0], float).reshape(len(every), LARGE + 2)
+        factor = discounts(hot_facts[every].sum(0)[: LARGE + 1].tolist())
+        hot_names, hot_facts = hot_names[~every], hot_facts[~every]
         sums: list[list] = [[] for _ in range(len(pdf))]
         for joined in _slices(list(pdf["block"])):
             total, wc, _, _, doc, times, block, _ = joined
@@ -391,7 +391,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = pairs.groupBy("owner").applyInPandas(_statistics(model), "h long, all boolean, facts array<double>")
     added = found.groupBy("all", "h").agg(F.array(*(F.sum(F.col("facts")[i]) for i in range(LARGE + 2))).alias("facts"))
     # at most HOT + 1 rows: the counts of counts, and the contexts that are a HOT-th of all tokens
-    known = added.agg(F.collect_list(F.struct("h", "all", "facts")).alias("known"))
+    known = added.agg(F.collect_list(F.struct("h", "all", "facts")).alias("k")).select(F.col("k.h").alias("names"), F.col("k.all").alias("every"), F.flatten("k.facts").alias("facts"))
     scored = pairs.join(F.broadcast(known)).groupBy("owner").applyInPandas(_score(model), "chunk string, owner int, block binary")
     ids = chunks.select("chunk", "ids")
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -23,6 +23,8 @@ SHINGLE = 3
 WORDS = (21, 21, 22)
 #: Fingerprints in a block, and rows of a block compared at once.
 BLOCK, STRIP = 8192, 32
+#: Keys that a node's links are spread over.
+SALTS = 4
 
 
 def fingerprint(text: str | None) -> int:
@@ -89,24 +91,36 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[root[own]]
 
 
+def links_between(a: np.ndarray, b: np.ndarray, radius: int, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stars over what links join in two blocks ordered by their third word's count; the other counts differ by ``near``.
+
+    Strip by strip only links between different groups so far are looked at, so a dense group costs no memory.
+    """
+    nodes = np.unique(np.concatenate([a, b]))
+    ia, ib, group = np.searchsorted(nodes, a), np.searchsorted(nodes, b), np.arange(len(nodes))
+    rest, ca, cb = radius - near, _counts(a)[2], _counts(b)[2]
+    low, high = np.searchsorted(cb, ca - rest), np.searchsorted(cb, ca + rest, "right")
+    for i in range(0, len(a), STRIP):
+        s = slice(i, i + STRIP)
+        start, end = low[i], high[s][-1]  # both ends rise with the row
+        r, c = np.nonzero(np.bitwise_count(a[s, None] ^ b[None, start:end]) <= radius)
+        x, y = group[ia[i + r]], group[ib[start + c]]
+        if (x != y).any():
+            x, y = np.divmod(np.unique((x * len(nodes) + y)[x != y]), len(nodes))
+            node, root = _forest(x, y)
+            to = np.arange(len(nodes))
+            to[node] = root
+            group = to[group]
+    moved = np.flatnonzero(group != np.arange(len(nodes)))
+    return nodes[moved].view(np.int64), nodes[group[moved]].view(np.int64)
+
+
 def _compare(radius: int):
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for one, two, near in zip(pdf["fps"], pdf["fps2"], pdf["near"], strict=True):
-                a, b = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
-                rest, ca, cb = radius - near, _counts(a)[2], _counts(b)[2]
-                low, high = np.searchsorted(cb, ca - rest), np.searchsorted(cb, ca + rest, "right")
-                left, right = [], []
-                for i in range(0, len(a), STRIP):
-                    s = slice(i, i + STRIP)
-                    others = b[low[i] : high[s][-1]]  # both ends rise with the row
-                    r, c = np.nonzero(np.bitwise_count(a[s, None] ^ others[None, :]) <= radius)
-                    left.append(a[i + r])
-                    right.append(others[c])
-                x, y = np.concatenate(left), np.concatenate(right)
-                differ = x != y
-                if differ.any():
-                    x, y = _forest(x[differ].view(np.int64), y[differ].view(np.int64))
+                x, y = links_between(np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64), radius, near)
+                if len(x):
                     yield pd.DataFrame({"a": x, "b": y})
 
     return compare
@@ -118,7 +132,7 @@ def near_links(fps: DataFrame, radius: int) -> DataFrame:
     for width in WORDS[:2]:
         parts.append(F.bit_count(F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1))).cast("int"))
         at += width
-    salt = F.pmod(F.xxhash64("fp"), F.lit(max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16))).cast("int")
+    salt = F.pmod(F.xxhash64("fp"), F.lit(1 + fps.count() // (400 * BLOCK))).cast("int")  # a tile of very many is gathered in parts
     tiles = fps.select("fp", parts[0].alias("x"), parts[1].alias("y"), salt.alias("salt"))
     blocks = staged(tiles.groupBy("x", "y", "salt").applyInPandas(_blocks, "x int, y int, name string, fps binary"), "blocks")
     ball = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if abs(i) + abs(j) <= radius and (i, j) >= (0, 0)]
@@ -138,8 +152,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
 
     def least(sym: DataFrame) -> DataFrame:
-        salted = sym.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(32)).cast("int"))
-        to = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(31))))
+        salted = sym.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+        to = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         return salted.join(to, ["u", "s"]).select("u", "v", "m")
 
     edges = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
@@ -147,8 +161,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("v"), F.col("u")).toDF("u", "v"))
         large = least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.withColumn("own", F.lit(False))
-        joined = least(small.select("u", "v"))
+        joined = least(large)
         star = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = staged(star, "edges")
         now = edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
