@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -32,11 +33,28 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Rows that go to Python at once where they carry whole texts.
+TEXTS_AT_ONCE = 1000
+
+
+@contextlib.contextmanager
+def text_batches(spark: SparkSession):
+    """While it holds, jobs send whole texts to Python in small batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(TEXTS_AT_ONCE))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` as written to the shared folder: lineage ends here, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    with text_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -97,7 +115,8 @@ def even_keys(spark: SparkSession, n: int) -> list[int]:
 def bucketed(df: DataFrame, name: str, by: str, n: int) -> DataFrame:
     """``df`` as a table in the shared folder, in n buckets by a bigint column: joins and groups by it need no shuffle."""
     table = f"{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(n, by).option("path", shared_path(df.sparkSession, name)).saveAsTable(table)
+    with text_batches(df.sparkSession):
+        df.write.bucketBy(n, by).option("path", shared_path(df.sparkSession, name)).saveAsTable(table)
     return df.sparkSession.table(table)
 
 
