@@ -21,7 +21,7 @@ from ._linear import Sparse, fit_logistic, platt, sigmoid
 from ._shared import bounded, in_fold, rows_of
 
 #: Labelled documents that a fit reads at most (the sample's bound), by a hash of their id.
-SAMPLE = 8_000
+SAMPLE = 6_000
 #: Lengths of word beginnings that are features beside whole words.
 STEMS = (3, 4, 5)
 FEATURES, LEXICONS = 6000, 24
