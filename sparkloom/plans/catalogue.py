@@ -1,10 +1,529 @@
-"""The library's queries over the synthetic tables, each with SQL that gives the same rows."""
+"""The library's queries over the synthetic tables, each with SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions.coerce import steady
+from ..operators import information, mining, missing, multivariate, preview, profile, sampling, series, stats, text
+from ..operators.filters import Filter, apply_filters
+from ..operators.ordering import with_row_index
+from ..streaming import monitor, simulator
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLE_SQL[key] = sql
+        return f
+
+    return add
+
+
+def even(df: DataFrame, *columns: str) -> DataFrame:
+    """The named doubles without noise in the last digits."""
+    return df.withColumns({c: steady(F.col(c)) for c in columns})
+
+
+def st(x: str) -> str:
+    return f"floor(({x}) * 1e6 + 0.37) / 1e6"
+
+
+# Filters: one query for each operator.
+_FILTERS: dict[str, tuple[str, list[Filter], str]] = {
+    "filter_equals": ("lineitem", [Filter("l_returnflag", "equals", "A")], "l_returnflag = 'A'"),
+    "filter_equals_null": ("orders", [Filter("o_orderstatus", "equals", None)], "o_orderstatus IS NULL"),
+    "filter_not_equals": ("lineitem", [Filter("l_linestatus", "not_equals", "O")], "l_linestatus <> 'O'"),
+    "filter_greater_than": ("lineitem", [Filter("l_quantity", "greater_than", 45)], "l_quantity > 45"),
+    "filter_less_than": ("lineitem", [Filter("l_discount", "less_than", 0.02)], "l_discount < 0.02"),
+    "filter_greater_equal": ("orders", [Filter("o_totalprice", "greater_equal", 300000)], "o_totalprice >= 300000"),
+    "filter_less_equal": ("part", [Filter("p_size", "less_equal", 5)], "p_size <= 5"),
+    "filter_contains": ("part", [Filter("p_type", "contains", "BRASS")], "p_type LIKE '%BRASS%'"),
+    "filter_not_contains": ("part", [Filter("p_type", "not_contains", "BRASS")], "p_type NOT LIKE '%BRASS%'"),
+    "filter_starts_with": ("part", [Filter("p_type", "starts_with", "PROMO")], "p_type LIKE 'PROMO%'"),
+    "filter_ends_with": ("part", [Filter("p_type", "ends_with", "STEEL")], "p_type LIKE '%STEEL'"),
+    "filter_is_null": ("customer", [Filter("c_mktsegment", "is_null")], "c_mktsegment IS NULL"),
+    "filter_is_not_null": ("customer", [Filter("c_mktsegment", "is_not_null")], "c_mktsegment IS NOT NULL"),
+    "filter_in": ("orders", [Filter("o_orderpriority", "in", values=["1-URGENT", "2-HIGH"])], "o_orderpriority IN ('1-URGENT', '2-HIGH')"),
+    "filter_not_in": ("orders", [Filter("o_orderpriority", "not_in", values=["1-URGENT", "2-HIGH"])], "o_orderpriority NOT IN ('1-URGENT', '2-HIGH')"),
+    "filter_empty_in": ("orders", [Filter("o_orderpriority", "in")], "1 = 0"),
+    "filter_empty_not_in": ("orders", [Filter("o_orderpriority", "not_in")], "1 = 1"),
+    "filter_compound": ("lineitem", [Filter("l_returnflag", "equals", "R"), Filter("l_quantity", "greater_equal", 30), Filter("l_tax", "less_than", 0.05), Filter("l_linestatus", "equals", "X", active=False)], "l_returnflag = 'R' AND l_quantity >= 30 AND l_tax < 0.05"),
+}
+for _name, (_table, _filters, _where) in _FILTERS.items():
+    query(f"SELECT * FROM {_table} WHERE {_where}", _name)(lambda s, d, t=_table, f=_filters: apply_filters(table(s, d, t), f))
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 = 0 OR o_orderstatus <> 'F'")
+def filter_keeping_nulls(s, d):
+    rows = table(s, d, "orders").select("o_orderkey", "o_orderstatus").withColumn("v", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")))
+    return apply_filters(rows, [Filter("v", "not_equals", "F")], null_mode="memory").drop("v")
+
+
+@query("SELECT l_orderkey, l_extendedprice, l_discount FROM lineitem")
+def scan_project(s, d):
+    return table(s, d, "lineitem").select("l_orderkey", "l_extendedprice", "l_discount")
+
+
+@query("SELECT * FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_acctbal DESC, c_custkey LIMIT 25 OFFSET 25")
+def preview_page_sorted(s, d):
+    return preview.preview(table(s, d, "customer"), [Filter("c_mktsegment", "equals", "BUILDING")], "c_acctbal", True, 2, 25, then=["c_custkey"])
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE c_acctbal > 5000) AS filtered FROM customer")
+def preview_counts(s, d):
+    return preview.counts(table(s, d, "customer"), [Filter("c_acctbal", "greater_than", 5000)])
+
+
+@query("SELECT event_type AS value, count(*) AS count FROM events GROUP BY 1 ORDER BY 2 DESC, min(event_id) LIMIT 3")
+def preview_top_values(s, d):
+    return preview.top_values(table(s, d, "events"), "event_type", ["event_id"], 3)
+
+
+@query("SELECT p_brand AS value FROM part GROUP BY 1 ORDER BY min(p_partkey) LIMIT 10")
+def preview_first_values(s, d):
+    return preview.first_values(table(s, d, "part"), "p_brand", ["p_partkey"])
+
+
+_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_LONG = "WITH x AS (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, {c} AS x FROM lineitem WHERE l_returnflag = 'A'" for c in _NUMBERS) + ")"
+_RETURNED = [Filter("l_returnflag", "equals", "A")]
+
+
+@query(f"{_LONG} SELECT column_name, count(x) AS count, {st('avg(x)')} AS mean, {st('stddev_samp(x)')} AS std, min(x) AS min, max(x) AS max, {st('quantile_cont(x, 0.25)')} AS q1, {st('quantile_cont(x, 0.5)')} AS q2, {st('quantile_cont(x, 0.75)')} AS q3 FROM x GROUP BY 1")
+def basic_stats_sql(s, d):
+    return even(stats.basic_stats_sql(table(s, d, "lineitem"), _NUMBERS, _RETURNED), "mean", "std", "q1", "q2", "q3")
+
+
+@query(f"{_LONG}, r AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY x) AS i, count(*) OVER (PARTITION BY column_name) AS n FROM x) SELECT column_name, count(x) AS count, {st('avg(x)')} AS mean, {st('stddev_pop(x)')} AS std, min(x) AS min, max(x) AS max, max(CASE WHEN i = floor(n * 0.25) + 1 THEN x END) AS q1, max(CASE WHEN i = floor(n * 0.5) + 1 THEN x END) AS q2, max(CASE WHEN i = floor(n * 0.75) + 1 THEN x END) AS q3 FROM r GROUP BY 1")
+def basic_stats(s, d):
+    return even(stats.basic_stats(table(s, d, "lineitem"), _NUMBERS, _RETURNED), "mean", "std")
+
+
+_CORR = " UNION ALL ".join(f"SELECT '{a}' AS column1, '{b}' AS column2, corr({a}, {b}) AS r FROM lineitem" for i, a in enumerate(_NUMBERS) for b in _NUMBERS[i + 1 :])
+_CORR_SQL = f"SELECT column1, column2, {st('r')} AS correlation, CASE WHEN abs(r) > 0.7 THEN 'strong' WHEN abs(r) > 0.3 THEN 'moderate' ELSE 'weak' END AS strength FROM ({_CORR})"
+
+
+@query(_CORR_SQL)
+def correlation_matrix(s, d):
+    return even(stats.correlation_matrix(table(s, d, "lineitem"), _NUMBERS), "correlation")
+
+
+@query(_CORR_SQL)
+def correlation_matrix_sql(s, d):
+    return even(stats.correlation_matrix_sql(table(s, d, "lineitem"), _NUMBERS), "correlation")
+
+
+@query(f"""
+WITH f AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, count(*) AS n FROM orders),
+b AS (SELECT CAST(least(floor((o_totalprice - lo) / ((hi - lo) / 10)), 9) AS INTEGER) AS bin, count(*) AS c FROM orders, f GROUP BY 1)
+SELECT CAST(i AS INTEGER) AS bin, {st('lo + i * ((hi - lo) / 10)')} AS low, {st('lo + (i + 1) * ((hi - lo) / 10)')} AS high, coalesce(c, 0) AS count, {st('coalesce(c, 0) * 100.0 / n')} AS pct
+FROM range(10) r(i) CROSS JOIN f LEFT JOIN b ON b.bin = i""")
+def histogram(s, d):
+    h = stats.histogram(table(s, d, "orders"), "o_totalprice", 10)
+    total = table(s, d, "orders").agg(F.count("*").alias("n"))
+    return even(h.crossJoin(F.broadcast(total)).select("bin", "low", "high", "count", (F.col("count") * 100.0 / F.col("n")).alias("pct")), "low", "high", "pct")
+
+
+@query(f"""
+WITH f AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, count(*) AS n FROM orders),
+b AS (SELECT CAST(floor((o_totalprice - lo) / ((hi - lo) / 20)) AS INTEGER) AS bin, lo, hi, n, count(*) AS c FROM orders, f WHERE o_totalprice < hi GROUP BY ALL)
+SELECT bin, {st('lo + bin * ((hi - lo) / 20)')} AS low, {st('lo + (bin + 1) * ((hi - lo) / 20)')} AS high, c AS count, {st('c * 100.0 / n')} AS frequency FROM b""")
+def histogram_sql(s, d):
+    return even(stats.histogram_sql(table(s, d, "orders"), "o_totalprice", 20), "low", "high", "frequency")
+
+
+_FORMS = {"hour": "%Y-%m-%d %H:00:00", "day": "%Y-%m-%d", "week": "%G-W%V", "month": "%Y-%m"}
+for _i, _form in _FORMS.items():
+    query(f"SELECT strftime(ts, '{_form}') AS period, {st('avg(value)')} AS value, count(*) AS count FROM events GROUP BY 1", f"timeseries_{_i}_sql")(
+        lambda s, d, i=_i: even(series.time_buckets_sql(table(s, d, "events"), "value", "ts", i), "value")
+    )
+query(f"SELECT strftime(o_orderdate, '%G-W%V') AS period, {st('avg(o_totalprice)')} AS value, count(*) AS count FROM orders GROUP BY 1", "timeseries_orders_week_sql")(
+    lambda s, d: even(series.time_buckets_sql(table(s, d, "orders"), "o_totalprice", "o_orderdate", "week"), "value")
+)
+
+_UNIFORM = """WITH e AS (SELECT *, row_number() OVER (ORDER BY {k}) - 1 AS row_index, count(*) OVER () AS n FROM events),
+u AS (SELECT DISTINCT CAST(CASE WHEN i = 0 THEN 0 WHEN i = {m} - 1 THEN n - 1 ELSE floor(i * (n / {m}) + 0.5) END AS BIGINT) AS pos FROM range({m}) r(i), (SELECT max(n) AS n FROM e)),
+p AS (SELECT * FROM e WHERE n <= {m} OR row_index IN (SELECT pos FROM u))"""
+
+
+@query(
+    _UNIFORM.format(k="ts, event_id", m=1500)
+    + f""", q AS (SELECT *, row_number() OVER (ORDER BY row_index) - 1 AS i, count(*) OVER () AS k FROM p),
+w AS (SELECT a.i, a.value, (SELECT avg(b.value) FROM q b WHERE b.i <= a.i AND b.i > a.i - greatest(3, floor(a.k / 20))) AS m FROM q a),
+l AS (SELECT regr_slope(value, i) AS a, regr_intercept(value, i) AS b FROM q)
+SELECT i AS index, value, {st('m')} AS moving_average, {st('a * i + b')} AS trend, CASE WHEN a > 0 THEN 'increasing' WHEN a < 0 THEN 'decreasing' ELSE 'stable' END AS direction FROM w, l"""
+)
+def timeseries_trend(s, d):
+    return even(series.time_series(table(s, d, "events"), "value", "ts", ["event_id"]), "moving_average", "trend").drop("x")
+
+
+@query(f"""
+WITH m AS (SELECT row_number() OVER (ORDER BY event_id) AS i, value, avg(value) OVER (ORDER BY event_id ROWS 9 PRECEDING) AS m10, avg(value) OVER (ORDER BY event_id ROWS 4 PRECEDING) AS m5 FROM events),
+c AS (SELECT i, value, abs(m5 - m10) AS score FROM m WHERE i > 10), t AS (SELECT avg(score) + 2 * stddev_samp(score) AS th FROM c)
+SELECT i AS index, value, {st('score')} AS score, {st('least(score / th, 1.0)')} AS confidence FROM c, t WHERE score > th""")
+def changepoint_sql(s, d):
+    return even(series.change_points_sql(table(s, d, "events"), "value", ["event_id"]), "score", "confidence")
+
+
+_CP = _UNIFORM.format(k="event_id", m=2000) + ", x AS (SELECT row_number() OVER (ORDER BY row_index) - 1 AS i, value AS v, count(*) OVER () AS n, avg(value) OVER () AS mu, stddev_pop(value) OVER () AS sd FROM p)"
+
+
+@query(_CP + f""", w AS (SELECT *, avg(v) OVER (ORDER BY i ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS a, avg(v) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS b FROM x)
+SELECT i AS index, v AS value, {st('least(abs(b - a) / (2 * sd), 3) / 3')} AS confidence FROM w WHERE i >= 10 AND i < n - 10 AND abs(b - a) > 2 * sd""")
+def changepoint_moving_average(s, d):
+    return even(series.change_points(table(s, d, "events"), "value", order_by=["event_id"]), "confidence").drop("x", "level")
+
+
+@query()
+def changepoint_moving_average_reference(s, d):
+    return series.change_points(table(s, d, "events"), "value", order_by=["event_id"], exact_reference=True)
+
+
+@query("WITH RECURSIVE " + _CP.removeprefix("WITH ") + f""", c(i, v, up, down, hit, u, dn) AS (
+ SELECT CAST(-1 AS BIGINT), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), false, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)
+ UNION ALL
+ SELECT i, v, CASE WHEN h THEN 0 ELSE a END, CASE WHEN h THEN 0 ELSE b END, h, a, b FROM (
+  SELECT x.i, x.v, greatest(0, c.up + x.v - mu - 20) AS a, least(0, c.down + x.v - mu + 20) AS b, (greatest(0, c.up + x.v - mu - 20) > 100 OR -least(0, c.down + x.v - mu + 20) > 100) AS h FROM c JOIN x ON x.i = c.i + 1))
+SELECT i AS index, v AS value, {st('least(greatest(u, -dn) / 100, 3) / 3')} AS confidence FROM c WHERE hit""")
+def changepoint_cusum(s, d):
+    return even(series.change_points(table(s, d, "events"), "value", order_by=["event_id"], algorithm="cusum", drift=20.0, threshold=100.0), "confidence").drop("x", "level")
+
+
+@query("WITH RECURSIVE " + _CP.removeprefix("WITH ") + f""", c(i, v, e, sd) AS (
+ SELECT CAST(-1 AS BIGINT), CAST(0 AS DOUBLE), max(mu), max(sd) FROM x
+ UNION ALL SELECT x.i, x.v, 0.1 * x.v + 0.9 * c.e, c.sd FROM c JOIN x ON x.i = c.i + 1)
+SELECT i AS index, v AS value, {st('least(abs(v - e) / sd / 3, 3) / 3')} AS confidence FROM c WHERE i >= 0 AND abs(v - e) / sd > 3""")
+def changepoint_ewma(s, d):
+    return even(series.change_points(table(s, d, "events"), "value", order_by=["event_id"], algorithm="ewma"), "confidence").drop("x", "level")
+
+
+@query()
+def changepoint_binary_segmentation(s, d):
+    return series.change_points(table(s, d, "events"), "value", order_by=["event_id"], algorithm="binary_segmentation")
+
+
+_PROFILED = ["o_orderstatus", "o_orderpriority", "o_totalprice", "o_custkey"]
+_PROFILE_LONG = " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS v, {f'CAST({c} AS DOUBLE)' if c in ('o_totalprice', 'o_custkey') else 'CAST(NULL AS DOUBLE)'} AS x FROM orders" for c in _PROFILED)
+
+
+@query(f"""
+WITH l AS ({_PROFILE_LONG}), r AS (SELECT column_name, x, row_number() OVER (PARTITION BY column_name ORDER BY x) AS i, count(*) OVER (PARTITION BY column_name) AS n FROM l WHERE x IS NOT NULL),
+m AS (SELECT column_name, max(CASE WHEN i = floor(n / 2) + 1 THEN x END) AS median FROM r GROUP BY 1)
+SELECT column_name, count(*) AS total, count(*) - count(v) AS nulls, count(DISTINCT v) AS "distinct", {st('avg(x)')} AS mean, {st('stddev_pop(x)')} AS std, min(x) AS min, max(x) AS max, max(median) AS median FROM l LEFT JOIN m USING (column_name) GROUP BY 1""")
+def column_profile(s, d):
+    p = profile.column_profile(table(s, d, "orders"), _PROFILED, order_by=["o_orderkey"])
+    return even(p.select("column_name", "total", "nulls", "distinct", "mean", "std", "min", "max", "median"), "mean", "std")
+
+
+@query(f"""
+WITH l AS (SELECT 'o_orderstatus' AS column_name, o_orderstatus AS value, o_orderkey AS k FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority, o_orderkey FROM orders),
+c AS (SELECT column_name, value, count(*) AS c, min(k) AS k FROM l GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY c DESC, k) AS i, sum(c) OVER (PARTITION BY column_name) AS n FROM c)
+SELECT column_name, CAST(i AS INTEGER) AS rank, value, c AS count, {st('c * 100.0 / n')} AS pct FROM r WHERE i <= 10""")
+def column_top_values(s, d):
+    return even(profile.profile_top_values(table(s, d, "orders"), ["o_orderstatus", "o_orderpriority"], ["o_orderkey"]), "pct")
+
+
+@query("""
+WITH c AS (SELECT 'p_brand' AS column_name, p_brand AS value, min(p_partkey) AS k FROM part GROUP BY 2), r AS (SELECT *, row_number() OVER (ORDER BY k) AS i FROM c)
+SELECT column_name, CAST(i AS INTEGER) AS rank, value FROM r WHERE i <= 10""")
+def column_samples(s, d):
+    return profile.profile_samples(table(s, d, "part"), ["p_brand"], ["p_partkey"])
+
+
+@query("SELECT unnest(['i', 'f', 'd', 'b', 't']) AS column_name, unnest(['INTEGER', 'FLOAT', 'DATE', 'BOOLEAN', 'TEXT']) AS inferred_type")
+def infer_types(s, d):
+    o = table(s, d, "orders")
+    rows = o.select("o_orderkey", F.col("o_custkey").cast("string").alias("i"), F.format_string("%.2f", "o_totalprice").alias("f"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"), F.when(F.col("o_orderkey") % 2 == 0, "true").otherwise("false").alias("b"), F.col("o_orderpriority").alias("t"))
+    return profile.infer_types(rows, ["i", "f", "d", "b", "t"], ["o_orderkey"])
+
+
+@query("SELECT column_name, column_type FROM (SELECT unnest(['o_orderkey', 'o_orderstatus', 'o_orderdate']) AS column_name, unnest(['BIGINT', 'TEXT', 'TIMESTAMP_NTZ']) AS column_type)")
+def describe_table(s, d):
+    return profile.describe_table(table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate"), ["o_orderkey"]).select("column_name", "column_type")
+
+
+def _gappy(s, d) -> DataFrame:
+    k = F.col("event_id")
+    v = F.when(k % 7 < 2, None).when(k % 11 == 0, "").when(k % 13 == 0, "0").otherwise(F.col("event_type"))
+    return table(s, d, "events").select("event_id", v.alias("a"), F.when(k % 5 != 3, F.col("event_type")).alias("b"))
+
+
+_GAPS = """
+WITH e AS (SELECT event_id, CASE WHEN event_id % 7 < 2 THEN NULL WHEN event_id % 11 = 0 THEN '' WHEN event_id % 13 = 0 THEN '0' ELSE event_type END AS a, CASE WHEN event_id % 5 <> 3 THEN event_type END AS b FROM events),
+l AS (SELECT 'a' AS column_name, row_number() OVER (ORDER BY event_id) - 1 AS i, a AS v FROM e UNION ALL SELECT 'b', row_number() OVER (ORDER BY event_id) - 1, b FROM e),
+m AS (SELECT *, v IS NULL OR trim(v) = '' OR v = '0' AS miss FROM l),
+p AS (SELECT *, coalesce(max(CASE WHEN NOT miss THEN i END) OVER (PARTITION BY column_name ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS valid, last_value(CASE WHEN NOT miss THEN v END IGNORE NULLS) OVER (PARTITION BY column_name ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM m),
+q AS (SELECT *, i - valid - 1 AS since FROM p)"""
+
+
+@query(_GAPS + " SELECT column_name, i AS row_index, CASE WHEN miss THEN 'missing_start' ELSE 'missing_end' END AS event, v AS value, CASE WHEN miss THEN prev END AS previous_value, CASE WHEN NOT miss THEN since END AS length FROM q WHERE (miss AND since = 0) OR (NOT miss AND since > 0)")
+def missing_events(s, d):
+    return missing.missing_events(missing.missing_flags(_gappy(s, d), ["a", "b"], ["event_id"]))
+
+
+@query(_GAPS + f" SELECT column_name, count(*) AS total, count(*) FILTER (WHERE miss) AS missing, count(*) FILTER (WHERE miss AND since = 0) AS runs, {st('count(*) FILTER (WHERE miss) / count(*) FILTER (WHERE miss AND since = 0)')} AS avg_length, coalesce(max(CASE WHEN miss THEN since + 1 END), 0) AS max_length, {st('count(*) FILTER (WHERE miss) * 100.0 / count(*)')} AS missing_pct FROM q GROUP BY 1")
+def missing_stats(s, d):
+    return even(missing.missing_stats(missing.missing_flags(_gappy(s, d), ["a", "b"], ["event_id"])), "avg_length", "missing_pct")
+
+
+@query(_GAPS + f", s AS (SELECT column_name, count(*) AS t, count(*) FILTER (WHERE miss) AS m, count(*) FILTER (WHERE miss AND since = 0) AS r FROM q GROUP BY 1) SELECT count(*) AS columns, max(t) AS rows, CAST(sum(m) AS BIGINT) AS missing, count(*) FILTER (WHERE m > 0) AS affected_columns, CAST(sum(r) AS BIGINT) AS runs, {st('sum(m) * 100.0 / sum(t)')} AS missing_pct FROM s")
+def missing_summary(s, d):
+    return even(missing.missing_summary(missing.missing_flags(_gappy(s, d), ["a", "b"], ["event_id"])), "missing_pct")
+
+
+@query(_UNIFORM.format(k="event_id", m=1000) + " SELECT event_id, row_index FROM p")
+def sample_uniform(s, d):
+    return sampling.sample_rows(table(s, d, "events").select("event_id"), ["event_id"], 1000)
+
+
+@query("WITH e AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS row_index, count(*) OVER () AS n FROM events) SELECT event_id, row_index FROM e WHERE row_index % (n // 1000) = 0 AND row_index < (n // 1000) * 1000")
+def sample_systematic(s, d):
+    return sampling.sample_rows(table(s, d, "events").select("event_id"), ["event_id"], 1000, "systematic")
+
+
+@query("""
+WITH e AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS row_index, count(*) OVER () AS n FROM events),
+k AS (SELECT CAST(floor((floor(i * (n / 300)) + least(floor((i + 1) * (n / 300)), n) - 1) / 2) AS BIGINT) AS pos FROM range(300) r(i), (SELECT max(n) AS n FROM e))
+SELECT event_id, row_index FROM e WHERE row_index IN (SELECT pos FROM k)""")
+def sample_stratified(s, d):
+    return sampling.sample_rows(table(s, d, "events").select("event_id"), ["event_id"], 300, "stratified")
+
+
+@query("""
+WITH e AS (SELECT event_id, value, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS n, lag(value) OVER (ORDER BY event_id) AS p, lead(value) OVER (ORDER BY event_id) AS q FROM events),
+r AS (SELECT event_id, i, CASE WHEN i = 0 OR i = n - 1 THEN 0 WHEN (value > p AND value > q) OR (value < p AND value < q) THEN 1 WHEN i % (n // 500) = 0 THEN 2 END AS r FROM e)
+SELECT event_id, i AS row_index FROM r WHERE r IS NOT NULL ORDER BY r, i LIMIT 500""")
+def sample_peak(s, d):
+    return sampling.sample_rows(table(s, d, "events").select("event_id", "value"), ["event_id"], 500, "peak", value="value").select("event_id", "row_index")
+
+
+def _entropy(c: str) -> str:
+    return f"(SELECT -sum(c / n * log2(c / n)) FROM (SELECT count(*) AS c, max(n) AS n FROM y GROUP BY {c}))"
+
+
+@query(f"""
+WITH f AS (SELECT min(value) AS lo, max(value) AS hi, count(*) AS n FROM events),
+y AS (SELECT event_type AS u, least(floor((value - lo) / ((hi - lo) / 10)), 9) AS v, n FROM events, f),
+h AS (SELECT {_entropy('u')} AS h1, {_entropy('v')} AS h2, {_entropy('u, v')} AS h12, max(n) AS n FROM y)
+SELECT 'event_type' AS column1, 'value' AS column2, n, {st('h1')} AS h1, {st('h2')} AS h2, {st('h12')} AS h12, {st('h1 + h2 - h12')} AS mutual_information, {st('2 * (h1 + h2 - h12) / (h1 + h2)')} AS normalized FROM h""")
+def mutual_information(s, d):
+    m = information.mutual_information(table(s, d, "events"), ["event_type", "value"])
+    return even(m.select("column1", "column2", "n", "h1", "h2", "h12", "mutual_information", "normalized"), "h1", "h2", "h12", "mutual_information", "normalized")
+
+
+@query(f"""
+WITH y AS (SELECT l_returnflag AS u, l_linestatus AS v, count(*) OVER () AS n FROM lineitem), h AS (SELECT {_entropy('u')} AS h1, {_entropy('v')} AS h2, {_entropy('u, v')} AS h12 FROM y LIMIT 1)
+SELECT CAST(1 AS BIGINT) AS pairs, {st('h1 + h2 - h12')} AS mean, {st('h1 + h2 - h12')} AS max, {st('h1 + h2 - h12')} AS min, CAST(h1 + h2 - h12 > 0.1 AS BIGINT) AS strong FROM h""")
+def mutual_information_summary(s, d):
+    m = information.mutual_information(table(s, d, "lineitem"), ["l_returnflag", "l_linestatus"])
+    return even(information.mutual_information_summary(m), "mean", "max", "min")
+
+
+_ITEMS = ["o_orderstatus", "o_orderpriority", "o_totalprice"]
+_BAND = "CASE WHEN o_totalprice < 0 THEN 'negative' WHEN o_totalprice = 0 THEN 'zero' WHEN o_totalprice <= 10 THEN 'low' WHEN o_totalprice <= 100 THEN 'medium' WHEN o_totalprice <= 1000 THEN 'high' ELSE 'very_high' END"
+_SETS = f"""
+WITH t AS (SELECT 'o_orderstatus=' || o_orderstatus AS a, 'o_orderpriority=' || o_orderpriority AS b, 'o_totalprice=' || {_BAND} AS c FROM orders),
+k AS (SELECT unnest([[a], [b], [c], list_sort([a, b]), list_sort([a, c]), list_sort([b, c]), list_sort([a, b, c])]) AS s FROM t),
+f AS (SELECT s, count(*) AS c, (SELECT count(*) FROM t) AS n FROM k GROUP BY 1 HAVING count(*) >= ceil(0.05 * (SELECT count(*) FROM t)))"""
+
+
+@query(_SETS + f" SELECT array_to_string(s, '|') AS items, CAST(len(s) AS INTEGER) AS size, c AS count, {st('c / n')} AS support FROM f")
+def association_itemsets(s, d):
+    return even(mining.frequent_itemsets(table(s, d, "orders"), _ITEMS, min_support=0.05).withColumn("items", F.array_join("items", "|")), "support")
+
+
+@query(_SETS + f""", r AS (SELECT x.s AS whole, a.s AS ante, b.s AS cons, x.c / x.n AS sup, a.c / a.n AS sa, b.c / b.n AS sc FROM f x JOIN f a ON len(a.s) < len(x.s) AND list_has_all(x.s, a.s) JOIN f b ON len(a.s) + len(b.s) = len(x.s) AND list_has_all(x.s, b.s) AND NOT list_has_any(a.s, b.s))
+SELECT array_to_string(ante, '|') AS antecedent, array_to_string(cons, '|') AS consequent, {st('sup')} AS support, {st('sup / sa')} AS confidence, {st('sup / sa / sc')} AS lift FROM r WHERE sup / sa >= 0.3""")
+def association_rules(s, d):
+    rules = mining.association_rules(mining.frequent_itemsets(table(s, d, "orders"), _ITEMS, min_support=0.05), 0.3)
+    out = rules.select(F.array_join("antecedent", "|").alias("antecedent"), F.array_join("consequent", "|").alias("consequent"), "support", "confidence", "lift")
+    return even(out, "support", "confidence", "lift")
+
+
+@query("WITH v AS (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, var_pop({c}) AS e FROM lineitem" for c in _NUMBERS) + f"), r AS (SELECT *, row_number() OVER (ORDER BY e DESC, column_name) AS i, e * 100 / sum(e) OVER () AS s FROM v), c AS (SELECT *, sum(s) OVER (ORDER BY i) AS t FROM r) SELECT CAST(i AS INTEGER) AS factor, column_name, {st('s')} AS share, {st('t')} AS cumulative FROM c WHERE i <= 2")
+def pca_variance_sql(s, d):
+    return even(multivariate.pca_variance_sql(table(s, d, "lineitem"), _NUMBERS), "share", "cumulative").drop("eigenvalue")
+
+
+@query()
+def pca(s, d):
+    return multivariate.pca(table(s, d, "lineitem"), _NUMBERS)
+
+
+@query(f"SELECT CAST(1 AS INTEGER) AS pair, {st('abs(corr(l_quantity, l_extendedprice))')} AS correlation, {st('1 - corr(l_quantity, l_extendedprice) ** 2')} AS wilks FROM lineitem")
+def canonical_correlation_single(s, d):
+    return even(multivariate.canonical_correlation(table(s, d, "lineitem"), ["l_quantity"], ["l_extendedprice"]).select("pair", "correlation", "wilks"), "correlation", "wilks")
+
+
+@query(f"""
+WITH r AS (SELECT corr(l_quantity, l_discount) AS a, corr(l_extendedprice, l_tax) AS b, corr(l_quantity, l_extendedprice) AS p, corr(l_quantity, l_tax) AS q, corr(l_discount, l_extendedprice) AS u, corr(l_discount, l_tax) AS v FROM lineitem),
+m AS (SELECT (p - a * u) / (1 - a * a) AS m11, (q - a * v) / (1 - a * a) AS m12, (u - a * p) / (1 - a * a) AS m21, (v - a * q) / (1 - a * a) AS m22, (p - b * q) / (1 - b * b) AS n11, (u - b * v) / (1 - b * b) AS n12, (q - b * p) / (1 - b * b) AS n21, (v - b * u) / (1 - b * b) AS n22 FROM r),
+k AS (SELECT m11 * n11 + m12 * n21 + m21 * n12 + m22 * n22 AS tr, (m11 * m22 - m12 * m21) * (n11 * n22 - n12 * n21) AS det FROM m),
+e AS (SELECT (tr + sqrt(greatest(tr * tr - 4 * det, 0))) / 2 AS l1, (tr - sqrt(greatest(tr * tr - 4 * det, 0))) / 2 AS l2 FROM k)
+SELECT CAST(1 AS INTEGER) AS pair, floor(sqrt(l1) * 1e5 + 0.37) / 1e5 AS correlation FROM e UNION ALL SELECT 2, floor(sqrt(greatest(l2, 0)) * 1e5 + 0.37) / 1e5 FROM e""")
+def canonical_correlation(s, d):
+    c = multivariate.canonical_correlation(table(s, d, "lineitem"), ["l_quantity", "l_discount"], ["l_extendedprice", "l_tax"])
+    return c.select("pair", (F.floor(F.col("correlation") * 1e5 + 0.37) / 1e5).alias("correlation"))
+
+
+_TOKENS = r"list_filter(regexp_split_to_array({t}, '[\s.,!?;:()\[\]{{}}\"''。、！？；：（）「」『』]+'), lambda x: x <> '')"
+_SENTENCES = r"list_filter(list_transform(regexp_split_to_array(text, '[.!?。！？]+'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '')"
+
+
+@query(f"""
+WITH m AS (SELECT text, length(text) AS c, len({_TOKENS.format(t='text')}) AS w, len({_SENTENCES}) AS s FROM documents WHERE trim(text) <> ''),
+q AS (SELECT *, row_number() OVER (ORDER BY c) AS ci, row_number() OVER (ORDER BY w) AS wi, row_number() OVER (ORDER BY s) AS si, count(*) OVER () AS n FROM m)
+SELECT count(*) AS records, count(DISTINCT text) AS unique_records, CAST(sum(c) AS BIGINT) AS total_chars, CAST(sum(w) AS BIGINT) AS total_words, CAST(sum(s) AS BIGINT) AS total_sentences, {st('avg(c)')} AS mean_chars, {st('avg(w)')} AS mean_words,
+ max(CASE WHEN ci = floor(n / 2) + 1 THEN c END) AS median_chars, max(CASE WHEN wi = floor(n / 2) + 1 THEN w END) AS median_words, max(CASE WHEN si = floor(n / 2) + 1 THEN s END) AS median_sentences, min(w) AS min_words, max(w) AS max_words,
+ {st('greatest(0, least(100, 100 - least(sum(w) / sum(s) / 20, 1) * 40 - least((sum(c) / sum(w) - 3) / 5, 1) * 40))')} AS readability FROM q""")
+def text_statistics(s, d):
+    t = text.text_statistics(table(s, d, "documents"), "text")
+    return even(t.select("records", "unique_records", "total_chars", "total_words", "total_sentences", "mean_chars", "mean_words", "median_chars", "median_words", "median_sentences", "min_words", "max_words", "readability"), "mean_chars", "mean_words", "readability")
+
+
+@query(f"WITH w AS (SELECT unnest({_TOKENS.format(t='lower(text)')}) AS word FROM documents), c AS (SELECT word, count(*) AS c, sum(count(*)) OVER () AS n FROM w GROUP BY 1) SELECT word, c AS count, {st('c * 100.0 / n')} AS pct FROM c WHERE length(word) >= 2 ORDER BY c DESC, word LIMIT 20")
+def word_frequency(s, d):
+    return even(text.word_frequency(table(s, d, "documents"), "text"), "pct")
+
+
+@query(f"WITH w AS (SELECT unnest(string_split(regexp_replace(text, '\\s', '', 'g'), '')) AS ch FROM documents), c AS (SELECT ch, count(*) AS c, sum(count(*)) OVER () AS n FROM w WHERE ch <> '' GROUP BY 1) SELECT ch AS char, c AS count, {st('c * 100.0 / n')} AS pct FROM c ORDER BY c DESC, ch LIMIT 20")
+def char_frequency(s, d):
+    return even(text.char_frequency(table(s, d, "documents"), "text"), "pct")
+
+
+@query("""
+WITH n AS (SELECT count(*) AS n FROM documents WHERE trim(text) <> ''), p AS (
+ SELECT 'email' AS pattern, count(*) AS c FROM documents WHERE regexp_matches(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}')
+ UNION ALL SELECT 'url', count(*) FROM documents WHERE regexp_matches(text, 'https?://\\S+')
+ UNION ALL SELECT 'phone', count(*) FROM documents WHERE regexp_matches(text, '\\d{2,4}-\\d{2,4}-\\d{4}')
+ UNION ALL SELECT 'number_only', count(*) FROM documents WHERE regexp_matches(text, '^\\d+$')
+ UNION ALL SELECT 'alphanumeric_only', count(*) FROM documents WHERE regexp_matches(text, '^[a-zA-Z0-9]+$'))
+SELECT pattern, c AS count, floor(c * 100.0 / n * 1e6 + 0.37) / 1e6 AS pct FROM p, n WHERE c > 0""")
+def text_patterns(s, d):
+    return even(text.text_patterns(table(s, d, "documents"), "text").drop("examples"), "pct")
+
+
+@query(f"""
+WITH r AS (SELECT length(regexp_replace(text, '\\s', '', 'g')) AS n, length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) / length(regexp_replace(text, '\\s', '', 'g')) AS en FROM documents),
+l AS (SELECT CASE WHEN n = 0 THEN 'unknown' WHEN en > 0.7 THEN 'english' ELSE 'other' END AS language, CASE WHEN n = 0 THEN 0 WHEN en > 0.7 THEN en ELSE 0.5 END AS c FROM r)
+SELECT language, count(*) AS count, {st('count(*) * 100.0 / (SELECT count(*) FROM l)')} AS pct, {st('avg(c)')} AS confidence FROM l GROUP BY 1""")
+def language_detection(s, d):
+    return even(text.language_detection(table(s, d, "documents"), "text"), "pct", "confidence")
+
+
+@query(f"""
+WITH t AS (SELECT sum(length(text)) AS n, sum(length(regexp_replace(text, '[^a-zA-Z0-9]', '', 'g'))) AS a, sum(length(regexp_replace(text, '[^\\pP\\pS]', '', 'g'))) AS p, sum(length(text) - length(regexp_replace(text, '\\s', '', 'g'))) AS w FROM documents),
+c AS (SELECT n, unnest(['alphanumeric', 'punctuation', 'whitespace', 'other']) AS char_type, unnest([a, p, w, n - a - p - w]) AS c FROM t)
+SELECT char_type, CAST(c AS BIGINT) AS count, {st('c * 100.0 / n')} AS pct FROM c WHERE c > 0""")
+def char_types(s, d):
+    return even(text.char_types(table(s, d, "documents"), "text"), "pct")
+
+
+@query(f"""
+WITH s AS (SELECT unnest({_SENTENCES}) AS s FROM documents), w AS (SELECT len({_TOKENS.format(t='s')}) AS w FROM s)
+SELECT CASE WHEN w <= 5 THEN '0-5' WHEN w <= 10 THEN '6-10' WHEN w <= 20 THEN '11-20' WHEN w <= 30 THEN '21-30' ELSE '31+' END AS name, count(*) AS count FROM w GROUP BY 1""")
+def sentence_lengths(s, d):
+    return text.sentence_analysis(table(s, d, "documents"), "text").where("kind = 'length'").select("name", "count")
+
+
+@query("WITH m AS (SELECT unnest(['.', ',', '!', '?', ';', ':']) AS name), c AS (SELECT name, CAST(sum(length(text) - length(replace(text, name, ''))) AS BIGINT) AS c FROM m, documents GROUP BY 1) SELECT name, c AS count FROM c WHERE c > 0")
+def sentence_marks(s, d):
+    return text.sentence_analysis(table(s, d, "documents"), "text").where("kind = 'mark'").select("name", "count")
+
+
+@query(f"""
+WITH m AS (SELECT length(text) AS c, len({_TOKENS.format(t='text')}) AS w, len({_SENTENCES}) AS s FROM conversations WHERE trim(text) <> ''), a AS (SELECT sum(w) / sum(s) AS wps, sum(c) / sum(w) AS cpw FROM m),
+r AS (SELECT *, greatest(0, least(100, 100 - least(wps / 20, 1) * 40 - least((cpw - 3) / 5, 1) * 40)) AS sc FROM a)
+SELECT {st('sc')} AS score, CASE WHEN sc >= 80 THEN 'very easy' WHEN sc >= 60 THEN 'easy' WHEN sc >= 40 THEN 'normal' WHEN sc >= 20 THEN 'difficult' ELSE 'very difficult' END AS level, {st('wps')} AS words_per_sentence, {st('cpw')} AS chars_per_word FROM r""")
+def readability(s, d):
+    return even(text.readability_report(table(s, d, "conversations"), "text").drop("recommendations"), "score", "words_per_sentence", "chars_per_word")
+
+
+@query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, row_number() OVER (ORDER BY event_id) AS _source_row_id, 'events' AS _source_table, 'props' AS _source_column FROM events")
+def json_child_table(s, d):
+    from ..sources.files import json_child_table as child
+
+    return child(table(s, d, "events"), "events", "props", ["event_id"])
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in ("region", "nation", "customer", "orders")))
+def union_counts(s, d):
+    from functools import reduce
+
+    return reduce(DataFrame.unionAll, (table(s, d, t).agg(F.lit(t).alias("table_name"), F.count("*").alias("rows")) for t in ("region", "nation", "customer", "orders")))
+
+
+@query("SELECT c_custkey AS key, c_acctbal AS balance, 'customer' AS source FROM customer UNION ALL SELECT s_suppkey, s_acctbal, 'supplier' FROM supplier")
+def union_tagged(s, d):
+    c = table(s, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("balance"), F.lit("customer").alias("source"))
+    return c.unionByName(table(s, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("balance"), F.lit("supplier").alias("source")))
+
+
+@query("SELECT count(*) AS rows FROM (SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders)")
+def count_distinct_rows(s, d):
+    return table(s, d, "orders").select("o_orderstatus", "o_orderpriority").distinct().agg(F.count("*").alias("rows"))
+
+
+@query("WITH RECURSIVE n(i) AS (SELECT 1 UNION ALL SELECT i + 1 FROM n WHERE i < 90) SELECT count(*) AS n, CAST(sum(i) AS BIGINT) AS total FROM n")
+def recursive_cte(s, d):
+    return s.sql("WITH RECURSIVE n(i) AS (SELECT 1 UNION ALL SELECT i + 1 FROM n WHERE i < 90) SELECT count(*) AS n, sum(i) AS total FROM n")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders, (SELECT avg(o_totalprice) + 2 * stddev_samp(o_totalprice) AS t FROM orders) WHERE o_totalprice > t")
+def crossjoin_threshold(s, d):
+    o = table(s, d, "orders")
+    limit = o.agg((F.avg("o_totalprice") + 2 * F.stddev_samp("o_totalprice")).alias("t"))
+    return o.crossJoin(F.broadcast(limit)).where("o_totalprice > t").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT n_name, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def sql_pass_through(s, d):
+    q = f"SELECT n_name, count(*) AS orders FROM parquet.`{d}/orders.parquet` JOIN parquet.`{d}/customer.parquet` ON o_custkey = c_custkey JOIN parquet.`{d}/nation.parquet` ON c_nationkey = n_nationkey GROUP BY 1"
+    return s.sql(q)
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) - 1 AS row_index FROM events")
+def row_index(s, d):
+    return with_row_index(table(s, d, "events").select("event_id", "ts"), [F.desc("ts"), "event_id"]).select("event_id", "row_index")
+
+
+_STREAMED = f"SELECT date_trunc('hour', ts) AS period, event_type, {st('avg(value)')} AS value, count(*) AS count FROM events GROUP BY 1, 2"
+
+
+@query(_STREAMED)
+def stream_window_counts(s, d):
+    schema = table(s, d, "events").schema
+    stream = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    out = monitor.run_to_end(monitor.window_counts(stream, "ts", "value", by=("event_type",)), "stream_window_counts")
+    return even(out, "value")
+
+
+@query("SELECT CAST(1 AS BIGINT) AS id, 'events' AS table_name, 'inserted' AS change_type, count(*) AS count FROM events WHERE event_id % 2 = 1")
+def stream_monitor(s, d):
+    events = table(s, d, "events")
+    seen = [events.where("event_id % 2 = 0"), events]
+    watch = monitor.Monitor(s)
+    watch.subscribe("events", lambda: (seen.pop(0) if len(seen) > 1 else seen[0]).count())
+    watch.check()
+    return watch.notifications.frame(s).select("id", "table_name", "change_type", "count")
+
+
+@query("SELECT i AS id FROM range(1, 501) r(i)")
+def simulated_table(s, d):
+    return simulator.sample_table(s, 500).select("id")
+
+
