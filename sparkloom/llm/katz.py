@@ -100,7 +100,7 @@ def _owner(keys: np.ndarray, owners: int) -> np.ndarray:
 
 def _mix(h: np.ndarray, w: np.ndarray | int = 0) -> np.ndarray:
     """One 64-bit key for a context and a word, by their numbers."""
-    x = h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (np.asarray(w).astype(np.uint64) + np.uint64(0xBF58476D1CE4E5B9)) * np.uint64(0x94D049BB133111EB)
+    x = h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (np.atleast_1d(w).astype(np.uint64) + np.uint64(0xBF58476D1CE4E5B9)) * np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     return x ^ x >> np.uint64(32)
@@ -367,6 +367,18 @@ def _gather(model: Words):
     return gather
 
 
+def _by_owner(work):
+    """A function of one owner's rows as one of a partition's batches. Owners are dealt one to a partition, unsorted."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = [b for b in batches if len(b)]
+        if got:
+            for _, own in pd.concat(got, ignore_index=True).sort_values(["owner", "chunk"], kind="stable").groupby("owner"):
+                yield work(own.reset_index(drop=True))
+
+    return run
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2) -> DataFrame:
     """Score every whole text by a Katz model of the rows whose id's crc32, by ``modulus``, doesn't leave ``held``.
 
@@ -378,21 +390,27 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = dict(docs.dtypes)[id_col]
     owners = partitions(docs.sparkSession)
     rows = rows_of(docs, id=id_col, text=text_col, held=in_fold(F.col(f"`{id_col}`"), modulus, held))
-    made = rows.mapInPandas(_chunks(even_keys(docs.sparkSession, owners)), f"part long, chunk string, ids array<{kind}>, words binary, body binary")
+    keys = even_keys(docs.sparkSession, owners)
+    place = F.when(F.col("owner") < 0, -1 - F.col("owner")).otherwise(F.col("owner"))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(owners, F.element_at(F.lit(keys), place + 1).cast("long"))
+
+    made = rows.mapInPandas(_chunks(keys), f"part long, chunk string, ids array<{kind}>, words binary, body binary")
     chunks = bucketed(made, "chunks", "part", owners)
-    sent = chunks.select("part", "chunk", "words").mapInPandas(_word_blocks(owners), "owner int, part long, chunk string, block binary")
-    answers = staged(sent.groupBy("owner").applyInPandas(_count_words, "owner int, part long, chunk string, answer binary, facts array<long>"), "words")
+    sent = dealt(chunks.select("part", "chunk", "words").mapInPandas(_word_blocks(owners), "owner int, part long, chunk string, block binary"))
+    answers = staged(sent.mapInPandas(_by_owner(_count_words), "owner int, part long, chunk string, answer binary, facts array<long>"), "words")
     facts = answers.agg(*(F.coalesce(F.sum(F.col("facts")[i]), F.lit(0)) for i in range(LARGE + 3))).first()
     model = Words(int(facts[0]), int(facts[1]), [int(x) for x in facts[2:]])
     train_docs = rows.where("not held").count()
     back = answers.groupBy("part").agg(F.collect_list(F.struct("chunk", "owner", "answer")).alias("answers")).hint("shuffle_hash")
     told = chunks.select("part", "chunk", "words", "body").join(back, "part").withColumn("answers", F.filter("answers", lambda a: a["chunk"] == F.col("chunk")))
-    pairs = told.select("chunk", "words", "body", "answers").mapInPandas(_pair_blocks(owners, model, train_docs), "owner int, chunk string, block binary").repartition(owners, "owner")
-    found = pairs.groupBy("owner").applyInPandas(_statistics(model), "h long, all boolean, facts array<double>")
+    pairs = dealt(told.select("chunk", "words", "body", "answers").mapInPandas(_pair_blocks(owners, model, train_docs), "owner int, chunk string, block binary"))
+    found = pairs.mapInPandas(_by_owner(_statistics(model)), "h long, all boolean, facts array<double>")
     added = found.groupBy("all", "h").agg(F.array(*(F.sum(F.col("facts")[i]) for i in range(LARGE + 2))).alias("facts"))
     # at most HOT + 1 rows: the counts of counts, and the contexts that are a HOT-th of all tokens
     known = added.agg(F.collect_list(F.struct("h", "all", "facts")).alias("k")).select(F.col("k.h").alias("names"), F.col("k.all").alias("every"), F.flatten("k.facts").alias("facts"))
-    scored = pairs.join(F.broadcast(known)).groupBy("owner").applyInPandas(_score(model), "chunk string, owner int, block binary")
+    scored = pairs.join(F.broadcast(known)).mapInPandas(_by_owner(_score(model)), "chunk string, owner int, block binary")
     ids = chunks.select("chunk", "ids")
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     out = ids.groupBy("chunk").cogroup(scored.groupBy("chunk")).applyInPandas(_gather(model), schema)
