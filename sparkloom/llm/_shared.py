@@ -156,6 +156,14 @@ class RowStore:
         return kept.select(*(F.col(p) for p in self.plain)).toDF(*self.columns)
 
 
+def release_memory() -> None:
+    """Give what a Python worker has freed back to the system; a worker lives on after its largest piece of work."""
+    import ctypes
+
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def bitmaps(rows: np.ndarray) -> tuple[list[int], list[bytes]]:
     """Row ids as a bitmap for each writing task; bit i of a task's bitmap stands for its row i."""
     tasks, maps = [], []

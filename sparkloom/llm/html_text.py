@@ -41,12 +41,12 @@ LABELLED = (
     '<body><div id="cookie-notice" class="cookie notice banner"><p>We use cookies to make this site better. Accept all of them.</p></div><div class="breadcrumb breadcrumbs"><a href="/">Start</a></div><div class="content post-content">[[<h1>On walking</h1><p>Walking is <em>easy</em> and needs no tools at all.</p><p>It helps you think.</p><pre>left right</pre>]]</div><div class="related related-posts"><h4>More</h4><a href="/1">On running</a></div><div class="share social"><a href="/s">Share this</a></div><div class="newsletter subscribe"><form><p>Get letters from us every week</p></form></div></body>',
     '<body><div role="banner" class="header top topbar"><a href="/">Shop</a></div><div role="navigation" class="navbar nav navigation"><ul><li><a href="/p">Parts</a></li></ul></div><div class="alert warning notice"><p>Our office is closed on Monday for a day</p></div><main role="main">[[<h1>Engine parts</h1><table><tr><th>Part</th><td>A <i>valve</i> lets air in and out.</td></tr></table><p>Every <strong>engine</strong> has valves, and they wear out in time.</p>]]</main><div role="complementary" class="widget sidebar"><p>Follow us for more</p></div><div class="advert advertisement ads promo sponsored"><p>The best oil for your engine is here</p></div><div role="contentinfo" class="footer bottom copyright legal disclaimer"><p>Terms of use</p></div></body>',
     '<body><div class="popup modal overlay consent gdpr"><p>Please agree to our terms before you read on here</p></div><article class="story">[[<h1>The old bridge</h1><p>It was built of <span>stone</span> long ago.</p><ol><li>First came the piers.</li></ol><h3>Later</h3><p>Then it was mended twice.</p>]]</article><div class="pagination pager"><a href="/2">Next</a></div><div class="tags meta byline"><a href="/t">bridges</a></div><div id="disqus" class="replies responses reviews feedback"><ul><li>I have seen it, very fine</li><li>So have I</li></ul></div><form class="search login signup"><fieldset><legend>Sign in</legend></fieldset></form></body>',
-    '<body><menu class="menu"><li><a href="/">Home</a></li></menu><dialog class="notice"><p>A word about this site first</p></dialog><section class="site-content site-main page posts article-body">[[<h1>Tides</h1><p>The sea rises and falls twice a day.</p><dl><dt>Ebb</dt><dd>The sea falls.</dd></dl><figure><figcaption>A beach at low tide</figcaption></figure><p>Ships wait for the flood.</p>]]</section><div class="recommended trending outbrain taboola teaser"><p>You may also like these ten facts</p></div><div class="hidden skip">Skip to content</div><address>Our street 1</address></body>',
+    '<body><menu class="menu"><li><a href="/">Home</a></li></menu><dialog class="notice"><p>A word about this site first</p></dialog><section class="site-content site-main article-body">[[<h1>Tides</h1><p>The sea rises and falls twice a day.</p><dl><dt>Ebb</dt><dd>The sea falls.</dd></dl><figure><figcaption>A beach at low tide</figcaption></figure><p>Ships wait for the flood.</p>]]</section><div class="recommended trending outbrain taboola teaser"><p>You may also like these ten facts</p></div><div class="hidden skip">Skip to content</div><address>Our street 1</address></body>',
 )
 
 
 def parts(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
-    """("text", words, open features) and ("open" or "close", tag, features) in page order; raw elements are left out.
+    """("text" or "open" or "close", words or tag, features of the open elements) in page order, without raw elements.
 
     Features are the names of the open elements and, after a dot, the parts of their class, id and role.
     """
@@ -99,47 +99,56 @@ def parts(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
             if not rest.rstrip().endswith("/"):
                 stack.append((tag, own))
             context = tuple(f for _, x in stack for f in x)
-        yield "open", tag, own
+        yield "open", tag, context
 
 
 @cache
-def weights() -> tuple[dict[str, float], dict[str, float]]:
-    """(features of open elements, tags): log odds of standing in content, from the labelled pages."""
-    inside, outside, tag_in, tag_out = Counter(), Counter(), Counter(), Counter()
+def weights() -> tuple[dict[str, float], dict[str, float], frozenset[str]]:
+    """(features of open elements, tags, features that hold whole articles): log odds of content, from the labelled pages."""
+    inside, outside, tag_in, tag_out, holds = Counter(), Counter(), Counter(), Counter(), set()
     for page in LABELLED:
         own = False
         for kind, what, features in parts(page.replace("[[", "<content-start/>").replace("]]", "<content-end/>")):
             if what in ("content-start", "content-end"):
                 own = what == "content-start"
+                holds.update(f for f in features if f != "content-start")
             elif kind == "text":
                 (inside if own else outside).update(dict.fromkeys(features, len(what.split())) if what.strip() else {})
             else:
                 (tag_in if own else tag_out)[what] += 1
     odds = {f: math.log((inside[f] + 0.25) / (outside[f] + 0.25)) for f in inside | outside}
     cost = {t: -max(0.05, math.log((tag_out[t] + 0.5) / (tag_in[t] + 0.5))) for t in tag_in | tag_out}
-    return {f: w for f, w in odds.items() if f[0] == "." or f not in ("html", "body", "div", "section", "p", "ul", "li", "a", "h3", "h4")}, cost
+    return {f: w for f, w in odds.items() if f[0] == "." or f not in ("html", "body", "div", "section", "p", "ul", "li", "a", "h3", "h4")}, cost, frozenset(f for f in holds if odds.get(f, 0) > 2)
 
 
 def extract(page: str | None) -> str:
     """The article's text: blocks joined by line feeds, white space inside a block as one space."""
-    odds, cost = weights()
-    memo: dict[tuple[str, ...], float] = {}
+    odds, cost, holds = weights()
+    memo: dict[tuple[str, ...], tuple[float, bool, float]] = {}
+
+    def judged(features: tuple[str, ...]) -> tuple[float, bool, float]:
+        """(score of a word, whether it is text, factor for tags): boilerplate inside an article only drops out."""
+        held = next((i for i, f in enumerate(features) if f in holds), len(features))
+        bad = next((i for i, f in enumerate(features) if odds.get(f, 0) < -0.6), None)
+        if bad is None:
+            return 1.0, True, 1.0 if held == len(features) else 0.0
+        if held < bad:
+            return 0.0, False, 0.0
+        return max(-3.0, min(odds[f] for f in features if f in odds)), False, 1.0
+
     items: list[tuple[float, str | None]] = []  # score, and its text or None for the end of a block
     for kind, what, features in parts(page or ""):
+        if (of := memo.get(features)) is None:
+            of = memo[features] = judged(features)
+        weight, good, factor = of
         if kind == "text":
             words = what.split()
-            if not words:
-                if what:
-                    items.append((0.0, " "))
-                continue
-            w = memo.get(features)
-            if w is None:
-                seen = [odds[f] for f in features if f in odds]
-                least = min(seen, default=1.0)
-                w = memo[features] = max(-3.0, least) if least < -0.6 else 1.0
-            items.append((w * len(words), what if w > 0 else None))
+            if words:
+                items.append((weight * len(words), what if good else None))
+            elif what:
+                items.append((0.0, " "))
         else:
-            items.append((cost.get(what, -0.1), None if what not in INLINE else " " if what == "br" else ""))
+            items.append((factor * cost.get(what, -0.1), None if what not in INLINE else " " if what == "br" else ""))
     if not items:
         return ""
     run = np.concatenate([[0.0], np.cumsum([x for x, _ in items])])

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bucketed, even_keys, in_fold, partitions, rows_of, staged
+from ._shared import bucketed, even_keys, in_fold, partitions, release_memory, rows_of, staged
 
 #: Tokens in a chunk; counts above LARGE are not discounted; contexts of a HOT-th of all tokens are dealt by word.
 CHUNK, LARGE, HOT = 1_000_000, 5, 1000
@@ -90,6 +90,7 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
             if size >= CHUNK or len(lengths) >= 50_000:
                 yield flush()
                 size, ids, held, lengths, pieces, index = 0, [], [], [], [], {}
+                release_memory()
     if ids:
         yield flush()
 
@@ -186,6 +187,7 @@ def _pair_blocks(owners: int, model: Words, train_docs: int):
         for pdf in batches:
             for chunk, packed, body, answers in zip(pdf["chunk"], pdf["words"], pdf["body"], pdf["answers"], strict=True):
                 yield pd.DataFrame(of_chunk(chunk, _unpack(packed)["words"], _unpack(body), answers), columns=["owner", "chunk", "block"])
+                release_memory()
 
     def of_chunk(chunk, words, x, answers):
         # a word's number is its place with its owner; 0 is the start. Contexts and words go by the order of numbers.
@@ -375,6 +377,7 @@ def _by_owner(work):
         if got:
             for _, own in pd.concat(got, ignore_index=True).sort_values(["owner", "chunk"], kind="stable").groupby("owner"):
                 yield work(own.reset_index(drop=True))
+                release_memory()
 
     return run
 
