@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._linear import Sparse, fit_logistic, platt, sigmoid
-from ._shared import bounded, in_fold, rows_of
+from ._shared import bounded, in_fold, release_memory, rows_of
 
 #: Labelled documents that a fit reads at most (the sample's bound), by a hash of their id.
-SAMPLE = 6_000
+SAMPLE = 5_000
 #: Lengths of word beginnings that are features beside whole words.
 STEMS = (3, 4, 5)
 FEATURES, LEXICONS = 6000, 24
@@ -140,7 +140,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     seen = rows.select("toxic", "text").mapInPandas(_collected, "toxic int, k1 string, k2 string, names string, hashes binary").limit(2 * sample).toPandas()
     seen = seen.sort_values(["k1", "k2", "toxic"], ascending=[True, True, False], kind="stable")
     seen = seen.iloc[first_of_copies(list(zip(seen["k1"], seen["k2"], strict=True)))]  # copies of a text would pass for evidence
-    return fit_rows(list(seen["names"]), list(seen["hashes"]), seen["toxic"].to_numpy(np.int64))
+    model = fit_rows(list(seen["names"]), list(seen["hashes"]), seen["toxic"].to_numpy(np.int64))
+    del seen
+    release_memory()
+    return model
 
 
 def _likelihood_ratio(hits: np.ndarray, both: np.ndarray, pos: int, n: int) -> np.ndarray:
