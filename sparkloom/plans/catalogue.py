@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.coerce import steady
+from ..functions import display
+from ..functions.coerce import epoch_ms, equal_width_bin, is_date, num, safe_percent, size_band, steady
 from ..operators import information, mining, missing, multivariate, preview, profile, sampling, series, stats, text
 from ..operators.filters import Filter, apply_filters
 from ..operators.ordering import with_row_index
+from ..sources import databases, workspace
+from ..sources.scratch import scratch_path
 from ..streaming import monitor, simulator
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -527,3 +531,157 @@ def simulated_table(s, d):
     return simulator.sample_table(s, 500).select("id")
 
 
+# Values and labels.
+_PRICE = "o_totalprice * 1e6 / 7.123457e0"
+_TRIMMED = "regexp_replace({}, '\\.?0+$', '')"
+_EXP = "regexp_replace(printf('%.{}e', {}), 'e([+-])0(\\d)$', 'e\\1\\2')"
+
+
+@query(f"""
+WITH x AS (SELECT o_orderkey AS id, unnest([{_PRICE}, o_totalprice / 7.123457e0, floor(o_totalprice), o_totalprice / 7.123457e7, o_totalprice / 7.123457e11, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderkey / 7.0e2 END]) AS v, unnest(range(6)) AS form FROM orders)
+SELECT id, form, CASE WHEN v IS NULL THEN 'N/A' WHEN v >= 1e9 THEN {_EXP.format(2, 'v')} WHEN v > 0 AND v < 0.001 THEN {_EXP.format(3, 'v')}
+  WHEN v = floor(v) THEN format('{{:,}}', CAST(v AS BIGINT)) WHEN v >= 1000 THEN {_TRIMMED.format("format('{:,.2f}', v)")}
+  WHEN v >= 0.01 THEN {_TRIMMED.format("printf('%.4f', v)")} ELSE {_TRIMMED.format("printf('%.6f', v)")} END AS label FROM x""")
+def number_labels(s, d):
+    p, k = F.col("o_totalprice"), F.col("o_orderkey")
+    values = F.array(p * 1e6 / 7.123457, p / 7.123457, F.floor(p).cast("double"), p / 7.123457e7, p / 7.123457e11, F.when(k % 9 != 0, k / 7.0e2))
+    x = table(s, d, "orders").select(k.alias("id"), F.posexplode(values).alias("form", "v"))
+    return x.select("id", F.col("form").cast("long").alias("form"), display.number_label(F.col("v")).alias("label"))
+
+
+@query(r"""
+WITH x AS (SELECT doc_id, n_chars * CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2048 END AS b FROM documents),
+s AS (SELECT doc_id, b, CASE WHEN b >= 1073741824 THEN 3 WHEN b >= 1048576 THEN 2 WHEN b >= 1024 THEN 1 ELSE 0 END AS i FROM x)
+SELECT doc_id, CASE WHEN doc_id % 10 = 7 THEN 'サイズ不明' ELSE regexp_replace(CAST(round(b / pow(1024, i), 2) AS VARCHAR), '\.0$', '') || ' ' || ['Bytes', 'KB', 'MB', 'GB'][i + 1] END AS label FROM s""")
+def size_labels(s, d):
+    k = F.col("doc_id")
+    size = F.col("n_chars") * F.when(k % 3 == 0, 0).when(k % 3 == 1, 1).otherwise(2048)
+    return table(s, d, "documents").select("doc_id", display.bytes_label(F.when(k % 10 != 7, size)).alias("label"))
+
+
+@query("SELECT printf('%.1f', l_quantity / 7) AS label, count(*) AS count FROM lineitem GROUP BY 1")
+def fixed_decimals(s, d):
+    return table(s, d, "lineitem").groupBy(display.fixed_text(F.col("l_quantity") / 7).alias("label")).agg(F.count("*").alias("count"))
+
+
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 7 WHEN 6 THEN NULL ELSE epoch_ms(date_trunc('day', o_orderdate)) + CASE o_orderkey % 7 WHEN 1 THEN 45296000 WHEN 5 THEN 45296000 ELSE 0 END END AS ms, o_orderkey % 7 < 4 AS looks_like_date FROM orders""")
+def date_forms(s, d):
+    o, k, t = table(s, d, "orders"), F.col("o_orderkey") % 7, F.col("o_orderdate")
+    forms = ("yyyy-MM-dd", "yyyy-MM-dd'T'12:34:56", "MM/dd/yyyy", "yyyy/MM/dd", "yyyy年M月d日", "yyyy年M月d日 12時34分56秒")
+    written = F.coalesce(*(F.when(k == i, F.date_format(t, f)) for i, f in enumerate(forms)), F.lit("n/a"))
+    return o.withColumn("written", written).select("o_orderkey", epoch_ms("written").alias("ms"), is_date("written").alias("looks_like_date"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN CAST(o_orderkey AS DOUBLE) WHEN 1 THEN o_orderkey * 100.0 WHEN 2 THEN -0.5 END AS value FROM orders")
+def numbers_from_text(s, d):
+    k = F.col("o_orderkey")
+    text = F.when(k % 6 == 0, F.concat(F.lit(" "), k, F.lit(" "))).when(k % 6 == 1, F.concat(k, F.lit("e2"))).when(k % 6 == 2, "-.5").when(k % 6 == 3, F.concat(k, F.lit("px"))).when(k % 6 == 4, "1,000").otherwise("")
+    o = table(s, d, "orders").select("o_orderkey", text.alias("written"))
+    return o.select("o_orderkey", num(o, "written").alias("value"))
+
+
+@query("SELECT CASE WHEN b < 0 THEN 'negative' WHEN b = 0 THEN 'zero' WHEN b <= 10 THEN 'low' WHEN b <= 100 THEN 'medium' WHEN b <= 1000 THEN 'high' ELSE 'very_high' END AS band, count(*) AS count FROM (SELECT floor(c_acctbal) AS b FROM customer) GROUP BY 1")
+def size_bands(s, d):
+    return table(s, d, "customer").groupBy(size_band(F.floor("c_acctbal")).alias("band")).agg(F.count("*").alias("count"))
+
+
+@query("SELECT 'bin_' || CAST(least(floor((p_size - lo) / ((hi - lo) / 7)), 6) AS INTEGER) AS bin, count(*) AS count FROM part, (SELECT CAST(min(p_size) AS DOUBLE) AS lo, CAST(max(p_size) AS DOUBLE) AS hi FROM part) GROUP BY 1")
+def equal_width_bins(s, d):
+    part = table(s, d, "part").select(F.col("p_size").cast("double").alias("x"))
+    ends = part.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    binned = part.crossJoin(F.broadcast(ends)).select(F.concat(F.lit("bin_"), equal_width_bin(F.col("x"), F.col("lo"), F.col("hi"), 7)).alias("bin"))
+    return binned.groupBy("bin").agg(F.count("*").alias("count"))
+
+
+@query(f"SELECT n_name, {st('coalesce(rich * 100.0 / nullif(debt, 0), 0)')} AS pct FROM (SELECT n_name, count(*) FILTER (WHERE c_acctbal > 5000) AS rich, count(*) FILTER (WHERE c_acctbal < -900) AS debt FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1)")
+def safe_percentages(s, d):
+    n = table(s, d, "nation").join(table(s, d, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    x = n.groupBy("n_name").agg(F.count_if(F.col("c_acctbal") > 5000).alias("rich"), F.count_if(F.col("c_acctbal") < -900).alias("debt"))
+    return even(x.select("n_name", safe_percent(F.col("rich"), F.col("debt")).alias("pct")), "pct")
+
+
+# Rows without a table, text of SQL, sorting and paging.
+@query("SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) v(id, name)")
+def values_scan(s, d):
+    return s.sql("SELECT * FROM VALUES (1, 'a'), (2, 'b'), (3, NULL) AS v(id, name)")
+
+
+@query("SELECT i AS id, i * i AS square FROM range(5, 1005) r(i)")
+def range_scan(s, d):
+    return s.range(5, 1005).select("id", (F.col("id") * F.col("id")).alias("square"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%a%' AND p_brand NOT LIKE '%1%' ORDER BY p_partkey DESC LIMIT 40 OFFSET 10")
+def sql_select_page(s, d):
+    return s.sql(f"SELECT p_partkey, p_name FROM parquet.`{d}/part.parquet` WHERE p_name ILIKE '%a%' AND p_brand NOT LIKE '%1%' ORDER BY p_partkey DESC LIMIT 40 OFFSET 10")
+
+
+_SOME = "SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS balance FROM customer ORDER BY balance {}, c_custkey LIMIT 25 OFFSET 25"
+
+
+def _with_gaps(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal")).alias("balance"))
+
+
+@query(_SOME.format("DESC NULLS FIRST"))
+def result_page_descending(s, d):
+    return preview.page(preview.sort_rows(_with_gaps(s, d), "balance", True, then=["c_custkey"], nulls="result"), 2, 25)
+
+
+@query(_SOME.format("ASC NULLS LAST"))
+def result_page_ascending(s, d):
+    return preview.page(preview.sort_rows(_with_gaps(s, d), "balance", then=["c_custkey"], nulls="result"), 2, 25)
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y年%-m月%-d日') AS day FROM orders ORDER BY date_trunc('day', o_orderdate), o_orderkey LIMIT 50")
+def preview_dates_in_text(s, d):
+    o = table(s, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy年M月d日").alias("day"))
+    return preview.page(preview.sort_rows(o, "day", kind="DATE", then=["o_orderkey"]), 1, 50)
+
+
+@query(_UNIFORM.format(k="event_id", m=1500) + " SELECT event_id, row_index FROM p")
+def sample_for_time_series(s, d):
+    return sampling.sample_for("timeseries", table(s, d, "events").select("event_id"), ["event_id"])
+
+
+# Files: written, loaded by the workspace as a user would, and read back.
+def _reloaded(s: SparkSession, df: DataFrame, kind: str) -> DataFrame:
+    path = scratch_path(s, f"copy.{kind}")
+    space = workspace.Workspace(s)
+    if kind == "sqlite":
+        workspace.write(df, path.removeprefix("file:"), kind)
+        path = path.removeprefix("file:")
+    elif kind == "tsv":
+        df.write.option("header", True).option("sep", "\t").csv(path)
+    else:
+        workspace.write(df, path, kind)
+    return databases.read_table(s, path, "data") if kind == "sqlite" else space.table(space.load(path, f"copy_{uuid.uuid4().hex[:8]}", children=False)[0])
+
+
+_AS_TEXT = "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name || ', \"' || n_name || '\"' AS name, CASE WHEN n_regionkey > 0 THEN CAST(n_regionkey AS VARCHAR) END AS region FROM nation"
+
+
+def _nations(s: SparkSession, d: str) -> DataFrame:
+    name = F.col("n_name")
+    return table(s, d, "nation").select("n_nationkey", F.concat(name, F.lit(', "'), name, F.lit('"')).alias("name"), F.when(F.col("n_regionkey") > 0, F.col("n_regionkey")).alias("region"))
+
+
+@query(_AS_TEXT)
+def csv_round_trip(s, d):
+    return _reloaded(s, _nations(s, d), "csv")
+
+
+@query(_AS_TEXT.replace("', \"' || n_name || '\"'", "' it'"))
+def tsv_round_trip(s, d):
+    return _reloaded(s, _nations(s, d).withColumn("name", F.regexp_replace("name", ",.*", " it")), "tsv")
+
+
+@query("SELECT c_custkey, c_name, c_acctbal, c_custkey % 2 = 0 AS even FROM customer")
+def parquet_round_trip(s, d):
+    return _reloaded(s, table(s, d, "customer").select("c_custkey", "c_name", "c_acctbal", (F.col("c_custkey") % 2 == 0).alias("even")), "parquet")
+
+
+@query("SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END AS balance FROM customer")
+def sqlite_round_trip(s, d):
+    return _reloaded(s, table(s, d, "customer").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal")).alias("balance")), "sqlite")

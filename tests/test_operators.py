@@ -4,6 +4,7 @@ import sqlite3
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.functions.coerce import num, parse_date
 from sparkloom.operators import filters, missing, multivariate, preview, profile, sampling, series, stats, text
@@ -225,3 +226,17 @@ def test_simulator(spark):
     assert t.columns[0] == "id" and t.where("category is null or category = ''").count() > 40
     assert sorted(map(str, t.collect())) == sorted(map(str, simulator.sample_table(spark, 200, rate=50).collect()))
     assert simulator.sample_table(spark, 50, rate=0).where("score is null").count() == 0
+
+
+def test_display(spark):
+    from sparkloom.functions import display
+
+    numbers = [None, float("nan"), 0.0, 5.0, -1234567.0, 1234.5, 2.5, 0.0125, 0.005, 0.0001234, 1.5e9, 10.00001]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i int, x double").orderBy("i")
+    got = [r[0] for r in rows.select(display.number_label(F.col("x"))).collect()]
+    assert got == ["N/A", "N/A", "0", "5", "-1,234,567", "1,234.5", "2.5", "0.0125", "0.005", "1.234e-4", "1.50e+9", "10"]
+    sizes = [None, -1, 0, 1, 1023, 1024, 1536, 1048576, 5 * 2**40, 100 * 1024]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(sizes)], "i int, x bigint").orderBy("i")
+    got = rows.select(display.bytes_label(F.col("x")), display.bytes_label(F.col("x"), 0), display.memory_label(F.col("x"))).collect()
+    assert [r[0] for r in got] == ["サイズ不明", "サイズ不明", "0 Bytes", "1 Bytes", "1023 Bytes", "1 KB", "1.5 KB", "1 MB", "5 TB", "100 KB"]
+    assert got[9][1] == "100 KB" and got[8][2] == "5120.00 GB" and got[7][2] == "1.00 MB" and got[0][2] is None
