@@ -19,6 +19,11 @@ def trim_text(c: Column | str) -> Column:
     return F.regexp_replace(as_column(c), _EDGES, "")
 
 
+def has_text(c: Column | str) -> Column:
+    """Whether anything is left after trimming; null for null. Looks no further than the first such character."""
+    return as_column(c).rlike(r"(?U)[^\s\x{FEFF}]")
+
+
 def is_numeric_type(kind: T.DataType) -> bool:
     return isinstance(kind, T.NumericType)
 

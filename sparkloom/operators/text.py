@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.coerce import safe_percent, trim_text
+from ..functions.coerce import has_text, safe_percent, trim_text
 
 # Character ranges, marks and patterns.
 HIRAGANA, KATAKANA, KANJI = r"\x{3040}-\x{309F}", r"\x{30A0}-\x{30FF}", r"\x{4E00}-\x{9FAF}"
@@ -25,13 +25,19 @@ PATTERNS = {
     "alphanumeric_only": r"^[a-zA-Z0-9]+$",
 }
 CLASSES = {"hiragana": f"[{HIRAGANA}]", "katakana": f"[{KATAKANA}]", "kanji": f"[{KANJI}]", "alphanumeric": "[a-zA-Z0-9]", "punctuation": r"[\p{P}\p{S}]", "whitespace": r"(?U)\s"}
+_SENTENCE = r"[.!?。！？]+"
 _SPLIT = r"(?U)[\s.,!?;:()\[\]{}\"'。、！？；：（）「」『』]+"
 
 
+def characters_in(text: Column, kind: str) -> Column:
+    """How many characters are of a class, by what removing its runs leaves."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"{kind}+", ""))
+
+
 def detect_language(text: Column) -> Column:
     """A struct (language, confidence) by the shares of Japanese and Latin letters among characters that aren't space."""
-    size = F.length(F.regexp_replace(text, r"(?U)\s", ""))
-    ja, en = (F.coalesce(F.try_divide(F.regexp_count(text, F.lit(p)), size), F.lit(0.0)) for p in (f"[{JAPANESE}]", "[a-zA-Z]"))
+    size = F.length(text) - characters_in(text, r"(?U)\s")
+    ja, en = (F.coalesce(F.try_divide(characters_in(text, p), size), F.lit(0.0)) for p in (f"[{JAPANESE}]", "[a-zA-Z]"))
     name = F.when(size == 0, "unknown").when(ja > 0.3, "japanese").when(en > 0.7, "english").when((ja > 0.1) & (en > 0.3), "mixed").otherwise("other")
     sure = F.when(size == 0, 0.0).when(ja > 0.3, F.least(ja * 2, F.lit(1.0))).when(en > 0.7, en).when((ja > 0.1) & (en > 0.3), 0.8).otherwise(0.5)
     return F.struct(name.alias("language"), sure.cast("double").alias("confidence"))
@@ -52,11 +58,11 @@ def tokens(text: Column, segmenter: Callable[[str], list[str]] | None = None, ja
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"[.!?。！？]+"), trim_text), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, _SENTENCE), trim_text), lambda s: s != "")
 
 
 def paragraphs(text: Column) -> Column:
-    return F.filter(F.split(text, r"\n\s*\n|\r\n\s*\r\n"), lambda p: trim_text(p) != "")
+    return F.filter(F.split(text, r"\n\s*\n|\r\n\s*\r\n"), has_text)
 
 
 def readability(words_per_sentence: Column, chars_per_word: Column) -> Column:
@@ -66,9 +72,9 @@ def readability(words_per_sentence: Column, chars_per_word: Column) -> Column:
 
 def _measured(df: DataFrame, column: str, japanese: bool = False) -> DataFrame:
     t = F.col(f"`{column}`").cast("string")
-    blank = t.isNull() | (trim_text(t) == "")
+    blank = t.isNull() | ~has_text(t)
     return df.select(t.alias("t"), blank.alias("blank")).select(
-        "t", "blank", F.length("t").alias("chars"), F.size(tokens(F.col("t"), japanese=japanese)).alias("words"), F.size(sentences(F.col("t"))).alias("sentences"), F.size(paragraphs(F.col("t"))).alias("paragraphs")
+        "t", "blank", F.length("t").alias("chars"), F.size(tokens(F.col("t"), japanese=japanese)).alias("words"), F.size(F.filter(F.split("t", _SENTENCE), has_text)).alias("sentences"), F.size(paragraphs(F.col("t"))).alias("paragraphs")
     )
 
 
@@ -80,7 +86,7 @@ def text_statistics(df: DataFrame, column: str, japanese: bool = False) -> DataF
     rows = _measured(df, column, japanese)
     full = F.when(~F.col("blank"), 1)
     of = lambda c: F.when(~F.col("blank"), F.col(c))
-    aggs = [F.count("*").alias("records"), F.count_if("blank").alias("empty_records"), F.count_distinct(F.when(~F.col("blank"), F.col("t"))).alias("unique_records"), F.count(full).alias("n")]
+    aggs = [F.count("*").alias("records"), F.count_if("blank").alias("empty_records"), F.count_distinct(F.when(~F.col("blank"), F.unhex(F.sha2("t", 256)))).alias("unique_records"), F.count(full).alias("n")]
     for c in ("chars", "words", "sentences", "paragraphs"):
         aggs += [F.coalesce(F.sum(of(c)), F.lit(0)).cast("long").alias(f"total_{c}"), F.avg(of(c)).alias(f"mean_{c}")]
     for c in ("chars", "words", "sentences"):
@@ -98,12 +104,14 @@ def word_frequency(df: DataFrame, column: str, k: int = 20, japanese: bool = Fal
     """(word, count, pct): lower-case words of two letters or more; the share is of all words."""
     words = df.select(F.explode(tokens(F.lower(F.col(f"`{column}`")), japanese=japanese)).alias("word")).groupBy("word").agg(F.count("*").alias("count"))
     total = words.agg(F.sum("count").alias("n"))
-    return words.where(F.length("word") >= 2).orderBy(F.desc("count"), "word").limit(k).crossJoin(F.broadcast(total)).select("word", "count", safe_percent(F.col("count"), F.col("n")).alias("pct"))
+    # short words come last rather than being filtered first, so that both uses of the counts share one pass over the texts
+    long = F.length("word") >= 2
+    return words.orderBy(F.desc(long), F.desc("count"), "word").limit(k).where(long).crossJoin(F.broadcast(total)).select("word", "count", safe_percent(F.col("count"), F.col("n")).alias("pct"))
 
 
 def char_frequency(df: DataFrame, column: str, k: int = 20) -> DataFrame:
     """(char, count, pct) without white space, upper and lower case apart."""
-    chars = df.select(F.explode(F.split(F.regexp_replace(F.col(f"`{column}`"), r"(?U)\s", ""), "")).alias("char")).where("char <> ''").groupBy("char").agg(F.count("*").alias("count"))
+    chars = df.select(F.explode(F.split(F.regexp_replace(F.col(f"`{column}`"), r"(?U)\s+", ""), "")).alias("char")).where("char <> ''").groupBy("char").agg(F.count("*").alias("count"))
     total = chars.agg(F.sum("count").alias("n"))
     return chars.orderBy(F.desc("count"), "char").limit(k).crossJoin(F.broadcast(total)).select("char", "count", safe_percent(F.col("count"), F.col("n")).alias("pct"))
 
@@ -113,7 +121,7 @@ def text_patterns(df: DataFrame, column: str) -> DataFrame:
     t = F.col(f"`{column}`")
     hit = F.filter(F.array(*(F.when(t.rlike(p), F.lit(name)) for name, p in PATTERNS.items())), lambda x: x.isNotNull())
     rows = df.select(t.alias("t"), F.explode(hit).alias("pattern"))
-    total = df.agg(F.count_if(t.isNotNull() & (trim_text(t) != "")).alias("n"))
+    total = df.agg(F.count_if(has_text(t)).alias("n"))
     least = [F.min("t")]
     found = rows.groupBy("pattern").agg(F.count("*").alias("count"), F.array_compact(F.array(least[0], F.max("t"))).alias("examples"))
     return found.crossJoin(F.broadcast(total)).select("pattern", "count", safe_percent(F.col("count"), F.col("n")).alias("pct"), F.array_distinct("examples").alias("examples"))
