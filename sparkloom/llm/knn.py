@@ -59,8 +59,8 @@ def _limits(summary: pd.DataFrame, radii: pd.DataFrame, pivots: np.ndarray, k: i
     out = {}
     for cell, radius in zip(radii["qcell"], radii["radius"], strict=True):
         to = np.linalg.norm(pivots[summary["cell"].to_numpy(int)] - pivots[cell], axis=1)
-        bounds = np.concatenate([radius + t + np.asarray(near) for t, near in zip(to, summary["near"], strict=True)])
-        out[int(cell)] = float(np.sort(bounds)[k]) if len(bounds) > k else float("inf")  # k + 1, as a query may be its own neighbour
+        bounds = pd.Series(radius + np.repeat(to, summary["near"].map(len)) + np.concatenate([*summary["near"], []])).groupby(np.concatenate([*summary["ids"], []])).min()
+        out[int(cell)] = float(np.sort(bounds)[k]) if len(bounds) > k else float("inf")  # k + 1 ids, as none of a query's own vectors counts
     return out
 
 
@@ -147,11 +147,11 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     whole = F.transform(v, lambda x: F.least(F.greatest(F.floor(x * float(scale)), F.lit(-(2**62))), F.lit(2**62)).cast("long"))
     rows = rows.where(fine & F.col("id").isNotNull()).select("id", whole.alias("v"))
-    rows = staged(rows.withColumn("query", F.col("id") % every == 0), "vectors")
+    rows = staged(rows.dropDuplicates(["id", "v"]).withColumn("query", F.col("id") % every == 0), "vectors")
     # of one vector's copies only the first k + 1 ids can be among the k best of any query
     copies = Window.partitionBy("v").orderBy("id")
     data = rows.withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1).select("id", "v", F.lit(False).alias("query"))
-    asked = rows.where("query").dropDuplicates(["id", "v"])
+    asked = rows.where("query")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     facts = rows.agg(F.max(F.size("v")), F.max(square), F.count_if("query")).first()
     empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -164,9 +164,10 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     schema = "id long, query boolean, v array<long>, cell int, d double, qcell int, dq double"
     placed = staged(data.unionByName(asked.select("id", "v", "query")).mapInPandas(_assign(centres, width, most), schema), "placed")
     points, queries = placed.where("not query"), placed.where("query")
-    first = Window.partitionBy("cell").orderBy("d")
-    # at most k + 1 distances for each pivot
-    near = points.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).groupBy("cell").agg(F.collect_list("d").alias("near")).toPandas()
+    first = Window.partitionBy("cell").orderBy("d", "id")
+    # the least distances of at most k + 1 ids for each pivot
+    least = points.groupBy("cell", "id").agg(F.min("d").alias("d")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
+    near = least.groupBy("cell").agg(F.collect_list("d").alias("near"), F.collect_list("id").alias("ids")).toPandas()
     radii = queries.groupBy("qcell").agg(F.max("dq").alias("radius")).toPandas()
     limits = _limits(near, radii, centres, k)
     salts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))

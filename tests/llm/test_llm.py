@@ -101,6 +101,24 @@ def test_nearest_extremes(spark):
     assert {tuple(r) for r in knn.nearest(spark.createDataFrame(huge, kinds)).collect()} == brute_knn(huge)
 
 
+def test_nearest_repeats(spark):
+    kinds = "vec_id long, embedding array<float>"
+    # one id's repeats beside other ids of the same vector
+    rows = [(0, [1.0, 0.0]), *[(5, [1.0, 0.5])] * 20, *[(200, [1.0, 0.5])] * 20, *[(i, [1.0, 0.5]) for i in range(201, 215)], (7, [0.5, 0.5])]
+    assert {tuple(r) for r in knn.nearest(spark.createDataFrame(rows, kinds)).collect()} == brute_knn(list(dict.fromkeys((i, tuple(v)) for i, v in rows)))
+
+
+def test_nearest_many_vectors_of_an_id(spark):
+    kinds = "vec_id long, embedding array<float>"
+    # a query's own vectors are nearest by far, the others lie in cells beyond
+    rng = np.random.default_rng(2)
+    rows = [(100, [float(x) for x in np.float32([1, 0, 0, 0] + rng.normal(size=4) / 1000)]) for _ in range(40)]
+    rows += [(1 + i, [float(x) for x in np.float32(v / np.linalg.norm(v))]) for i, v in enumerate(rng.normal(size=(60, 4)))]
+    whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    pairs = sorted((-sum(x * y for x, y in zip(a, b)), i) for q, a in set((i, tuple(v)) for i, v in whole) if q == 100 for i, b in whole if i != 100)
+    assert sorted(tuple(r) for r in knn.nearest(spark.createDataFrame(rows, kinds)).collect()) == [(100, n + 1, i, -s) for n, (s, i) in enumerate(pairs[:10])]
+
+
 # 3 and 6: classifiers
 
 
