@@ -1,8 +1,10 @@
 """Quality by co-training.
 
 Two classifiers see different views of a document: its words, and its metadata (language, source, length, layout). In
-each round both are fitted, and each hands the unlabelled documents that it is surest of, as pseudo-labels, to the other.
-In the end both are calibrated on the labelled rows and their log odds are combined, and every document is scored.
+each round both are fitted, and each hands the documents that it is surest of, out of all without a label, as
+pseudo-labels to the other. These documents stay where they are: a round is its two classifiers and the margins from
+which on they teach, and every pass over the documents goes through the rounds again. A fit takes Newton steps on sums
+over all that has been taught. In the end both are calibrated on the labelled rows and their log odds are combined, and every document is scored.
 """
 
 from __future__ import annotations
@@ -19,12 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._linear import Sparse, fit_logistic, platt, sigmoid
-from ._shared import bounded, in_fold, missing_as_null, rows_of
+from ._shared import bounded, in_fold, missing_as_null, partitions, rows_of, staged
 
-#: Labelled and unlabelled rows that a fit reads at most, rounds, and the share of unlabelled rows handed over in each.
-LABELLED, UNLABELLED, ROUNDS, SHARE = 8000, 8000, 5, 0.05
+#: Labelled rows that a fit reads at most, rounds, and the share of unlabelled rows handed over in each.
+LABELLED, ROUNDS, SHARE = 8000, 5, 0.05
+#: What all unlabelled rows together weigh at most, as a multiple of the labelled; Newton steps of a fit at most.
+MASS, STEPS = 2.0, 8
 #: Quantile bins of a number, and buckets of a name.
 BINS, NAMES = 10, 32
+#: Numbers in the two views.
+CONTENT, METADATA = 9, 8
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -56,119 +62,229 @@ def views(text: str | None, lang: str | None, source: str | None) -> tuple[list[
     return content_view(text or ""), metadata_view(text or ""), [_name("lang", lang), NAMES + _name("source", source)]
 
 
+def _matrix(packed: pd.Series, kind: type, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), kind).reshape(len(packed), width)
+
+
+def ordered(x: np.ndarray) -> np.ndarray:
+    """Numbers as whole numbers in the same order, in steps of a 2048th of their size."""
+    bits = np.ascontiguousarray(x + 0.0, np.float32).view(np.int32)
+    return np.where(bits < 0, bits ^ 0x7FFFFFFF, bits) >> 12
+
+
+def _columns(bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each view the columns in which a row has a one."""
+    at = bins[:, : CONTENT + METADATA].astype(int)
+    content, metadata = at[:, :CONTENT] + BINS * np.arange(CONTENT), at[:, CONTENT:] + BINS * np.arange(METADATA)
+    return content, np.hstack([metadata, bins[:, CONTENT + METADATA :].astype(int) + BINS * METADATA])
+
+
+#: Columns of the views; the intercept is the last weight.
+WIDTHS = (BINS * CONTENT, BINS * METADATA + 2 * NAMES)
+
+
+def _margin(cols: np.ndarray, w: np.ndarray) -> np.ndarray:
+    out = np.full(len(cols), w[-1])
+    for j in range(cols.shape[1]):  # one by one: the same sum in every pass
+        out += w[cols[:, j]]
+    return out
+
+
 @dataclass
-class View:
-    """A logistic classifier on quantile bins of numbers and buckets of names."""
+class Teacher:
+    """A view's weights in a round; rows whose ordered margin is at most ``low`` or at least ``high`` teach the other view."""
+
+    w: np.ndarray
+    low: int = -(2**31)
+    high: int = 2**31 - 1
+
+
+def taught(cols: tuple[np.ndarray, np.ndarray], rounds: list[tuple[Teacher, Teacher]]) -> tuple[np.ndarray, np.ndarray]:
+    """What each view has been taught of unlabelled rows: 1, 0, or -1 for nothing."""
+    out = tuple(np.full(len(cols[0]), -1, np.int8) for _ in cols)
+    for teachers in rounds:
+        for i, t in enumerate(teachers):
+            m, to = ordered(_margin(cols[i], t.w)), out[1 - i]
+            free = to < 0
+            to[free & (m <= t.low)], to[free & (m >= t.high)] = 0, 1
+    return out
+
+
+def _sums(cols: np.ndarray, w: np.ndarray, target: np.ndarray, weight: float) -> np.ndarray:
+    """Slope and, below it, curvature of the logistic loss."""
+    x = np.zeros((len(cols), len(w)))
+    x[np.arange(len(x))[:, None], cols] = 1
+    x[:, -1] = 1
+    p = sigmoid(_margin(cols, w))
+    return weight * np.vstack([(p - target) @ x, (x * (p * (1 - p))[:, None]).T @ x])
+
+
+def _pool_sums(pool: DataFrame, weights: list[np.ndarray], rounds: list[tuple[Teacher, Teacher]], weight: float) -> list[np.ndarray]:
+    """_sums of each view over what it has been taught; one row for a task, and no more tasks than shuffle partitions."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, first = [np.zeros((len(w) + 1, len(w))) for w in weights], b""
+        for pdf in batches:
+            if len(pdf):
+                first = first or pdf["bins"].iloc[0]
+                cols = _columns(_matrix(pdf["bins"], np.uint8, CONTENT + METADATA + 2))
+                for i, known in enumerate(taught(cols, rounds)):
+                    own = known >= 0
+                    total[i] += _sums(cols[i][own], weights[i], known[own], weight)
+        yield pd.DataFrame({"first": [first], "content": [total[0].tobytes()], "metadata": [total[1].tobytes()]})
+
+    parts = sorted(pool.mapInPandas(add, "first binary, content binary, metadata binary").collect())
+    return [sum((np.frombuffer(p[1 + i]).reshape(len(w) + 1, len(w)) for p in parts), np.zeros((len(w) + 1, len(w)))) for i, w in enumerate(weights)]
+
+
+def _fit(pool: DataFrame, cols: tuple[np.ndarray, np.ndarray], label: np.ndarray, weights: list[np.ndarray], rounds: list[tuple[Teacher, Teacher]], weight: float) -> list[np.ndarray]:
+    for _ in range(STEPS):
+        sums = [_sums(c, w, label, 1.0) for c, w in zip(cols, weights, strict=True)]
+        if rounds:
+            sums = [a + b for a, b in zip(sums, _pool_sums(pool, weights, rounds, weight), strict=True)]
+        steps = []
+        for s, w in zip(sums, weights, strict=True):
+            hold = np.append(np.ones(len(w) - 1), 1e-6)  # all but the intercept are held to zero
+            d = np.linalg.solve(s[1:] + np.diag(hold), s[0] + hold * w)
+            steps.append(d * min(1.0, 2.0 / (abs(d).max() + 1e-12)))
+        weights = [w - d for w, d in zip(weights, steps, strict=True)]
+        if max(abs(d).max() for d in steps) < 1e-3:
+            break
+    return weights
+
+
+def _counted(rows: DataFrame, keys) -> pd.DataFrame:
+    """(which, key, n) of the numbers that ``keys`` makes of a batch, a pair of which and its ordered numbers each; few, as they are rounded."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for which, x in keys(pdf) if len(pdf) else ():
+                key, n = np.unique(x, return_counts=True)
+                yield pd.DataFrame({"which": which, "key": key, "n": n})
+
+    return rows.mapInPandas(count, "which int, key int, n long").groupBy("which", "key").agg(F.sum("n").alias("n")).toPandas().sort_values(["which", "key"])
+
+
+def _cuts(viewed: DataFrame) -> list[np.ndarray]:
+    """Quantiles of each number over all rows, by index."""
+
+    def keys(pdf: pd.DataFrame):
+        return enumerate(ordered(_matrix(pdf["numbers"], np.float32, CONTENT + METADATA)).T)
+
+    counts = _counted(viewed.select("numbers"), keys)
+    out = []
+    for i in range(CONTENT + METADATA):
+        own = counts[counts["which"] == i]
+        upto = own["n"].to_numpy().cumsum()
+        at = (np.linspace(0, 1, BINS + 1)[1:-1] * (upto[-1] - 1)).astype(int)
+        out.append(np.unique(own["key"].to_numpy()[np.searchsorted(upto, at, "right")]))
+    return out
 
-    cuts: list[np.ndarray] = field(default_factory=list)
-    w: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    b: float = 0.0
-    scale: tuple[float, float] = (1.0, 0.0)
 
-    def columns(self, numbers: np.ndarray, names: np.ndarray) -> Sparse:
-        cols = [i * BINS + np.searchsorted(c, numbers[:, i], "right") for i, c in enumerate(self.cuts)]
-        cols += [len(self.cuts) * BINS + names[:, j] for j in range(names.shape[1])]
-        at = np.stack(cols, 1)
-        rows = np.repeat(np.arange(len(at)), at.shape[1])
-        return Sparse(rows, at.ravel(), np.ones(at.size), len(at), len(self.cuts) * BINS + 2 * NAMES)
+def _surest(pool: DataFrame, weights: list[np.ndarray], rounds: list[tuple[Teacher, Teacher]], low: int, high: int) -> tuple[Teacher, Teacher]:
+    """Who teaches next: the ``low`` least and ``high`` largest margins of all rows that the other view knows nothing of, with ties."""
 
-    def fit(self, numbers: np.ndarray, names: np.ndarray, target: np.ndarray) -> None:
-        self.w, self.b = fit_logistic(self.columns(numbers, names), target, l2=1.0, steps=150)
+    def keys(pdf: pd.DataFrame):
+        cols = _columns(_matrix(pdf["bins"], np.uint8, CONTENT + METADATA + 2))
+        known = taught(cols, rounds)
+        return [(i, ordered(_margin(cols[i], w)[known[1 - i] < 0])) for i, w in enumerate(weights)]
 
-    def margin(self, numbers: np.ndarray, names: np.ndarray) -> np.ndarray:
-        return self.columns(numbers, names).dot(self.w) + self.b
+    counts = _counted(pool, keys)
+    out = []
+    for i, w in enumerate(weights):
+        own = counts[counts["which"] == i]
+        t, key, n = Teacher(w), own["key"].to_numpy(), own["n"].to_numpy()
+        if low and len(key):
+            t.low = min(-1, int(key[min(len(key) - 1, np.searchsorted(n.cumsum(), low))]))
+        if high and len(key):
+            t.high = max(1, int(key[::-1][min(len(key) - 1, np.searchsorted(n[::-1].cumsum(), high))]))
+        out.append(t)
+    return tuple(out)
 
 
 @dataclass
 class Quality:
-    views: tuple[View, View]
+    weights: list[np.ndarray] = field(default_factory=list)
+    scales: list[tuple[float, float]] = field(default_factory=list)
     mix: tuple[float, float, float] = (1.0, 1.0, 0.0)
     constant: float | None = None
 
-    def score(self, content: np.ndarray, metadata: np.ndarray, names: np.ndarray) -> np.ndarray:
-        if self.constant is not None:
-            return np.full(len(content), self.constant)
-        none = np.zeros((len(content), 0), int)
-        logits = [v.scale[0] * v.margin(x, n) + v.scale[1] for v, x, n in zip(self.views, (content, metadata), (none, names), strict=True)]
-        return sigmoid(self.mix[0] * logits[0] + self.mix[1] * logits[1] + self.mix[2])
-
-
-def co_train(content: np.ndarray, metadata: np.ndarray, names: np.ndarray, label: np.ndarray, rounds: int = ROUNDS, share: float = SHARE) -> Quality:
-    """label: 1, 0, or -1 for rows without one."""
-    known = label >= 0
-    model = Quality((View(), View()))
-    if not known.any() or len(set(label[known])) < 2:
-        model.constant = float((label[known].sum() + 1) / (known.sum() + 2))
-        return model
-    data = ((content, np.zeros((len(label), 0), int)), (metadata, names))
-    for view, (x, _) in zip(model.views, data, strict=True):
-        view.cuts = [np.unique(np.quantile(x[:, i], np.linspace(0, 1, BINS + 1)[1:-1])) for i in range(x.shape[1])]
-    taught = [label.astype(float), label.astype(float)]
-    prior = label[known].mean()
-    for _ in range(rounds):
-        news = []
-        for i, (view, (x, n)) in enumerate(zip(model.views, data, strict=True)):
-            own = taught[i] >= 0
-            view.fit(x[own], n[own], taught[i][own])
-            m = view.margin(x, n)
-            free = np.flatnonzero(taught[1 - i] < 0)
-            order = free[np.argsort(m[free], kind="stable")]
-            many = int(share * (~known).sum())
-            low, high = order[: round(many * (1 - prior))], order[len(order) - round(many * prior) :]
-            news.append((low[m[low] < 0], high[m[high] > 0]))
-        for i, (low, high) in enumerate(news):
-            taught[1 - i][low], taught[1 - i][high] = 0.0, 1.0
-    logits = []
-    for i, (view, (x, n)) in enumerate(zip(model.views, data, strict=True)):
-        own = taught[i] >= 0
-        view.fit(x[own], n[own], taught[i][own])
-        m = view.margin(x[known], n[known])
-        view.scale = platt(m, label[known].astype(float))
-        logits.append(view.scale[0] * m + view.scale[1])
-    rows = np.repeat(np.arange(known.sum()), 2)
-    both = np.stack(logits, 1)
-    w, b = fit_logistic(Sparse(rows, np.tile([0, 1], known.sum()), both.ravel(), int(known.sum()), 2), label[known].astype(float), l2=0.1, steps=300)
+    def logits(self, cols: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+        return [a * _margin(c, w) + b for c, w, (a, b) in zip(cols, self.weights, self.scales, strict=True)]
+
+    def score(self, cols: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        one, two = self.logits(cols)
+        return sigmoid(self.mix[0] * one + self.mix[1] * two + self.mix[2])
+
+
+def co_train(pool: DataFrame, unlabelled: int, bins: np.ndarray, label: np.ndarray, rounds: int = ROUNDS, share: float = SHARE) -> Quality:
+    """pool: the ``unlabelled`` rows as ``bins``; bins, label: the labelled rows."""
+    cols, prior = _columns(bins), float((label.sum() + 1) / (len(label) + 2))
+    weight = min(1.0, MASS * len(label) / max(1, unlabelled))
+    many = int(share * unlabelled)
+    weights = [np.append(np.zeros(d), np.log(prior / (1 - prior))) for d in WIDTHS]
+    done: list[tuple[Teacher, Teacher]] = []
+    for _ in range(rounds if many else 0):
+        weights = _fit(pool, cols, label, weights, done, weight)
+        done.append(_surest(pool, weights, done, round(many * (1 - prior)), round(many * prior)))
+    model = Quality(_fit(pool, cols, label, weights, done, weight))
+    model.scales = [platt(_margin(c, w), label.astype(float)) for c, w in zip(cols, model.weights, strict=True)]
+    both = np.stack(model.logits(cols), 1)
+    w, b = fit_logistic(Sparse(np.repeat(np.arange(len(label)), 2), np.tile([0, 1], len(label)), both.ravel(), len(label), 2), label.astype(float), l2=0.1, steps=300)
     model.mix = (float(w[0]), float(w[1]), float(b))
     return model
 
 
-_VIEWS = "content array<double>, metadata array<double>, names array<int>"
-
-
 def _viewed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         v = [views(t, lang, s) for t, lang, s in zip(pdf["text"], pdf["lang"], pdf["source"], strict=True)]
-        yield pd.DataFrame({"quality": pdf["quality"], "content": [x[0] for x in v], "metadata": [x[1] for x in v], "names": [x[2] for x in v]})
+        yield pd.DataFrame({"id": pdf["id"], "held_out": pdf["held_out"], "quality": pdf["quality"], "numbers": [np.array(x[0] + x[1], np.float32).tobytes() for x in v], "names": [bytes(x[2]) for x in v]})
 
 
-def _matrices(v: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return tuple(np.array([x[i] for x in v], float if i < 2 else int) for i in range(3))
+def _binned(cuts: list[np.ndarray]):
+    def binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                keys = ordered(_matrix(pdf["numbers"], np.float32, CONTENT + METADATA))
+                bins = np.stack([np.searchsorted(c, keys[:, i], "right") for i, c in enumerate(cuts)], 1).astype(np.uint8)
+                yield pd.DataFrame({"id": pdf["id"], "held_out": pdf["held_out"], "quality": pdf["quality"], "bins": [b.tobytes() + n for b, n in zip(bins, pdf["names"], strict=True)]})
+
+    return binned
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality") -> DataFrame:
     """Score every whole document: ``id_col``, ``held_out``, ``score`` from 0 to 1, ``predicted``; one row for each of ``docs``.
 
     Labels of rows whose id's crc32 is divisible by 5 are never read (``held_out``). A fit reads at most ``LABELLED``
-    labelled rows and ``UNLABELLED`` others, by a hash of their id. Null texts are empty; a null language or source is a
-    value of its own; null ids and labels teach nothing; of an id labelled twice the larger label counts. Without labels
-    of both kinds every score is the same. An empty table gives an empty result. Other columns are ignored.
+    labels, by a hash of their id, and all other documents: bins come from quantiles over all, and pseudo-labels go to
+    the surest of all, ties together. Null texts are empty; a null language or source is a value of its own; null ids and
+    labels teach nothing; of an id labelled twice the larger label counts. Without labels of both kinds every score is
+    the same. An empty table gives an empty result. Other columns are ignored.
     """
     known = rows_of(labels, lid=id_col, quality=label_col).where("lid is not null and quality is not null").groupBy("lid").agg(F.max("quality").cast("int").alias("quality"))
     known = bounded(known.where(~in_fold(F.col("lid"), 5, 0)), LABELLED, F.col("lid"))
     rows = rows_of(docs, id=id_col, text=text_col, lang=missing_as_null(docs, lang_col, "string"), source=missing_as_null(docs, source_col, "string"))
-    others = bounded(rows.where(F.col("id").isNotNull()).select(F.col("id").alias("lid")), LABELLED + UNLABELLED, F.col("lid"))
-    # both are bounded tables of pairs of numbers
-    chosen = others.select("lid", F.lit(-1).alias("quality")).union(known.select("lid", "quality")).groupBy("lid").agg(F.max("quality").alias("quality"))
-    seen = rows.join(F.broadcast(chosen), F.col("id") == F.col("lid")).select("quality", "text", "lang", "source").mapInPandas(_viewed, f"quality int, {_VIEWS}")
-    seen = seen.limit(2 * (2 * LABELLED + UNLABELLED)).toPandas()
-    model = co_train(*_matrices(list(zip(seen["content"], seen["metadata"], seen["names"], strict=True))), seen["quality"].to_numpy(int)) if len(seen) else Quality((View(), View()), constant=0.5)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                v = [views(t, lang, s) for t, lang, s in zip(pdf["text"], pdf["lang"], pdf["source"], strict=True)]
-                yield pd.DataFrame({"id": pdf["id"], "held_out": pdf["held_out"], "score": model.score(*_matrices(v))})
-
     kind = dict(docs.dtypes)[id_col]
-    scored = rows.withColumn("held_out", in_fold(F.col("id"), 5, 0)).mapInPandas(score, f"id {kind}, held_out boolean, score double")
+    # at most LABELLED pairs of numbers; -1 is without a label, -2 takes no part
+    rows = rows.join(F.broadcast(known), F.col("id") == F.col("lid"), "left").withColumn("quality", F.when(F.col("id").isNull(), -2).otherwise(F.coalesce("quality", F.lit(-1))))
+    rows = rows.withColumn("held_out", in_fold(F.col("id"), 5, 0)).drop("lid")
+    own = f"id {kind}, held_out boolean, quality int"
+    viewed = staged(rows.mapInPandas(_viewed, f"{own}, numbers binary, names binary"), "views")
+    many = {r[0]: r[1] for r in viewed.groupBy("quality").count().collect()}
+    if not (many.get(0) and many.get(1)):
+        constant = (many.get(1, 0) + 1) / (many.get(0, 0) + many.get(1, 0) + 2)
+        scored = viewed.select("id", "held_out", F.lit(constant).alias("score"))
+    else:
+        binned = staged(viewed.mapInPandas(_binned(_cuts(viewed.where("quality > -2"))), f"{own}, bins binary"), "bins")
+        # an id may have several rows, but those of the labelled ids stay bounded
+        seen = bounded(binned.where("quality >= 0").select("quality", "id", "bins"), 2 * LABELLED, F.col("id"), F.col("bins")).select("quality", "bins").toPandas()
+        pool = binned.where("quality = -1").select("bins").coalesce(partitions(docs.sparkSession))
+        model = co_train(pool, many.get(-1, 0), _matrix(seen["bins"], np.uint8, CONTENT + METADATA + 2), seen["quality"].to_numpy(int))
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    yield pd.DataFrame({"id": pdf["id"], "held_out": pdf["held_out"], "score": model.score(_columns(_matrix(pdf["bins"], np.uint8, CONTENT + METADATA + 2)))})
+
+        scored = binned.mapInPandas(score, f"id {kind}, held_out boolean, score double")
     return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

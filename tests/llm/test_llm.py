@@ -168,6 +168,38 @@ def test_quality_learns(spark):
     assert got and sum(r.predicted == r.quality for r in got) / len(got) > 0.9
 
 
+def test_quality_learns_from_all(spark):
+    rng = random.Random(4)
+    good, bad = ["fine", "words", "of", "prose"], ["junk!", "##", "buy"]
+    text = lambda i: " ".join(rng.choice(good if i % 2 else bad) for _ in range(rng.randint(5, 15)))
+    ids = [r[0] for r in spark.range(17_000).orderBy(F.xxhash64("id"), "id").collect()]
+    first = {i: text(i) for i in ids}
+    last = set(ids[16_200:])  # beyond the first 16000 by hash
+    labels = spark.createDataFrame([(i, i % 2) for i in ids[:100]], "doc_id long, quality int")
+    scores = []
+    for docs in (first, {i: f"{t}\n{t}|{t}\n" if i in last else t for i, t in first.items()}):
+        df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs.items()], DOCS)
+        scores.append({r.doc_id: r.score for r in quality.score_quality(df, labels).where(~F.col("doc_id").isin(*last)).collect()})
+    assert scores[0].keys() == scores[1].keys() and scores[0] != scores[1]
+
+
+def test_quality_cuts_and_surest(spark):
+    rng = np.random.default_rng(6)
+    x = np.float32(rng.gamma(1, 3, (500, 17)).round(1))
+    rows = spark.createDataFrame([(r.tobytes(),) for r in x], "numbers binary").repartition(3)
+    want = [np.unique(np.quantile(quality.ordered(x[:, i]), np.linspace(0, 1, 11)[1:-1], method="lower")) for i in range(17)]
+    assert all((a == b).all() for a, b in zip(quality._cuts(rows), want, strict=True))
+    bins = np.uint8(np.hstack([rng.integers(0, 10, (500, 17)), rng.integers(0, 32, (500, 1)), rng.integers(32, 64, (500, 1))]))
+    pool = spark.createDataFrame([(b.tobytes(),) for b in bins], "bins binary").repartition(3)
+    cols, weights = quality._columns(bins), [rng.normal(size=d + 1) for d in quality.WIDTHS]
+    done = [quality._surest(pool, weights, [], 20, 10)]
+    done.append(quality._surest(pool, weights, done, 20, 10))
+    for i, known in enumerate(quality.taught(cols, done)):
+        m = quality.ordered(quality._margin(cols[1 - i], weights[1 - i]))
+        order = np.argsort(m, kind="stable")
+        assert (known == np.where(m <= m[order[39]], 0, np.where(m >= m[order[-20]], 1, -1))).all()
+
+
 # 4: near duplicates
 
 
