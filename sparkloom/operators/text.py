@@ -117,14 +117,19 @@ def char_frequency(df: DataFrame, column: str, k: int = 20) -> DataFrame:
 
 
 def text_patterns(df: DataFrame, column: str) -> DataFrame:
-    """(pattern, count, pct, examples): rows that match; up to three examples; patterns without a match are left out."""
+    """(pattern, count, pct, examples): rows that match; the first three different texts in their order, if so many, as examples; patterns without a match are left out."""
     t = F.col(f"`{column}`")
     hit = F.filter(F.array(*(F.when(t.rlike(p), F.lit(name)) for name, p in PATTERNS.items())), lambda x: x.isNotNull())
     rows = df.select(t.alias("t"), F.explode(hit).alias("pattern"))
     total = df.agg(F.count_if(has_text(t)).alias("n"))
-    least = [F.min("t")]
-    found = rows.groupBy("pattern").agg(F.count("*").alias("count"), F.array_compact(F.array(least[0], F.max("t"))).alias("examples"))
-    return found.crossJoin(F.broadcast(total)).select("pattern", "count", safe_percent(F.col("count"), F.col("n")).alias("pct"), F.array_distinct("examples").alias("examples"))
+    found = rows.groupBy("pattern").agg(F.count("*").alias("count"))
+    # the next larger text that matches, three times: bounded, and not computed where examples aren't asked for
+    least = []
+    for _ in range(3):
+        later = {name: t > F.element_at(least[-1], name) if least else F.lit(True) for name in PATTERNS}
+        least.append(df.agg(F.create_map(*(x for name, p in PATTERNS.items() for x in (F.lit(name), F.min(F.when(t.rlike(p) & later[name], t)))))).scalar())
+    examples = F.array_compact(F.array(*(F.element_at(m, F.col("pattern")) for m in least)))
+    return found.crossJoin(F.broadcast(total)).select("pattern", "count", safe_percent(F.col("count"), F.col("n")).alias("pct"), examples.alias("examples"))
 
 
 def language_detection(df: DataFrame, column: str) -> DataFrame:

@@ -142,6 +142,12 @@ def test_text(spark):
     assert text.readability_report(df, "t").first().level
 
 
+def test_pattern_examples(spark):
+    rows = [("d@x.org",), ("b@x.org",), ("a@x.org",), ("a@x.org",), ("c@x.org",), ("7",), (None,), ("no match here",)]
+    got = {r.pattern: (r["count"], r.examples) for r in text.text_patterns(spark.createDataFrame(rows, "t string"), "t").collect()}
+    assert got == {"email": (5, ["a@x.org", "b@x.org", "c@x.org"]), "number_only": (1, ["7"]), "alphanumeric_only": (1, ["7"])}
+
+
 def test_csv(spark, tmp_path):
     p = tmp_path / "q.csv"
     p.write_text('name, note ,x\r\n"a ""b""","c, d",1\r\n\r\ne\r\nf,g,h,i\r\n', encoding="utf-8")
