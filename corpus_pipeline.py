@@ -1,4 +1,8 @@
-"""A corpus from raw documents to packed sequences: each stage works on what the one before it kept."""
+"""A corpus from raw documents to packed sequences: each stage works on what the one before it kept.
+
+In every stage a null text counts as an empty one, null ids and sources are values like others, repeated rows are rows,
+columns beside those of documents are kept whatever their names are, and an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -8,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import exact_dedup, mixing, packing, simhash, toxicity
-from sparkloom.llm._shared import RowStore, shared_path
+from sparkloom.llm._shared import RowStore, free_name, shared_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier, fitted on ``labels``, rejects go."""
+    """Documents that the toxicity classifier, fitted on ``labels``, rejects go; null and empty texts are scored like any other."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.with_score(docs, model, name="toxicity score").where(F.col("`toxicity score`") < 0.5).drop("toxicity score")
+    name = free_name(docs, "toxicity")
+    return toxicity.with_score(docs, model, name=name).where(F.col(name) < 0.5).drop(name)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,12 +28,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays, the first row of it."""
+    """One document of each group of linked fingerprints stays: the smallest doc_id (null last), then the first row of it."""
     store = RowStore(docs)
-    text = store.names["text"]
+    text, doc_id = store.names["text"], store.names["doc_id"]
     groups = simhash.simhash_groups(store.rows.select("row", text), "row", text)
-    first = groups.where(F.col("row") == F.col("component_id")).select("row")
-    return store.select(first.join(store.rows.select("row", "part"), "row"))
+    of = groups.select("row", "component_id").join(store.rows.select("row", "part", F.col(doc_id).alias("id")), "row")
+    first = of.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "part")).alias("x"))
+    return store.select(first.select("x.row", "x.part"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,10 +16,10 @@ class Sparse:
         self.row, self.col, self.value, self.rows, self.cols = row, col, value, rows, cols
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.value * w[self.col], self.rows)
+        return np.bincount(self.row, self.value * w[self.col], self.rows).astype(float)
 
     def tdot(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, self.value * r[self.row], self.cols)
+        return np.bincount(self.col, self.value * r[self.row], self.cols).astype(float)
 
 
 def fit_logistic(x: Sparse, target: np.ndarray, weight: np.ndarray | None = None, l2: float = 1.0, steps: int = 200) -> tuple[np.ndarray, float]:

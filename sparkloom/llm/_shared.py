@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _written: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, on a local master only, a folder of our own where that is unset."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = tempfile.mkdtemp(prefix="sparkloom-")
         spark.sparkContext.setCheckpointDir(there)
     return there.rstrip("/")
@@ -60,6 +63,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def drop_staged() -> None:
     """Remove every table that this driver has staged. Results that still read them must have been written before."""
+    while _tables:
+        spark, table = _tables.pop()
+        with contextlib.suppress(Exception):  # the session has ended, and its catalog with it
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
     while _written:
         spark, path = _written.pop()
         try:
@@ -87,6 +94,13 @@ def rows_of(df: DataFrame, **columns: Column | str) -> DataFrame:
     return df.select(*((F.col(f"`{c}`") if isinstance(c, str) else c).alias(k) for k, c in columns.items()))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column of ``df`` is called so."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def missing_as_null(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(f"`{name}`") if name in df.columns else F.lit(None).cast(kind)
 
@@ -117,6 +131,7 @@ def bucketed(df: DataFrame, name: str, by: str, n: int) -> DataFrame:
     table = f"{name}_{uuid.uuid4().hex}"
     with text_batches(df.sparkSession):
         df.write.bucketBy(n, by).option("path", shared_path(df.sparkSession, name)).saveAsTable(table)
+    _tables.append((df.sparkSession, table))
     return df.sparkSession.table(table)
 
 

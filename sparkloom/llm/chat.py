@@ -35,7 +35,8 @@ def final_messages(log: DataFrame, conv_col: str = "conv_id", seq_col: str = "se
     """Fold an event log into messages: (conv, message, role, text), one row for each message that is left.
 
     Columns of the log that are missing count as null; a null or unknown kind is a message. Events of equal sequence
-    number go by role and text. Null texts are empty; the role is that of the last event that set the message and has one.
+    number go by role and text. Null texts are empty. A message keeps the role that the last message, edit or regenerate
+    event with a role gave it, whatever came before or after without one; else a delta's; else it is empty.
     """
     kind = F.lower(F.coalesce(missing_as_null(log, kind_col, "string"), F.lit("message")))
     seq = missing_as_null(log, seq_col, "long") if seq_col in log.columns else F.col(f"`{message_col}`")
@@ -45,9 +46,13 @@ def final_messages(log: DataFrame, conv_col: str = "conv_id", seq_col: str = "se
     # the last event that set the message; the last regeneration of a message before it
     rows = rows.withColumn("set_at", F.max(F.when(F.col("kind") != "delta", F.col("seq"))).over(own))
     rows = rows.withColumn("redone", F.max(F.when(F.col("kind") == "regenerate", F.struct("seq", "message"))).over(earlier))
+    # the role outlives an edit or regeneration without one: the last that a setting event gave, else the first of any
+    setter = (F.col("kind") != "delta") & F.col("role").isNotNull()
+    ranked = lambda c: F.when(c, F.struct("seq", "role"))
+    rows = rows.withColumn("known", F.coalesce(F.max(ranked(setter)).over(own)["role"], F.min(ranked(F.col("role").isNotNull())).over(own)["role"], F.lit("")))
     alive = (F.col("set_at").isNull() | (F.col("seq") >= F.col("set_at")) | F.col("seq").isNull()) & (F.col("redone").isNull() | (F.col("redone.message") == F.col("message")) | (F.col("seq") > F.col("redone.seq")))
     event = F.struct("seq", (F.col("kind") == "delta").alias("later"), "role", "text")
-    return rows.where(alive).groupBy("conv", "message").agg(F.array_sort(F.collect_list(event)).alias("events"))
+    return rows.where(alive).groupBy("conv", "message").agg(F.array_sort(F.collect_list(event)).alias("events"), F.first("known").alias("role"))
 
 
 def _rendered(messages: DataFrame) -> DataFrame:
@@ -84,8 +89,7 @@ def format_chats(log: DataFrame, conv_col: str = "conv_id", **columns: str) -> D
     stream = columns.get("kind_col", "kind") in log.columns
     if stream:
         joined = F.array_join(F.transform("events", lambda e: e["text"]), "")
-        role = F.element_at(F.filter(F.transform("events", lambda e: e["role"]), lambda r: r.isNotNull()), 1)
-        messages = folded.select("conv", "message", F.when(F.size(F.filter(F.transform("events", lambda e: e["role"]), lambda r: r.isNotNull())) > 0, role).otherwise("").alias("role"), joined.alias("text"))
+        messages = folded.select("conv", "message", "role", joined.alias("text"))
     else:  # no deltas: every event is a turn of its own
         messages = folded.select("conv", "message", F.explode("events").alias("e")).select("conv", "message", F.coalesce("e.role", F.lit("")).alias("role"), "e.text")
     return _rendered(messages).select(F.col("conv").alias(conv_col), "formatted", F.col("spans").alias("loss_spans"))

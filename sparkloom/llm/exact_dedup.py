@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from ._shared import RowStore, bitmaps, partitions, rows_of, staged
 
 
+#: Groups of at least this share of the suspects are answered by broadcast.
+HUGE = 1000
+
+
 def rice_encode(values: np.ndarray) -> tuple[int, bytes, bytes]:
     """Ascending distinct uint64 as (width, unary quotients, remainders) of their gaps."""
     gaps = np.diff(values, prepend=np.uint64(0))
@@ -113,8 +117,14 @@ def _decide(docs: DataFrame, id_col: str, text_col: str) -> tuple[RowStore, Data
     best = doubles.groupBy("sha").agg(F.max(F.struct(F.col("id"), (-F.col("row")).alias("r"))).alias("best"))
     groups = staged(verified.join(best, "sha").select("sha", "size", F.col("best.id").alias("keep_id"), (-F.col("best.r")).alias("keep_row")), "groups")
     alone = narrow.where("not flag").select("row", "part", "id", "sha", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("size"), F.lit(True).alias("kept"))
-    many = doubles.join(groups, "sha").select("row", "part", "id", "sha", "keep_id", "size", (F.col("row") == F.col("keep_row")).alias("kept"))
-    return store, alone.unionByName(many)
+    # groups of over a HUGE-th of all suspects, so fewer than HUGE of them, go to every task; no group of rows meets at one key
+    total = groups.agg(F.sum("size")).first()[0] or 0
+    huge = groups.where(F.col("size") > total / HUGE).toDF("sha", *(f"huge_{c}" for c in groups.columns[1:]))
+    told = doubles.join(F.broadcast(huge), "sha", "left")
+    own = ("row", "part", "id", "sha")
+    of_huge = told.where("huge_size is not null").select(*own, F.col("huge_keep_id").alias("keep_id"), F.col("huge_size").alias("size"), (F.col("row") == F.col("huge_keep_row")).alias("kept"))
+    rest = told.where("huge_size is null").select(*own).join(groups, "sha").select(*own, "keep_id", "size", (F.col("row") == F.col("keep_row")).alias("kept"))
+    return store, alone.unionByName(of_huge).unionByName(rest)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,10 +1,12 @@
 """Exact top-k search by a Voronoi join.
 
 Vectors become whole numbers. Adding one coordinate, the root of what a vector's square norm lacks of the largest, turns
-the largest inner product into the least distance. Pivots cut space into cells. Queries and data go to their nearest
-pivot; a cell is summed up by its count, its radius and its smallest distances. From these alone follows, for every cell
-of queries, a distance within which k neighbours lie of each of its queries. A data vector is sent to a cell of queries
-only if it can be that near. Cells are solved in blocks, with numpy, and the blocks' best are merged.
+the largest inner product into the least distance. Pivots, more of them the more vectors there are, cut space into
+cells. Queries and data go to their nearest pivot; a cell is summed up by its count, its radius and its smallest
+distances. From these alone follows, for every cell of queries, a distance within which k neighbours lie of each of its
+queries. Neighbouring cells of queries form groups of bounded size, and a data vector is sent, once, to each group with
+a cell that it can be that near to. A group's data is dealt over several keys. Groups are solved in blocks, with numpy,
+and the blocks' best are merged.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ from pyspark.sql import functions as F
 
 from ._shared import bounded, rows_of, staged
 
-#: Pivots (a bound, not a share: they are sent to every task), and vectors in a block.
-PIVOTS, BLOCK = 64, 4096
+#: Pivots at least and at most (they are sent to every task), vectors in a block, keys that a group's data is dealt over.
+PIVOTS, MOST_PIVOTS, BLOCK, SALTS = 64, 1024, 2048, 16
+#: Queries in a group of cells, about, and in a block.
+GROUP, QUERY_BLOCK = 4096, 512
 
 
 def _points(vectors: pd.Series, width: int) -> np.ndarray:
@@ -29,6 +33,13 @@ def _points(vectors: pd.Series, width: int) -> np.ndarray:
     return out
 
 
+def _whole(vectors: pd.Series, width: int) -> np.ndarray:
+    out = np.zeros((len(vectors), width), np.int64)
+    for i, v in enumerate(vectors):
+        out[i, : len(v)] = v
+    return out
+
+
 def _lift(x: np.ndarray, square: float) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(0, square - (x**2).sum(1)))[:, None]])
 
@@ -64,9 +75,27 @@ def _limits(summary: pd.DataFrame, radii: pd.DataFrame, pivots: np.ndarray, k: i
     return out
 
 
-def _send(pivots: np.ndarray, width: int, square: float, radii: dict[int, float], limits: dict[int, float], salts: int):
+def _groups(centres: np.ndarray, counts: dict[int, int], most: int) -> dict[int, int]:
+    """A group for each cell of queries: from the cell farthest out, its nearest free neighbours until ``most`` queries are in."""
+    free, out, group = dict(sorted(counts.items())), {}, 0
+    middle = centres[list(free)].mean(0) if free else None
+    while free:
+        cells = np.array(list(free))
+        seed = cells[np.argmax(np.linalg.norm(centres[cells] - middle, axis=1))]
+        size = 0
+        for c in cells[np.argsort(np.linalg.norm(centres[cells] - centres[seed], axis=1), kind="stable")]:
+            if size and size + free[c] > most:
+                break
+            out[int(c)] = group
+            size += free.pop(c)
+        group += 1
+    return out
+
+
+def _send(pivots: np.ndarray, width: int, square: float, radii: dict[int, float], limits: dict[int, float], groups: dict[int, int]):
     cells = np.array(sorted(radii), int)
     reach = np.array([radii[c] + limits[c] for c in cells])
+    of = np.array([groups[int(c)] for c in cells], int)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -74,15 +103,15 @@ def _send(pivots: np.ndarray, width: int, square: float, radii: dict[int, float]
                 continue
             x = _points(pdf["v"], width)
             d = _distances(_lift(x, square), pivots)[:, cells]
-            slack = 1e-6 * (1 + reach + d)
-            near = d <= reach + slack
+            near = d <= reach + 1e-6 * (1 + reach + d)
             ids = pdf["id"].to_numpy(np.int64)
-            exact = np.stack([np.pad(np.asarray(v, np.int64), (0, width - len(v))) for v in pdf["v"]]) if width else np.zeros((len(pdf), 0), np.int64)
-            for j, c in enumerate(cells):
-                own = np.flatnonzero(near[:, j])
+            exact = _whole(pdf["v"], width)
+            salt = int(ids[0]) % SALTS
+            for g in np.unique(of):
+                own = np.flatnonzero(near[:, of == g].any(1))
                 for i in range(0, len(own), BLOCK):
                     s = own[i : i + BLOCK]
-                    yield pd.DataFrame({"qcell": [int(c)], "salt": [int(ids[s[0]]) % salts], "ids": [ids[s].tobytes()], "vectors": [exact[s].tobytes()]})
+                    yield pd.DataFrame({"group": [int(g)], "salt": [(salt + i // BLOCK) % SALTS], "ids": [ids[s].tobytes()], "vectors": [exact[s].tobytes()]})
 
     return send
 
@@ -124,16 +153,14 @@ def _solve(width: int, k: int):
 
 def _query_blocks(width: int):
     def blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["id"].to_numpy(np.int64)
-        exact = np.stack([np.pad(np.asarray(v, np.int64), (0, width - len(v))) for v in pdf["v"]])
-        cut = range(0, len(ids), BLOCK // 8)
-        s = [slice(i, i + BLOCK // 8) for i in cut]
-        return pd.DataFrame({"qcell": int(pdf["qcell"].iloc[0]), "qids": [ids[i].tobytes() for i in s], "queries": [exact[i].tobytes() for i in s]})
+        ids, exact = pdf["id"].to_numpy(np.int64), _whole(pdf["v"], width)
+        s = [slice(i, i + QUERY_BLOCK) for i in range(0, len(ids), QUERY_BLOCK)]
+        return pd.DataFrame({"group": int(pdf["group"].iloc[0]), "qids": [ids[i].tobytes() for i in s], "queries": [exact[i].tobytes() for i in s]})
 
     return blocks
 
 
-def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, every: int = 100, scale: int = 1024, pivots: int = PIVOTS) -> DataFrame:
+def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, every: int = 100, scale: int = 1024, pivots: int | None = None) -> DataFrame:
     """The ``k`` largest inner products for each query: (query_id, rank, vec_id, score), exact.
 
     Components are floor(scale * x) of x as double. Queries are the rows whose id ``every`` divides; candidates are all
@@ -150,33 +177,37 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     rows = staged(rows.dropDuplicates(["id", "v"]).withColumn("query", F.col("id") % every == 0), "vectors")
     # of one vector's copies only the first k + 1 ids can be among the k best of any query
     copies = Window.partitionBy("v").orderBy("id")
-    data = rows.withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1).select("id", "v", F.lit(False).alias("query"))
+    numbered = rows.withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1)
+    data = staged(numbered.select("id", "v", F.lit(False).alias("query"), (F.col("n") == 1).alias("first")), "points")
     asked = rows.where("query")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    facts = rows.agg(F.max(F.size("v")), F.max(square), F.count_if("query")).first()
+    facts = rows.agg(F.max(F.size("v")), F.max(square), F.count_if("query"), F.count("*")).first()
     empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if facts[0] is None or not facts[2]:
         return empty
     width, most = int(facts[0]), float(facts[1])
-    # a bounded choice of vectors as pivots; any choice gives the same result
-    chosen = np.unique(_points(pd.Series([r.v for r in bounded(rows.select("v"), pivots, F.col("v")).collect()]), width), axis=0)
+    many = pivots or min(MOST_PIVOTS, max(PIVOTS, int(facts[3] ** 0.5) // 4))
+    # a bounded choice of different vectors as pivots; any choice gives the same result
+    chosen = np.unique(_points(pd.Series([r.v for r in bounded(data.where("first").select("v"), many, F.col("v")).collect()]), width), axis=0)
     centres = _lift(chosen, most)
     schema = "id long, query boolean, v array<long>, cell int, d double, qcell int, dq double"
-    placed = staged(data.unionByName(asked.select("id", "v", "query")).mapInPandas(_assign(centres, width, most), schema), "placed")
+    placed = staged(data.drop("first").unionByName(asked.select("id", "v", "query")).mapInPandas(_assign(centres, width, most), schema), "placed")
     points, queries = placed.where("not query"), placed.where("query")
     first = Window.partitionBy("cell").orderBy("d", "id")
     # the least distances of at most k + 1 ids for each pivot
     least = points.groupBy("cell", "id").agg(F.min("d").alias("d")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
     near = least.groupBy("cell").agg(F.collect_list("d").alias("near"), F.collect_list("id").alias("ids")).toPandas()
-    radii = queries.groupBy("qcell").agg(F.max("dq").alias("radius")).toPandas()
+    radii = queries.groupBy("qcell").agg(F.max("dq").alias("radius"), F.count("*").alias("n")).toPandas()
     limits = _limits(near, radii, centres, k)
-    salts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    send = _send(centres, width, most, dict(zip(radii["qcell"].astype(int), radii["radius"], strict=True)), limits, salts)
-    sent = points.select("id", "v").mapInPandas(send, "qcell int, salt int, ids binary, vectors binary")
-    # a cell of very many queries is dealt over several groups
-    group = F.pmod(F.xxhash64("id"), F.lit(1 + int(facts[2]) // (8 * BLOCK)))
-    blocks = queries.withColumn("group", group).groupBy("qcell", "group").applyInPandas(_query_blocks(width), "qcell int, qids binary, queries binary")
-    pairs = sent.join(blocks, "qcell").select("qids", "queries", "ids", "vectors")
+    groups = _groups(centres, dict(zip(radii["qcell"].astype(int), radii["n"].astype(int), strict=True)), GROUP)
+    send = _send(centres, width, most, dict(zip(radii["qcell"].astype(int), radii["radius"], strict=True)), limits, groups)
+    sent = points.select("id", "v").mapInPandas(send, "group int, salt int, ids binary, vectors binary")
+    # a group's queries go to each key of its data, and a cell of very many queries is cut into blocks in several tasks
+    of = F.element_at(F.lit([groups.get(c, 0) for c in range(len(centres))]), F.col("qcell") + 1).cast("int")
+    deal = F.pmod(F.xxhash64("id"), F.lit(1 + int(facts[2]) // (8 * GROUP)))
+    blocks = queries.withColumns({"group": of, "deal": deal}).groupBy("group", "deal").applyInPandas(_query_blocks(width), "group int, qids binary, queries binary")
+    blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = sent.join(blocks, ["group", "salt"]).select("qids", "queries", "ids", "vectors")
     best = pairs.mapInPandas(_solve(width, k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,8 +1,9 @@
 """Best-fit packing of documents into sequences of fixed length, under conflicts.
 
-Rows are dealt evenly over shards of bounded size. In a shard, bins stand in the order of their residual room. A piece
-looks up the tightest bin that has room and goes on to the next tightest until one is compatible: bins carry bitmaps of
-the sources and duplicate clusters that they hold.
+Rows are dealt evenly over shards of bounded size, by row and not by content, so that copies don't meet in one shard. In
+a shard, bins stand in the order of their residual room. A piece looks up the tightest bin that has room and goes on to
+the next tightest until one is compatible: bins carry bitmaps of the sources and duplicate clusters that they hold, and
+bins of equal room and bitmaps are one entry, so a large cluster's many bins are passed in one step.
 """
 
 from __future__ import annotations
@@ -26,44 +27,39 @@ def best_fit(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capac
     """
     n = len(sizes)
     where, start = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    at_room: list[list[int]] = [[] for _ in range(capacity + 1)]  # bins by residual room
+    # bins by residual room, and there by their two bitmaps: bins that refuse the same pieces are looked at once
+    at_room: list[dict[tuple[int, int], list[int]]] = [{} for _ in range(capacity + 1)]
     rooms = 0  # bit r is set if a bin has room r
-    dups: list[int] = []
-    full: list[int] = []
     held: list[dict[int, int]] = []
     for i in np.lexsort((np.arange(n), -sizes)).tolist():
         size, source, cluster = int(sizes[i]), int(sources[i]), int(clusters[i])
         bit, its = (1 << cluster if cluster >= 0 else 0), 1 << source
-        found, room = -1, size
-        rest = rooms >> size
-        while rest:
+        found, room, rest = None, size, rooms >> size
+        while rest and found is None:
             step = (rest & -rest).bit_length() - 1
             room += step
-            for b in at_room[room]:
-                if not (dups[b] & bit or full[b] & its):
-                    found = b
-                    break
-            if found >= 0:
-                break
-            rest >>= step + 1
-            room += 1
-        if found < 0:
-            found, room = len(dups), capacity
-            dups.append(0)
-            full.append(0)
+            found = next((k for k in at_room[room] if not (k[0] & bit or k[1] & its)), None)
+            if found is None:
+                rest >>= step + 1
+                room += 1
+        if found is None:
+            dups, full, b, room = 0, 0, len(held), capacity
             held.append({})
         else:
-            at_room[room].remove(found)
-            if not at_room[room]:
-                rooms &= ~(1 << room)
-        where[i], start[i] = found, capacity - room
-        dups[found] |= bit
-        held[found][source] = count = held[found].get(source, 0) + 1
+            dups, full = found
+            alike = at_room[room][found]
+            b = alike.pop()
+            if not alike:
+                del at_room[room][found]
+                if not at_room[room]:
+                    rooms &= ~(1 << room)
+        where[i], start[i] = b, capacity - room
+        held[b][source] = count = held[b].get(source, 0) + 1
         if count >= per_source:
-            full[found] |= its
-        at_room[room - size].append(found)
+            full |= its
+        at_room[room - size].setdefault((dups | bit, full), []).append(b)
         rooms |= 1 << (room - size)
-    return where, start, len(dups)
+    return where, start, len(held)
 
 
 def _pack(capacity: int, per_source: int):
@@ -99,7 +95,7 @@ def pack_documents(
     whole = F.floor(F.col("words") / capacity).cast("long")
     total = rows.where(F.col("words") % capacity > 0).count()
     shards = max(1, -(-total // shard))
-    h = F.xxhash64("id", "cluster")
+    h = F.xxhash64("row")
     rest = rows.where(F.col("words") % capacity > 0).select("id", "row", whole.alias("piece"), (F.col("words") % capacity).alias("size"), "source", "cluster", h.alias("h"), F.pmod(h, F.lit(shards)).alias("shard"))
     packed = rest.groupBy("shard").applyInPandas(_pack(capacity, per_source), f"id {kind}, row long, piece long, size long, shard long, bin long, start long")
     packed = packed.select("id", "piece", F.col("size").alias("n_words"), F.concat_ws("-", F.lit("s"), "shard", "bin").alias("bin_id"), F.col("start").alias("bin_start"))

@@ -53,12 +53,24 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(extra)))
 
 
+def chat_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations told as a log: texts stream in, every third turn is edited, and every fourth turn the one before it is redone."""
+    turn, text = F.col("turn"), F.coalesce("text", F.lit(""))
+    none = F.lit(None).cast("string")
+    event = lambda at, message, kind, role, body: F.struct((turn * 5 + at).alias("seq"), message.alias("turn"), F.lit(kind).alias("kind"), role.alias("role"), body.alias("text"))
+    told = F.array(event(0, turn, "message", F.col("role"), F.substring(text, 1, 5)), event(1, turn, "delta", none, F.expr("substring(coalesce(text, ''), 6)")))
+    edited = F.when(turn % 3 == 1, F.array(event(2, turn, "edit", none, F.concat(F.lit("edited "), turn.cast("string"))))).otherwise(F.array())
+    redone = F.when(turn % 4 == 3, F.array(event(3, turn - 1, "regenerate", none, F.lit("")), event(4, turn - 1, "delta", none, F.lit("redone")))).otherwise(F.array())
+    log = table(spark, sf_dir, "conversations").select("conv_id", F.inline(F.concat(told, edited, redone)))
+    return chat.digests(chat.format_chats(log)).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_text, op2_voronoi_knn, op3_toxicity, op4_simhash, op5_exact_dedup, op6_quality, op7_mixing, op8_katz, op9_chat, op10_packing)
+    f.__name__: f for f in (op1_html_text, op2_voronoi_knn, op3_toxicity, op4_simhash, op5_exact_dedup, op6_quality, op7_mixing, op8_katz, op9_chat, chat_event_log, op10_packing)
 }
 
 ORACLE_SQL = {
@@ -91,5 +103,18 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length('<|im_start|>') + length(role) + 1 + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id
+""",
+    "chat_event_log": """
+WITH c AS (
+  SELECT conv_id, turn, role, CASE
+    WHEN turn % 4 = 2 AND EXISTS (SELECT 1 FROM conversations n WHERE n.conv_id = c.conv_id AND n.turn = c.turn + 1) THEN 'redone'
+    WHEN turn % 3 = 1 THEN 'edited ' || turn ELSE coalesce(text, '') END AS text
+  FROM conversations c WHERE turn % 4 <> 3
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256
+FROM c GROUP BY conv_id
 """,
 }

@@ -23,8 +23,8 @@ SHINGLE = 3
 WORDS = (21, 21, 22)
 #: Fingerprints in a block, and rows of a block compared at once.
 BLOCK, STRIP = 8192, 32
-#: Keys that a node's links are spread over.
-SALTS = 4
+#: Keys that a node's links are spread over, and at most those that the comparisons of a pair of tiles are spread over.
+SALTS, SPREAD = 4, 16
 
 
 def fingerprint(text: str | None) -> int:
@@ -132,7 +132,8 @@ def near_links(fps: DataFrame, radius: int) -> DataFrame:
     for width in WORDS[:2]:
         parts.append(F.bit_count(F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1))).cast("int"))
         at += width
-    salt = F.pmod(F.xxhash64("fp"), F.lit(1 + fps.count() // (400 * BLOCK))).cast("int")  # a tile of very many is gathered in parts
+    many = fps.count()
+    salt = F.pmod(F.xxhash64("fp"), F.lit(1 + many // (40 * BLOCK))).cast("int")  # a tile of very many is gathered in parts
     tiles = fps.select("fp", parts[0].alias("x"), parts[1].alias("y"), salt.alias("salt"))
     blocks = staged(tiles.groupBy("x", "y", "salt").applyInPandas(_blocks, "x int, y int, name string, fps binary"), "blocks")
     ball = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if abs(i) + abs(j) <= radius and (i, j) >= (0, 0)]
@@ -140,7 +141,11 @@ def near_links(fps: DataFrame, radius: int) -> DataFrame:
     out = blocks.select("name", "fps", "x", "y", offset.alias("o")).select(
         F.col("name").alias("name1"), "fps", (F.col("x") + F.col("o.i")).alias("x"), (F.col("y") + F.col("o.j")).alias("y"), (F.abs("o.i") + F.abs("o.j")).alias("near")
     )
-    pairs = out.join(blocks.withColumnRenamed("fps", "fps2"), ["x", "y"]).where("near > 0 or name1 <= name")
+    # the middle tiles hold the most: what is compared there is dealt over several keys, to each of which the other side goes
+    spread = min(SPREAD, 1 + many // (4 * BLOCK))
+    out = out.withColumn("deal", F.pmod(F.xxhash64("name1"), F.lit(spread)).cast("int"))
+    other = blocks.select("x", "y", "name", F.col("fps").alias("fps2"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("deal"))
+    pairs = out.join(other, ["x", "y", "deal"]).where("near > 0 or name1 <= name")
     return pairs.select("fps", "fps2", "near").mapInPandas(_compare(radius), "a long, b long")
 
 
