@@ -1,9 +1,16 @@
 """Toxicity by weak supervision.
 
-Voters are lexicons and patterns: each votes toxic, votes clean, or abstains on a document. A generative label model
-estimates by expectation maximisation how often each votes and how accurate it is, measures which voters repeat each
-other beyond what the hidden label explains, and counts such voters for less. A linear classifier over words and word
-beginnings is trained on the posterior labels and scores every document.
+Voters are lexicons and patterns: each votes toxic or clean on a document, or abstains. The labelled sample is cut into
+folds, and a lexicon that votes in one fold was found in the others, so that no row's label decides how it is voted on.
+Lexicons are told apart by what they hold (words, or beginnings of words) and by how sure that was where it was found;
+a word of a text speaks through the surest feature of its own alone. Patterns look at how a text is written. A generative
+label model, fitted on the votes by expectation maximisation, estimates how often each voter votes and errs given the
+label, and which voters depend on each other beyond it: those are joined in a tree, in which a vote depends on the label
+and on the parent's vote. The label is hidden but in some of the folds, which hold the model to what is meant by toxic
+(left alone, it would find the language or the junk instead). A linear classifier over words and beginnings of words is
+trained on the posterior labels, calibrated, and scores every document.
+
+Features are counted on the executors; only the kept ones, and where the sample has them, reach the driver.
 """
 
 from __future__ import annotations
@@ -14,32 +21,80 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._linear import Sparse, fit_logistic, platt, sigmoid
-from ._shared import bounded, in_fold, release_memory, rows_of
+from ._shared import bounded, in_fold, partitions, release_memory, rows_of, staged
 
 #: Labelled documents that a fit reads at most (the sample's bound), by a hash of their id.
-SAMPLE = 5_000
+SAMPLE = 12_000
 #: Lengths of word beginnings that are features beside whole words.
 STEMS = (3, 4, 5)
-FEATURES, LEXICONS = 6000, 24
-#: Weight of the voters' measured accuracies in the label model, as a share of the rows.
-ANCHOR = 0.5
+#: Features that a model has at most.
+FEATURES = 6000
+#: Lower ends of the shares of one label by which lexicons are told apart, and the least root of a G statistic in them.
+SURE, STRONG = (0.9, 0.75, 0.6, 0.4), 3.5
+#: Rows of the usual share of labels that a feature's own are taken together with: what few rows have is never sure.
+DOUBT = 5.0
+#: Parts of the sample: lexicons that vote in one come from all others.
+FOLDS = 5
+#: Conditional mutual information, in nats, from which on two voters are joined; what a voter's table is smoothed by.
+JOINED, SMOOTH = 0.01, 0.5
+#: Folds whose labels the label model sees; in all others the label is hidden from it.
+SEEN = 3
 
 _TOKEN = re.compile(r"[^\W\d_]+")
+#: How toxic words are written to pass filters: with digits and signs for letters, letter by letter, or masked.
+_ODD, _MAYBE_ODD = re.compile(r"(?:[^\W\d_]+[013457@$]+)+[^\W\d_]*"), re.compile(r"[^\W\d_][013457@$]")
+_SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .\-]){3,}[^\W\d_](?!\w)")
+_LOOKALIKE = str.maketrans("013457@$", "oieastas")
+PATTERNS = {
+    "masked": re.compile(r"[^\W\d_][*#@$%]{2,}[^\W\d_]"),
+    "spaced": _SPACED,
+    "lookalike": re.compile(r"(?<!\w)(?=\w*[^\W\d_])(?=\w*[013457])\w{4,}(?!\w)"),
+    "shouted": re.compile(r"(?:(?<!\w)[A-Z]{3,}[^\w]+){3,}"),
+    "marks": re.compile(r"[!?]{2,}"),
+    "stretched": re.compile(r"([^\W\d_])\1{3,}"),
+    "repeated": re.compile(r"(?<!\w)([^\W\d_]{4,})(?:\W+\1(?!\w)){2,}", re.I),
+    "address": re.compile(r"(?<!\w)you(?:'re| are| all)?\W+(?:\w+\W+){0,3}[^\W\d_]+[.!]*\s*$", re.I | re.M),
+}
 
 
 def text_features(text: str | None) -> set[str]:
-    """Distinct words of a text, in lower case, and the beginnings of words, which end in a hyphen."""
-    words = set(_TOKEN.findall((text or "").lower()))
+    """Distinct words of a text, in lower case, also with disguises taken off, and the beginnings of words, which end in a hyphen."""
+    text = (text or "").lower()
+    words = set(_TOKEN.findall(text))
+    if _MAYBE_ODD.search(text):
+        words.update(w for odd in _ODD.findall(text) if (w := odd.translate(_LOOKALIKE)).isalpha())
+    words.update("".join(filter(str.isalpha, run)) for run in _SPACED.findall(text))
     out = set(words)
     for n in STEMS:
         out.update(w[:n] + "-" for w in words if len(w) > n)
     return out
 
 
+def features_of_words(names: list[str], place: dict[str, int]) -> list[int]:
+    """For each word among ``names`` the places of the word and of its beginnings, -1 for what isn't known; words of which nothing is are left out."""
+    out = []
+    for w in names:
+        if not w.endswith("-"):
+            own = [place.get(w, -1), *(place.get(w[:n] + "-", -1) if len(w) > n else -1 for n in STEMS)]
+            if max(own) >= 0:
+                out += own
+    return out
+
+
+def feature_kind(name: str) -> int:
+    """0 for a word, else the length of a beginning."""
+    return len(name) - 1 if name.endswith("-") else 0
+
+
+def pattern_votes(text: str | None) -> int:
+    """Bit i is set if the text matches pattern i."""
+    return sum(1 << i for i, p in enumerate(PATTERNS.values()) if p.search(text or ""))
+
+
 @dataclass
 class Toxicity:
     weights: dict[str, float] = field(default_factory=dict)
@@ -64,160 +119,208 @@ def sketch(text: str | None) -> tuple[int, int]:
     words = (text or "").split()
     runs = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
     h = np.fromiter((xxhash.xxh64_intdigest(r) for r in runs), np.uint64, len(runs))
-    return int(h.min()), int((h * np.uint64(0x9E3779B97F4A7C15)).min())
-
-
-def hashes(names: list[str]) -> np.ndarray:
-    """32 bits for each feature; the driver counts these rather than text."""
-    import xxhash
-
-    return np.fromiter((xxhash.xxh32_intdigest(x) for x in names), np.uint32, len(names))
+    return int(h.view(np.int64).min()), int((h * np.uint64(0x9E3779B97F4A7C15)).view(np.int64).min())
 
 
 def _collected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         keys = [sketch(t) for t in pdf["text"]]
-        names = [sorted(text_features(t)) for t in pdf["text"]]
-        yield pd.DataFrame({"toxic": pdf["toxic"], "k1": [str(k) for k, _ in keys], "k2": [str(k) for _, k in keys], "names": ["\n".join(x) for x in names], "hashes": [hashes(x).tobytes() for x in names]})
+        yield pd.DataFrame({"toxic": pdf["toxic"], "k1": [k for k, _ in keys], "k2": [k for _, k in keys], "patterns": [pattern_votes(t) for t in pdf["text"]], "names": [sorted(text_features(t)) for t in pdf["text"]]})
 
 
-def first_of_copies(keys: list[tuple]) -> list[int]:
-    """Places of the rows that share neither sketch with an earlier row."""
-    seen: tuple[set, set] = (set(), set())
-    out = []
-    for i, (a, b) in enumerate(keys):
-        if a not in seen[0] and b not in seen[1]:
-            out.append(i)
-        seen[0].add(a)
-        seen[1].add(b)
-    return out
+# The label model. Votes are 1 (toxic), 0 (clean) and -1 (none); in tables they stand in the order toxic, clean, none.
 
 
-def label_model(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior, accuracies, correlations) from votes 1 (toxic), 0 (clean), -1 (none); start: first accuracies.
-
-    Given the label, voters are independent but for the correlations, which are those of the voters' errors under the
-    posterior; a voter's log odds are divided by one plus the correlations with the others.
+def _joint(votes: np.ndarray, post: np.ndarray) -> np.ndarray:
+    """Expected counts of pairs of votes given each label: label x voter x vote x voter x vote."""
+    n, k = votes.shape
+    one = (np.where(votes == 1, 0, np.where(votes == 0, 1, 2))[:, :, None] == np.arange(3)).reshape(n, 3 * k).astype(float)
+    return np.stack([(one * p[:, None]).T @ one for p in (1 - post, post)]).reshape(2, k, 3, k, 3)
+
+
+def _parents(joint: np.ndarray, least: float) -> np.ndarray:
+    """Each voter's parent, -1 for none: a forest of the pairs that depend on each other most, given the label."""
+    k = joint.shape[1]
+    share = joint / max(1.0, joint[:, 0, :, 0, :].sum())
+    own = np.einsum("yjaja->yja", share)
+    label = own[:, 0].sum(-1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = share * label[:, None, None, None, None] / (own[:, :, :, None, None] * own[:, None, None, :, :])
+        info = np.where(share > 0, share * np.log(ratio), 0.0).sum((0, 2, 4))
+    parent, done = np.full(k, -1), np.zeros(k, bool)
+    best, frm = np.zeros(k), np.full(k, -1)
+    for _ in range(k):  # the voter that depends most on one already in the forest comes next
+        j = int(np.argmax(np.where(done, -1.0, best)))
+        parent[j] = frm[j] if best[j] > least else -1
+        done[j] = True
+        closer = info[j] > best
+        best, frm = np.where(closer, info[j], best), np.where(closer, j, frm)
+    return parent
+
+
+def _tables(joint: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """log P(vote | label, parent's vote): label x voter x parent's vote x vote; without a parent all its rows are the same."""
+    own = np.einsum("yjaja->yja", joint) + SMOOTH
+    alone = own / own.sum(-1, keepdims=True)
+    out = np.repeat(alone[:, :, None, :], 3, 2)
+    for j, p in enumerate(parent):
+        if p >= 0:
+            counts = joint[:, p, :, j, :] + 4 * SMOOTH * alone[:, None, j, :]
+            out[:, j] = counts / counts.sum(-1, keepdims=True)
+    return np.log(out)
+
+
+def label_model(votes: np.ndarray, prior: float, start: np.ndarray, known: np.ndarray | None = None, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior, accuracies, correlations of errors) from votes; start: how often each voter is thought to be right at first; known: labels, -1 where hidden.
+
+    What depends strongly is joined at once; half way, when the posterior has formed, the forest is found anew.
     """
     n, k = votes.shape
-    cast, pro = votes >= 0, votes == 1
-    sign = np.sign(pro.sum(0) - (votes == 0).sum(0))
-    # chance of voting toxic, clean or nothing, given label 0 and given label 1
-    tables = []
-    for y, share in ((0, 1 - prior), (1, prior)):
-        of = [np.where(sign > 0, start if y else 1 - start, 1 - start) * pro.mean(0) / share, np.where(sign < 0, 1 - start if y else start, 1 - start) * (votes == 0).mean(0) / share]
-        of = np.clip(np.stack(of), 1e-4, 0.98)
-        tables.append(np.vstack([of, np.maximum(0.01, 1 - of.sum(0))]))
-    tables = np.stack(tables)
-    anchor = tables.copy()  # what the labelled rows say of each voter counts as a part of the rows
     which = np.where(votes == 1, 0, np.where(votes == 0, 1, 2))
-    shrink, post = np.ones(k), np.full(n, prior)
-    for _ in range(rounds):
-        odds = np.log(tables[1] / tables[0])  # 3 x voters
-        margin = np.log(prior / (1 - prior)) + (np.take_along_axis(odds, which, 0) * shrink).sum(1)
-        new = sigmoid(margin)
-        done, post = np.abs(new - post).max(initial=0) < 1e-6, new
-        for y, p in ((1, post), (0, 1 - post)):
-            counts = np.stack([((which == v) * p[:, None]).sum(0) for v in range(3)]) + 0.5 + ANCHOR * n * (prior if y else 1 - prior) * anchor[y]
-            tables[y] = counts / counts.sum(0)
-        expected = post[:, None] * tables[1][0] + (1 - post[:, None]) * tables[0][0]
-        rest = pro - expected
-        rest = rest / (np.sqrt((rest**2).mean(0)) + 1e-9)
-        corr = rest.T @ rest / max(1, n)
-        shrink = 1 / (1 + np.clip(corr - np.eye(k), 0.05, None).sum(1) - 0.05 * k)
-        if done:
+    cast = np.stack([(votes == 1).mean(0), (votes == 0).mean(0)], 1)
+    first = np.empty((2, k, 3))
+    for y, share in ((0, 1 - prior), (1, prior)):
+        right = np.stack([start if y else 1 - start, 1 - start if y else start], 1)  # of votes for toxic, for clean
+        first[y, :, :2] = np.clip(right * cast / share, 1e-4, 0.98)
+        first[y, :, 2] = np.maximum(0.01, 1 - first[y, :, :2].sum(1))
+    first /= first.sum(-1, keepdims=True)
+    known = np.full(n, -1) if known is None else known
+    tables, parent, post = np.log(np.repeat(first[:, :, None, :], 3, 2)), np.full(k, -1), np.full(n, prior)
+    for turn in range(rounds):
+        above = np.where(parent >= 0, which[:, parent], 0)
+        at = [tables[y][np.arange(k), above, which].sum(1) for y in (0, 1)]
+        new = np.where(known >= 0, known, sigmoid(np.log(prior / (1 - prior)) + at[1] - at[0]))
+        settled, post = np.abs(new - post).max(initial=0) < 1e-6, new
+        joint = _joint(votes, post)
+        if turn in (0, rounds // 2):
+            parent, settled = _parents(joint, JOINED * (1 if turn else 10)), False
+        tables = _tables(joint, parent)
+        if settled and turn > rounds // 2:
             break
-    accuracy = np.where(sign > 0, (pro * post[:, None]).sum(0) / np.maximum(pro.sum(0), 1), ((votes == 0) * (1 - post[:, None])).sum(0) / np.maximum((votes == 0).sum(0), 1))
-    return post, accuracy, corr
+    own = np.einsum("yjaja->yja", _joint(votes, post))
+    accuracy = (own[1, :, 0] + own[0, :, 1]) / np.maximum(own[:, :, :2].sum((0, 2)), 1e-9)
+    chance = own / np.maximum(own.sum(-1, keepdims=True), 1e-9)
+    rest = (votes == 1) - (post[:, None] * chance[1, :, 0] + (1 - post[:, None]) * chance[0, :, 0])
+    rest = rest / (np.sqrt((rest**2).mean(0)) + 1e-9)
+    return post, accuracy, rest.T @ rest / max(1, n)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Toxicity:
-    """Learn from at most ``sample`` labelled rows whose crc32 of the id as text leaves a remainder by 5."""
-    known = rows_of(labels, lid=id_col, toxic=label_col).where("lid is not null and toxic is not null").groupBy("lid").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = bounded(known.where(~in_fold(F.col("lid"), 5, 0)), sample, F.col("lid"))
-    # at most ``sample`` pairs of numbers: their size is proven
-    rows = rows_of(docs, id=id_col, text=text_col).join(F.broadcast(known), F.col("id") == F.col("lid")).select("toxic", "text", "id")
-    seen = rows.select("toxic", "text").mapInPandas(_collected, "toxic int, k1 string, k2 string, names string, hashes binary").limit(2 * sample).toPandas()
-    seen = seen.sort_values(["k1", "k2", "toxic"], ascending=[True, True, False], kind="stable")
-    seen = seen.iloc[first_of_copies(list(zip(seen["k1"], seen["k2"], strict=True)))]  # copies of a text would pass for evidence
-    model = fit_rows(list(seen["names"]), list(seen["hashes"]), seen["toxic"].to_numpy(np.int64))
-    del seen
-    release_memory()
-    return model
+def _strength(hits: Column, both: Column, pos: Column, n: Column) -> Column:
+    """Root of the G statistic of a feature against the label, negative where it goes with label 0."""
+    part = lambda a, e: a * F.ln(F.greatest(a, F.lit(1e-12)) / F.greatest(e, F.lit(1e-12)))
+    g = part(hits, both * pos / n) + part(both - hits, both * (n - pos) / n) + part(pos - hits, (n - both) * pos / n) + part(n - pos - both + hits, (n - both) * (n - pos) / n)
+    return F.sqrt(F.greatest(F.lit(0.0), 2 * g)) * F.when(hits * n >= both * pos, 1).otherwise(-1)
 
 
-def _likelihood_ratio(hits: np.ndarray, both: np.ndarray, pos: int, n: int) -> np.ndarray:
-    """Root of the G statistic of each feature against the label."""
-    cells = [(hits, both * pos / n), (both - hits, both * (n - pos) / n), (pos - hits, (n - both) * pos / n), (n - pos - both + hits, (n - both) * (n - pos) / n)]
-    return np.sqrt(np.maximum(0, 2 * sum(a * np.log(np.maximum(a, 1e-12) / np.maximum(e, 1e-12)) for a, e in cells)))
+def _first_of_copies(seen: DataFrame) -> DataFrame:
+    """Rows that share neither sketch with an earlier row: copies of a text would pass for evidence."""
+    order = (F.col("k1"), F.col("k2"), F.desc("toxic"))
+    one, two = (F.row_number().over(Window.partitionBy(k).orderBy(*order)) for k in ("k1", "k2"))
+    return seen.withColumns({"n1": one, "n2": two}).where("n1 = 1 and n2 = 1").drop("n1", "n2")
 
 
-def fit_rows(texts: list[str], packed: list[bytes], toxic: np.ndarray) -> Toxicity:
-    """texts: each row's features, by line; packed: their hashes in the same order."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Toxicity:
+    """Learn from at most ``sample`` labelled ids whose crc32 as text leaves a remainder by 5, and as many different texts of theirs."""
+    known = rows_of(labels, lid=id_col, toxic=label_col).where("lid is not null and toxic is not null").groupBy("lid").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = bounded(known.where(~in_fold(F.col("lid"), 5, 0)), sample, F.col("lid"))
+    # at most ``sample`` pairs of numbers: their size is proven
+    rows = rows_of(docs, id=id_col, text=text_col).join(F.broadcast(known), F.col("id") == F.col("lid")).select("toxic", "text").repartition(partitions(docs.sparkSession))
+    seen = staged(rows.mapInPandas(_collected, "toxic int, k1 long, k2 long, patterns long, names array<string>"), "features")
+    fold = F.pmod(F.xxhash64("k1", "k2"), F.lit(FOLDS)).cast("int")
+    seen = staged(bounded(_first_of_copies(seen), sample, F.col("k1"), F.col("k2")).withColumn("fold", fold), "sample")
+    sizes = {(r.fold, r.toxic): r["count"] for r in seen.groupBy("fold", "toxic").count().collect()}
+    n, pos = sum(sizes.values()), sum(v for (_, y), v in sizes.items() if y == 1)
     model = Toxicity()
-    n, pos = len(packed), int(toxic.sum())
     if not pos or pos == n:
         model.intercept = float(np.log((pos + 0.5) / (n - pos + 0.5))) if n else -3.0
         return model
-    row = np.repeat(np.arange(n, dtype=np.int32), [len(x) // 4 for x in packed])
-    names, col = np.unique(np.frombuffer(b"".join(packed), np.uint32), return_inverse=True)
-    both = np.bincount(col, minlength=len(names))
-    often = both >= 3  # what fewer rows have is no evidence
-    place = np.cumsum(often) - 1
-    own = often[col]
-    row, col, names, both = row[own], place[col[own]], names[often], both[often].astype(float)
-    hits = np.bincount(col, toxic[row], len(names))
-    lift = np.log((hits + 0.2) / (pos + 0.4)) - np.log((both - hits + 0.2) / (n - pos + 0.4))
-    z = np.sign(lift) * _likelihood_ratio(hits, both, pos, n)
-    # voters: lexicons of the features that tell most, dealt in turn, and patterns that vote clean
-    strong = np.flatnonzero((z > 4.5) & (lift > 2.5) & (both >= 5))
-    strong = strong[np.lexsort((names[strong], -z[strong]))]
-    deck = np.full(len(names), -1)
-    deck[strong] = np.arange(len(strong)) % LEXICONS
-    votes = np.full((n, LEXICONS + 2), -1)
-    inside = deck[col] >= 0
-    votes[row[inside], deck[col[inside]]] = 1
-    found = np.bincount(row[inside], minlength=n)
-    votes[found == 0, LEXICONS] = 0  # no lexicon has anything
-    mild = np.bincount(row, ((z[col] > 1.5) & (lift[col] > 0.7)).astype(float), n) / np.maximum(1, np.bincount(row, minlength=n))
-    votes[mild <= np.quantile(mild[toxic == 0], 0.5), LEXICONS + 1] = 0  # hardly a suspect word for its length
-    start = np.full(votes.shape[1], 0.9)
-    for j in range(votes.shape[1]):
-        cast = votes[:, j] >= 0
-        right = (votes[cast, j] == toxic[cast]).sum()
-        start[j] = np.clip((right + 1) / (cast.sum() + 2), 0.55, 0.99)
-    post, model.accuracies, model.correlations = label_model(votes, pos / n, start)
-    keep = np.flatnonzero((np.abs(z) > 3.5) & (both >= 4))
-    keep = keep[np.argsort(-np.abs(z[keep]), kind="stable")][:FEATURES]
-    place = np.full(len(names), -1)
-    place[keep] = np.arange(len(keep))
-    own = place[col] >= 0
-    x = Sparse(row[own], place[col[own]], np.ones(own.sum()), n, len(keep))
-    w, b = fit_logistic(x, post, l2=0.1, steps=600)
-    value = dict(zip(names[keep].tolist(), w.tolist(), strict=True))
-    kept = np.sort(names[keep])
-    for text, own in zip(texts, packed, strict=True):
-        h = np.frombuffer(own, np.uint32)
-        found = np.flatnonzero(np.isin(h, kept))
-        if len(found):
-            words = text.split("\n")
-            model.weights |= {words[i]: value[int(h[i])] for i in found}
-    model.intercept, model.scale = float(b), platt(x.dot(w) + b, toxic.astype(float))
+    kept = _kept(seen, sizes).toPandas().sort_values("name").reset_index(drop=True)
+    place = {name: i for i, name in enumerate(kept["name"])}
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"toxic": pdf["toxic"], "fold": pdf["fold"], "patterns": pdf["patterns"], "k1": pdf["k1"], "k2": pdf["k2"], "at": [features_of_words(names, place) for names in pdf["names"]]})
+
+    # at most ``sample`` rows of numbers, a few for each word that the model knows
+    got = seen.mapInPandas(found, "toxic int, fold int, patterns long, k1 long, k2 long, at array<int>").toPandas().sort_values(["k1", "k2"])
+    model = fit_rows(kept, [np.asarray(a, np.int64) for a in got["at"]], got["fold"].to_numpy(), got["patterns"].to_numpy(np.int64), got["toxic"].to_numpy(float))
+    release_memory()
     return model
 
 
+def _kept(seen: DataFrame, sizes: dict[tuple[int, int], int]) -> DataFrame:
+    """(name, z, share, z0, share0, ...): at most FEATURES features and their strength in all rows and outside of each fold, from counts made on the executors."""
+    keys = [(f, y) for f in range(FOLDS) for y in (0, 1)]
+    counts = seen.select("fold", "toxic", F.explode("names").alias("name")).groupBy("name").agg(*(F.count_if((F.col("fold") == f) & (F.col("toxic") == y)).cast("double").alias(f"c{f}{y}") for f, y in keys))
+    out = {}
+    for out_of in (None, *range(FOLDS)):
+        hits, clean = (sum((F.col(f"c{f}{y}") for f in range(FOLDS) if f != out_of), F.lit(0.0)) for y in (1, 0))
+        pos, neg = (float(sum(sizes.get((f, y), 0) for f in range(FOLDS) if f != out_of)) for y in (1, 0))
+        name = "" if out_of is None else str(out_of)
+        out[f"z{name}"] = _strength(hits, hits + clean, F.lit(pos), F.lit(pos + neg)) if pos and neg else F.lit(0.0)
+        out[f"share{name}"] = (hits + DOUBT * pos / max(1.0, pos + neg)) / (hits + clean + DOUBT)
+    often = sum((F.col(f"c{f}{y}") for f, y in keys), F.lit(0.0)) >= 3  # what fewer rows have is no evidence
+    scored = counts.where(often).select("name", *(x.alias(k) for k, x in out.items()))
+    return scored.where(F.greatest(*(F.abs(k) for k in out if k[0] == "z")) > STRONG).orderBy(F.desc(F.abs("z")), "name").limit(FEATURES)
+
+
+def lexicons(kept: pd.DataFrame, fold: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each feature the lexicon, by label, kind and sureness outside of ``fold``, that it is in, -1 for none; and how sure it is."""
+    z, share = kept[f"z{fold}"].to_numpy(), kept[f"share{fold}"].to_numpy()
+    kinds = (0, *STEMS)
+    kind = np.array([kinds.index(feature_kind(x)) for x in kept["name"]], int)
+    sure = np.where(z > 0, share, 1 - share)
+    tier = np.searchsorted(-np.array(SURE), -sure)
+    # what goes with label 0 is only said to if no toxic text has it
+    fit = (np.abs(z) >= STRONG) & (tier < len(SURE)) & ((z > 0) | (sure > 0.99))
+    return np.where(fit, (kind * len(SURE) + tier) * (z > 0) + (len(kinds) * len(SURE) + kind) * (z < 0), -1), np.where(fit, sure, 0)
+
+
+def cast_votes(kept: pd.DataFrame, at: list[np.ndarray], fold: np.ndarray, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows x voters: lexicons of toxic features, of clean ones, patterns; and the share of right votes that each promises. A row meets lexicons of other folds."""
+    toxic, clean = (1 + len(STEMS)) * len(SURE), 1 + len(STEMS)
+    votes, start = np.full((len(at), toxic + clean + len(PATTERNS)), -1), np.full(toxic + clean + len(PATTERNS), 0.5)
+    decks = [lexicons(kept, f) for f in range(FOLDS)]
+    promised = np.zeros((2, toxic + clean))
+    for i, own in enumerate(at):
+        deck, sure = decks[fold[i]]
+        words = own.reshape(-1, 1 + len(STEMS))
+        best = words[np.arange(len(words)), np.where(words >= 0, sure[words], -1).argmax(1)]
+        hit = np.unique(deck[best], return_index=True)
+        for v, j in zip(*hit, strict=True):
+            if v >= 0:
+                votes[i, v] = int(v < toxic)
+                promised[:, v] += 1, sure[best[j]]
+    start[: toxic + clean] = np.clip((promised[1] + 1) / (promised[0] + 2), 0.5, 0.99)
+    for j in range(len(PATTERNS)):  # of which nothing is known beforehand
+        votes[patterns >> j & 1 == 1, toxic + clean + j] = 1
+    return votes, start
+
+
+def fit_rows(kept: pd.DataFrame, at: list[np.ndarray], fold: np.ndarray, patterns: np.ndarray, toxic: np.ndarray) -> Toxicity:
+    """kept: the features; at: those of each row's words, as of ``features_of_words``."""
+    votes, start = cast_votes(kept, at, fold, patterns)
+    post, accuracies, correlations = label_model(votes, float(np.clip(toxic.mean(), 0.01, 0.99)), start, np.where(fold < SEEN, toxic, -1))
+    at = [np.unique(a[a >= 0]) for a in at]
+    x = Sparse(np.repeat(np.arange(len(at)), [len(a) for a in at]), np.concatenate([*at, np.zeros(0, np.int64)]), np.ones(sum(map(len, at))), len(at), len(kept))
+    w, b = fit_logistic(x, post, l2=0.1, steps=600)
+    return Toxicity(dict(zip(kept["name"], w.tolist(), strict=True)), float(b), platt(x.dot(w) + b, toxic), accuracies, correlations)
+
+
 def with_score(docs: DataFrame, model: Toxicity, text_col: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with the score of each whole text; a null text scores as an empty one."""
     score = F.pandas_udf(lambda texts: pd.Series(model.score(texts)), "double")
     return docs.withColumn(name, score(F.col(f"`{text_col}`")))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """Score every whole text: ``id_col``, ``held_out``, ``score`` from 0 to 1, ``predicted``; one row for each of ``docs``.
+    """Score every whole text, however long: ``id_col``, ``held_out``, ``score`` from 0 to 1, ``predicted``; one row for each of ``docs``.
 
     Only the text is scored. Labels of rows whose id's crc32 is divisible by 5 are never read (``held_out``). A null text
     scores as an empty one. Rows with equal texts score alike; null ids and labels teach nothing; of an id labelled twice
-    the larger label counts. Without labels of both kinds every score is the same. Other columns are ignored.
+    the larger label counts. Without labels of both kinds every score is the same. An empty table gives an empty result.
+    Other columns are ignored.
     """
     model = fit(docs, labels, id_col, text_col, label_col)
-    scored = with_score(rows_of(docs, id=id_col, text=text_col), model)
+    scored = staged(with_score(rows_of(docs, id=id_col, text=text_col), model).select("id", "score"), "scored")
     return scored.select(F.col("id").alias(id_col), in_fold(F.col("id"), 5, 0).alias("held_out"), "score").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -162,6 +162,28 @@ def test_label_model_ranks_voters():
     assert ((post > 0.5) == y).mean() > 0.93 and corr[2, 3] > 0.9 > abs(corr[0, 1])
 
 
+def test_toxicity_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.score_toxicity(docs, labels).join(labels, "doc_id").where("held_out").groupBy("toxic", "predicted").count().collect()
+    n = {(r.toxic, r.predicted): r["count"] for r in got}
+    assert n[1, 1] / (n[1, 1] + n[1, 0]) > 0.8 and n[1, 1] / (n[1, 1] + n.get((0, 1), 0)) > 0.9
+
+
+def test_toxicity_undisguises():
+    assert {"idiot", "fool"} <= toxicity.text_features("an 1d10t, id10t and f o o l!")
+    names = {p: toxicity.pattern_votes(t) >> i & 1 for i, (p, t) in enumerate(zip(toxicity.PATTERNS, ("a s***t b", "such a f o o l", "big l0ser now", "GO AWAY NOW YOU ALL!", "no!!", "sooooo", "loser loser loser", "you are such a clown!")))}
+    assert all(names.values()) and toxicity.pattern_votes("A plain text, with 12 words in it.") == toxicity.pattern_votes(None) == 0
+
+
+def test_votes_come_from_other_folds():
+    import pandas as pd
+
+    fold = {f"z{f}": [9.0 if f else 0.0] for f in range(toxicity.FOLDS)} | {f"share{f}": [0.95 if f else 0.1] for f in range(toxicity.FOLDS)}
+    kept = pd.DataFrame({"name": ["bad"], **fold})  # found everywhere but outside of fold 0
+    votes, _ = toxicity.cast_votes(kept, [np.array([0, -1, -1, -1])] * 2, np.array([0, 1]), np.array([0, 1]))
+    assert (votes[0] == -1).all() and sorted(votes[1][votes[1] >= 0]) == [1, 1]
+
+
 def test_quality_learns(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality.score_quality(docs, labels).join(labels, "doc_id").where("held_out").collect()
