@@ -1,17 +1,18 @@
 """Quality by co-training.
 
-Two classifiers see different views of a document: its words, and its metadata (language, source, length, layout). In
-each round both are fitted, and each hands the documents that it is surest of, out of all without a label, as
-pseudo-labels to the other. These documents stay where they are: a round is its two classifiers and the margins from
-which on they teach, and every pass over the documents goes through the rounds again. A fit takes Newton steps on sums
-over all that has been taught. In the end both are calibrated on the labelled rows and their log odds are combined, and every document is scored.
+Two classifiers see different views of a document. The content view is its words: which occur, what they look like, and
+how often they repeat; the metadata view never sees the text: language, source and recorded length. In each round both
+are fitted on the labelled rows and on what each has been taught, and each hands the documents that it is surest of, out
+of all without a label, as pseudo-labels to the other. Documents stay where they are: a round is its two classifiers and
+the margins from which on they teach, and a pass over the documents goes through the rounds again. The classifiers are
+naive Bayes models, so a fit is sums by feature. In the end both are calibrated on labelled rows, each row judged by a
+model without it, their log odds are combined, and every document is scored.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,47 +24,58 @@ from pyspark.sql import functions as F
 from ._linear import Sparse, fit_logistic, platt, sigmoid
 from ._shared import bounded, in_fold, missing_as_null, partitions, rows_of, staged
 
-#: Labelled rows that a fit reads at most, rounds, and the share of unlabelled rows handed over in each.
+#: Labelled ids that a fit reads at most, and as many rows of theirs; rounds, and the share of unlabelled rows handed over in each.
 LABELLED, ROUNDS, SHARE = 8000, 5, 0.05
-#: What all unlabelled rows together weigh at most, as a multiple of the labelled; Newton steps of a fit at most.
-MASS, STEPS = 2.0, 8
-#: Quantile bins of a number, and buckets of a name.
-BINS, NAMES = 10, 32
-#: Numbers in the two views.
-CONTENT, METADATA = 9, 8
+#: What all unlabelled rows together weigh at most, as a multiple of the labelled; the chance of being right from which on a view teaches.
+MASS, SURE = 2.0, 0.95
+#: Buckets that the features of the content view and of the metadata view are hashed to.
+WIDTHS = (1 << 14, 1 << 12)
+#: What a feature's counts are smoothed by, and how many times the variance of its log odds their square has to be.
+SMOOTH, NOISE = 0.5, 4.0
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 
 
-def content_view(text: str) -> list[float]:
-    words = text.split()
+def shape(word: str) -> str:
+    """What a word looks like: runs of letters as A (capitals) or a, of digits as 0, all else as it is; eight characters at most."""
+    return _DIGITS.sub("0", _LETTERS.sub(lambda m: "A" if len(m[0]) > 1 and m[0].isupper() else "a", word))[:8]
+
+
+def content_view(text: str) -> set[str]:
+    words, lines = text.split(), [x for x in text.split("\n") if x]
+    distinct = set(words)
     n, chars = max(1, len(words)), max(1, len(text))
-    counts = Counter(words)
     letters = sum(map(len, _LETTERS.findall(text)))
-    upper = sum(map(str.isupper, words))
-    marked = sum(not w[-1].isalnum() and w[-1] not in ".,;:?\"')" for w in words)
-    pairs = len(set(zip(words, words[1:], strict=False))) if len(words) > 1 else 1
-    alone = sum(not any(map(str.isalnum, w)) for w in counts)
-    return [len(counts) / n, max(counts.values(), default=0) / n, letters / chars, upper / n, marked / n, pairs / n, alone, sum(map(len, words)) / n, sum(a == b for a, b in zip(words, words[1:], strict=False)) / n]
+    pairs = len(set(zip(words, words[1:], strict=False)))
+    numbers = {"types": len(distinct) / n, "pairs": pairs / n, "letters": letters / chars, "lines": len(set(lines)) / max(1, len(lines)), "length": min(1.0, len(text) / n / 20), "ends": sum(x[-1] in ".?!" for x in lines) / max(1, len(lines))}
+    return {w.lower() for w in distinct} | {"s " + s for s in map(shape, distinct)} | {f"n {k} {int(v * 10)}" for k, v in numbers.items()}
 
 
-def metadata_view(text: str) -> list[float]:
-    lines = [x for x in text.split("\n") if x]
-    n = max(1, len(lines))
-    size = [len(x) for x in lines] or [0]
-    return [np.log1p(len(text)), n, sum(size) / n, max(size), min(size), len(set(lines)) / n, sum(x[-1] in ".?!" for x in lines) / n, text.count("|") / max(1, len(text))]
+def metadata_view(lang: str | None, source: str | None, size: float | None) -> set[str]:
+    lang, source = lang or "", source or ""
+    band = "" if size is None or size != size else str(int(2 * np.log2(1 + max(0, size))))
+    return {f"l {lang}", f"s {source}", f"n {band}", f"ls {lang} {source}", f"sn {source} {band}"}
 
 
-def _name(kind: str, value: str | None) -> int:
-    return zlib.crc32(f"{kind}={'' if value is None else value}".encode()) % NAMES
+def hashed(features: set[str], width: int) -> bytes:
+    return np.unique(np.fromiter((zlib.crc32(f.encode("utf-8", "surrogatepass")) % width for f in features), np.uint16, len(features))).tobytes()
 
 
-def views(text: str | None, lang: str | None, source: str | None) -> tuple[list[float], list[float], list[int]]:
-    return content_view(text or ""), metadata_view(text or ""), [_name("lang", lang), NAMES + _name("source", source)]
+class View:
+    """One view of some rows: the features of all rows one after the other, and where each row's begin. No row is without any."""
 
+    def __init__(self, packed):
+        packed = list(packed)
+        self.flat = np.frombuffer(b"".join(packed), np.uint16)
+        self.size = np.fromiter((len(p) // 2 for p in packed), np.int64, len(packed))
+        self.start = np.cumsum(self.size) - self.size
 
-def _matrix(packed: pd.Series, kind: type, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(packed), kind).reshape(len(packed), width)
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """Sum over each row's features of a number for each of all features."""
+        return np.add.reduceat(x, self.start) if len(self.start) else np.zeros(0)
+
+    def counts(self, weight: np.ndarray, width: int) -> np.ndarray:
+        return np.bincount(self.flat, np.repeat(weight, self.size), width).astype(float)
 
 
 def ordered(x: np.ndarray) -> np.ndarray:
@@ -72,219 +84,197 @@ def ordered(x: np.ndarray) -> np.ndarray:
     return np.where(bits < 0, bits ^ 0x7FFFFFFF, bits) >> 12
 
 
-def _columns(bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each view the columns in which a row has a one."""
-    at = bins[:, : CONTENT + METADATA].astype(int)
-    content, metadata = at[:, :CONTENT] + BINS * np.arange(CONTENT), at[:, CONTENT:] + BINS * np.arange(METADATA)
-    return content, np.hstack([metadata, bins[:, CONTENT + METADATA :].astype(int) + BINS * METADATA])
+def _odds(c0: np.ndarray, c1: np.ndarray, n0: np.ndarray | float, n1: np.ndarray | float) -> np.ndarray:
+    """Log odds of features counted c0 and c1 times in n0 and n1 documents, shrunk by their noise: 0 for what tells nothing sure."""
+    w = np.log((c1 + SMOOTH) / (n1 + 2 * SMOOTH)) - np.log((c0 + SMOOTH) / (n0 + 2 * SMOOTH))
+    noise = NOISE * (1 / (c0 + SMOOTH) + 1 / (c1 + SMOOTH))
+    return w * np.maximum(0, 1 - noise / np.maximum(w * w, 1e-9))
 
 
-#: Columns of the views; the intercept is the last weight.
-WIDTHS = (BINS * CONTENT, BINS * METADATA + 2 * NAMES)
+@dataclass
+class Bayes:
+    """Counts of documents by label (0, 1) and feature, and of documents by label."""
 
+    counts: np.ndarray
+    total: np.ndarray
 
-def _margin(cols: np.ndarray, w: np.ndarray) -> np.ndarray:
-    out = np.full(len(cols), w[-1])
-    for j in range(cols.shape[1]):  # one by one: the same sum in every pass
-        out += w[cols[:, j]]
-    return out
+    def margin(self, view: View, label: np.ndarray | None = None) -> np.ndarray:
+        """Mean log odds of label 1 over the features that tell something; with ``label``, each row's by the counts without it."""
+        if label is None:
+            w = _odds(self.counts[0], self.counts[1], *self.total)[view.flat]
+        else:
+            own = np.repeat(label, view.size)
+            c = [np.maximum(self.counts[y][view.flat] - (own == y), 0) for y in (0, 1)]
+            w = _odds(*c, *(np.maximum(self.total[y] - (own == y), 0) for y in (0, 1)))
+        return view.sums(w) / np.maximum(1, view.sums((w != 0).astype(float)))
 
 
 @dataclass
 class Teacher:
-    """A view's weights in a round; rows whose ordered margin is at most ``low`` or at least ``high`` teach the other view."""
+    """A view's model in a round; rows whose ordered margin is at most ``low`` or at least ``high`` teach the other view."""
 
-    w: np.ndarray
+    model: Bayes
     low: int = -(2**31)
     high: int = 2**31 - 1
 
 
-def taught(cols: tuple[np.ndarray, np.ndarray], rounds: list[tuple[Teacher, Teacher]]) -> tuple[np.ndarray, np.ndarray]:
+Rounds = list[tuple[Teacher, Teacher]]
+
+
+def taught(views: tuple[View, View], rounds: Rounds) -> tuple[np.ndarray, np.ndarray]:
     """What each view has been taught of unlabelled rows: 1, 0, or -1 for nothing."""
-    out = tuple(np.full(len(cols[0]), -1, np.int8) for _ in cols)
+    out = tuple(np.full(len(v.size), -1, np.int8) for v in views)
     for teachers in rounds:
         for i, t in enumerate(teachers):
-            m, to = ordered(_margin(cols[i], t.w)), out[1 - i]
+            m, to = ordered(t.model.margin(views[i])), out[1 - i]
             free = to < 0
             to[free & (m <= t.low)], to[free & (m >= t.high)] = 0, 1
     return out
 
 
-def _sums(cols: np.ndarray, w: np.ndarray, target: np.ndarray, weight: float) -> np.ndarray:
-    """Slope and, below it, curvature of the logistic loss."""
-    x = np.zeros((len(cols), len(w)))
-    x[np.arange(len(x))[:, None], cols] = 1
-    x[:, -1] = 1
-    p = sigmoid(_margin(cols, w))
-    return weight * np.vstack([(p - target) @ x, (x * (p * (1 - p))[:, None]).T @ x])
+def _views(pdf: pd.DataFrame) -> tuple[View, View]:
+    return View(pdf["content"]), View(pdf["metadata"])
 
 
-def _pool_sums(pool: DataFrame, weights: list[np.ndarray], rounds: list[tuple[Teacher, Teacher]], weight: float) -> list[np.ndarray]:
-    """_sums of each view over what it has been taught; one row for a task, and no more tasks than shuffle partitions."""
+def _counted(pool: DataFrame, rounds: Rounds) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each view (counts, totals) by label over what it has been taught: summed in each task, then by feature on the executors."""
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, first = [np.zeros((len(w) + 1, len(w))) for w in weights], b""
+        sums, totals = [np.zeros((2, w)) for w in WIDTHS], np.zeros((2, 2))
         for pdf in batches:
             if len(pdf):
-                first = first or pdf["bins"].iloc[0]
-                cols = _columns(_matrix(pdf["bins"], np.uint8, CONTENT + METADATA + 2))
-                for i, known in enumerate(taught(cols, rounds)):
-                    own = known >= 0
-                    total[i] += _sums(cols[i][own], weights[i], known[own], weight)
-        yield pd.DataFrame({"first": [first], "content": [total[0].tobytes()], "metadata": [total[1].tobytes()]})
-
-    parts = sorted(pool.mapInPandas(add, "first binary, content binary, metadata binary").collect())
-    return [sum((np.frombuffer(p[1 + i]).reshape(len(w) + 1, len(w)) for p in parts), np.zeros((len(w) + 1, len(w)))) for i, w in enumerate(weights)]
-
-
-def _fit(pool: DataFrame, cols: tuple[np.ndarray, np.ndarray], label: np.ndarray, weights: list[np.ndarray], rounds: list[tuple[Teacher, Teacher]], weight: float) -> list[np.ndarray]:
-    for _ in range(STEPS):
-        sums = [_sums(c, w, label, 1.0) for c, w in zip(cols, weights, strict=True)]
-        if rounds:
-            sums = [a + b for a, b in zip(sums, _pool_sums(pool, weights, rounds, weight), strict=True)]
-        steps = []
-        for s, w in zip(sums, weights, strict=True):
-            hold = np.append(np.ones(len(w) - 1), 1e-6)  # all but the intercept are held to zero
-            d = np.linalg.solve(s[1:] + np.diag(hold), s[0] + hold * w)
-            steps.append(d * min(1.0, 2.0 / (abs(d).max() + 1e-12)))
-        weights = [w - d for w, d in zip(weights, steps, strict=True)]
-        if max(abs(d).max() for d in steps) < 1e-3:
-            break
-    return weights
-
-
-def _counted(rows: DataFrame, keys) -> pd.DataFrame:
-    """(which, key, n) of the numbers that ``keys`` makes of a batch, a pair of which and its ordered numbers each; few, as they are rounded."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for which, x in keys(pdf) if len(pdf) else ():
-                key, n = np.unique(x, return_counts=True)
-                yield pd.DataFrame({"which": which, "key": key, "n": n})
-
-    return rows.mapInPandas(count, "which int, key int, n long").groupBy("which", "key").agg(F.sum("n").alias("n")).toPandas().sort_values(["which", "key"])
-
-
-def _cuts(viewed: DataFrame) -> list[np.ndarray]:
-    """Quantiles of each number over all rows, by index."""
-
-    def keys(pdf: pd.DataFrame):
-        return enumerate(ordered(_matrix(pdf["numbers"], np.float32, CONTENT + METADATA)).T)
-
-    counts = _counted(viewed.select("numbers"), keys)
+                views = _views(pdf)
+                for i, known in enumerate(taught(views, rounds)):
+                    for y in (0, 1):
+                        sums[i][y] += views[i].counts(known == y, WIDTHS[i])
+                        totals[i, y] += (known == y).sum()
+        for i in (0, 1):
+            at = np.flatnonzero(sums[i].any(0))
+            yield pd.DataFrame({"which": i, "at": [-1, *at], "n0": [totals[i, 0], *sums[i][0][at]], "n1": [totals[i, 1], *sums[i][1][at]]})
+
+    # at most as many rows as there are features
+    got = pool.mapInPandas(add, "which int, at int, n0 double, n1 double").groupBy("which", "at").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
     out = []
-    for i in range(CONTENT + METADATA):
-        own = counts[counts["which"] == i]
-        upto = own["n"].to_numpy().cumsum()
-        at = (np.linspace(0, 1, BINS + 1)[1:-1] * (upto[-1] - 1)).astype(int)
-        out.append(np.unique(own["key"].to_numpy()[np.searchsorted(upto, at, "right")]))
+    for i, width in enumerate(WIDTHS):
+        counts, total = np.zeros((2, width)), np.zeros(2)
+        own = got[(got["which"] == i) & (got["at"] >= 0)]
+        counts[:, own["at"].to_numpy(int)] = own[["n0", "n1"]].to_numpy().T
+        for r in got[(got["which"] == i) & (got["at"] < 0)].itertuples():
+            total = np.array([r.n0, r.n1])
+        out.append((counts, total))
     return out
 
 
-def _surest(pool: DataFrame, weights: list[np.ndarray], rounds: list[tuple[Teacher, Teacher]], low: int, high: int) -> tuple[Teacher, Teacher]:
-    """Who teaches next: the ``low`` least and ``high`` largest margins of all rows that the other view knows nothing of, with ties."""
+def _fit(pool: DataFrame, views: tuple[View, View], label: np.ndarray, rounds: Rounds, weight: float) -> tuple[Bayes, Bayes]:
+    own = [(np.stack([v.counts(label == y, w) for y in (0, 1)]), np.bincount(label, minlength=2).astype(float)) for v, w in zip(views, WIDTHS, strict=True)]
+    if rounds:
+        own = [(a + weight * c, b + weight * d) for (a, b), (c, d) in zip(own, _counted(pool, rounds), strict=True)]
+    return tuple(Bayes(*x) for x in own)
 
-    def keys(pdf: pd.DataFrame):
-        cols = _columns(_matrix(pdf["bins"], np.uint8, CONTENT + METADATA + 2))
-        known = taught(cols, rounds)
-        return [(i, ordered(_margin(cols[i], w)[known[1 - i] < 0])) for i, w in enumerate(weights)]
 
-    counts = _counted(pool, keys)
-    out = []
-    for i, w in enumerate(weights):
+def _surest(pool: DataFrame, models: tuple[Bayes, Bayes], scales: list[tuple[float, float]], rounds: Rounds, low: int, high: int) -> tuple[Teacher, Teacher]:
+    """Who teaches next: the ``low`` least and ``high`` largest margins of all rows that the other view knows nothing of, with ties, if calibration says SURE."""
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                views = _views(pdf)
+                known = taught(views, rounds)
+                for i, m in enumerate(models):
+                    key, n = np.unique(ordered(m.margin(views[i])[known[1 - i] < 0]), return_counts=True)
+                    yield pd.DataFrame({"which": i, "key": key, "n": n})
+
+    # margins are rounded, so there are few
+    counts = pool.mapInPandas(keys, "which int, key int, n long").groupBy("which", "key").agg(F.sum("n").alias("n")).toPandas().sort_values(["which", "key"])
+    out, odds = [], float(np.log(SURE / (1 - SURE)))
+    for i, (m, (a, b)) in enumerate(zip(models, scales, strict=True)):
         own = counts[counts["which"] == i]
-        t, key, n = Teacher(w), own["key"].to_numpy(), own["n"].to_numpy()
-        if low and len(key):
-            t.low = min(-1, int(key[min(len(key) - 1, np.searchsorted(n.cumsum(), low))]))
-        if high and len(key):
-            t.high = max(1, int(key[::-1][min(len(key) - 1, np.searchsorted(n[::-1].cumsum(), high))]))
+        t, key, n = Teacher(m), own["key"].to_numpy(), own["n"].to_numpy()
+        if len(key) and a > 0:
+            sure = ordered(np.array([(-odds - b) / a, (odds - b) / a]))
+            if low:
+                t.low = min(int(sure[0]), int(key[min(len(key) - 1, np.searchsorted(n.cumsum(), low))]))
+            if high:
+                t.high = max(int(sure[1]), int(key[::-1][min(len(key) - 1, np.searchsorted(n[::-1].cumsum(), high))]))
         out.append(t)
     return tuple(out)
 
 
 @dataclass
 class Quality:
-    weights: list[np.ndarray] = field(default_factory=list)
-    scales: list[tuple[float, float]] = field(default_factory=list)
+    models: tuple[Bayes, Bayes]
+    scales: list[tuple[float, float]]
     mix: tuple[float, float, float] = (1.0, 1.0, 0.0)
-    constant: float | None = None
+    rounds: Rounds = field(default_factory=list)
+
+    def logits(self, views: tuple[View, View], label: np.ndarray | None = None) -> list[np.ndarray]:
+        return [a * m.margin(v, label) + b for m, v, (a, b) in zip(self.models, views, self.scales, strict=True)]
+
+    def scores(self, views: tuple[View, View]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of both views together, of the content, of the metadata."""
+        one, two = self.logits(views)
+        return sigmoid(self.mix[0] * one + self.mix[1] * two + self.mix[2]), sigmoid(one), sigmoid(two)
 
-    def logits(self, cols: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
-        return [a * _margin(c, w) + b for c, w, (a, b) in zip(cols, self.weights, self.scales, strict=True)]
 
-    def score(self, cols: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        one, two = self.logits(cols)
-        return sigmoid(self.mix[0] * one + self.mix[1] * two + self.mix[2])
+def _scales(models: tuple[Bayes, Bayes], views: tuple[View, View], label: np.ndarray) -> list[tuple[float, float]]:
+    return [platt(m.margin(v, label), label.astype(float)) for m, v in zip(models, views, strict=True)]
 
 
-def co_train(pool: DataFrame, unlabelled: int, bins: np.ndarray, label: np.ndarray, rounds: int = ROUNDS, share: float = SHARE) -> Quality:
-    """pool: the ``unlabelled`` rows as ``bins``; bins, label: the labelled rows."""
-    cols, prior = _columns(bins), float((label.sum() + 1) / (len(label) + 2))
+def co_train(pool: DataFrame, unlabelled: int, views: tuple[View, View], label: np.ndarray, rounds: int = ROUNDS, share: float = SHARE) -> Quality:
+    """pool: the ``unlabelled`` rows (content, metadata); views, label: the labelled rows."""
+    prior = float((label.sum() + 1) / (len(label) + 2))
     weight = min(1.0, MASS * len(label) / max(1, unlabelled))
-    many = int(share * unlabelled)
-    weights = [np.append(np.zeros(d), np.log(prior / (1 - prior))) for d in WIDTHS]
-    done: list[tuple[Teacher, Teacher]] = []
+    many, done = int(share * unlabelled), []
     for _ in range(rounds if many else 0):
-        weights = _fit(pool, cols, label, weights, done, weight)
-        done.append(_surest(pool, weights, done, round(many * (1 - prior)), round(many * prior)))
-    model = Quality(_fit(pool, cols, label, weights, done, weight))
-    model.scales = [platt(_margin(c, w), label.astype(float)) for c, w in zip(cols, model.weights, strict=True)]
-    both = np.stack(model.logits(cols), 1)
+        models = _fit(pool, views, label, done, weight)
+        done.append(_surest(pool, models, _scales(models, views, label), done, round(many * (1 - prior)), round(many * prior)))
+    models = _fit(pool, views, label, done, weight)
+    out = Quality(models, _scales(models, views, label), rounds=done)
+    both = np.stack(out.logits(views, label), 1)
     w, b = fit_logistic(Sparse(np.repeat(np.arange(len(label)), 2), np.tile([0, 1], len(label)), both.ravel(), len(label), 2), label.astype(float), l2=0.1, steps=300)
-    model.mix = (float(w[0]), float(w[1]), float(b))
-    return model
+    out.mix = (float(w[0]), float(w[1]), float(b))
+    return out
 
 
 def _viewed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        v = [views(t, lang, s) for t, lang, s in zip(pdf["text"], pdf["lang"], pdf["source"], strict=True)]
-        yield pd.DataFrame({"id": pdf["id"], "held_out": pdf["held_out"], "quality": pdf["quality"], "numbers": [np.array(x[0] + x[1], np.float32).tobytes() for x in v], "names": [bytes(x[2]) for x in v]})
-
-
-def _binned(cuts: list[np.ndarray]):
-    def binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                keys = ordered(_matrix(pdf["numbers"], np.float32, CONTENT + METADATA))
-                bins = np.stack([np.searchsorted(c, keys[:, i], "right") for i, c in enumerate(cuts)], 1).astype(np.uint8)
-                yield pd.DataFrame({"id": pdf["id"], "held_out": pdf["held_out"], "quality": pdf["quality"], "bins": [b.tobytes() + n for b, n in zip(bins, pdf["names"], strict=True)]})
-
-    return binned
+        content = [hashed(content_view(t or ""), WIDTHS[0]) for t in pdf["text"]]
+        metadata = [hashed(metadata_view(*x), WIDTHS[1]) for x in zip(pdf["lang"], pdf["source"], pdf["size"], strict=True)]
+        yield pd.DataFrame({"id": pdf["id"], "held_out": pdf["held_out"], "quality": pdf["quality"], "content": content, "metadata": metadata})
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality") -> DataFrame:
-    """Score every whole document: ``id_col``, ``held_out``, ``score`` from 0 to 1, ``predicted``; one row for each of ``docs``.
+def score_quality(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", size_col: str = "n_chars", label_col: str = "quality"
+) -> DataFrame:
+    """Score every whole document, however long: ``id_col``, ``held_out``, ``score`` from 0 to 1, ``content_score``, ``metadata_score``, ``predicted``.
 
-    Labels of rows whose id's crc32 is divisible by 5 are never read (``held_out``). A fit reads at most ``LABELLED``
-    labels, by a hash of their id, and all other documents: bins come from quantiles over all, and pseudo-labels go to
-    the surest of all, ties together. Null texts are empty; a null language or source is a value of its own; null ids and
-    labels teach nothing; of an id labelled twice the larger label counts. Without labels of both kinds every score is
-    the same. An empty table gives an empty result. Other columns are ignored.
+    One row for each of ``docs``. Labels of rows whose id's crc32 is divisible by 5 are never read (``held_out``). A fit
+    reads at most ``LABELLED`` labelled ids, by a hash of them, and as many rows of theirs, and all other documents:
+    pseudo-labels go to the surest of all, ties together. Null texts are empty; a null or missing language, source or
+    length is a value of its own; null ids and labels teach nothing; of an id labelled twice the larger label counts.
+    Without labels of both kinds every score is the same. An empty table gives an empty result. Other columns are ignored.
     """
     known = rows_of(labels, lid=id_col, quality=label_col).where("lid is not null and quality is not null").groupBy("lid").agg(F.max("quality").cast("int").alias("quality"))
     known = bounded(known.where(~in_fold(F.col("lid"), 5, 0)), LABELLED, F.col("lid"))
-    rows = rows_of(docs, id=id_col, text=text_col, lang=missing_as_null(docs, lang_col, "string"), source=missing_as_null(docs, source_col, "string"))
+    rows = rows_of(docs, id=id_col, text=text_col, lang=missing_as_null(docs, lang_col, "string"), source=missing_as_null(docs, source_col, "string"), size=missing_as_null(docs, size_col, "double").cast("double"))
     kind = dict(docs.dtypes)[id_col]
     # at most LABELLED pairs of numbers; -1 is without a label, -2 takes no part
     rows = rows.join(F.broadcast(known), F.col("id") == F.col("lid"), "left").withColumn("quality", F.when(F.col("id").isNull(), -2).otherwise(F.coalesce("quality", F.lit(-1))))
     rows = rows.withColumn("held_out", in_fold(F.col("id"), 5, 0)).drop("lid")
-    own = f"id {kind}, held_out boolean, quality int"
-    viewed = staged(rows.mapInPandas(_viewed, f"{own}, numbers binary, names binary"), "views")
+    viewed = staged(rows.mapInPandas(_viewed, f"id {kind}, held_out boolean, quality int, content binary, metadata binary"), "views")
     many = {r[0]: r[1] for r in viewed.groupBy("quality").count().collect()}
     if not (many.get(0) and many.get(1)):
-        constant = (many.get(1, 0) + 1) / (many.get(0, 0) + many.get(1, 0) + 2)
-        scored = viewed.select("id", "held_out", F.lit(constant).alias("score"))
+        constant = F.lit((many.get(1, 0) + 1) / (many.get(0, 0) + many.get(1, 0) + 2))
+        scored = viewed.select("id", "held_out", constant.alias("score"), constant.alias("content_score"), constant.alias("metadata_score"))
     else:
-        binned = staged(viewed.mapInPandas(_binned(_cuts(viewed.where("quality > -2"))), f"{own}, bins binary"), "bins")
-        # an id may have several rows, but those of the labelled ids stay bounded
-        seen = bounded(binned.where("quality >= 0").select("quality", "id", "bins"), 2 * LABELLED, F.col("id"), F.col("bins")).select("quality", "bins").toPandas()
-        pool = binned.where("quality = -1").select("bins").coalesce(partitions(docs.sparkSession))
-        model = co_train(pool, many.get(-1, 0), _matrix(seen["bins"], np.uint8, CONTENT + METADATA + 2), seen["quality"].to_numpy(int))
+        seen = bounded(viewed.where("quality >= 0").select("quality", "id", "content", "metadata"), LABELLED, F.col("id"), F.col("content")).toPandas()
+        pool = viewed.where("quality = -1").select("content", "metadata").coalesce(partitions(docs.sparkSession))
+        model = co_train(pool, many.get(-1, 0), _views(seen), seen["quality"].to_numpy(int))
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 if len(pdf):
-                    yield pd.DataFrame({"id": pdf["id"], "held_out": pdf["held_out"], "score": model.score(_columns(_matrix(pdf["bins"], np.uint8, CONTENT + METADATA + 2)))})
+                    yield pd.DataFrame({"id": pdf["id"], "held_out": pdf["held_out"], **dict(zip(("score", "content_score", "metadata_score"), model.scores(_views(pdf)), strict=True))})
 
-        scored = binned.mapInPandas(score, f"id {kind}, held_out boolean, score double")
-    return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+        scored = viewed.mapInPandas(score, f"id {kind}, held_out boolean, score double, content_score double, metadata_score double")
+    return scored.select(F.col("id").alias(id_col), "held_out", "score", "content_score", "metadata_score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

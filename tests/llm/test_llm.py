@@ -190,36 +190,66 @@ def test_quality_learns(spark):
     assert got and sum(r.predicted == r.quality for r in got) / len(got) > 0.9
 
 
-def test_quality_learns_from_all(spark):
+def odd_half(spark, n=4000, labelled=400):
+    """Documents whose words and whose source each tell their quality in nine of ten cases."""
     rng = random.Random(4)
     good, bad = ["fine", "words", "of", "prose"], ["junk!", "##", "buy"]
-    text = lambda i: " ".join(rng.choice(good if i % 2 else bad) for _ in range(rng.randint(5, 15)))
-    ids = [r[0] for r in spark.range(17_000).orderBy(F.xxhash64("id"), "id").collect()]
-    first = {i: text(i) for i in ids}
-    last = set(ids[16_200:])  # beyond the first 16000 by hash
-    labels = spark.createDataFrame([(i, i % 2) for i in ids[:100]], "doc_id long, quality int")
+    rows = []
+    for i in range(n):
+        flip = lambda: i % 2 if rng.random() < 0.9 else 1 - i % 2  # noqa: E731, B023
+        rows.append((i, " ".join(rng.choice(good if flip() else bad) for _ in range(rng.randint(3, 9))), "en", f"s{flip()}", None))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(labelled)], "doc_id long, quality int")
+    return docs_of(spark, rows), labels
+
+
+def test_quality_either_view_learns(spark):
+    docs, labels = odd_half(spark)
+    got = quality.score_quality(docs, labels).where("doc_id >= 400").collect()
+    right = lambda c: sum((r[c] >= 0.5) == r.doc_id % 2 for r in got) / len(got)
+    assert right("content_score") > 0.85 and right("metadata_score") > 0.85 and right("score") >= max(right("content_score"), right("metadata_score"))
+    # metadata alone, then words alone: what the other view can't see changes nothing
+    for drop, alone in (({"text": F.lit("")}, "metadata_score"), ({"source": F.lit("s"), "lang": F.lit("l")}, "content_score")):
+        one = quality.score_quality(docs.withColumns(drop), labels).where("doc_id >= 400").collect()
+        assert sum((r[alone] >= 0.5) == r.doc_id % 2 for r in one) / len(one) > 0.85
+
+
+def test_quality_learns_from_all(spark):
+    docs, labels = odd_half(spark, 3000, 100)
+    last = F.col("doc_id") >= 2900
     scores = []
-    for docs in (first, {i: f"{t}\n{t}|{t}\n" if i in last else t for i, t in first.items()}):
-        df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs.items()], DOCS)
-        scores.append({r.doc_id: r.score for r in quality.score_quality(df, labels).where(~F.col("doc_id").isin(*last)).collect()})
+    for df in (docs, docs.withColumn("source", F.when(last, "s7").otherwise(F.col("source")))):
+        scores.append({r.doc_id: r.score for r in quality.score_quality(df, labels).where(~last).collect()})
     assert scores[0].keys() == scores[1].keys() and scores[0] != scores[1]
 
 
-def test_quality_cuts_and_surest(spark):
+def test_quality_bayes_and_surest(spark):
     rng = np.random.default_rng(6)
-    x = np.float32(rng.gamma(1, 3, (500, 17)).round(1))
-    rows = spark.createDataFrame([(r.tobytes(),) for r in x], "numbers binary").repartition(3)
-    want = [np.unique(np.quantile(quality.ordered(x[:, i]), np.linspace(0, 1, 11)[1:-1], method="lower")) for i in range(17)]
-    assert all((a == b).all() for a, b in zip(quality._cuts(rows), want, strict=True))
-    bins = np.uint8(np.hstack([rng.integers(0, 10, (500, 17)), rng.integers(0, 32, (500, 1)), rng.integers(32, 64, (500, 1))]))
-    pool = spark.createDataFrame([(b.tobytes(),) for b in bins], "bins binary").repartition(3)
-    cols, weights = quality._columns(bins), [rng.normal(size=d + 1) for d in quality.WIDTHS]
-    done = [quality._surest(pool, weights, [], 20, 10)]
-    done.append(quality._surest(pool, weights, done, 20, 10))
-    for i, known in enumerate(quality.taught(cols, done)):
-        m = quality.ordered(quality._margin(cols[1 - i], weights[1 - i]))
-        order = np.argsort(m, kind="stable")
-        assert (known == np.where(m <= m[order[39]], 0, np.where(m >= m[order[-20]], 1, -1))).all()
+    sets = [[{f"f{x}" for x in rng.integers(0, 40, rng.integers(1, 9))} for _ in range(400)] for _ in range(2)]
+    label = np.array([int("f1" in a or "f2" in b) for a, b in zip(*sets)])
+    packed = [[quality.hashed(f, w) for f in own] for own, w in zip(sets, quality.WIDTHS)]
+    views = tuple(map(quality.View, packed))
+    models = quality._fit(None, views, label, [], 1.0)
+    for i in range(2):
+        loo = models[i].margin(views[i], label)
+        for r in (0, 7, 399):  # brute force: counts of all other rows
+            keep = [j for j in range(400) if j != r]
+            name = lambda j: set(np.frombuffer(packed[i][j], np.uint16).tolist())  # noqa: E731, B023
+            c = {y: Counter(x for j in keep if label[j] == y for x in name(j)) for y in (0, 1)}
+            n = {y: sum(label[j] == y for j in keep) for y in (0, 1)}
+            w = [float(quality._odds(np.array([c[0][x]]), np.array([c[1][x]]), n[0], n[1])[0]) for x in sorted(name(r))]
+            assert math.isclose(loo[r], sum(w) / max(1, sum(x != 0 for x in w)), abs_tol=1e-9)
+    pool = spark.createDataFrame(list(zip(*packed)), "content binary, metadata binary").repartition(3)
+    scales = [(1e9, -1e9 * float(np.median(m.margin(v)))) for m, v in zip(models, views)]  # all are sure, on either side of the median
+    done = [quality._surest(pool, models, scales, [], 20, 10)]
+    done.append(quality._surest(pool, models, scales, done, 20, 10))
+    known = quality.taught(views, done)
+    for i in range(2):
+        m = quality.ordered(models[1 - i].margin(views[1 - i]))
+        rest = m[known[i] == -1]
+        assert (known[i] >= 0).any() and all(x <= rest.min(initial=2**31) for x in m[known[i] == 0]) and all(x >= rest.max(initial=-(2**31)) for x in m[known[i] == 1])
+    for i, (counts, total) in enumerate(quality._counted(pool, done)):
+        assert (total == [(known[i] == y).sum() for y in (0, 1)]).all()
+        assert all((counts[y] == views[i].counts(known[i] == y, quality.WIDTHS[i])).all() for y in (0, 1))
 
 
 # 4: near duplicates
