@@ -22,8 +22,8 @@ class Sparse:
         return np.bincount(self.col, self.value * r[self.row], self.cols).astype(float)
 
 
-def fit_logistic(x: Sparse, target: np.ndarray, weight: np.ndarray | None = None, l2: float = 1.0, steps: int = 200) -> tuple[np.ndarray, float]:
-    """Weights and intercept for targets between 0 and 1: accelerated gradient steps of the largest safe size."""
+def fit_logistic(x: Sparse, target: np.ndarray, weight: np.ndarray | None = None, l2: float = 1.0, steps: int = 200, intercept: float | None = None) -> tuple[np.ndarray, float]:
+    """Weights and intercept for targets between 0 and 1: accelerated gradient steps of the largest safe size. An ``intercept`` that is given stays as it is."""
     weight = np.ones(x.rows) if weight is None else weight
     v, total = np.full(x.cols, 1.0), weight.sum() + 1e-9
     for _ in range(15):  # the largest curvature, by power iteration
@@ -32,13 +32,13 @@ def fit_logistic(x: Sparse, target: np.ndarray, weight: np.ndarray | None = None
         v /= top
     step = 1 / (0.25 * max(top, weight.max(initial=0)) + 0.25 * total / 10 + l2 + 1e-9)
     w, b, pw, pb = np.zeros(x.cols), 0.0, np.zeros(x.cols), 0.0
-    b = pb = float(np.log((weight @ target + 1) / (weight @ (1 - target) + 1)))
+    b = pb = float(np.log((weight @ target + 1) / (weight @ (1 - target) + 1))) if intercept is None else intercept
     for k in range(steps):
         m = k / (k + 3)
         yw, yb = w + m * (w - pw), b + m * (b - pb)
         r = weight * (sigmoid(x.dot(yw) + yb) - target)
         pw, pb = w, b
-        w, b = yw - step * (x.tdot(r) + l2 * yw), yb - min(4 / total, 10 * step) * r.sum()
+        w, b = yw - step * (x.tdot(r) + l2 * yw), yb - (min(4 / total, 10 * step) * r.sum() if intercept is None else 0.0)
     return w, b
 
 

@@ -1,9 +1,11 @@
 """Main text of web pages by maximum-scoring subsequence.
 
-A page is a sequence of words and tags. Words score positive, unless they stand in an element of a kind that held
-boilerplate in labelled pages; tags score negative, the more the rarer they were inside content. One linear scan finds
-the contiguous region of the highest total, and the region's own words, block by block, are the text. All weights are
-log odds counted on the labelled pages below.
+A page is a sequence of words, block by block, and tags. A word scores the log odds of main text given the elements that
+it stands in, what their attributes call them, and whether its block is all links: positive, unless these speak against
+it; tags score negative, the more
+the rarer they were in main text. One linear scan finds the contiguous region of blocks with the highest total, and its
+blocks are the text, without elements that by themselves speak for boilerplate, such as an advert in an article, and
+without hidden ones. All weights are learned from labelled pages.
 """
 
 from __future__ import annotations
@@ -20,7 +22,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._linear import Sparse, fit_logistic
 from ._shared import missing_as_null, rows_of
+from .labelled_pages import PAGES
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -30,28 +34,39 @@ RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template",
 CLOSES = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 
 _PART = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.S)
-_NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_NAMES = re.compile(r"(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*|'[^']*|)(?:display\s*:\s*none|visibility\s*:\s*hidden))", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 _ENDS = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in RAW}
+#: Elements that hold text itself, rather than parts of a page: what their attributes say is told apart.
+TEXTUAL = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption caption label legend".split())
+#: Elements that wrap anything, and so say nothing by themselves.
+WRAPPERS = frozenset(("html", "body", "div", "span", "main-text-start", "main-text-end"))
+#: Elements are boilerplate by themselves from these log odds down, and speak for main text from those up; bounds of a word's and of a tag's score.
+BOILERPLATE, CONTENT, WORD_SCORE, TAG_SCORE = -1.0, 1.0, (-3.0, 2.0), (-0.4, -0.02)
+#: Log odds of a word of which nothing is known: words are main text unless something speaks against it.
+PRIOR = 1.0
 
-#: Labelled pages: the article stands between [[ and ]].
-LABELLED = (
-    '<html><head><title>A b</title><style>p{}</style></head><body><nav><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></nav><div class="ad">Buy this now for less</div><article>[[<h1>A small town</h1><p>The town lies by a <b>river</b> and has a mill.<br>It is old.<p>People come in summer.</p>]]</article><footer>&copy; All rights</footer></body></html>',
-    '<body><header class="site-header"><div class="logo">Daily</div><nav class="menu main-menu"><a href="/a">One</a> <a href="/b">Two</a></nav></header><main><article>[[<h1>How bread is made</h1><p>Flour and <a href="/w">water</a> are mixed.</p><blockquote>Wait an hour.</blockquote><h2>Baking</h2><ul><li>Heat the oven well.</li><li>Bake until it is brown.</li></ul>]]</article></main><aside class="sidebar"><h3>Popular</h3><ul><li><a href="/x">Ten cakes</a></li></ul></aside><section id="comments" class="comments"><div class="comment"><p>Nice text, I tried it at home and liked it</p></div><form class="comment-form"><label>Name</label><input></form></section><footer class="site-footer"><p>Contact us</p></footer></body>',
-    '<body><div id="cookie-notice" class="cookie notice banner"><p>We use cookies to make this site better. Accept all of them.</p></div><div class="breadcrumb breadcrumbs"><a href="/">Start</a></div><div class="content post-content">[[<h1>On walking</h1><p>Walking is <em>easy</em> and needs no tools at all.</p><p>It helps you think.</p><pre>left right</pre>]]</div><div class="related related-posts"><h4>More</h4><a href="/1">On running</a></div><div class="share social"><a href="/s">Share this</a></div><div class="newsletter subscribe"><form><p>Get letters from us every week</p></form></div></body>',
-    '<body><div role="banner" class="header top topbar"><a href="/">Shop</a></div><div role="navigation" class="navbar nav navigation"><ul><li><a href="/p">Parts</a></li></ul></div><div class="alert warning notice"><p>Our office is closed on Monday for a day</p></div><main role="main">[[<h1>Engine parts</h1><table><tr><th>Part</th><td>A <i>valve</i> lets air in and out.</td></tr></table><p>Every <strong>engine</strong> has valves, and they wear out in time.</p>]]</main><div role="complementary" class="widget sidebar"><p>Follow us for more</p></div><div class="advert advertisement ads promo sponsored"><p>The best oil for your engine is here</p></div><div role="contentinfo" class="footer bottom copyright legal disclaimer"><p>Terms of use</p></div></body>',
-    '<body><div class="popup modal overlay consent gdpr"><p>Please agree to our terms before you read on here</p></div><article class="story">[[<h1>The old bridge</h1><p>It was built of <span>stone</span> long ago.</p><ol><li>First came the piers.</li></ol><h3>Later</h3><p>Then it was mended twice.</p>]]</article><div class="pagination pager"><a href="/2">Next</a></div><div class="tags meta byline"><a href="/t">bridges</a></div><div id="disqus" class="replies responses reviews feedback"><ul><li>I have seen it, very fine</li><li>So have I</li></ul></div><form class="search login signup"><fieldset><legend>Sign in</legend></fieldset></form></body>',
-    '<body><menu class="menu"><li><a href="/">Home</a></li></menu><dialog class="notice"><p>A word about this site first</p></dialog><section class="site-content site-main article-body">[[<h1>Tides</h1><p>The sea rises and falls twice a day.</p><dl><dt>Ebb</dt><dd>The sea falls.</dd></dl><figure><figcaption>A beach at low tide</figcaption></figure><p>Ships wait for the flood.</p>]]</section><div class="recommended trending outbrain taboola teaser"><p>You may also like these ten facts</p></div><div class="hidden skip">Skip to content</div><address>Our street 1</address></body>',
-)
 
+class Element:
+    """An open element: its features, the one it stands in, and whether what speaks for main text stands in it."""
 
-def parts(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
-    """("text" or "open" or "close", words or tag, features of the open elements) in page order, without raw elements.
+    __slots__ = ("features", "hidden", "holds", "inside", "left_out", "parent", "tag")
 
-    Features are the names of the open elements and, after a dot, the parts of their class, id and role.
-    """
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    context: tuple[str, ...] = ()
+    def __init__(self, tag: str, rest: str, parent: Element | None):
+        self.tag, self.parent, self.holds = tag, parent, False
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+        self.left_out = (parent is not None and parent.left_out) or "data-left-out" in rest
+        self.hidden = bool(rest) and _HIDDEN.search(rest) is not None
+        names = {x for m in _NAMES.findall(rest) for x in _SPLIT.split("".join(m).lower()) if x} if rest and tag not in ("html", "body") else ()
+        mark = "~" if tag in TEXTUAL else "."
+        own = () if tag in WRAPPERS else (tag + "@" if self.inside and tag not in TEXTUAL else tag,)
+        self.features = (*own, *(mark + x for x in sorted(names)))
+
+
+def parts(page: str, elements: list[Element] | None = None) -> Iterator[tuple[str, str, Element | None]]:
+    """("text" or "open" or "close", words or tag, innermost open element) in page order, without raw elements; all elements go to ``elements``."""
+    stack: list[Element] = []
     at, n = 0, len(page)
     while at < n:
         lt = page.find("<", at)
@@ -61,7 +76,7 @@ def parts(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
             m = _PART.match(page, lt) if lt >= 0 else None
         end = n if lt < 0 else lt
         if end > at:
-            yield "text", page[at:end], context
+            yield "text", page[at:end], stack[-1] if stack else None
         if m is None:
             return
         at = m.end()
@@ -71,11 +86,10 @@ def parts(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
         tag = tag.lower()
         if close:
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
+                if stack[i].tag == tag:
                     del stack[i:]
                     break
-            context = tuple(f for _, own in stack for f in own)
-            yield "close", tag, context
+            yield "close", tag, stack[-1] if stack else None
             continue
         if tag in _ENDS and not rest.rstrip().endswith("/"):
             done = _ENDS[tag].search(page, at)
@@ -86,102 +100,160 @@ def parts(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
             after = page.find(">", done.start())
             at = n if after < 0 else after + 1
             continue
-        own = (tag, *("." + x for a in _NAMES.findall(rest) for x in _SPLIT.split("".join(a).lower()) if x)) if rest and tag not in ("html", "body") else (tag,)
         if tag not in VOID:
             ended = CLOSES.get(tag, "p" if tag not in INLINE else "").split()
             if ended:
                 for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in ended:
+                    if stack[i].tag in ended:
                         del stack[i:]
                         break
-                    if stack[i][0] not in INLINE:
+                    if stack[i].tag not in INLINE:
                         break
             if not rest.rstrip().endswith("/"):
-                stack.append((tag, own))
-            context = tuple(f for _, x in stack for f in x)
-        yield "open", tag, context
+                stack.append(Element(tag, rest, stack[-1] if stack else None))
+                if elements is not None:
+                    elements.append(stack[-1])
+        yield "open", tag, stack[-1] if stack else None
 
 
-@cache
-def weights() -> tuple[dict[str, float], dict[str, float], frozenset[str]]:
-    """(features of open elements, tags, features that hold whole articles): log odds of content, from the labelled pages."""
-    inside, outside, tag_in, tag_out, holds = Counter(), Counter(), Counter(), Counter(), set()
-    for page in LABELLED:
-        own = False
-        for kind, what, features in parts(page.replace("[[", "<content-start/>").replace("]]", "<content-end/>")):
-            if what in ("content-start", "content-end"):
-                own = what == "content-start"
-                holds.update(f for f in features if f != "content-start")
-            elif kind == "text":
-                (inside if own else outside).update(dict.fromkeys(features, len(what.split())) if what.strip() else {})
-            else:
-                (tag_in if own else tag_out)[what] += 1
-    odds = {f: math.log((inside[f] + 0.25) / (outside[f] + 0.25)) for f in inside | outside}
-    cost = {t: -max(0.05, math.log((tag_out[t] + 0.5) / (tag_in[t] + 0.5))) for t in tag_in | tag_out}
-    return {f: w for f, w in odds.items() if f[0] == "." or f not in ("html", "body", "div", "section", "p", "ul", "li", "a", "h3", "h4")}, cost, frozenset(f for f in holds if odds.get(f, 0) > 2)
-
-
-def extract(page: str | None) -> str:
-    """The article's text: blocks joined by line feeds, white space inside a block as one space."""
-    odds, cost, holds = weights()
-    memo: dict[tuple[str, ...], tuple[float, bool, float]] = {}
-
-    def judged(features: tuple[str, ...]) -> tuple[float, bool, float]:
-        """(score of a word, whether it is text, factor for tags): boilerplate inside an article only drops out."""
-        held = next((i for i, f in enumerate(features) if f in holds), len(features))
-        bad = next((i for i, f in enumerate(features) if odds.get(f, 0) < -0.6), None)
-        if bad is None:
-            return 1.0, True, 1.0 if held == len(features) else 0.0
-        if held < bad:
-            return 0.0, False, 0.0
-        return max(-3.0, min(odds[f] for f in features if f in odds)), False, 1.0
-
-    items: list[tuple[float, str | None]] = []  # score, and its text or None for the end of a block
-    for kind, what, features in parts(page or ""):
-        if (of := memo.get(features)) is None:
-            of = memo[features] = judged(features)
-        weight, good, factor = of
+class Block:
+    """A run of text between block-level tags, with the element it stands in and how many of its words are links."""
+
+    __slots__ = ("element", "links", "text", "words")
+
+    def __init__(self, element: Element | None):
+        self.element, self.text, self.words, self.links = element, [], 0, 0
+
+    def features(self) -> set[str]:
+        out, at = set(), self.element
+        while at is not None:
+            out.update(at.features)
+            at = at.parent
+        if self.words and self.links >= 0.8 * self.words:
+            out.add("links")
+        return out
+
+
+def blocks(page: str, elements: list[Element] | None = None) -> Iterator[tuple[str, Block | None]]:
+    """("", block) or (block-level tag, None) in page order. A block is of one innermost element that isn't inline."""
+    own: Block | None = None
+    for kind, what, element in parts(page, elements):
         if kind == "text":
-            words = what.split()
-            if words:
-                items.append((weight * len(words), what if good else None))
-            elif what:
-                items.append((0.0, " "))
-        else:
-            items.append((factor * cost.get(what, -0.1), None if what not in INLINE else " " if what == "br" else ""))
-    if not items:
-        return ""
-    run = np.concatenate([[0.0], np.cumsum([x for x, _ in items])])
+            holder, link, skip = element, False, False
+            while holder is not None and holder.tag in INLINE:
+                link, skip, holder = link or holder.tag == "a", skip or holder.hidden, holder.parent
+            if own is None:
+                own = Block(holder)
+            if not skip:
+                n = len(what.split())
+                own.text.append(what)
+                own.words += n
+                own.links += n if link else 0
+        elif what not in INLINE:
+            if own is not None:
+                yield "", own
+            own = None
+            yield what, None
+        elif what == "br" and own is not None:
+            own.text.append(" ")
+    if own is not None:
+        yield "", own
+
+
+class Weights:
+    """What labelled pages teach: log odds of main text for features of elements and of blocks, and scores of tags."""
+
+    def __init__(self, pages: tuple[str, ...]):
+        rows, tag_in, tag_out = [], Counter(), Counter()
+        for page in pages:
+            main = False
+            for tag, block in blocks(page.replace("[[", "<main-text-start/>").replace("]]", "<main-text-end/>")):
+                if tag in ("main-text-start", "main-text-end"):
+                    main = tag == "main-text-start"
+                elif block is None:
+                    (tag_in if main else tag_out)[tag] += 1
+                elif block.words:
+                    rows.append((block.features(), main and not (block.element is not None and block.element.left_out), block.words))
+        names = sorted(set().union(*(f for f, *_ in rows)))
+        place = {f: i for i, f in enumerate(names)}
+        row, col = np.repeat(np.arange(len(rows)), [len(f) for f, *_ in rows]), np.array([place[x] for f, *_ in rows for x in sorted(f)], int)
+        size = np.sqrt([min(n, 20) for *_, n in rows])
+        w, _ = fit_logistic(Sparse(row, col, np.ones(len(col)), len(rows), len(names)), np.array([main for _, main, _ in rows], float), size, l2=0.1, steps=600, intercept=PRIOR)
+        self.of = {f: float(x) for f, x in zip(names, w, strict=True)}
+        odds = {t: math.log((tag_out[t] + 1) / (tag_in[t] + 1)) / 4 for t in tag_in | tag_out}
+        self.tag = {t: max(TAG_SCORE[0], min(TAG_SCORE[1], -x)) for t, x in odds.items()}
+
+    def element(self, e: Element) -> float:
+        return sum(self.of.get(f, 0.0) for f in e.features)
+
+
+@cache
+def default_weights() -> Weights:
+    return Weights(PAGES)
+
+
+def best_region(scores: np.ndarray) -> tuple[int, int] | None:
+    """(start, end) of the first contiguous region with the highest sum, or None if no sum is above 0."""
+    if not len(scores):
+        return None
+    run = np.concatenate([[0.0], np.cumsum(scores)])
     low = np.minimum.accumulate(run[:-1])
     end = int(np.argmax(run[1:] - low))
-    if run[end + 1] - low[end] <= 0:
+    return (int(np.argmin(run[: end + 1])), end + 1) if run[end + 1] > low[end] else None
+
+
+def extract(page: str | None, weights: Weights | None = None) -> str:
+    """The main text: blocks joined by line feeds, white space inside a block as one space."""
+    weights = weights or default_weights()
+    elements: list[Element] = []
+    items = list(blocks(page or "", elements))
+    judged: dict[Element | None, tuple[float, bool]] = {None: (0.0, False)}  # log odds of all elements from this one outwards, whether any is left out
+    own = [weights.element(e) for e in elements]
+    for e, odds in zip(elements, own, strict=True):
+        if e.tag == "h1" or (odds >= CONTENT and e.tag not in TEXTUAL):
+            at = e.parent
+            while at is not None and not at.holds:
+                at.holds, at = True, at.parent
+    for e, odds in zip(elements, own, strict=True):  # outer elements come first
+        above, out = judged[e.parent]
+        odds = max(0.0, odds) if e.holds else odds  # what holds the main text may be called anything
+        judged[e] = (above + odds, out or e.hidden or (odds <= BOILERPLATE and e.tag not in TEXTUAL))
+    scores, left_out = np.zeros(len(items)), False
+    texts: list[str | None] = [None] * len(items)
+    for i, (tag, block) in enumerate(items):
+        if block is None:
+            scores[i] = 0.0 if left_out else weights.tag.get(tag, TAG_SCORE[0])
+            continue
+        odds, left_out = judged[block.element]
+        if left_out or not block.words:
+            continue
+        texts[i] = "".join(block.text)
+        odds += PRIOR + (weights.of.get("links", 0.0) if block.links >= 0.8 * block.words else 0.0)
+        scores[i] = block.words * min(WORD_SCORE[1], max(WORD_SCORE[0], odds))
+    if (region := best_region(scores)) is None:
         return ""
-    start = int(np.argmin(run[: end + 1]))
-    blocks, own = [], []
-    for score, text in [*items[start : end + 1], (0.0, None)]:
-        if text is None:
-            block = " ".join(_html.unescape("".join(own)).split())
-            if block:
-                blocks.append(block)
-            own = []
-        else:
-            own.append(text)
-    return "\n".join(blocks)
-
-
-def _extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        text = [extract(p) for p in pdf["html"]]
-        yield pd.DataFrame({"id": pdf["id"], "url": pdf["url"], "text": text, "n_chars": np.fromiter(map(len, text), np.int64, len(text))})
-
-
-def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    found = (" ".join(_html.unescape(t).split()) for t in texts[slice(*region)] if t)
+    return "\n".join(b for b in found if b)
+
+
+def _extracted(weights: Weights | None):
+    def extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            text = [extract(p, weights) for p in pdf["html"]]
+            yield pd.DataFrame({"id": pdf["id"], "url": pdf["url"], "text": text, "n_chars": np.fromiter(map(len, text), np.int64, len(text))})
+
+    return extracted
+
+
+def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", labelled: tuple[str, ...] | None = None) -> DataFrame:
     """The main text of every page: ``id_col``, ``url_col``, ``text``, ``n_chars`` (code points); one row for each of ``pages``.
 
-    A null or empty page, or one without any word that scores, has the empty text. Null ids and urls stay; repeated rows
-    each get a row; an empty table gives an empty result. Other columns are ignored.
+    ``labelled`` are pages to learn from, with their main text between [[ and ]]; ``labelled_pages.PAGES`` by default. A
+    null or empty page, or one without any word that scores, has the empty text. Of regions that score alike the first
+    counts. Pages of any length are scanned once, from end to end, a page in one task. Null ids and urls stay; repeated
+    rows each get a row; an empty table gives an empty result. Other columns are ignored.
     """
     kinds = dict(pages.dtypes)
     rows = rows_of(pages, id=id_col, url=missing_as_null(pages, url_col, "string"), html=html_col)
-    out = rows.mapInPandas(_extracted, f"id {kinds[id_col]}, url string, text string, n_chars long")
+    out = rows.mapInPandas(_extracted(Weights(labelled) if labelled else None), f"id {kinds[id_col]}, url string, text string, n_chars long")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")

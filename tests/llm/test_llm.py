@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on small tables with nulls, empty texts, ties, repeats and odd columns."""
 
 import hashlib
+import html
 import math
 import os
 import random
@@ -13,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat, exact_dedup, html_text, katz, knn, mixing, packing, quality, queries, simhash, toxicity
+from sparkloom.llm import chat, exact_dedup, html_text, katz, knn, labelled_pages, mixing, packing, quality, queries, simhash, toxicity
 from sparkloom.llm._shared import staged
 
 DIR = "/root/testdata/sf0.001"
@@ -43,10 +44,46 @@ REPEATED = [*ROWS, ROWS[0], ROWS[0], (None, "no id", None, None, None), (None, R
 
 
 def test_extract_labelled_pages():
-    for page in html_text.LABELLED:
-        inner = page[page.index("[[") + 2 : page.index("]]")]
-        want = " ".join(re.sub(r"<[^>]*>", " ", inner).split())
-        assert html_text.extract(page.replace("[[", "").replace("]]", "")).replace("\n", " ") == want or " ".join(html_text.extract(page.replace("[[", "").replace("]]", "")).split()).replace(" ", "") == want.replace(" ", "")
+    squeeze = lambda t: re.sub(r"\s+", "", t)
+    for page in labelled_pages.PAGES:
+        inner = re.sub(r"(?s)<div [^>]*data-left-out.*?</div>", "", page[page.index("[[") + 2 : page.index("]]")])
+        want = html.unescape(re.sub(r"<[^>]*>", " ", inner))
+        assert squeeze(html_text.extract(page.replace("[[", "").replace("]]", "").replace(" data-left-out", ""))) == squeeze(want)
+
+
+def test_best_region_against_brute_force():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 30):
+        for _ in range(50):
+            x = rng.integers(-4, 5, n).astype(float)
+            sums = {(i, j): x[i:j].sum() for i in range(n) for j in range(i + 1, n + 1)}
+            got = html_text.best_region(x)
+            assert (got is None) == (max(sums.values()) <= 0) and (got is None or sums[got] == max(sums.values()))
+    assert html_text.best_region(np.zeros(0)) is None
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<div><p>Alpha beta gamma.</p></div><div><p>Delta epsilon.</p></div>", "Alpha beta gamma.\nDelta epsilon."),
+        ('<article class="shared-header"><p>hello world again</p></article>', "hello world again"),
+        ('<article><p>One two three.</p><p class="top-story">Leading text.</p></article>', "One two three.\nLeading text."),
+        ("<div>" + '<a href="/">Home page</a> ' * 20 + "</div><article><p>A short text here.</p></article>", "A short text here."),
+        ("<article><header><h1>Title</h1></header><p>Body text here.</p></article>", "Title\nBody text here."),
+        ('<article><p>Seen.</p><p hidden>No</p><div style="color: red; display: none"><p>no</p></div><p>Seen <i aria-hidden="true">x</i>too.</p></article>', "Seen.\nSeen too."),
+        ('<p><a href="/">A link</a> starts this text, which goes on.</p><p>More.</p>', "A link starts this text, which goes on.\nMore."),
+        ('<form id="all"><div class="content"><h1>T</h1><p>A form around the whole page.</p></div></form>', "T\nA form around the whole page."),
+    ],
+)
+def test_extract_probes(page, want):
+    assert html_text.extract(page) == want
+
+
+def test_extract_learns_from_other_pages(spark):
+    own = ('<body><div class="xx">[[<p>main text of some length here</p>]]</div><div class="yy"><p>not the main text at all</p></div></body>',) * 3
+    page = '<body><div class="yy"><p>one two three four five six</p></div><div class="xx"><p>seven</p></div></body>'
+    rows = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    assert html_text.extract_pages(rows, labelled=own).first().text == "seven"
 
 
 def test_extract_unseen_page():
