@@ -41,23 +41,23 @@ TEXTS_AT_ONCE = 1000
 
 
 @contextlib.contextmanager
-def text_batches(spark: SparkSession):
-    """While it holds, jobs send whole texts to Python in small batches."""
+def text_batches(spark: SparkSession, rows: int = TEXTS_AT_ONCE):
+    """While it holds, jobs send ``rows`` rows at once to Python: few, where rows are large."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, str(TEXTS_AT_ONCE))
+    spark.conf.set(key, str(rows))
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as written to the shared folder: lineage ends here, and a lost executor loses nothing."""
+def staged(df: DataFrame, name: str, by: str | None = None, rows: int = TEXTS_AT_ONCE) -> DataFrame:
+    """``df`` as written to the shared folder, partitioned ``by`` a column: lineage ends here, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    with text_batches(spark):
-        df.write.parquet(path)
+    with text_batches(spark, rows):
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,17 +1,20 @@
-"""Scoring by a Katz backoff model: bigrams, then words, then one class for all unknown words.
+"""Scoring by a Katz backoff model: trigrams, then bigrams, then words, then one class for all unknown words.
 
 Counts are Good-Turing discounted, and every context's backoff weight makes its probabilities sum to one exactly. Texts
-are cut into tokens once, in chunks that live in the shared folder. Counts travel as packed blocks of numbers, each
-distinct item of a chunk once: words to the owner of the word, which answers each chunk with counts over the whole
-corpus; then (context, word, document) to the owner of the context, which has all that it needs to discount, normalise
-and score, and returns sums by document. A context that makes up a thousandth of all tokens or more (there are at most a
-thousand) is dealt over all owners by its words, and its totals are added up on the way.
+are cut into tokens once, in chunks that live in the shared folder. A chunk asks for its distinct words, then its distinct
+bigrams, then its distinct trigrams, as packed blocks of numbers that go to owners: of the word, of the bigram's context,
+of the trigram's context. An owner adds up what chunks have counted, writes its part of the order's table, partitioned by
+order in the shared folder, and answers each chunk with counts over the whole corpus and what backing off needs. Each
+token is then scored in its chunk by the recursion. Other texts can be scored later from the tables alone. A context that
+makes up a thousandth of all tokens or more (there are at most a thousand) is dealt over all owners by its words, and its
+totals are added up on the way.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -21,8 +24,10 @@ from pyspark.sql import functions as F
 
 from ._shared import bucketed, even_keys, in_fold, partitions, release_memory, rows_of, staged
 
-#: Tokens in a chunk; counts above LARGE are not discounted; contexts of a HOT-th of all tokens are dealt by word.
-CHUNK, LARGE, HOT = 1_000_000, 5, 1000
+#: Tokens in a chunk; counts above LARGE are not discounted; contexts of a HOT-th of all tokens are dealt by word; entries that an owner spreads out at once.
+CHUNK, LARGE, HOT, SLICE = 500_000, 5, 1000, 400_000
+#: Words in an n-gram.
+ORDER = 3
 #: No word can be a line feed, which stands for the text's end.
 END_TOKEN = b"\n"
 
@@ -33,8 +38,6 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
-    import io
-
     import zstandard
 
     out = io.BytesIO()
@@ -43,8 +46,6 @@ def _pack(**arrays: np.ndarray) -> bytes:
 
 
 def _unpack(data: bytes) -> dict[str, np.ndarray]:
-    import io
-
     import zstandard
 
     with np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(data)), allow_pickle=False) as x:
@@ -52,18 +53,21 @@ def _unpack(data: bytes) -> dict[str, np.ndarray]:
 
 
 def _small(x: np.ndarray) -> np.ndarray:
-    """Whole numbers from 0 in the narrowest type."""
-    top = int(x.max(initial=0))
+    """Whole numbers in the narrowest type."""
+    top, low = int(x.max(initial=0)), int(x.min(initial=0))
+    if low < 0:
+        return x.astype(np.int64)
     return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.int64)
 
 
-def _chunks(keys: list[int]):
-    def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task = TaskContext.get().partitionId()
-        for number, chunk in enumerate(_cut(batches)):
-            yield pd.DataFrame({"part": [keys[task % len(keys)]], "chunk": [f"{task}-{number}"], **{k: [v] for k, v in chunk.items()}})
+def _steps(x: np.ndarray) -> np.ndarray:
+    return _small(np.diff(x, prepend=0))
+
 
-    return chunks
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    task = TaskContext.get().partitionId()
+    for number, chunk in enumerate(_cut(batches)):
+        yield pd.DataFrame({"chunk": [(task << 20) + number], **{k: [v] for k, v in chunk.items()}})
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
@@ -75,7 +79,7 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         words = np.fromiter((xxhash.xxh64_intdigest(w) for w in index), np.uint64, len(index))
         flat = np.concatenate(pieces)
         counts = np.bincount(flat[np.repeat(~np.array(held, bool), lengths)], minlength=len(words))
-        body = _pack(tokens=flat, lengths=np.array(lengths, np.int64), held=np.array(held, bool))
+        body = _pack(tokens=_small(flat), lengths=np.array(lengths, np.int64), held=np.array(held, bool))
         return {"ids": ids, "words": _pack(words=words, counts=_small(counts)), "body": body}
 
     for pdf in batches:
@@ -107,34 +111,6 @@ def _mix(h: np.ndarray, w: np.ndarray | int = 0) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
-def _word_blocks(owners: int):
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for part, chunk, packed in zip(pdf["part"], pdf["chunk"], pdf["words"], strict=True):
-                x = _unpack(packed)
-                owner = _owner(x["words"], owners)
-                order = np.argsort(owner, kind="stable")
-                cuts = np.searchsorted(owner[order], np.arange(owners + 1))
-                for o in range(owners):
-                    own = order[cuts[o] : cuts[o + 1]]
-                    if len(own):
-                        yield pd.DataFrame({"owner": [o], "part": [part], "chunk": [chunk], "block": [_pack(words=x["words"][own], counts=_small(x["counts"][own]))]})
-
-    return blocks
-
-
-def _count_words(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Numbers and corpus counts of each chunk's words, and totals here: tokens, types, types counted 1, 2, ..."""
-    sent = [_unpack(b) for b in pdf["block"]]
-    words, place = np.unique(np.concatenate([x["words"] for x in sent]), return_inverse=True)
-    total = np.bincount(place, np.concatenate([x["counts"] for x in sent]).astype(float), len(words)).astype(np.int64)
-    cuts = np.cumsum([0, *(len(x["words"]) for x in sent)])
-    answers = [_pack(place=_small(place[a:b]), counts=_small(total[place[a:b]])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    ranks = [int((total == r).sum()) for r in range(1, LARGE + 2)]
-    facts = [int(total.sum()), int((total > 0).sum()), *ranks]
-    return pd.DataFrame({"owner": pdf["owner"], "part": pdf["part"], "chunk": pdf["chunk"], "answer": answers, "facts": [facts] + [[0] * len(facts)] * (len(answers) - 1)})
-
-
 def discounts(ranks: list[float]) -> np.ndarray:
     """Factors for counts 0 to LARGE (0 is unused): Katz's from numbers of items counted 1 to LARGE + 1.
 
@@ -154,6 +130,11 @@ def discounts(ranks: list[float]) -> np.ndarray:
     return out
 
 
+def _kept(factor: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Counts after discounting."""
+    return factor[np.where(counts > LARGE, 0, counts)] * counts
+
+
 @dataclass
 class Words:
     """The lowest order: probabilities of words by their count, and of the unknown class, which sum to one."""
@@ -172,104 +153,251 @@ class Words:
 
     def chance(self, counts: np.ndarray) -> np.ndarray:
         c = counts.astype(np.int64)
-        return np.where(c > 0, self.factor[np.where(c > LARGE, 0, c)] * c / max(self.divisor, 1), self.unknown)
+        return np.where(c > 0, _kept(self.factor, c) / max(self.divisor, 1), self.unknown)
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1.0) / (self.total + self.types + 1.0))
 
 
-def _pair_blocks(owners: int, model: Words, train_docs: int):
-    import xxhash
+@dataclass
+class Higher:
+    """An order's discounts, and its hot contexts by number with their facts (as of ``_context_facts``)."""
+
+    factor: np.ndarray
+    names: np.ndarray
+    facts: np.ndarray
+
+
+@dataclass
+class Katz:
+    """What every task needs to know of a model; the rest is in its tables."""
 
-    hot_from = max(1, -(-model.total // HOT))
+    words: Words
+    docs: int
+    owners: int
+    higher: dict[int, Higher] = field(default_factory=dict)
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @property
+    def hot_from(self) -> int:
+        return max(1, -(-self.words.total // HOT))
+
+
+# Words: requests are hashes in order; a word's number is its place with its owner, 0 is the start, -1 a word in no table.
+
+
+def _word_blocks(owners: int):
+    def requests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for chunk, packed, body, answers in zip(pdf["chunk"], pdf["words"], pdf["body"], pdf["answers"], strict=True):
-                yield pd.DataFrame(of_chunk(chunk, _unpack(packed)["words"], _unpack(body), answers), columns=["owner", "chunk", "block"])
+            for chunk, packed in zip(pdf["chunk"], pdf["words"], strict=True):
+                x = _unpack(packed)
+                owner = _owner(x["words"], owners)
+                order = np.lexsort((x["words"], owner))
+                cuts = np.searchsorted(owner[order], np.arange(owners + 1))
+                for o in range(owners):
+                    own = order[cuts[o] : cuts[o + 1]]
+                    if len(own):
+                        yield pd.DataFrame({"owner": [o], "chunk": [chunk], "block": [_pack(words=x["words"][own], times=_small(x["counts"][own]))]})
+
+    return requests
+
+
+def _own_words(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The owner's part of the table, and answers to each chunk: numbers and corpus counts of its words.
+
+    Rows of chunk -1 are the table if there is one; then nothing is counted.
+    """
+    sent = [_unpack(b) for b in pdf["block"]]
+    table = (pdf["chunk"] == -1).to_numpy()
+    words, place = np.unique(np.concatenate([x["words"] for x in sent]), return_inverse=True)
+    times = np.concatenate([x["times"].astype(float) * (t or not table.any()) for x, t in zip(sent, table, strict=True)])
+    total = np.bincount(place, times, len(words)).astype(np.int64)
+    number = np.arange(len(words))
+    if table.any():
+        number = np.full(len(words), -1)
+        for x in (x for x, t in zip(sent, table, strict=True) if t):
+            number[np.searchsorted(words, x["words"])] = np.arange(len(x["words"]))
+    cuts = np.cumsum([0, *(len(x["words"]) for x in sent)])
+    owner = int(pdf["owner"].iloc[0])
+    out = [(owner, int(c), _pack(number=_small(number[place[a:b]]), counts=_small(total[place[a:b]])), None) for c, a, b in zip(pdf["chunk"], cuts[:-1], cuts[1:], strict=True) if c >= 0]
+    if not table.any():
+        facts = [float(total.sum()), float((total > 0).sum()), *(float((total == r).sum()) for r in range(1, LARGE + 2))]
+        out += [(owner, -1, _pack(words=words, times=_small(total)), None), (owner, -2, None, [0.0, *facts])]
+    return pd.DataFrame(out, columns=["owner", "chunk", "block", "facts"])
+
+
+# Higher orders. An entry is a context, its total and the divisor of the context one order down, a word, the word's count
+# one order down, and how often the chunk has it in training texts. Blocks are in the order of contexts and words.
+
+
+@dataclass
+class Entries:
+    """A chunk's distinct n-grams of one order and which of them each token ends; -1 for none."""
+
+    at: np.ndarray
+    context: np.ndarray
+    total: np.ndarray
+    divisor: np.ndarray
+    word: np.ndarray
+    lower: np.ndarray
+    times: np.ndarray
+
+    def owner(self, owners: int, hot_from: int) -> np.ndarray:
+        return _owner(np.where(self.total >= hot_from, _mix(self.context, self.word), _mix(self.context)), owners)
+
+    def order(self, owner: np.ndarray) -> np.ndarray:
+        return np.lexsort((self.word, self.context, owner))
+
+
+def _block(context, total, divisor, word, lower, times, **more) -> bytes:
+    start = np.flatnonzero(np.diff(context, prepend=context[0] - 1))
+    w, wi = np.unique(word, return_inverse=True)
+    return _pack(h=_small(np.append(context[start[:1]], np.diff(context[start]))), hc=_small(total[start]), hd=_small(divisor[start]), runs=_small(np.diff(np.append(start, len(context)))), w=_small(np.append(w[:1], np.diff(w))), wi=_small(wi), lc=_small(lower), times=_small(times), **more)
+
+
+class Chunk:
+    """A chunk's tokens, and what the owners have answered so far."""
+
+    def __init__(self, model: Katz, words: bytes, body: bytes, answers: list[list[tuple[int, bytes]]]):
+        x, known = _unpack(body), _unpack(words)["words"]
+        self.model, self.flat, self.lengths, self.held = model, x["tokens"].astype(np.int64), x["lengths"], x["held"]
+        n, owner = len(known), _owner(known, model.owners)
+        order = np.lexsort((known, owner))
+        cuts = np.searchsorted(owner[order], np.arange(model.owners + 1))
+        # the last one is the start of a text
+        self.number, self.count = np.append(np.full(n, -1), 0), np.append(np.zeros(n, np.int64), model.docs)
+        for o, block in answers[0]:
+            got, own = _unpack(block), order[cuts[o] : cuts[o + 1]]
+            place = got["number"].astype(np.int64)
+            self.number[own] = np.where(place < 0, -1, place * model.owners + o + 1)
+            self.count[own] = got["counts"]
+        self.first = np.cumsum(self.lengths) - self.lengths
+        self.train = np.repeat(~self.held, self.lengths)
+        self.orders = {}
+        for k in range(2, min(len(answers) + 1, ORDER) + 1):
+            self.orders[k] = entries = self.bigrams() if k == 2 else self.trigrams()
+            if k <= len(answers):
+                self.take(k, entries, answers[k - 1])
+
+    def bigrams(self) -> Entries:
+        n = len(self.number)
+        before = np.empty(len(self.flat), np.int64)
+        before[1:] = self.flat[:-1]
+        before[self.first] = n - 1
+        key, at = np.unique(before * n + self.flat, return_inverse=True)
+        h, self.last = np.divmod(key, n)
+        self.before = h
+        return Entries(at, self.number[h], self.count[h], np.zeros(len(key), np.int64), self.number[self.last], self.count[self.last], np.bincount(at, self.train, len(key)).astype(np.int64))
+
+    def trigrams(self) -> Entries:
+        two = self.orders[2].at
+        m = len(self.before)
+        inner = np.ones(len(self.flat), bool)
+        inner[self.first] = False
+        key, place = np.unique(two[np.flatnonzero(inner) - 1] * m + two[inner], return_inverse=True)
+        h, low = np.divmod(key, m)
+        at = np.full(len(self.flat), -1)
+        at[inner] = place
+        self.above = low  # the bigram that each trigram backs off to
+        return Entries(at, self.numbers[h], self.counts[2][h], self.divisors[2][low], self.number[self.last[low]], self.counts[2][low], np.bincount(place, self.train[inner], len(key)).astype(np.int64))
+
+    def take(self, k: int, e: Entries, answers: list[tuple[int, bytes]]) -> None:
+        """Counts of the entries of order k, divisors of their contexts, and chances by the recursion."""
+        if k == 2:
+            self.counts, self.divisors, self.chances = {}, {}, {}
+        model, higher = self.model, self.model.higher[k]
+        owner = e.owner(model.owners, model.hot_from)
+        order = e.order(owner)
+        cuts = np.searchsorted(owner[order], np.arange(model.owners + 1))
+        n = len(e.context)
+        count, number, none, alpha = np.zeros(n, np.int64), np.full(n, -1), np.zeros(n, bool), np.ones(n)
+        for o, block in answers:
+            got, own = _unpack(block), order[cuts[o] : cuts[o + 1]]
+            count[own] = got["counts"]
+            if "number" in got:
+                place = np.cumsum(got["number"].astype(np.int64))
+                number[own] = np.where(got["known"], place * model.owners + o + 1, -1)
+            context = e.context[own]
+            of = np.cumsum(np.diff(context, prepend=context[0] - 1) != 0) - 1  # place of each entry's context in the block
+            none[own] = got["none"][of]
+            if len(got["asked"]):
+                weight = np.ones(int(of[-1]) + 1)
+                start = np.flatnonzero(np.diff(of, prepend=-1))
+                weight[got["asked"]] = backoff(got["facts"], e.total[own][start][got["asked"]].astype(float), higher.factor)[1]
+                alpha[own] = weight[of]
+        hot = np.flatnonzero(e.total >= model.hot_from)
+        if len(hot) and len(higher.names):
+            at = np.minimum(np.searchsorted(higher.names, e.context[hot]), len(higher.names) - 1)
+            found = higher.names[at] == e.context[hot]
+            hot, at = hot[found], at[found]
+            divisor, weight = backoff(higher.facts[at], e.total[hot].astype(float), higher.factor)
+            none[hot], alpha[hot] = divisor > e.total[hot], weight
+        self.numbers, self.counts[k], self.divisors[k] = number, count, e.total + none
+        lower = model.words.chance(self.count[self.last]) if k == 2 else self.chances[k - 1][self.above]
+        # the recursion: an n-gram's own discounted count, or its context's weight times the chance one order down
+        self.chances[k] = np.where(count > 0, _kept(higher.factor, count) / np.maximum(self.divisors[k], 1), alpha * lower)
+
+    def scores(self) -> dict[str, np.ndarray]:
+        doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        value = np.log10(self.chances[2])[self.orders[2].at]
+        top = max(self.chances)
+        if top > 2:
+            at = self.orders[top].at
+            value = np.where(at >= 0, np.log10(self.chances[top])[at] if len(self.chances[top]) else value, value)
+        sums = lambda x: np.bincount(doc, x, len(self.lengths))
+        own = self.count[self.flat]
+        return {"held_out": self.held, "n_tokens": self.lengths, "n_known": sums(own > 0).astype(np.int64), "train_tokens": self.model.words.total, "base_score": sums(self.model.words.base(own)), "score": sums(value)}
+
+
+def _requests(model: Katz, k: int):
+    def requests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                e = Chunk(model, row.words, row.body, _sorted_answers(row, k)).orders[k]
+                owner = e.owner(model.owners, model.hot_from)
+                order = e.order(owner)
+                cuts = np.searchsorted(owner[order], np.arange(model.owners + 1))
+                for o in range(model.owners):
+                    own = order[cuts[o] : cuts[o + 1]]
+                    if len(own):
+                        yield pd.DataFrame({"owner": [o], "chunk": [row.chunk], "block": [_block(e.context[own], e.total[own], e.divisor[own], e.word[own], e.lower[own], e.times[own])]})
                 release_memory()
 
-    def of_chunk(chunk, words, x, answers):
-        # a word's number is its place with its owner; 0 is the start. Contexts and words go by the order of numbers.
-        n, owner = len(words), _owner(words, owners)
-        number, count = np.zeros(n + 1, np.int64), np.append(np.zeros(n, np.int64), train_docs)
-        for a in answers:
-            got, own = _unpack(a["answer"]), owner == a["owner"]
-            number[:n][own] = got["place"].astype(np.int64) * owners + a["owner"] + 1
-            count[:n][own] = got["counts"]
-        flat, lengths, held = x["tokens"], x["lengths"], x["held"]
-        doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-        base = np.bincount(doc, model.base(count)[flat], len(lengths))
-        known = np.bincount(doc, count[flat] > 0, len(lengths)).astype(np.int64)
-        # a document's own figures wait under a negative owner
-        out = [(-1 - xxhash.xxh32_intdigest(chunk) % owners, chunk, _pack(base=base, known=known, lengths=lengths, held=held))]
-        order = np.argsort(number)
-        rank = np.empty(n + 1, np.int64)
-        rank[order] = np.arange(n + 1)
-        number, count = number[order], count[order]
-        key = np.empty(len(flat), np.int64)
-        key[1:] = rank[flat[:-1]]
-        key[np.cumsum(lengths) - lengths] = 0  # the start has the least number
-        key *= n + 1
-        key += rank[flat]
-        key *= len(lengths)
-        key += doc
-        del flat, doc
-        key, times = np.unique(key, return_counts=True)
-        key, of = np.divmod(key, len(lengths))
-        before, word = np.divmod(key, n + 1)
-        of, times = _small(of), _small(times)
-        to = _owner(_mix(number), owners).astype(np.int32)[before]
-        hot = (count >= hot_from)[before]
-        to[hot] = _owner(_mix(number[before[hot]], number[word[hot]]), owners)
-        place = np.argsort(to, kind="stable")
-        cuts = np.searchsorted(to[place], np.arange(owners + 1))
-        for o in range(owners):
-            at = place[cuts[o] : cuts[o + 1]]
-            if len(at):
-                h, hi = np.unique(before[at], return_inverse=True)
-                w, wi = np.unique(word[at], return_inverse=True)
-                runs = np.bincount(hi)  # entries stand in the order of their context
-                steps = {"h": _small(np.diff(number[h], prepend=0)), "w": _small(np.diff(number[w], prepend=0))}
-                out.append((o, chunk, _pack(**steps, hc=_small(count[h]), runs=_small(runs), wc=_small(count[w]), wi=_small(wi), doc=_small(of[at]), times=_small(times[at]), held=held)))
-        return out
+    return requests
+
 
-    return blocks
+def _sorted_answers(row, k: int) -> list[list[tuple[int, bytes]]]:
+    """The answers to a chunk of all orders below k, each by owner; a chunk of single tokens has no trigrams, and so no answers to them."""
+    given = (getattr(row, f"a{i}") for i in range(1, k))
+    return [[] if own is None else sorted((a["owner"], bytes(a["block"])) for a in own) for own in given]
 
 
-#: Entries that an owner spreads out at once.
-SLICE = 200_000
+def _spread(x: dict[str, np.ndarray], a: int, b: int) -> tuple[np.ndarray, ...]:
+    """A block's entries of its contexts a to b."""
+    runs = x["runs"].astype(np.int64)
+    at = np.cumsum(np.append(0, runs))
+    own, of = slice(at[a], at[b]), np.repeat(np.arange(a, b), runs[a:b])
+    return x["h"][of], x["hc"][of].astype(np.int64), x["hd"][of].astype(np.int64), x["w"][x["wi"][own]], x["lc"][own].astype(np.int64), x["times"][own].astype(np.int64)
 
 
-def _slices(blocks: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
-    """An owner's entries, all of a context in one slice: context's count, word's count, context, key, document, times, block, held out."""
-    sent = [_unpack(b) for b in blocks]
+def _slices(sent: list[dict[str, np.ndarray]]) -> Iterator[list[tuple[int, int]]]:
+    """For each block the range of its contexts, slice by slice in the order of contexts, of about SLICE entries at once."""
     for x in sent:
         x["h"], x["w"] = np.cumsum(x["h"], dtype=np.int64), np.cumsum(x["w"], dtype=np.int64)
-        x["slice"] = _mix(x["h"], 1) >> np.uint64(8)
-    many = max(1, -(-sum(len(x["doc"]) for x in sent) // SLICE))
-    for k in range(many):
-        parts = []
-        for i, x in enumerate(sent):
-            ours = x["slice"] % np.uint64(many) == k
-            runs = x["runs"].astype(np.int64)
-            own = np.repeat(ours, runs)
-            h, wi, doc = np.repeat(x["h"][ours], runs[ours]), x["wi"][own], x["doc"][own].astype(np.int64)
-            parts.append((np.repeat(x["hc"][ours], runs[ours]).astype(np.int64), x["wc"][wi].astype(np.int64), h, _mix(h, x["w"][wi]), doc, x["times"][own].astype(np.int64), np.full(len(doc), i, np.int32), x["held"][doc]))
-        joined = tuple(np.concatenate(c) for c in zip(*parts, strict=True))
-        if len(joined[0]):
-            yield joined
-
-
-def _bigrams(joined: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place of each entry's bigram, training count, context and one entry of each bigram)."""
-    _, first, place = np.unique(joined[3], return_index=True, return_inverse=True)
-    count = np.bincount(place, np.where(joined[7], 0, joined[5]).astype(float), len(first)).astype(np.int64)
-    return place, count, joined[2][first], first
+    h = np.concatenate([x["h"] for x in sent])
+    order = np.argsort(h, kind="stable")
+    h, runs = h[order], np.concatenate([x["runs"] for x in sent])[order].astype(np.int64).cumsum()
+    many = max(1, -(-int(runs[-1]) // SLICE))
+    ends = np.unique(h[np.minimum(np.searchsorted(runs, SLICE * np.arange(1, many + 1)), len(h) - 1)])
+    ends[-1] = h[-1]
+    low = [0] * len(sent)
+    for end in ends:
+        high = [int(np.searchsorted(x["h"], end, "right")) for x in sent]
+        yield list(zip(low, high, strict=True))
+        low = high
 
 
 def _context_facts(context: np.ndarray, count: np.ndarray, chance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each context with training bigrams: how many have count 1 .. LARGE, the sum of larger counts, sum of chances."""
+    """For each context with training n-grams: how many have count 1 .. LARGE, the sum of larger counts, sum of chances one order down."""
     seen = count > 0
     names, at = np.unique(context[seen], return_inverse=True)
     facts = np.zeros((len(names), LARGE + 2))
@@ -284,89 +412,91 @@ def _context_facts(context: np.ndarray, count: np.ndarray, chance: np.ndarray) -
 def backoff(facts: np.ndarray, total: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(divisor, backoff weight) for contexts: what discounts leave, over the words that the context hasn't."""
     r = np.arange(1, LARGE + 1)
-    kept = facts[:, :LARGE] @ (factor[1:] * r) + facts[:, LARGE]
-    left = total - kept
-    none = left <= 1e-9 * total  # only large counts: one count is set aside
+    none = ~facts[:, :LARGE].any(1)  # only large counts: one count is set aside
+    left = facts[:, :LARGE] @ ((1 - factor[1:]) * r)
     divisor = total + none
     rest = np.maximum(1 - facts[:, LARGE + 1], 1e-15)
     return divisor, np.where(none, 1.0, left) / divisor / rest
 
 
-def _statistics(model: Words):
-    hot_from = max(1, -(-model.total // HOT))
-
-    def statistics(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["owner"].iloc[0] < 0:
-            return pd.DataFrame(columns=["h", "all", "facts"], dtype=object)
-        ranks, rows = np.zeros(LARGE + 2), []
-        for joined in _slices(list(pdf["block"])):
-            _, count, context, first = _bigrams(joined)
-            ranks[: LARGE + 1] += [(count == r).sum() for r in range(1, LARGE + 2)]
-            hot = joined[0][first] >= hot_from
-            names, facts = _context_facts(context[hot], count[hot], model.chance(joined[1][first][hot]))
-            rows += [(int(n), False, f.tolist()) for n, f in zip(names, facts, strict=True)]
-        return pd.DataFrame([(0, True, ranks.tolist()), *rows], columns=["h", "all", "facts"])
-
-    return statistics
-
-
-def _score(model: Words):
-    hot_from = max(1, -(-model.total // HOT))
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["owner"].iloc[0] < 0:
-            return pdf[["chunk", "owner", "block"]]
-        every, hot_names = np.asarray(pdf["every"].iloc[0], bool), np.asarray(pdf["names"].iloc[0], np.int64)
-        hot_facts = np.asarray(pdf["facts"].iloc[0], float).reshape(len(every), LARGE + 2)
-        factor = discounts(hot_facts[every].sum(0)[: LARGE + 1].tolist())
-        hot_names, hot_facts = hot_names[~every], hot_facts[~every]
-        sums: list[list] = [[] for _ in range(len(pdf))]
-        for joined in _slices(list(pdf["block"])):
-            total, wc, _, _, doc, times, block, _ = joined
-            place, count, context, first = _bigrams(joined)
-            chance = model.chance(wc[first])
+def _own(model: Katz, k: int):
+    hot_from, words, lower = model.hot_from, model.words, model.higher.get(k - 1)
+
+    def own(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The owner's part of the order's table, answers to each chunk, and facts: counts of counts, and of hot contexts.
+
+        Rows of chunk -1 are the table if there is one; then nothing is counted.
+        """
+        sent, owner = [_unpack(b) for b in pdf["block"]], int(pdf["owner"].iloc[0])
+        chunks = pdf["chunk"].to_numpy(np.int64)
+        stored = bool((chunks == -1).any())
+        answers = [{"counts": [], "number": [], "known": [], "none": [], "asked": [], "facts": []} for _ in sent]
+        ranks, offset, out = np.zeros(LARGE + 1), 0, []
+        base = np.zeros(len(sent), np.int64)
+        for ranges in _slices(sent):
+            parts = [_spread(x, a, b) for x, (a, b) in zip(sent, ranges, strict=True)]
+            size = np.array([len(p[0]) for p in parts])
+            context, total, divisor, word, low, times = (np.concatenate(c) for c in zip(*parts, strict=True))
+            names, ci = np.unique(context, return_inverse=True)
+            vocabulary, wi = np.unique(word, return_inverse=True)
+            _, first, place = np.unique(ci * len(vocabulary) + wi, return_index=True, return_inverse=True)
+            if stored:
+                times = times * np.repeat(chunks == -1, size)
+            count = np.bincount(place, times, len(first)).astype(np.int64)
+            number = offset + np.arange(len(first))
+            if stored:
+                number = np.full(len(first), -1)
+                at = 0
+                for i, (x, (a, b)) in enumerate(zip(sent, ranges, strict=True)):
+                    if chunks[i] == -1 and "number" in x:
+                        start = int(x["runs"][:a].sum())
+                        number[place[at : at + size[i]]] = np.cumsum(x["number"].astype(np.int64))[start : start + size[i]]
+                    at += size[i]
+            offset += len(first)
+            low, divisor = low[first], divisor[first]
+            chance = words.chance(low) if k == 2 else _kept(lower.factor, low) / np.maximum(divisor, 1)
             hot = total[first] >= hot_from
-            names, facts = _context_facts(context[~hot], count[~hot], chance[~hot])
-            names, facts = np.concatenate([names, hot_names]), np.vstack([facts, hot_facts])
-            order = np.argsort(names)
-            names, facts = names[order], facts[order]
-            at = np.searchsorted(names, context)
-            hit = at < len(names)
-            hit[hit] = names[at[hit]] == context[hit]
-            divisor, alpha = np.ones(len(context)), np.ones(len(context))
-            divisor[hit], alpha[hit] = backoff(facts[at[hit]], total[first][hit].astype(float), factor)
-            # the recursion, by bigram: its own discounted count, or the context's weight times the word's chance
-            direct = count > 0
-            p = np.where(direct, factor[np.where(count > LARGE, 0, count)] * count / divisor, alpha * chance)
-            value = np.log10(p)[place] * times
-            cuts = np.searchsorted(block, np.arange(len(pdf) + 1))
-            for i in range(len(pdf)):
-                own = slice(cuts[i], cuts[i + 1])
-                docs, back = np.unique(doc[own], return_inverse=True)
-                sums[i].append((docs, np.bincount(back, value[own], len(docs))))
-        out = []
-        for name, own in zip(pdf["chunk"], sums, strict=True):
-            docs, back = np.unique(np.concatenate([d for d, _ in own]), return_inverse=True)
-            out.append((name, int(pdf["owner"].iloc[0]), _pack(docs=_small(docs), sums=np.bincount(back, np.concatenate([v for _, v in own]), len(docs)))))
-        return pd.DataFrame(out, columns=["chunk", "owner", "block"])
-
-    return score
-
-
-def _gather(model: Words):
-    def gather(ids: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, row in ids.iterrows():
-            own = sums.sort_values("owner", kind="stable")
-            facts = _unpack(own["block"].iloc[0])
-            score = np.zeros(len(facts["lengths"]))
-            for block in own["block"].iloc[1:]:
-                x = _unpack(block)
-                score[x["docs"].astype(np.int64)] += x["sums"]
-            out.append(pd.DataFrame({"id": list(row["ids"]), "held_out": facts["held"], "n_tokens": facts["lengths"], "n_known": facts["known"], "train_tokens": model.total, "base_score": facts["base"], "score": score}))
-        return pd.concat(out)
-
-    return gather
+            facts_of, facts = _context_facts(ci[first][~hot], count[~hot], chance[~hot])
+            seen, none = np.zeros(len(names), np.int64) - 1, np.zeros(len(names), bool)
+            seen[facts_of] = np.arange(len(facts_of))
+            none[facts_of] = ~facts[:, :LARGE].any(1)
+            if not stored:
+                ranks += [(count == r).sum() for r in range(1, LARGE + 2)]
+                hot_names, hot_facts = _context_facts(context[first][hot], count[hot], chance[hot])
+                out += [(owner, int(n), None, [2.0, *f]) for n, f in zip(hot_names, hot_facts, strict=True)]
+                keep = count > 0
+                if keep.any():
+                    f = first[keep]
+                    out.append((owner, -1, _block(context[f], total[f], divisor[keep], word[f], low[keep], count[keep], number=_steps(number[keep])), None))
+            at = 0
+            for i, answer in enumerate(answers):
+                entries = place[at : at + size[i]]
+                at += size[i]
+                if chunks[i] == -1 or not len(entries):
+                    base[i] += ranges[i][1] - ranges[i][0]
+                    continue
+                block_ci = ci[at - size[i] : at]
+                start = np.flatnonzero(np.diff(block_ci, prepend=-1))
+                of = block_ci[start]
+                unseen = np.unique(np.repeat(np.arange(len(start)), np.diff(np.append(start, size[i])))[count[entries] == 0])
+                unseen = unseen[seen[of[unseen]] >= 0]
+                answer["counts"].append(count[entries])
+                answer["number"].append(number[entries])
+                answer["none"].append(none[of])
+                answer["asked"].append(unseen + base[i])
+                answer["facts"].append(facts[seen[of[unseen]]])
+                base[i] += len(start)
+        for c, a in zip(chunks, answers, strict=True):
+            if c >= 0:
+                number = np.concatenate(a["number"])
+                numbers = {"number": _steps(np.maximum.accumulate(number)), "known": number >= 0} if k < ORDER else {}
+                facts = np.concatenate(a["facts"])
+                out.append((owner, int(c), _pack(counts=_small(np.concatenate(a["counts"])), none=np.concatenate(a["none"]), asked=_small(np.concatenate(a["asked"])), facts=facts, **numbers), None))
+        if not stored:
+            out.append((owner, -2, None, [1.0, *ranks, 0.0]))
+        return pd.DataFrame(out, columns=["owner", "chunk", "block", "facts"])
+
+    return own
 
 
 def _by_owner(work):
@@ -382,39 +512,108 @@ def _by_owner(work):
     return run
 
 
+def _scores(model: Katz):
+    def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                yield pd.DataFrame({"id": list(row.ids), **Chunk(model, row.words, row.body, _sorted_answers(row, ORDER + 1)).scores()})
+                release_memory()
+
+    return scores
+
+
+@dataclass
+class Fitted:
+    """A model and its tables by order, 1 for words: (owner, chunk, block), in the shared folder."""
+
+    model: Katz
+    tables: dict[int, DataFrame] = field(default_factory=dict)
+
+
+class _Exchange:
+    """Texts in chunks, and the answers to them order by order."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, modulus: int, held: int, owners: int | None = None):
+        self.spark, self.kind = docs.sparkSession, dict(docs.dtypes)[id_col]
+        self.owners = owners or partitions(self.spark)
+        self.keys = even_keys(self.spark, self.owners)
+        self.rows = rows_of(docs, id=id_col, text=text_col, held=in_fold(F.col(f"`{id_col}`"), modulus, held))
+        self.chunks = bucketed(self.rows.mapInPandas(_chunks, f"chunk long, ids array<{self.kind}>, words binary, body binary"), "chunks", "chunk", partitions(self.spark))
+        self.answers: dict[int, DataFrame] = {}
+
+    def told(self) -> DataFrame:
+        """Chunks with all answers so far: for each order an array of (owner, block), no longer than there are owners."""
+        out = self.chunks
+        for k, a in self.answers.items():
+            out = out.join(a.groupBy("chunk").agg(F.collect_list(F.struct("owner", "block")).alias(f"a{k}")).hint("shuffle_hash"), "chunk", "left")
+        return out
+
+    def ask(self, k: int, requests: DataFrame, work, table: DataFrame | None) -> DataFrame:
+        """Requests, and the stored table if there is one, meet at their owners: (owner, chunk, block, facts) by kind: table, answer, facts."""
+        if table is not None:
+            requests = requests.unionByName(table.select("owner", "chunk", "block"))
+        dealt = requests.repartition(self.owners, F.element_at(F.lit(self.keys), F.col("owner") + 1).cast("long"))
+        out = dealt.mapInPandas(_by_owner(work), "owner int, chunk long, block binary, facts array<double>")
+        kind = F.when(F.col("facts").isNotNull(), "facts").when(F.col("chunk") == -1, "table").otherwise("answer")
+        out = staged(out.withColumn("kind", kind), f"order-{k}", by="kind", rows=CHUNKS_AT_ONCE)
+        self.answers[k] = out.where("kind = 'answer'").select("owner", "chunk", "block")
+        return out
+
+    def words(self, table: DataFrame | None = None) -> DataFrame:
+        return self.ask(1, self.chunks.select("chunk", "words").mapInPandas(_word_blocks(self.owners), "owner int, chunk long, block binary"), _own_words, table)
+
+    def order(self, k: int, model: Katz, table: DataFrame | None = None) -> DataFrame:
+        return self.ask(k, self.told().drop("ids").mapInPandas(_requests(model, k), "owner int, chunk long, block binary"), _own(model, k), table)
+
+    def scored(self, model: Katz, id_col: str) -> DataFrame:
+        schema = f"id {self.kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        return staged(self.told().mapInPandas(_scores(model), schema), "scores", rows=CHUNKS_AT_ONCE).withColumnRenamed("id", id_col)
+
+
+#: Chunks that go to Python at once.
+CHUNKS_AT_ONCE = 2
+
+
+def _fit(exchange: _Exchange) -> Fitted:
+    out = exchange.words()
+    total = lambda n: [F.coalesce(F.sum(F.get("facts", F.lit(i + 1))), F.lit(0.0)) for i in range(n)]
+    facts = [int(x) for x in out.where("kind = 'facts'").agg(*total(LARGE + 3)).first()]
+    model = Katz(Words(facts[0], facts[1], facts[2:]), exchange.rows.where("not held").count(), exchange.owners)
+    tables = {1: out.where("kind = 'table'")}
+    for k in range(2, ORDER + 1):
+        out = exchange.order(k, model)
+        tables[k] = out.where("kind = 'table'")
+        # at most HOT + 1 rows: the counts of counts, and the contexts that are a HOT-th of all tokens
+        of = F.get("facts", F.lit(0)).alias("of")
+        added = out.where("kind = 'facts'").groupBy(of, F.when(of == 2, F.col("chunk")).alias("context")).agg(F.array(*total(LARGE + 2)).alias("x")).collect()
+        ranks = [r.x for r in added if r.of == 1]
+        hot = sorted((r.context, r.x) for r in added if r.of == 2)
+        model.higher[k] = Higher(discounts(ranks[0][: LARGE + 1] if ranks else [0.0] * (LARGE + 1)), np.array([h for h, _ in hot], np.int64), np.array([x for _, x in hot]).reshape(len(hot), LARGE + 2))
+    return Fitted(model, tables)
+
+
+def fit_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2) -> Fitted:
+    """Count a Katz model of the rows whose id's crc32, by ``modulus``, doesn't leave ``held``. Nulls and such: see ``score_texts``."""
+    return _fit(_Exchange(docs, id_col, text_col, modulus, held))
+
+
+def score_with(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2) -> DataFrame:
+    """Score any texts from a fitted model's tables; what they return is what ``score_texts`` returns, and they teach nothing."""
+    exchange = _Exchange(docs, id_col, text_col, modulus, held, fitted.model.owners)
+    exchange.words(fitted.tables[1])
+    for k in range(2, ORDER + 1):
+        exchange.order(k, fitted.model, fitted.tables[k])
+    return exchange.scored(fitted.model, id_col)
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2) -> DataFrame:
     """Score every whole text by a Katz model of the rows whose id's crc32, by ``modulus``, doesn't leave ``held``.
 
     Returns ``id_col``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (one-count smoothed
-    words) and ``score`` (log10 probability), one row for each row of ``docs``. A null or empty text is its end alone.
-    Null ids count as the empty text for the fold; repeated rows are counted each time. With nothing to learn from every
-    token is of the unknown class, with score 0. An empty table gives an empty result. Other columns are ignored.
+    words) and ``score`` (log10 probability), one row for each row of ``docs``. A null or empty text is its end alone, and
+    a long one is scored whole. Null ids count as the empty text for the fold; repeated rows are counted each time. With
+    nothing to learn from every token is of the unknown class, with score 0. An empty table gives an empty result. Other
+    columns are ignored. The same as ``score_with(docs, fit_texts(docs))``, with one exchange for both.
     """
-    kind = dict(docs.dtypes)[id_col]
-    owners = partitions(docs.sparkSession)
-    rows = rows_of(docs, id=id_col, text=text_col, held=in_fold(F.col(f"`{id_col}`"), modulus, held))
-    keys = even_keys(docs.sparkSession, owners)
-    place = F.when(F.col("owner") < 0, -1 - F.col("owner")).otherwise(F.col("owner"))
-
-    def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(owners, F.element_at(F.lit(keys), place + 1).cast("long"))
-
-    made = rows.mapInPandas(_chunks(keys), f"part long, chunk string, ids array<{kind}>, words binary, body binary")
-    chunks = bucketed(made, "chunks", "part", owners)
-    sent = dealt(chunks.select("part", "chunk", "words").mapInPandas(_word_blocks(owners), "owner int, part long, chunk string, block binary"))
-    answers = staged(sent.mapInPandas(_by_owner(_count_words), "owner int, part long, chunk string, answer binary, facts array<long>"), "words")
-    facts = answers.agg(*(F.coalesce(F.sum(F.col("facts")[i]), F.lit(0)) for i in range(LARGE + 3))).first()
-    model = Words(int(facts[0]), int(facts[1]), [int(x) for x in facts[2:]])
-    train_docs = rows.where("not held").count()
-    back = answers.groupBy("part").agg(F.collect_list(F.struct("chunk", "owner", "answer")).alias("answers")).hint("shuffle_hash")
-    told = chunks.select("part", "chunk", "words", "body").join(back, "part").withColumn("answers", F.filter("answers", lambda a: a["chunk"] == F.col("chunk")))
-    pairs = dealt(told.select("chunk", "words", "body", "answers").mapInPandas(_pair_blocks(owners, model, train_docs), "owner int, chunk string, block binary"))
-    found = pairs.mapInPandas(_by_owner(_statistics(model)), "h long, all boolean, facts array<double>")
-    added = found.groupBy("all", "h").agg(F.array(*(F.sum(F.col("facts")[i]) for i in range(LARGE + 2))).alias("facts"))
-    # at most HOT + 1 rows: the counts of counts, and the contexts that are a HOT-th of all tokens
-    known = added.agg(F.collect_list(F.struct("h", "all", "facts")).alias("k")).select(F.col("k.h").alias("names"), F.col("k.all").alias("every"), F.flatten("k.facts").alias("facts"))
-    scored = pairs.join(F.broadcast(known)).mapInPandas(_by_owner(_score(model)), "chunk string, owner int, block binary")
-    ids = chunks.select("chunk", "ids")
-    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = ids.groupBy("chunk").cogroup(scored.groupBy("chunk")).applyInPandas(_gather(model), schema)
-    return out.withColumnRenamed("id", id_col)
+    exchange = _Exchange(docs, id_col, text_col, modulus, held)
+    return exchange.scored(_fit(exchange).model, id_col)

@@ -433,50 +433,108 @@ def test_mixing_extremes(spark):
 # 8: language model
 
 
-def brute_katz(rows):
+def good_turing(counts):
+    """Katz's factors for counts 1 to 5, from the definition: r* / r, lowered so that what they free is the share of items seen once."""
+    n = Counter(counts)
+    if all(n[r] for r in range(1, 7)):
+        limit = 6 * n[6] / n[1]
+        d = {r: ((r + 1) * n[r + 1] / n[r] / r - limit) / (1 - limit) for r in range(1, 6)} if limit < 1 else {}
+        if d and all(0 < x < 1 for x in d.values()):
+            return d
+    off = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+    return {r: (r - off) / r for r in range(1, 6)}
+
+
+def brute_katz(rows, texts=None):
+    """Scores of all ``rows``, or of ``texts``, by the model of the training rows: trigrams, bigrams, words."""
     tok = lambda t: ["".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] + ["\n"]
-    train = [tok(t) for i, t, *_ in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
-    one, two = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(["\t", *t], t))
-    ctx = Counter(h for h, _ in two.elements())
-    ranks = lambda c: [sum(v == r for v in c.values()) for r in range(1, 7)]
-    words = katz.Words(sum(one.values()), len(one), ranks(one))
-    factor = katz.discounts(ranks(two))
-    p1 = lambda w: float(words.chance(np.array([one[w]]))[0])
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    grams = lambda t: [(("\t", *t)[max(0, j - 1) : j + 1], t[j]) for j in range(len(t))]  # context of one or two, word
+    train = [tok(t) for i, t, *_ in rows if not held(i)]
+    one = Counter(w for t in train for w in t)
+    two, three = Counter(), Counter()
+    for t in train:
+        for h, w in grams(t):
+            two[h[-1:], w] += 1
+            if len(h) == 2:
+                three[h, w] += 1
+    n = sum(one.values())
+    d1, d2, d3 = (good_turing(c.values()) for c in (one, two, three))
+    freed = sum((1 - d1[c]) * c for c in one.values() if c <= 5)
+    div1, unknown = (n, freed / n) if freed > 0 else (n + 1, 1 / (n + 1))
+    p1 = lambda w: d1.get(one[w], 1) * one[w] / div1 if one[w] else unknown if n else 1.0
     after = defaultdict(dict)
-    for (h, w), c in two.items():
+    for (h, w), c in [*two.items(), *three.items()]:
         after[h][w] = c
-    info = {}
-    for h, own in after.items():
-        kept = sum(c * (factor[c] if c <= 5 else 1) for c in own.values())
-        none = ctx[h] - kept <= 1e-9 * ctx[h]
-        info[h] = (ctx[h] + none, (1.0 if none else ctx[h] - kept) / (ctx[h] + none) / (1 - sum(map(p1, own))))
+    memo = {}
 
-    def p(h, w):
-        c = after[h].get(w, 0) if h in after else 0
-        div, alpha = info.get(h, (1, 1.0))
-        return c * (factor[c] if c <= 5 else 1) / div if c else alpha * p1(w)
+    def info(h):
+        if h not in memo:
+            own, d = after[h], d2 if len(h) == 1 else d3
+            total = sum(own.values())
+            kept = sum(c * d.get(c, 1) for c in own.values())
+            none = all(c > 5 for c in own.values())
+            memo[h] = (total + none, (1.0 if none else total - kept) / (total + none) / (1 - sum(p(h[1:], w) for w in own)))
+        return memo[h]
 
-    for h in [*list(info)[:40], "never seen"]:
-        assert math.isclose(sum(p(h, w) for w in one) + info.get(h, (1, 1.0))[1] * words.unknown, 1.0, rel_tol=1e-9)
-    n, v = sum(one.values()), len(one)
+    def p(h, w):
+        if not h:
+            return p1(w)
+        if h not in after:
+            return p(h[1:], w)
+        div, alpha = info(h)
+        c = after[h].get(w, 0)
+        return c * (d2 if len(h) == 1 else d3).get(c, 1) / div if c else alpha * p(h[1:], w)
+
+    for h in [*list(after)[:40], *list(after)[-40:], ("never seen",)]:
+        assert math.isclose(sum(p(h, w) for w in [*one, "never seen"]), 1.0, rel_tol=1e-9)
     out = []
-    for i, t, *_ in rows:
+    for i, t, *_ in rows if texts is None else texts:
         own = tok(t)
-        score = sum(math.log10(p(h, w)) for h, w in zip(["\t", *own], own))
-        out.append((i, zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2, len(own), sum(one[w] > 0 for w in own), n, sum(math.log10((one[w] + 1) / (n + v + 1)) for w in own), score))
+        score = sum(math.log10(p(h, w)) for h, w in grams(own))
+        out.append((i, held(i), len(own), sum(one[w] > 0 for w in own), n, sum(math.log10((one[w] + 1) / (n + len(one) + 1)) for w in own), score))
     return out
 
 
-@pytest.mark.parametrize("rows", [REPEATED, [(i, t) for i, t in enumerate(texts(300, 8))], [(1, "a"), (2, None)]])
-def test_katz(spark, rows):
-    got = sorted(map(tuple, katz.score_texts(docs_of(spark, rows).repartition(3)).collect()), key=str)
-    want = sorted(brute_katz(rows), key=str)
+def check_katz(got, want):
     key = lambda r: (str(r[0]), r[2], round(r[5], 6))
-    for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+    for g, w in zip(sorted(map(tuple, got.collect()), key=key), sorted(want, key=key), strict=True):
         assert g[:5] == w[:5] and math.isclose(g[5], w[5], rel_tol=1e-9) and math.isclose(g[6], w[6], rel_tol=1e-9, abs_tol=1e-9)
 
 
-def test_katz_extremes(spark, monkeypatch):
+@pytest.mark.parametrize("rows", [REPEATED, [(i, t) for i, t in enumerate(texts(300, 8))], [(1, "a"), (2, None)]])
+def test_katz(spark, rows):
+    check_katz(katz.score_texts(docs_of(spark, rows).repartition(3)), brute_katz(rows))
+
+
+def test_katz_from_its_tables(spark, monkeypatch):
+    monkeypatch.setattr(katz, "SLICE", 50)  # on the driver only: tasks keep theirs
+    rows = [(i, t) for i, t in enumerate(texts(60, 8))]
+    fitted = katz.fit_texts(docs_of(spark, rows))
+    other = [*rows[:5], (3, "w1 w2 never seen w1 w2 w3 w4"), (4, "all new words here"), (5, None), (None, "The w1")]
+    check_katz(katz.score_with(docs_of(spark, other), fitted), brute_katz(rows, other))
+
+
+def test_katz_slices(monkeypatch):
+    """An owner gives the same answers whatever it spreads out at once."""
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    model = katz.Katz(katz.Words(10_000, 50, [9, 7, 5, 4, 3, 2]), 10, 1)
+    blocks = []
+    for _ in range(3):
+        pairs = np.unique(rng.integers(0, 30, (200, 2)), axis=0)
+        blocks.append(katz._block(pairs[:, 0], np.full(len(pairs), 9), np.zeros(len(pairs), int), pairs[:, 1], pairs[:, 1] % 7, rng.integers(0, 3, len(pairs))))
+    pdf = pd.DataFrame({"owner": 0, "chunk": [0, 1, 2], "block": blocks})
+    out = []
+    for size in (10**6, 40, 1):
+        monkeypatch.setattr(katz, "SLICE", size)
+        got = katz._own(model, 2)(pdf)
+        out.append([{k: v.tolist() for k, v in katz._unpack(b).items()} for b in got[got["chunk"] >= 0]["block"]] + got[got["chunk"] == -2]["facts"].tolist())
+    assert out[0] == out[1] == out[2]
+
+
+def test_katz_extremes(spark):
     assert katz.score_texts(docs_of(spark, [])).count() == 0
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     assert tuple(katz.score_texts(docs_of(spark, [(held, "a b")])).first()) == (held, True, 3, 0, 0, 0.0, 0.0)
