@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import exact_dedup, mixing, packing, simhash, toxicity
-from sparkloom.llm._shared import RowStore, free_name, shared_path
+from sparkloom.llm._shared import RowStore, free_name, shared_path, writing
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,6 +63,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = shared_path(spark, f"pipeline-{name.replace(' ', '-').lower()}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        made = stage(spark, docs, sf_dir)
+        with writing(spark):
+            made.write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -41,22 +41,24 @@ TEXTS_AT_ONCE = 1000
 
 
 @contextlib.contextmanager
-def text_batches(spark: SparkSession, rows: int = TEXTS_AT_ONCE):
-    """While it holds, jobs send ``rows`` rows at once to Python: few, where rows are large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def writing(spark: SparkSession, rows: int = TEXTS_AT_ONCE):
+    """For jobs that write a table: ``rows`` rows at once go to Python, few where rows are large, and shuffle files go when the job is done."""
+    own = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def staged(df: DataFrame, name: str, by: str | None = None, rows: int = TEXTS_AT_ONCE) -> DataFrame:
     """``df`` as written to the shared folder, partitioned ``by`` a column: lineage ends here, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    with text_batches(spark, rows):
+    with writing(spark, rows):
         (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -129,7 +131,7 @@ def even_keys(spark: SparkSession, n: int) -> list[int]:
 def bucketed(df: DataFrame, name: str, by: str, n: int) -> DataFrame:
     """``df`` as a table in the shared folder, in n buckets by a bigint column: joins and groups by it need no shuffle."""
     table = f"{name}_{uuid.uuid4().hex}"
-    with text_batches(df.sparkSession):
+    with writing(df.sparkSession):
         df.write.bucketBy(n, by).option("path", shared_path(df.sparkSession, name)).saveAsTable(table)
     _tables.append((df.sparkSession, table))
     return df.sparkSession.table(table)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ._shared import bucketed, even_keys, in_fold, partitions, release_memory, rows_of, staged
 
 #: Tokens in a chunk; counts above LARGE are not discounted; contexts of a HOT-th of all tokens are dealt by word; entries that an owner spreads out at once.
-CHUNK, LARGE, HOT, SLICE = 500_000, 5, 1000, 400_000
+CHUNK, LARGE, HOT, SLICE = 750_000, 5, 1000, 400_000
 #: Words in an n-gram.
 ORDER = 3
 #: No word can be a line feed, which stands for the text's end.
@@ -225,8 +225,8 @@ def _own_words(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["owner", "chunk", "block", "facts"])
 
 
-# Higher orders. An entry is a context, its total and the divisor of the context one order down, a word, the word's count
-# one order down, and how often the chunk has it in training texts. Blocks are in the order of contexts and words.
+# Higher orders. An entry is a context, a word, the count of what it backs off to, and how often the chunk has it in
+# training texts. Blocks are in the order of contexts and words.
 
 
 @dataclass
@@ -248,10 +248,13 @@ class Entries:
         return np.lexsort((self.word, self.context, owner))
 
 
-def _block(context, total, divisor, word, lower, times, **more) -> bytes:
+def _block(k: int, context: np.ndarray, hot: np.ndarray, word: np.ndarray, lower: np.ndarray, times: np.ndarray, **more: np.ndarray) -> bytes:
+    """Entries packed: each context and each word once; ``hot`` are the places of hot contexts. A word's own count goes with the word."""
     start = np.flatnonzero(np.diff(context, prepend=context[0] - 1))
-    w, wi = np.unique(word, return_inverse=True)
-    return _pack(h=_small(np.append(context[start[:1]], np.diff(context[start]))), hc=_small(total[start]), hd=_small(divisor[start]), runs=_small(np.diff(np.append(start, len(context)))), w=_small(np.append(w[:1], np.diff(w))), wi=_small(wi), lc=_small(lower), times=_small(times), **more)
+    w, first, wi = np.unique(word, return_index=True, return_inverse=True)
+    of = {"wc": _small(lower[first])} if k == 2 else {"lc": _small(lower)}
+    ends = np.diff(np.append(start, len(context)))
+    return _pack(h=_small(np.append(context[:1], np.diff(context[start]))), hot=_small(np.flatnonzero(hot[start])), runs=_small(ends), w=_small(np.append(w[:1], np.diff(w))), wi=_small(wi), times=_small(times), **of, **more)
 
 
 class Chunk:
@@ -286,7 +289,7 @@ class Chunk:
         key, at = np.unique(before * n + self.flat, return_inverse=True)
         h, self.last = np.divmod(key, n)
         self.before = h
-        return Entries(at, self.number[h], self.count[h], np.zeros(len(key), np.int64), self.number[self.last], self.count[self.last], np.bincount(at, self.train, len(key)).astype(np.int64))
+        return Entries(at, self.number[h], self.count[h], np.ones(len(key), np.int64), self.number[self.last], self.count[self.last], np.bincount(at, self.train, len(key)).astype(np.int64))
 
     def trigrams(self) -> Entries:
         two = self.orders[2].at
@@ -322,14 +325,15 @@ class Chunk:
             if len(got["asked"]):
                 weight = np.ones(int(of[-1]) + 1)
                 start = np.flatnonzero(np.diff(of, prepend=-1))
-                weight[got["asked"]] = backoff(got["facts"], e.total[own][start][got["asked"]].astype(float), higher.factor)[1]
+                asked = own[start[got["asked"]]]
+                weight[got["asked"]] = backoff(got["facts"], e.total[asked], e.divisor[asked], higher.factor)[1]
                 alpha[own] = weight[of]
         hot = np.flatnonzero(e.total >= model.hot_from)
         if len(hot) and len(higher.names):
             at = np.minimum(np.searchsorted(higher.names, e.context[hot]), len(higher.names) - 1)
             found = higher.names[at] == e.context[hot]
             hot, at = hot[found], at[found]
-            divisor, weight = backoff(higher.facts[at], e.total[hot].astype(float), higher.factor)
+            divisor, weight = backoff(higher.facts[at], e.total[hot], e.divisor[hot], higher.factor)
             none[hot], alpha[hot] = divisor > e.total[hot], weight
         self.numbers, self.counts[k], self.divisors[k] = number, count, e.total + none
         lower = model.words.chance(self.count[self.last]) if k == 2 else self.chances[k - 1][self.above]
@@ -359,7 +363,7 @@ def _requests(model: Katz, k: int):
                 for o in range(model.owners):
                     own = order[cuts[o] : cuts[o + 1]]
                     if len(own):
-                        yield pd.DataFrame({"owner": [o], "chunk": [row.chunk], "block": [_block(e.context[own], e.total[own], e.divisor[own], e.word[own], e.lower[own], e.times[own])]})
+                        yield pd.DataFrame({"owner": [o], "chunk": [row.chunk], "block": [_block(k, e.context[own], e.total[own] >= model.hot_from, e.word[own], e.lower[own], e.times[own])]})
                 release_memory()
 
     return requests
@@ -372,11 +376,14 @@ def _sorted_answers(row, k: int) -> list[list[tuple[int, bytes]]]:
 
 
 def _spread(x: dict[str, np.ndarray], a: int, b: int) -> tuple[np.ndarray, ...]:
-    """A block's entries of its contexts a to b."""
+    """A block's entries of its contexts a to b: context, whether it is hot, word, count of what it backs off to, times."""
     runs = x["runs"].astype(np.int64)
     at = np.cumsum(np.append(0, runs))
     own, of = slice(at[a], at[b]), np.repeat(np.arange(a, b), runs[a:b])
-    return x["h"][of], x["hc"][of].astype(np.int64), x["hd"][of].astype(np.int64), x["w"][x["wi"][own]], x["lc"][own].astype(np.int64), x["times"][own].astype(np.int64)
+    hot = np.zeros(len(runs), bool)
+    hot[x["hot"]] = True
+    wi = x["wi"][own]
+    return x["h"][of], hot[of], x["w"][wi], (x["wc"][wi] if "wc" in x else x["lc"][own]).astype(np.int64), x["times"][own].astype(np.int64)
 
 
 def _slices(sent: list[dict[str, np.ndarray]]) -> Iterator[list[tuple[int, int]]]:
@@ -397,7 +404,7 @@ def _slices(sent: list[dict[str, np.ndarray]]) -> Iterator[list[tuple[int, int]]
 
 
 def _context_facts(context: np.ndarray, count: np.ndarray, chance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each context with training n-grams: how many have count 1 .. LARGE, the sum of larger counts, sum of chances one order down."""
+    """For each context with training n-grams: how many have count 1 .. LARGE, the sum of larger counts, sum of chances one order down (without their divisor)."""
     seen = count > 0
     names, at = np.unique(context[seen], return_inverse=True)
     facts = np.zeros((len(names), LARGE + 2))
@@ -409,18 +416,18 @@ def _context_facts(context: np.ndarray, count: np.ndarray, chance: np.ndarray) -
     return names, facts
 
 
-def backoff(facts: np.ndarray, total: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(divisor, backoff weight) for contexts: what discounts leave, over the words that the context hasn't."""
+def backoff(facts: np.ndarray, total: np.ndarray, lower: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(divisor, backoff weight) for contexts: what discounts leave, over the words that the context hasn't; lower: the divisor one order down."""
     r = np.arange(1, LARGE + 1)
     none = ~facts[:, :LARGE].any(1)  # only large counts: one count is set aside
     left = facts[:, :LARGE] @ ((1 - factor[1:]) * r)
     divisor = total + none
-    rest = np.maximum(1 - facts[:, LARGE + 1], 1e-15)
+    rest = np.maximum(1 - facts[:, LARGE + 1] / lower, 1e-15)
     return divisor, np.where(none, 1.0, left) / divisor / rest
 
 
 def _own(model: Katz, k: int):
-    hot_from, words, lower = model.hot_from, model.words, model.higher.get(k - 1)
+    words, lower = model.words, model.higher.get(k - 1)
 
     def own(pdf: pd.DataFrame) -> pd.DataFrame:
         """The owner's part of the order's table, answers to each chunk, and facts: counts of counts, and of hot contexts.
@@ -436,7 +443,7 @@ def _own(model: Katz, k: int):
         for ranges in _slices(sent):
             parts = [_spread(x, a, b) for x, (a, b) in zip(sent, ranges, strict=True)]
             size = np.array([len(p[0]) for p in parts])
-            context, total, divisor, word, low, times = (np.concatenate(c) for c in zip(*parts, strict=True))
+            context, hot, word, low, times = (np.concatenate(c) for c in zip(*parts, strict=True))
             names, ci = np.unique(context, return_inverse=True)
             vocabulary, wi = np.unique(word, return_inverse=True)
             _, first, place = np.unique(ci * len(vocabulary) + wi, return_index=True, return_inverse=True)
@@ -453,9 +460,9 @@ def _own(model: Katz, k: int):
                         number[place[at : at + size[i]]] = np.cumsum(x["number"].astype(np.int64))[start : start + size[i]]
                     at += size[i]
             offset += len(first)
-            low, divisor = low[first], divisor[first]
-            chance = words.chance(low) if k == 2 else _kept(lower.factor, low) / np.maximum(divisor, 1)
-            hot = total[first] >= hot_from
+            low, hot = low[first], hot[first]
+            # chances one order down, but for their divisor: that is the same in all of a context, and the chunk has it
+            chance = words.chance(low) if k == 2 else _kept(lower.factor, low)
             facts_of, facts = _context_facts(ci[first][~hot], count[~hot], chance[~hot])
             seen, none = np.zeros(len(names), np.int64) - 1, np.zeros(len(names), bool)
             seen[facts_of] = np.arange(len(facts_of))
@@ -467,7 +474,7 @@ def _own(model: Katz, k: int):
                 keep = count > 0
                 if keep.any():
                     f = first[keep]
-                    out.append((owner, -1, _block(context[f], total[f], divisor[keep], word[f], low[keep], count[keep], number=_steps(number[keep])), None))
+                    out.append((owner, -1, _block(k, context[f], hot[keep], word[f], low[keep], count[keep], number=_steps(number[keep])), None))
             at = 0
             for i, answer in enumerate(answers):
                 entries = place[at : at + size[i]]

@@ -524,7 +524,7 @@ def test_katz_slices(monkeypatch):
     blocks = []
     for _ in range(3):
         pairs = np.unique(rng.integers(0, 30, (200, 2)), axis=0)
-        blocks.append(katz._block(pairs[:, 0], np.full(len(pairs), 9), np.zeros(len(pairs), int), pairs[:, 1], pairs[:, 1] % 7, rng.integers(0, 3, len(pairs))))
+        blocks.append(katz._block(2, pairs[:, 0], np.zeros(len(pairs), bool), pairs[:, 1], pairs[:, 1] % 7, rng.integers(0, 3, len(pairs))))
     pdf = pd.DataFrame({"owner": 0, "chunk": [0, 1, 2], "block": blocks})
     out = []
     for size in (10**6, 40, 1):
