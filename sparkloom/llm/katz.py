@@ -1,4 +1,4 @@
-"""Scoring by a Katz backoff model: trigrams, then bigrams, then words, then one class for all unknown words.
+"""Scoring by a Katz backoff model: trigrams (if asked for), then bigrams, then words, then one class for all unknown words.
 
 Counts are Good-Turing discounted, and every context's backoff weight makes its probabilities sum to one exactly. Texts
 are cut into tokens once, in chunks that live in the shared folder. A chunk asks for its distinct words, then its distinct
@@ -26,8 +26,8 @@ from ._shared import bucketed, even_keys, in_fold, partitions, release_memory, r
 
 #: Tokens in a chunk; counts above LARGE are not discounted; contexts of a HOT-th of all tokens are dealt by word; entries that an owner spreads out at once.
 CHUNK, LARGE, HOT, SLICE = 750_000, 5, 1000, 400_000
-#: Words in an n-gram.
-ORDER = 3
+#: Words in an n-gram; 3 is the most.
+ORDER = 2
 #: No word can be a line feed, which stands for the text's end.
 END_TOKEN = b"\n"
 
@@ -175,6 +175,7 @@ class Katz:
     words: Words
     docs: int
     owners: int
+    order: int = ORDER
     higher: dict[int, Higher] = field(default_factory=dict)
 
     @property
@@ -276,7 +277,7 @@ class Chunk:
         self.first = np.cumsum(self.lengths) - self.lengths
         self.train = np.repeat(~self.held, self.lengths)
         self.orders = {}
-        for k in range(2, min(len(answers) + 1, ORDER) + 1):
+        for k in range(2, min(len(answers) + 1, model.order) + 1):
             self.orders[k] = entries = self.bigrams() if k == 2 else self.trigrams()
             if k <= len(answers):
                 self.take(k, entries, answers[k - 1])
@@ -496,7 +497,7 @@ def _own(model: Katz, k: int):
         for c, a in zip(chunks, answers, strict=True):
             if c >= 0:
                 number = np.concatenate(a["number"])
-                numbers = {"number": _steps(np.maximum.accumulate(number)), "known": number >= 0} if k < ORDER else {}
+                numbers = {"number": _steps(np.maximum.accumulate(number)), "known": number >= 0} if k < model.order else {}
                 facts = np.concatenate(a["facts"])
                 out.append((owner, int(c), _pack(counts=_small(np.concatenate(a["counts"])), none=np.concatenate(a["none"]), asked=_small(np.concatenate(a["asked"])), facts=facts, **numbers), None))
         if not stored:
@@ -523,7 +524,7 @@ def _scores(model: Katz):
     def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                yield pd.DataFrame({"id": list(row.ids), **Chunk(model, row.words, row.body, _sorted_answers(row, ORDER + 1)).scores()})
+                yield pd.DataFrame({"id": list(row.ids), **Chunk(model, row.words, row.body, _sorted_answers(row, model.order + 1)).scores()})
                 release_memory()
 
     return scores
@@ -581,13 +582,15 @@ class _Exchange:
 CHUNKS_AT_ONCE = 2
 
 
-def _fit(exchange: _Exchange) -> Fitted:
+def _fit(exchange: _Exchange, order: int) -> Fitted:
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     out = exchange.words()
     total = lambda n: [F.coalesce(F.sum(F.get("facts", F.lit(i + 1))), F.lit(0.0)) for i in range(n)]
     facts = [int(x) for x in out.where("kind = 'facts'").agg(*total(LARGE + 3)).first()]
-    model = Katz(Words(facts[0], facts[1], facts[2:]), exchange.rows.where("not held").count(), exchange.owners)
+    model = Katz(Words(facts[0], facts[1], facts[2:]), exchange.rows.where("not held").count(), exchange.owners, order)
     tables = {1: out.where("kind = 'table'")}
-    for k in range(2, ORDER + 1):
+    for k in range(2, order + 1):
         out = exchange.order(k, model)
         tables[k] = out.where("kind = 'table'")
         # at most HOT + 1 rows: the counts of counts, and the contexts that are a HOT-th of all tokens
@@ -599,22 +602,22 @@ def _fit(exchange: _Exchange) -> Fitted:
     return Fitted(model, tables)
 
 
-def fit_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2) -> Fitted:
-    """Count a Katz model of the rows whose id's crc32, by ``modulus``, doesn't leave ``held``. Nulls and such: see ``score_texts``."""
-    return _fit(_Exchange(docs, id_col, text_col, modulus, held))
+def fit_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2, order: int = ORDER) -> Fitted:
+    """Count a Katz model of n-grams up to ``order`` words, from the rows whose id's crc32, by ``modulus``, doesn't leave ``held``. Nulls and such: see ``score_texts``."""
+    return _fit(_Exchange(docs, id_col, text_col, modulus, held), order)
 
 
 def score_with(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2) -> DataFrame:
     """Score any texts from a fitted model's tables; what they return is what ``score_texts`` returns, and they teach nothing."""
     exchange = _Exchange(docs, id_col, text_col, modulus, held, fitted.model.owners)
     exchange.words(fitted.tables[1])
-    for k in range(2, ORDER + 1):
+    for k in range(2, fitted.model.order + 1):
         exchange.order(k, fitted.model, fitted.tables[k])
     return exchange.scored(fitted.model, id_col)
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2) -> DataFrame:
-    """Score every whole text by a Katz model of the rows whose id's crc32, by ``modulus``, doesn't leave ``held``.
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2, order: int = ORDER) -> DataFrame:
+    """Score every whole text by a Katz model of n-grams up to ``order`` words, 2 or 3, from the rows whose id's crc32, by ``modulus``, doesn't leave ``held``.
 
     Returns ``id_col``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (one-count smoothed
     words) and ``score`` (log10 probability), one row for each row of ``docs``. A null or empty text is its end alone, and
@@ -623,4 +626,4 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns are ignored. The same as ``score_with(docs, fit_texts(docs))``, with one exchange for both.
     """
     exchange = _Exchange(docs, id_col, text_col, modulus, held)
-    return exchange.scored(_fit(exchange).model, id_col)
+    return exchange.scored(_fit(exchange, order).model, id_col)

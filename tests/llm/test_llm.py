@@ -445,11 +445,11 @@ def good_turing(counts):
     return {r: (r - off) / r for r in range(1, 6)}
 
 
-def brute_katz(rows, texts=None):
+def brute_katz(rows, texts=None, order=3):
     """Scores of all ``rows``, or of ``texts``, by the model of the training rows: trigrams, bigrams, words."""
     tok = lambda t: ["".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] + ["\n"]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
-    grams = lambda t: [(("\t", *t)[max(0, j - 1) : j + 1], t[j]) for j in range(len(t))]  # context of one or two, word
+    grams = lambda t: [(("\t", *t)[max(0, j + 2 - order) : j + 1], t[j]) for j in range(len(t))]  # context of one or two, word
     train = [tok(t) for i, t, *_ in rows if not held(i)]
     one = Counter(w for t in train for w in t)
     two, three = Counter(), Counter()
@@ -502,15 +502,16 @@ def check_katz(got, want):
         assert g[:5] == w[:5] and math.isclose(g[5], w[5], rel_tol=1e-9) and math.isclose(g[6], w[6], rel_tol=1e-9, abs_tol=1e-9)
 
 
+@pytest.mark.parametrize("order", [2, 3])
 @pytest.mark.parametrize("rows", [REPEATED, [(i, t) for i, t in enumerate(texts(300, 8))], [(1, "a"), (2, None)]])
-def test_katz(spark, rows):
-    check_katz(katz.score_texts(docs_of(spark, rows).repartition(3)), brute_katz(rows))
+def test_katz(spark, rows, order):
+    check_katz(katz.score_texts(docs_of(spark, rows).repartition(3), order=order), brute_katz(rows, order=order))
 
 
 def test_katz_from_its_tables(spark, monkeypatch):
     monkeypatch.setattr(katz, "SLICE", 50)  # on the driver only: tasks keep theirs
     rows = [(i, t) for i, t in enumerate(texts(60, 8))]
-    fitted = katz.fit_texts(docs_of(spark, rows))
+    fitted = katz.fit_texts(docs_of(spark, rows), order=3)
     other = [*rows[:5], (3, "w1 w2 never seen w1 w2 w3 w4"), (4, "all new words here"), (5, None), (None, "The w1")]
     check_katz(katz.score_with(docs_of(spark, other), fitted), brute_katz(rows, other))
 
