@@ -61,8 +61,8 @@ def parse_date(c: Column | str) -> Column:
 
 
 def is_date(c: Column | str) -> Column:
-    text = as_column(c)
-    return F.coalesce(text.rlike(r"^\d{4}-\d{2}-\d{2}|^\d{1,2}/\d{1,2}/\d{4}|^\d{4}/\d{1,2}/\d{1,2}"), F.lit(False))
+    """Whether text starts like a date, with months and days of two digits."""
+    return F.coalesce(trim_text(as_column(c).cast("string")).rlike(r"^\d{4}-\d{2}-\d{2}|^\d{2}/\d{2}/\d{4}|^\d{4}/\d{2}/\d{2}"), F.lit(False))
 
 
 def epoch_ms(c: Column | str) -> Column:

@@ -7,17 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.coerce import safe_percent, trim_text
+from ..functions.coerce import is_numeric_type, safe_percent, trim_text
 from .ordering import CHUNK, with_row_index
 
 
-def is_missing(v: Column, include_zero: bool = True, include_empty: bool = True) -> Column:
-    """Null; blank text if ``include_empty``; exactly 0 if ``include_zero``. v: the value as text."""
+def is_missing(v: Column, include_zero: bool = True, include_empty: bool = True, number: bool = False) -> Column:
+    """Null; blank text if ``include_empty``; the number 0 or the text 0 if ``include_zero``. v: the value as text, or a ``number``."""
     out = v.isNull()
-    if include_empty:
+    if include_empty and not number:
         out = out | (trim_text(v) == "")
     if include_zero:
-        out = out | v.isin("0", "0.0")
+        out = out | F.coalesce(v == (0 if number else "0"), F.lit(False))
     return out
 
 
@@ -27,14 +27,16 @@ def missing_flags(df: DataFrame, columns: Sequence[str], order_by: Sequence[str]
     Chunks of the index are worked on apart; what a chunk ends with is carried into the next ones.
     """
     indexed = with_row_index(df, order_by)
-    long = indexed.select("row_index", F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns))))
-    long = long.withColumn("missing", is_missing(F.col("value"), include_zero, include_empty)).withColumn("chunk", F.floor(F.col("row_index") / chunk).cast("long"))
+    kinds = {f.name: is_numeric_type(f.dataType) for f in df.schema}
+    absent = {c: is_missing(F.col(f"`{c}`") if kinds[c] else F.col(f"`{c}`").cast("string"), include_zero, include_empty, kinds[c]) for c in columns}
+    cells = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value"), absent[c].alias("missing")) for c in columns))
+    long = indexed.select("row_index", F.inline(cells)).withColumn("chunk", F.floor(F.col("row_index") / chunk).cast("long"))
     valid = F.when(~F.col("missing"), F.struct(F.col("row_index").alias("at"), F.col("value").alias("v")))
     ends = long.groupBy("column_name", "chunk").agg(F.max(valid).alias("end"))
     carried = ends.withColumn("carry", F.max("end").over(Window.partitionBy("column_name").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))).drop("end")
     inside = Window.partitionBy("column_name", "chunk").orderBy("row_index").rowsBetween(Window.unboundedPreceding, -1)
     before = F.last(valid, ignorenulls=True).over(inside)
-    placed = long.withColumn("own", before).join(F.broadcast(carried) if chunk == CHUNK else carried, ["column_name", "chunk"], "left")
+    placed = long.withColumn("own", before).join(carried, ["column_name", "chunk"], "left")
     last = F.coalesce("own", "carry")
     return placed.select("column_name", "row_index", "value", "missing", last["at"].alias("valid_at"), last["v"].alias("previous"))
 

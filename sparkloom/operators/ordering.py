@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
+
+from ..sources.scratch import scratch_path
 
 #: Rows of a series that one task orders.
 CHUNK = 1_000_000
@@ -15,20 +16,19 @@ CHUNK = 1_000_000
 def with_row_index(df: DataFrame, order_by: Sequence[str | Column], name: str = "row_index") -> DataFrame:
     """Each row's position from 0 in the order of ``order_by``.
 
-    The rows are sorted over all partitions; one number for each partition is brought together, and a row's index is
+    The rows are sorted over all partitions and written once to the shared folder; one number for each partition is brought together, and a row's index is
     its partition's offset plus its place in there.
     """
-    at = F.monotonically_increasing_id()
-    placed = df.orderBy(*order_by).withColumn("__at", at).persist(StorageLevel.DISK_ONLY)
-    sizes = placed.groupBy(F.shiftright("__at", 33).alias("p")).count().collect()
-    offsets, total = {}, 0
-    for p, n in sorted(sizes):
-        offsets[p] = total
-        total += n
-    if not offsets:
-        return placed.drop("__at").withColumn(name, F.lit(0).cast("long"))
-    of = F.create_map(*(F.lit(x).cast("long") for pair in offsets.items() for x in pair))
-    return placed.withColumn(name, of[F.shiftright("__at", 33)] + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at")
+    placed = df.orderBy(*order_by).withColumn("__at", F.monotonically_increasing_id())
+    path = scratch_path(df.sparkSession, "ordered")
+    placed.write.parquet(path)  # rows that tie keep the places that they have got, whatever is lost later
+    placed = df.sparkSession.read.schema(placed.schema).parquet(path)
+    sizes = dict(placed.groupBy(F.shiftright("__at", 33).cast("int").alias("p")).count().collect())
+    offsets = [0]
+    for p in range(max(sizes, default=-1)):
+        offsets.append(offsets[-1] + sizes.get(p, 0))
+    start = F.element_at(F.lit(offsets).cast("array<bigint>"), (F.shiftright("__at", 33) + 1).cast("int"))
+    return placed.withColumn(name, start + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at")
 
 
 def with_halo(df: DataFrame, before: int, after: int = 0, index: str = "row_index", chunk: int = CHUNK) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,17 +19,52 @@ def long_numbers(df: DataFrame, columns: Sequence[str], filters: Sequence[Filter
     return rows.select(F.inline(pairs)).where("x is not null")
 
 
-def index_quantiles(x: Column | str, groups: Sequence[str], df: DataFrame, points: dict[str, float]) -> DataFrame:
-    """For each group the value at place floor(n * p) of its sorted values, from 0.
+#: Relative rank error of the sketch that brackets a quantile, as its inverse.
+ACCURACY = 10_000
 
-    Equal values are counted first, so the running count is over distinct values.
+
+def values_at(df: DataFrame, x: str, groups: Sequence[str], places: dict[str, tuple[float, Callable[[Column], Column]]]) -> DataFrame:
+    """For each group the values at exact places of its sorted values: name -> (share, place from 0 by the number of values).
+
+    A mergeable sketch brackets each place between two values, one pass counts what lies below and keeps the values in
+    between, and only these, a few ten-thousandths of all, are put in order.
     """
-    counted = df.groupBy(*groups, x).agg(F.count("*").alias("__c"))
-    order = Window.partitionBy(*groups).orderBy(x)
-    placed = counted.withColumn("__upto", F.sum("__c").over(order)).withColumn("__n", F.sum("__c").over(Window.partitionBy(*groups)))
-    at = lambda p: F.least(F.floor(F.col("__n") * p), F.col("__n") - 1)
-    hit = lambda p: F.when((F.col("__upto") > at(p)) & (F.col("__upto") - F.col("__c") <= at(p)), F.col(x) if isinstance(x, str) else x)
-    return placed.groupBy(*groups).agg(*(F.max(hit(p)).alias(name) for name, p in points.items()))
+    e, flat = 2.0 / ACCURACY, [(name, share) for name, (share, _) in places.items()]
+    cuts = [min(1.0, max(0.0, share + d)) for _, share in flat for d in (-e, e)]
+    bounds = df.where(F.col(x).isNotNull()).groupBy(*groups).agg(F.count(x).alias("__n"), F.percentile_approx(x, cuts, ACCURACY).alias("__b"))
+    # one row for each group
+    joined = df.join(F.broadcast(bounds), list(groups)).where(F.col(x).isNotNull())
+    low, high = {}, {}
+    for i, (name, share) in enumerate(flat):
+        few = F.col("__n") <= 10 * ACCURACY  # then a bracket is but a few values wide, and all may be put in order
+        low[name] = F.lit(True) if share - e <= 0 else few | (F.col(x) >= F.col("__b")[2 * i])
+        high[name] = F.lit(True) if share + e >= 1 else few | (F.col(x) <= F.col("__b")[2 * i + 1])
+    below = joined.groupBy(*groups).agg(F.first("__n").alias("__n"), *(F.count_if(~low[name]).alias(f"__below_{name}") for name in places))
+    within = F.explode(F.array_compact(F.array(*(F.when(low[name] & high[name], F.lit(name)) for name in places))))
+    counted = joined.select(*groups, x, within.alias("__name")).groupBy(*groups, "__name", x).agg(F.count("*").alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(*groups, "__name").orderBy(x))
+    placed = counted.withColumn("__upto", upto).join(F.broadcast(below), list(groups))
+    hits = {}
+    for name, (_, place) in places.items():
+        at = F.greatest(F.lit(0), F.least(place(F.col("__n")).cast("long"), F.col("__n") - 1)) - F.col(f"__below_{name}")
+        hits[name] = F.max(F.when((F.col("__name") == name) & (F.col("__upto") > at) & (F.col("__upto") - F.col("__c") <= at), F.col(x)))
+    return placed.groupBy(*groups).agg(*(v.alias(k) for k, v in hits.items()))
+
+
+def index_quantiles(x: str, groups: Sequence[str], df: DataFrame, points: dict[str, float]) -> DataFrame:
+    """For each group the value at place floor(n * p) of its sorted values, from 0."""
+    return values_at(df, x, groups, {name: (p, lambda n, p=p: F.floor(n * p)) for name, p in points.items()})
+
+
+def interpolated_quantiles(x: str, groups: Sequence[str], df: DataFrame, points: dict[str, float]) -> DataFrame:
+    """For each group the quantile between the values at the places around (n - 1) * p."""
+    places = {}
+    for name, p in points.items():
+        places[f"__{name}_low"] = (p, lambda n, p=p: F.floor((n - 1) * p))
+        places[f"__{name}_high"] = (p, lambda n, p=p: F.ceil((n - 1) * p))
+    found = values_at(df.withColumn("__x", F.col(x)), "__x", groups, places).join(F.broadcast(df.where(F.col(x).isNotNull()).groupBy(*groups).agg(F.count(x).alias("__n"))), list(groups))
+    part = lambda p: (F.col("__n") - 1) * p - F.floor((F.col("__n") - 1) * p)
+    return found.select(*groups, *((F.col(f"__{n}_low") * (1 - part(p)) + F.col(f"__{n}_high") * part(p)).alias(n) for n, p in points.items()))
 
 
 def basic_stats(df: DataFrame, columns: Sequence[str], filters: Sequence[Filter] | None = None) -> DataFrame:
@@ -41,10 +76,9 @@ def basic_stats(df: DataFrame, columns: Sequence[str], filters: Sequence[Filter]
 
 def basic_stats_sql(df: DataFrame, columns: Sequence[str], filters: Sequence[Filter] | None = None) -> DataFrame:
     """As ``basic_stats``, with the sample std and interpolated quartiles."""
-    q = lambda p: F.percentile("x", p)
-    return long_numbers(df, columns, filters).groupBy("column_name").agg(
-        F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3")
-    )
+    x = long_numbers(df, columns, filters)
+    plain = x.groupBy("column_name").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    return plain.join(interpolated_quantiles("x", ["column_name"], x, {"q1": 0.25, "q2": 0.5, "q3": 0.75}), "column_name")
 
 
 def pearson(a: Column, b: Column) -> Column:

@@ -16,17 +16,29 @@ from ..functions.coerce import has_text, safe_percent, trim_text
 HIRAGANA, KATAKANA, KANJI = r"\x{3040}-\x{309F}", r"\x{30A0}-\x{30FF}", r"\x{4E00}-\x{9FAF}"
 JAPANESE = HIRAGANA + KATAKANA + KANJI
 MARKS = (".", ",", "!", "?", ";", ":", "。", "、", "！", "？", "；", "：")
+PUNCTUATION = r".,!?;:'\"()\[\]{}\-_/\\@#$%^&*+=<>|~`"
+_SPACE = r"\s\x{FEFF}"
+_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 PATTERNS = {
-    "email": r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
-    "url": r"https?://\S+",
-    "phone": r"\d{2,4}-\d{2,4}-\d{4}",
-    "number_only": r"^\d+$",
-    "japanese_only": rf"^[{JAPANESE}]+$",
-    "alphanumeric_only": r"^[a-zA-Z0-9]+$",
+    "email": rf"{_EDGE}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}{_EDGE}",
+    "url": rf"(?U)https?://[^{_SPACE}]+",
+    "phone": r"\d{2,4}-\d{2,4}-\d{4}|\d{10,11}",
+    "number_only": r"^\d+\z",
+    "japanese_only": rf"(?U)^[{JAPANESE}{_SPACE}]+\z",
+    "alphanumeric_only": rf"(?U)^[A-Za-z0-9{_SPACE}]+\z",
 }
-CLASSES = {"hiragana": f"[{HIRAGANA}]", "katakana": f"[{KATAKANA}]", "kanji": f"[{KANJI}]", "alphanumeric": "[a-zA-Z0-9]", "punctuation": r"[\p{P}\p{S}]", "whitespace": r"(?U)\s"}
+CLASSES = {"hiragana": f"[{HIRAGANA}]", "katakana": f"[{KATAKANA}]", "kanji": f"[{KANJI}]", "alphanumeric": "[a-zA-Z0-9]", "punctuation": f"[{PUNCTUATION}]", "whitespace": rf"(?U)[{_SPACE}]"}
 _SENTENCE = r"[.!?。！？]+"
-_SPLIT = r"(?U)[\s.,!?;:()\[\]{}\"'。、！？；：（）「」『』]+"
+#: What words are cut at.
+_BETWEEN = rf"{_SPACE}{PUNCTUATION}。、！？；：「」『』（）【】"
+_SPLIT, _WORD = rf"(?U)[{_BETWEEN}]+", rf"(?U)[^{_BETWEEN}]+"
+#: The start of a sentence that isn't blank, up to its end.
+_FILLED = rf"(?U)[{_SPACE}]*+[^{_SPACE}.!?。！？][^.!?。！？]*+"
+
+
+def _matches(t: Column, name: str) -> Column:
+    """Numbers alone may have white space around them."""
+    return (trim_text(t) if name == "number_only" else t).rlike(PATTERNS[name])
 
 
 def characters_in(text: Column, kind: str) -> Column:
@@ -57,6 +69,11 @@ def tokens(text: Column, segmenter: Callable[[str], list[str]] | None = None, ja
     return F.when(detect_language(text)["language"].isin("japanese", "mixed"), cut(text)).otherwise(plain)
 
 
+def word_count(text: Column, japanese: bool = False) -> Column:
+    """Number of words, without making them."""
+    return F.size(tokens(text, japanese=japanese)) if japanese else F.regexp_count(text, F.lit(_WORD))
+
+
 def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, _SENTENCE), trim_text), lambda s: s != "")
 
@@ -74,7 +91,7 @@ def _measured(df: DataFrame, column: str, japanese: bool = False) -> DataFrame:
     t = F.col(f"`{column}`").cast("string")
     blank = t.isNull() | ~has_text(t)
     return df.select(t.alias("t"), blank.alias("blank")).select(
-        "t", "blank", F.length("t").alias("chars"), F.size(tokens(F.col("t"), japanese=japanese)).alias("words"), F.size(F.filter(F.split("t", _SENTENCE), has_text)).alias("sentences"), F.size(paragraphs(F.col("t"))).alias("paragraphs")
+        "t", "blank", F.length("t").alias("chars"), word_count(F.col("t"), japanese).alias("words"), F.regexp_count("t", F.lit(_FILLED)).alias("sentences"), F.size(paragraphs(F.col("t"))).alias("paragraphs")
     )
 
 
@@ -117,17 +134,17 @@ def char_frequency(df: DataFrame, column: str, k: int = 20) -> DataFrame:
 
 
 def text_patterns(df: DataFrame, column: str) -> DataFrame:
-    """(pattern, count, pct, examples): rows that match; the first three different texts in their order, if so many, as examples; patterns without a match are left out."""
+    """(pattern, count, pct, examples): rows that match, of all that aren't null; the first three different texts in their order, if so many, as examples; patterns without a match are left out."""
     t = F.col(f"`{column}`")
-    hit = F.filter(F.array(*(F.when(t.rlike(p), F.lit(name)) for name, p in PATTERNS.items())), lambda x: x.isNotNull())
+    hit = F.filter(F.array(*(F.when(_matches(t, name), F.lit(name)) for name in PATTERNS)), lambda x: x.isNotNull())
     rows = df.select(t.alias("t"), F.explode(hit).alias("pattern"))
-    total = df.agg(F.count_if(has_text(t)).alias("n"))
+    total = df.agg(F.count(t).alias("n"))
     found = rows.groupBy("pattern").agg(F.count("*").alias("count"))
     # the next larger text that matches, three times: bounded, and not computed where examples aren't asked for
     least = []
     for _ in range(3):
         later = {name: t > F.element_at(least[-1], name) if least else F.lit(True) for name in PATTERNS}
-        least.append(df.agg(F.create_map(*(x for name, p in PATTERNS.items() for x in (F.lit(name), F.min(F.when(t.rlike(p) & later[name], t)))))).scalar())
+        least.append(df.agg(F.create_map(*(x for name in PATTERNS for x in (F.lit(name), F.min(F.when(_matches(t, name) & later[name], t)))))).scalar())
     examples = F.array_compact(F.array(*(F.element_at(m, F.col("pattern")) for m in least)))
     return found.crossJoin(F.broadcast(total)).select("pattern", "count", safe_percent(F.col("count"), F.col("n")).alias("pct"), examples.alias("examples"))
 
@@ -153,7 +170,7 @@ def char_types(df: DataFrame, column: str) -> DataFrame:
 def sentence_analysis(df: DataFrame, column: str, japanese: bool = False) -> DataFrame:
     """(kind, name, count, mean): sentences in all with their mean number of words, by length, and punctuation marks."""
     t = F.coalesce(F.col(f"`{column}`"), F.lit(""))
-    one = df.select(F.explode(sentences(t)).alias("s")).select(F.size(tokens(F.col("s"), japanese=japanese)).alias("w"))
+    one = df.select(F.explode(sentences(t)).alias("s")).select(word_count(F.col("s"), japanese).alias("w"))
     w = F.col("w")
     band = F.when(w <= 5, "0-5").when(w <= 10, "6-10").when(w <= 20, "11-20").when(w <= 30, "21-30").otherwise("31+")
     none = F.lit(None).cast("double")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import display
 from ..functions.coerce import epoch_ms, equal_width_bin, is_date, num, safe_percent, size_band, steady
-from ..operators import information, mining, missing, multivariate, preview, profile, sampling, series, stats, text
+from ..operators import analysis, information, mining, missing, multivariate, preview, profile, sampling, series, stats, text
 from ..operators.filters import Filter, apply_filters
 from ..operators.ordering import with_row_index
 from ..sources import databases, workspace
@@ -384,7 +384,7 @@ def canonical_correlation(s, d):
     return c.select("pair", (F.floor(F.col("correlation") * 1e5 + 0.37) / 1e5).alias("correlation"))
 
 
-_TOKENS = r"list_filter(regexp_split_to_array({t}, '[\s.,!?;:()\[\]{{}}\"''。、！？；：（）「」『』]+'), lambda x: x <> '')"
+_TOKENS = r"list_filter(regexp_split_to_array({t}, '[\s.,!?;:''\"()\[\]{{}}\-_/\\@#$%^&*+=<>|~`。、！？；：「」『』（）【】]+'), lambda x: x <> '')"
 _SENTENCES = r"list_filter(list_transform(regexp_split_to_array(text, '[.!?。！？]+'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '')"
 
 
@@ -409,16 +409,35 @@ def char_frequency(s, d):
     return even(text.char_frequency(table(s, d, "documents"), "text"), "pct")
 
 
-@query("""
-WITH n AS (SELECT count(*) AS n FROM documents WHERE trim(text) <> ''), p AS (
- SELECT 'email' AS pattern, count(*) AS c FROM documents WHERE regexp_matches(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}')
- UNION ALL SELECT 'url', count(*) FROM documents WHERE regexp_matches(text, 'https?://\\S+')
- UNION ALL SELECT 'phone', count(*) FROM documents WHERE regexp_matches(text, '\\d{2,4}-\\d{2,4}-\\d{4}')
- UNION ALL SELECT 'number_only', count(*) FROM documents WHERE regexp_matches(text, '^\\d+$')
- UNION ALL SELECT 'alphanumeric_only', count(*) FROM documents WHERE regexp_matches(text, '^[a-zA-Z0-9]+$'))
-SELECT pattern, c AS count, floor(c * 100.0 / n * 1e6 + 0.37) / 1e6 AS pct FROM p, n WHERE c > 0""")
+# Patterns over documents with some texts of other kinds among them: forms of numbers, addresses, Japanese, and such.
+_ODD_TEXTS = ("well-known a/b\\c d_e", "日本語 テスト", "日本語とtext", "12345678901", "03-1234-5678", " 42 ", "007", "abc 123", "a@b.co", "x@y.Z|", "a+b@c-d.org.", "@no.mail", "http://x.y/z?q=1 z", "ひらがな", "カタカナ・漢字", "!?", "", " ", "tab\tand 'quote'", "(in) [all] {of} <them>", "1-2-3", "A1", "été naïve", "2024-01-02-0304")
+_ODD = "SELECT unnest([" + ", ".join("'" + t.replace("'", "''") + "'" for t in _ODD_TEXTS) + "]) AS text"
+_MIXED = f"(SELECT text FROM documents UNION ALL {_ODD} UNION ALL SELECT NULL)"
+
+
+def _mixed(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("text").unionAll(s.createDataFrame([(t,) for t in (*_ODD_TEXTS, None)], "text string"))
+
+
+_PATTERNS = {
+    "email": r"regexp_matches(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b')",
+    "url": r"regexp_matches(text, 'https?://[^\s]+')",
+    "phone": r"regexp_matches(text, '(\d{2,4}-\d{2,4}-\d{4}|\d{10,11})')",
+    "number_only": r"regexp_matches(trim(text), '^\d+$')",
+    "japanese_only": r"regexp_matches(text, '^[\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{4E00}-\x{9FAF}\s]+$')",
+    "alphanumeric_only": r"regexp_matches(text, '^[A-Za-z0-9\s]+$')",
+}
+
+
+@query(f"WITH t AS {_MIXED}, n AS (SELECT count(text) AS n FROM t), p AS (" + " UNION ALL ".join(f"SELECT '{k}' AS pattern, count(*) AS c, array_to_string(list_sort(list(DISTINCT text))[1:3], ' || ') AS examples FROM t WHERE {w}" for k, w in _PATTERNS.items()) + f") SELECT pattern, c AS count, {st('c * 100.0 / n')} AS pct, examples FROM p, n WHERE c > 0")
 def text_patterns(s, d):
-    return even(text.text_patterns(table(s, d, "documents"), "text").drop("examples"), "pct")
+    return even(text.text_patterns(_mixed(s, d), "text"), "pct").withColumn("examples", F.array_join("examples", " || "))
+
+
+@query(f"SELECT text, array_to_string({_TOKENS.format(t='text')}, ' ') AS words FROM ({_ODD}) WHERE NOT regexp_matches(text, '[ぁ-んァ-ヶ一-龯]')")
+def text_tokens(s, d):
+    odd = s.createDataFrame([(t,) for t in _ODD_TEXTS], "text string").where(~F.col("text").rlike("[ぁ-んァ-ヶ一-龯]"))
+    return odd.select("text", F.array_join(text.tokens(F.col("text")), " ").alias("words"))
 
 
 @query(f"""
@@ -429,12 +448,16 @@ def language_detection(s, d):
     return even(text.language_detection(table(s, d, "documents"), "text"), "pct", "confidence")
 
 
-@query(f"""
-WITH t AS (SELECT sum(length(text)) AS n, sum(length(regexp_replace(text, '[^a-zA-Z0-9]', '', 'g'))) AS a, sum(length(regexp_replace(text, '[^\\pP\\pS]', '', 'g'))) AS p, sum(length(text) - length(regexp_replace(text, '\\s', '', 'g'))) AS w FROM documents),
-c AS (SELECT n, unnest(['alphanumeric', 'punctuation', 'whitespace', 'other']) AS char_type, unnest([a, p, w, n - a - p - w]) AS c FROM t)
-SELECT char_type, CAST(c AS BIGINT) AS count, {st('c * 100.0 / n')} AS pct FROM c WHERE c > 0""")
+_CHAR_TYPES = {"hiragana": r"\x{3040}-\x{309F}", "katakana": r"\x{30A0}-\x{30FF}", "kanji": r"\x{4E00}-\x{9FAF}", "alphanumeric": "a-zA-Z0-9", "punctuation": r".,!?;:''\"()\[\]{}\-_/\\@#$%^&*+=<>|~`", "whitespace": r"\s"}
+
+
+@query(
+    "WITH t AS (SELECT sum(length(text)) AS n, "
+    + ", ".join(f"sum(length(regexp_replace(text, '[^{p}]', '', 'g'))) AS {k}" for k, p in _CHAR_TYPES.items())
+    + f" FROM {_MIXED}), c AS (SELECT n, unnest([{', '.join(repr(k) for k in (*_CHAR_TYPES, 'other'))}]) AS char_type, unnest([{', '.join(_CHAR_TYPES)}, n - {' - '.join(_CHAR_TYPES)}]) AS c FROM t) SELECT char_type, CAST(c AS BIGINT) AS count, {st('c * 100.0 / n')} AS pct FROM c WHERE c > 0"
+)
 def char_types(s, d):
-    return even(text.char_types(table(s, d, "documents"), "text"), "pct")
+    return even(text.char_types(_mixed(s, d), "text"), "pct")
 
 
 @query(f"""
@@ -685,3 +708,167 @@ def parquet_round_trip(s, d):
 @query("SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END AS balance FROM customer")
 def sqlite_round_trip(s, d):
     return _reloaded(s, table(s, d, "customer").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal")).alias("balance")), "sqlite")
+
+
+def _written(s: SparkSession, name: str, rows: list[str], encoding: str = "utf-8") -> str:
+    """A small file of our own making, in the shared folder."""
+    path = scratch_path(s, name)
+    jvm = s.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).create(at)
+    out.write(bytearray("\n".join(rows).encode(encoding)))
+    out.close()
+    return path
+
+
+def _loaded(s: SparkSession, path: str, **options) -> DataFrame:
+    space = workspace.Workspace(s)
+    return space.table(space.load(path, f"own_{uuid.uuid4().hex[:8]}", children=False, **options)[0])
+
+
+@query("SELECT * FROM (VALUES ('1', '2'), (NULL, NULL), ('3', '4'), ('5', NULL), ('x,y', 'say \"hi\"')) v(a, b)")
+def csv_odd_lines(s, d):
+    """Rows of empty cells are rows, blank lines aren't; short rows are filled up, cells beyond the header dropped."""
+    return _loaded(s, _written(s, "odd.csv", ["a,b", "1, 2 ", "", ",", "   ", "3,4,9", "5", '"x,y","say ""hi"""', ""]))
+
+
+_CITIES = ("東京,タワー", "大阪,ソース", "Zürich,für", "plain,text")
+
+
+def _in_encoding(encoding: str, cities: tuple[str, ...]) -> Query:
+    def load(s: SparkSession, d: str) -> DataFrame:
+        return _loaded(s, _written(s, f"{encoding}.csv", ["city,word", *cities * 3], encoding), encoding=encoding).groupBy("city", "word").agg(F.count("*").alias("count"))
+
+    return load
+
+
+for _code in ("shift_jis", "euc_jp", "iso2022_jp", "utf-16", "utf-8-sig", "cp1252"):
+    _own = tuple(c for c in _CITIES if ("ü" not in c or _code.startswith("utf") or _code == "cp1252") and (c.isascii() or "ü" in c or _code != "cp1252"))
+    _rows = ", ".join("('{}', '{}', 3)".format(*c.split(",")) for c in _own)
+    query(f"SELECT city, word, CAST(count AS BIGINT) AS count FROM (VALUES {_rows}) v(city, word, count)", f"csv_{_code.replace('-', '_')}")(_in_encoding({"utf-16": "utf-16-le", "utf-8-sig": "utf-8"}.get(_code, _code), _own) if _code != "utf-8-sig" else lambda s, d, own=_own: _loaded(s, _written(s, "bom.csv", ["city,word", *own * 3], "utf-8-sig")).groupBy("city", "word").agg(F.count("*").alias("count")))
+
+
+@query("SELECT * FROM (VALUES ('shift_jis'), ('euc_jp'), ('iso2022_jp'), ('utf-8'), ('utf-16-le')) v(encoding)")
+def encoding_detection(s, d):
+    """What the detector says of the same Japanese text in several encodings."""
+    from ..sources import encoding, files
+
+    text_of = ["名前,町", *["東京の人はソースが好きです,大阪"] * 20]
+    found = [encoding.detect(files.head(s, _written(s, "probe", text_of, e))).encoding for e in ("shift_jis", "euc_jp", "iso2022_jp", "utf-8", "utf-16")]
+    return s.createDataFrame([(e,) for e in found], "encoding string")
+
+
+@query("SELECT * FROM (VALUES ('1', 'x', NULL, NULL), ('2.5', NULL, '{\"c\":[1,2]}', NULL), ('true', 'é', '[3]', 'z')) v(b, a, d, e)")
+def json_load(s, d):
+    return _loaded(s, _written(s, "rows.json", ['[{"b": 1, "a": "x"}, {"b": 2.5, "d": {"c": [1, 2]}}, {"b": true, "a": "é", "d": [3], "e": "z"}]']))
+
+
+@query("SELECT n_nationkey + 1 AS _source_row_id, n_nationkey AS k, n_name AS name FROM nation WHERE n_nationkey % 3 <> 0")
+def json_children_in_file_order(s, d):
+    """Objects in a text column as a table; their row numbers are those of the file, which isn't in the order of its values."""
+    rows = [[r.n_nationkey, r.n_name] for r in table(s, d, "nation").orderBy("n_nationkey").select("n_nationkey", "n_name").collect()]  # 25 rows
+    lines = [f"{99 - k};" + (f'"{{""k"": {k}, ""name"": ""{n}""}}"' if k % 3 else "none") for k, n in rows]
+    space, name = workspace.Workspace(s), f"own_{uuid.uuid4().hex[:8]}"
+    children = space.load(_written(s, "children.csv", ["at;props", *lines]), name, sep=";")[1:]
+    return space.table(children[0]).select("_source_row_id", "k", "name")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey * 1.5 AS share, n_nationkey % 2 = 0 AS even, TIMESTAMP '2024-01-01 00:00:00' + to_days(n_nationkey) AS at FROM nation")
+def csv_typed(s, d):
+    from ..sources import files
+
+    at = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(n_nationkey)")
+    rows = table(s, d, "nation").select("n_nationkey", "n_name", (F.col("n_regionkey") * 1.5).alias("share"), (F.col("n_nationkey") % 2 == 0).alias("even"), F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("at"))
+    path = scratch_path(s, "typed.csv")
+    workspace.write(rows, path, "csv")
+    typed = files.read_csv_auto(s, path)
+    return typed.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query("SELECT n_nationkey AS k, n_name AS name, CASE WHEN n_nationkey = 3 THEN 'three' ELSE CAST(n_nationkey AS VARCHAR) END AS odd, n_nationkey * 0.5 AS half FROM nation")
+def sqlite_dynamic_types(s, d):
+    """A table without row ids, with text in a column that is declared INTEGER."""
+    import sqlite3
+
+    path = scratch_path(s, "dynamic.sqlite").removeprefix("file:")
+    con = sqlite3.connect(path)
+    con.execute("CREATE TABLE t (k INTEGER PRIMARY KEY, name TEXT, odd INTEGER, half REAL) WITHOUT ROWID")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?, ?)", [(r.n_nationkey, r.n_name, "three" if r.n_nationkey == 3 else r.n_nationkey, r.n_nationkey * 0.5) for r in table(s, d, "nation").collect()])  # 25 rows
+    con.commit()
+    con.close()
+    return databases.read_table(s, path, "t")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def duckdb_file(s, d):
+    import duckdb
+
+    path = scratch_path(s, "own.duckdb").removeprefix("file:")
+    con = duckdb.connect(path)
+    con.execute(f"CREATE TABLE nations AS SELECT n_nationkey, n_name, n_regionkey FROM '{d.removeprefix('file:')}/nation.parquet'")
+    con.close()
+    space = workspace.Workspace(s)
+    return space.table(space.load(path)[0]).select(F.col("n_nationkey").cast("int"), "n_name", F.col("n_regionkey").cast("int"))
+
+
+@query("SELECT * FROM (VALUES ('after insert', CAST(26 AS BIGINT)), ('with a new column', 1), ('after drop', 0)) v(step, rows)")
+def catalog_steps(s, d):
+    """Rows put in, one of them with a column of its own; then the table goes."""
+    space = workspace.Workspace(s)
+    name = space.create(f"steps_{uuid.uuid4().hex[:8]}", table(s, d, "nation"))
+    space.insert(name, s.createDataFrame([(99, "NOWHERE", "x")], "n_nationkey int, n_name string, note string"))
+    found = [("after insert", space.count(name)), ("with a new column", space.count(name, [Filter("note", "is_not_null")]))]
+    space.drop(name)
+    return s.createDataFrame([*found, ("after drop", int(name in space.tables()))], "step string, rows long")
+
+
+@query("SELECT c_custkey, c_custkey % 4 = 0 OR c_custkey % 4 = 1 OR c_custkey % 4 = 3 AS missing FROM customer")
+def missing_zero_and_blank(s, d):
+    """The text 0, blanks and nulls are missing; the text 0.0 isn't."""
+    k = F.col("c_custkey") % 4
+    v = F.when(k == 0, "0").when(k == 1, " ").when(k == 2, "0.0")
+    return table(s, d, "customer").select("c_custkey", missing.is_missing(v).alias("missing"))
+
+
+@query("SELECT * FROM (VALUES ('2024-01-02x', true), ('01/02/2024', true), ('1/2/2024', false), ('2024/01/02', true), ('2024/1/2', false), (' 2024-01-02', true), ('20240102', false)) v(text, is_date)")
+def date_starts(s, d):
+    return s.createDataFrame([(t,) for t in ("2024-01-02x", "01/02/2024", "1/2/2024", "2024/01/02", "2024/1/2", " 2024-01-02", "20240102")], "text string").select("text", is_date("text").alias("is_date"))
+
+
+@query("WITH RECURSIVE c(i) AS (SELECT 1 UNION ALL SELECT i + 1 FROM c WHERE i < 1000) SELECT count(*) AS rows, CAST(sum(i) AS BIGINT) AS total FROM c")
+def recursive_cte_deep(s, d):
+    key = "spark.sql.cteRecursionLevelLimit"
+    before = s.conf.get(key)
+    s.conf.set(key, "2000")
+    try:
+        found = s.sql("WITH RECURSIVE c(i) AS (SELECT 1 UNION ALL SELECT i + 1 FROM c WHERE i < 1000) SELECT count(*) AS rows, sum(i) AS total FROM c").collect()
+    finally:
+        s.conf.set(key, before)
+    return s.createDataFrame(found, "rows long, total long")
+
+
+@query("SELECT l_shipmode_like AS item, count(*) AS count FROM (SELECT 'l_returnflag=' || l_returnflag AS l_shipmode_like FROM lineitem UNION ALL SELECT 'l_linestatus=' || l_linestatus FROM lineitem) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+def top_items(s, d):
+    """The most frequent column=value items."""
+    cells = F.array(*(F.concat_ws("=", F.lit(c), F.col(c)) for c in ("l_returnflag", "l_linestatus")))
+    return table(s, d, "lineitem").select(F.explode(cells).alias("item")).groupBy("item").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "item").limit(20)
+
+
+@query(ORACLE_SQL["basic_stats"])
+def analysis_basic(s, d):
+    """An analysis by its name, over filtered rows."""
+    return even(analysis.analyse(table(s, d, "lineitem"), "basic", _NUMBERS, _RETURNED)["statistics"], "mean", "std")
+
+
+@query(ORACLE_SQL["word_frequency"].replace("LIMIT 20", "LIMIT 15"))
+def analysis_text_words(s, d):
+    """The words of the text analysis, which shows fifteen."""
+    return even(analysis.analyse(table(s, d, "documents"), "text", ["text"])["words"], "pct")
+
+
+@query("SELECT count(*) AS rows, count(*) AS ids, count(*) AS well_formed FROM nation")
+def generated_ids(s, d):
+    """A random identifier for each row: all of them different and well formed."""
+    rows = table(s, d, "nation").select(F.uuid().alias("id"))
+    form = "^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+    return rows.agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids"), F.count_if(F.col("id").rlike(form)).alias("well_formed"))

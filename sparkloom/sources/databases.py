@@ -46,7 +46,9 @@ def list_tables(path: str, engine: str = "sqlite") -> list[str]:
 
 
 class Rows(InputPartition):
-    def __init__(self, low: int, high: int):
+    """Rows by rowid from low up to high; all of a table or view that has no rowid."""
+
+    def __init__(self, low: int | None, high: int | None):
         self.low, self.high = low, high
 
 
@@ -57,17 +59,25 @@ class DatabaseReader(DataSourceReader):
 
     def partitions(self) -> list[Rows]:
         con = _connect(self.path, self.engine)
-        low, high = con.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(self.table)}").fetchone()
-        con.close()
-        if low is None:
-            return [Rows(0, 0)]
+        try:
+            low, high = con.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(self.table)}").fetchone()
+        except Exception as why:
+            if "rowid" not in str(why):
+                raise
+            return [Rows(None, None)]
+        finally:
+            con.close()
+        if not isinstance(low, int):  # no rows, or a view
+            return [Rows(None, None)]
         step = max(1, -(-(high - low + 1) // self.parts))
         return [Rows(a, a + step) for a in range(low, high + 1, step)]
 
     def read(self, partition: Rows) -> Iterator[tuple]:
         con = _connect(self.path, self.engine)
-        cast = {"string": lambda v: v if isinstance(v, str) else str(v), "bigint": int, "double": float, "boolean": bool, "binary": bytes}
-        cur = con.execute(f"SELECT * FROM {_quoted(self.table)} WHERE rowid >= {partition.low} AND rowid < {partition.high}")
+        text = lambda v: v if isinstance(v, str) else v.decode("utf-8", "replace") if isinstance(v, bytes) else str(v)
+        cast = {"string": text, "bigint": int, "double": float, "boolean": bool, "binary": bytes}
+        which = "" if partition.low is None else f" WHERE rowid >= {partition.low} AND rowid < {partition.high}"
+        cur = con.execute(f"SELECT * FROM {_quoted(self.table)}{which}")
         while rows := cur.fetchmany(10_000):
             for r in rows:
                 yield tuple(None if v is None else cast[k](v) for v, k in zip(r, self.kinds, strict=True))
@@ -84,7 +94,15 @@ class DatabaseSource(DataSource):
     def _columns(self) -> list[tuple[str, str]]:
         con = _connect(self.options["path"], self.options.get("engine", "sqlite"))
         try:
-            return [(r[1], affinity(r[2])) for r in con.execute(f"PRAGMA table_info({_quoted(self.options['dbtable'])})").fetchall()]
+            table, engine = _quoted(self.options["dbtable"]), self.options.get("engine", "sqlite")
+            found = [(r[1], affinity(r[2])) for r in con.execute(f"PRAGMA table_info({table})").fetchall()]
+            fits = {"bigint": "'integer'", "double": "'integer', 'real'", "boolean": "'integer'", "binary": "'blob'"}
+            typed = [n for n, k in found if k in fits] if engine == "sqlite" else []
+            if typed:  # a column of this engine may hold values of any type: it is text if one isn't of the declared type
+                tests = ", ".join(f"max(typeof({_quoted(n)}) NOT IN ('null', {fits[k]}))" for n, k in found if n in typed)
+                odd = {n for n, x in zip(typed, con.execute(f"SELECT {tests} FROM {table}").fetchone(), strict=True) if x}
+                found = [(n, "string" if n in odd else k) for n, k in found]
+            return found
         finally:
             con.close()
 

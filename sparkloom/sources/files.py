@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.coerce import trim_text
+from ..functions.coerce import has_text, trim_text
 from . import encoding as enc
 
 EXTENSIONS = ("csv", "tsv", "txt", "json", "sqlite", "sqlite3", "db", "duckdb", "parquet")
@@ -44,9 +44,20 @@ def clean_table(name: str) -> str:
 
 
 def head(spark: SparkSession, path: str, n: int = enc.PROBE) -> bytes:
-    """A file's first bytes, read by Spark so that any store will do."""
-    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, n).alias("b")).first()
-    return bytes(row.b) if row else b""
+    """A file's first bytes (of a folder's first file), from any store that Spark reads, without the rest of it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(conf)
+    found = store.globStatus(at) or []
+    if found and found[0].isDirectory():
+        found = sorted((f for f in store.listStatus(found[0].getPath()) if not f.isDirectory() and f.getPath().getName()[0] not in "._"), key=lambda f: f.getPath().getName())
+    if not found:
+        return b""
+    stream = store.open(found[0].getPath())
+    try:
+        return bytes(stream.readNBytes(n))
+    finally:
+        stream.close()
 
 
 def _tidy(df: DataFrame) -> DataFrame:
@@ -57,8 +68,7 @@ def _tidy(df: DataFrame) -> DataFrame:
         names[i] = n if seen[n] == 1 else f"{n}_{seen[n]}"
     df = df.toDF(*names)
     blank = F.lit(None).cast("string")
-    out = df.select(*(F.when(trim_text(c) != "", trim_text(c)).otherwise(blank).alias(c) for c in names))
-    return out.where(~F.forall(F.array(*names), lambda x: x.isNull()))
+    return df.select(*(F.when(trim_text(c) != "", trim_text(c)).otherwise(blank).alias(c) for c in names))
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str | None = None, multi_line: bool = False) -> DataFrame:
@@ -71,18 +81,24 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str | Non
         df = spark.read.options(**options | {"multiLine": True, "encoding": enc.NATIVE[encoding]}).csv(path)
     else:
         lines = decoded_lines(spark, path, encoding)
-        first = lines.where("value <> ''").orderBy("path", "line").first()
+        first = lines.where(has_text("value")).orderBy("path", "line").first()
         if first is None:
             raise ValueError(f"{path} is empty")
         names = spark.createDataFrame([(first.value,)], "value string").select(F.from_csv("value", _wide(first.value.count(sep) + 1), {"sep": sep, "escape": '"'}).alias("r")).select("r.*").first()
         width = len([n for n in names if n is not None])
-        body = lines.where((F.col("value") != "") & (F.col("line") > first.line)).select(F.from_csv("value", _wide(width), {"sep": sep, "escape": '"'}).alias("r"))
+        body = lines.where(has_text("value") & (F.col("line") > first.line)).select(F.from_csv("value", _wide(width), {"sep": sep, "escape": '"'}).alias("r"))
         df = body.select("r.*").toDF(*(names[i] for i in range(width)))
     if not df.columns:
         raise ValueError(f"{path} is empty")
     return _tidy(df)
 
 
+def read_csv_auto(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """A CSV file with a header, each column of the type that fits all of its values."""
+    found = spark.read.options(header=True, sep=sep, escape='"', inferSchema=True, enforceSchema=False).csv(path)
+    return found.toDF(*(clean_column(c, i) for i, c in enumerate(found.columns)))
+
+
 def _wide(n: int) -> str:
     return ", ".join(f"c{i} string" for i in range(n))
 
@@ -105,13 +121,15 @@ def read_tsv(spark: SparkSession, path: str, **options) -> DataFrame:
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """An array of objects or one object: keys as columns in the order of first appearance, scalars as text, the rest as JSON."""
-    df = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
+    whole = spark.read.option("multiLine", True).option("singleVariantColumn", "v").json(path)
+    elements = F.expr("variant_get(v, '$', 'array<variant>')")
+    rows = whole.select(F.explode(F.when(F.schema_of_variant("v").startswith("ARRAY"), elements).otherwise(F.array("v"))).alias("v"))
+    keys = rows.select(F.explode(F.map_keys(F.expr("try_variant_get(v, '$', 'map<string,variant>')"))).alias("k")).distinct()
     start = head(spark, path).decode("utf-8", "ignore")
-    found = {c: start.find(f'"{c}"') for c in df.columns}
-    order = sorted(df.columns, key=lambda c: (found[c] < 0, found[c], c))
-    kinds = {f.name: f.dataType for f in df.schema}
-    out = df.select(*((F.to_json(f"`{c}`") if isinstance(kinds[c], (T.StructType, T.ArrayType)) else F.col(f"`{c}`").cast("string")).alias(clean_column(c, i)) for i, c in enumerate(order)))
-    return out
+    found = {r.k: start.find(f'"{r.k}"') for r in keys.collect()}  # as many as there are columns
+    order = sorted(found, key=lambda c: (found[c] < 0, found[c], c))
+    at = lambda k: f"$['{k}']" if "'" not in k else f'$["{k}"]'
+    return rows.select(*(F.try_variant_get("v", at(c), "string").alias(clean_column(c, i)) for i, c in enumerate(order)))
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -157,5 +175,3 @@ def table_from_objects(spark: SparkSession, objects: list[dict]) -> DataFrame:
     cast = {"string": str, "double": float, "bigint": int, "boolean": bool}
     rows = [tuple(None if o.get(k) is None else cast[kinds[k]](o[k]) for k in keys) for o in objects]
     return spark.createDataFrame(rows, ", ".join(f"`{clean_column(k, i)}` {kinds[k]}" for i, k in enumerate(keys)))
-
-

@@ -12,12 +12,14 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``; our own where that is unset).
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``; our own where that is unset, on a local master only).
 
     It is removed when the driver ends, or earlier by ``clear``.
     """
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = tempfile.mkdtemp(prefix="sparkloom-")
         spark.sparkContext.setCheckpointDir(there)
     path = f"{there.rstrip('/')}/{uuid.uuid4().hex}-{name}"

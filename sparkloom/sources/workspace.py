@@ -82,8 +82,9 @@ class Workspace:
         df = read(self.spark, path, **options)
         names = [self.create(name, df)]
         if children and kind != "parquet":
-            order = list(df.columns)
-            names += [self.create(n, child) for n, child in files.json_child_tables(df, names[0], order).items()]
+            # rows of a file are read in its order
+            found = files.json_child_tables(df.withColumn("__at", F.monotonically_increasing_id()), names[0], ["__at"])
+            names += [self.create(n, child) for n, child in found.items()]
         return names
 
     def load_all(self, paths: Sequence[str]) -> dict[str, list[str] | Exception]:
@@ -119,7 +120,7 @@ def write(df: DataFrame, path: str, kind: str = "csv", single: bool = False, mod
 
 
 def write_sqlite(df: DataFrame, path: str, table: str = "data") -> None:
-    """One table of a SQLite file, written on the driver batch by batch."""
+    """One table of a SQLite file: an export for small results, written by the driver, batch by batch, as the file has one writer."""
     import sqlite3
 
     kinds = {"bigint": "INTEGER", "int": "INTEGER", "double": "REAL", "boolean": "BOOLEAN"}
