@@ -30,6 +30,8 @@ LABELLED, ROUNDS, SHARE = 8000, 5, 0.05
 MASS, SURE = 2.0, 0.95
 #: Buckets that the features of the content view and of the metadata view are hashed to.
 WIDTHS = (1 << 14, 1 << 12)
+#: Buckets whose counts travel as one row.
+SPAN = 1 << 10
 #: What a feature's counts are smoothed by, and how many times the variance of its log odds their square has to be.
 SMOOTH, NOISE = 0.5, 4.0
 
@@ -149,19 +151,19 @@ def _counted(pool: DataFrame, rounds: Rounds) -> list[tuple[np.ndarray, np.ndarr
                         sums[i][y] += views[i].counts(known == y, WIDTHS[i])
                         totals[i, y] += (known == y).sum()
         for i in (0, 1):
-            at = np.flatnonzero(sums[i].any(0))
-            yield pd.DataFrame({"which": i, "at": [-1, *at], "n0": [totals[i, 0], *sums[i][0][at]], "n1": [totals[i, 1], *sums[i][1][at]]})
+            spans = [totals[i][:, None], *np.split(sums[i], WIDTHS[i] // SPAN, 1)]
+            yield pd.DataFrame({"which": i, "span": range(len(spans)), "n": [np.ascontiguousarray(x).tobytes() for x in spans]})
 
-    # at most as many rows as there are features
-    got = pool.mapInPandas(add, "which int, at int, n0 double, n1 double").groupBy("which", "at").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"which": pdf["which"].iloc[:1], "span": pdf["span"].iloc[:1], "n": [sum(map(np.frombuffer, pdf["n"])).tobytes()]})
+
+    # each task sends a few spans of counts, of which there are as many in the end
+    kind = "which int, span int, n binary"
+    got = pool.mapInPandas(add, kind).groupBy("which", "span").applyInPandas(total, kind).toPandas().sort_values(["which", "span"])
     out = []
     for i, width in enumerate(WIDTHS):
-        counts, total = np.zeros((2, width)), np.zeros(2)
-        own = got[(got["which"] == i) & (got["at"] >= 0)]
-        counts[:, own["at"].to_numpy(int)] = own[["n0", "n1"]].to_numpy().T
-        for r in got[(got["which"] == i) & (got["at"] < 0)].itertuples():
-            total = np.array([r.n0, r.n1])
-        out.append((counts, total))
+        own = [np.frombuffer(x).reshape(2, -1) for x in got[got["which"] == i]["n"]]
+        out.append((np.hstack(own[1:]), own[0][:, 0]) if own else (np.zeros((2, width)), np.zeros(2)))
     return out
 
 
