@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, html_text, katz, knn, mixing, packing, quality, simhash, toxicity
+from . import chat, cost_packing, exact_dedup, html_text, katz, knn, mixing, packing, quality, repeats, simhash, spelling, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,8 +69,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = cost_packing.pack_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), noise=spelling.NOISE)
+
+
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.periodic_runs(table(spark, sf_dir, "documents"), planted=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_text, op2_voronoi_knn, op3_toxicity, op4_simhash, op5_exact_dedup, op6_quality, op7_mixing, op8_katz, op9_chat, chat_event_log, op10_packing)
+    f.__name__: f for f in (op1_html_text, op2_voronoi_knn, op3_toxicity, op4_simhash, op5_exact_dedup, op6_quality, op7_mixing, op8_katz, op9_chat, chat_event_log, op10_packing, op11_cost_packing, op12_spelling, op13_repeats)
 }
 
 ORACLE_SQL = {
