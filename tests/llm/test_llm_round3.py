@@ -37,9 +37,13 @@ def test_encoder_against_whole_texts():
     parts = ["a", "the", " ", "  ", "\n", "\t", "É", "ß", "日本", "don't", "1", "23", "!", "...", " ", "😀", "<|endoftext|>", "\x0b", " "]
     texts = ODD + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(800)]
     encoder = cost_packing.Encoder(PATH)
-    assert encoder.by_stretch
-    for _ in range(2):  # with nothing known, and with all known
+    assert encoder.ranked is not None
+    for _ in range(2):  # by ranks, then by tokenizers alone
         assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(texts)] == [x[:-1] for x in plain_ids(texts)]
+        encoder.ranked = None
+    assert cost_packing.byte_ranks(public_tokenizers.path("word_bpe_49k.json")) is None
+    other = cost_packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert len(np.frombuffer(other.encode(["Hello there"])[0], other.kind)) == 2
 
 
 def check_pieces(rows, texts, capacity=2048):
