@@ -14,7 +14,7 @@ NUMERIC = ("basic", "correlation", "changepoint", "factor", "histogram", "timese
 ORDERED = ("changepoint", "timeseries", "missing")
 
 
-def text_bundle(df: DataFrame, column: str, k: int = 15, japanese: bool = False) -> dict[str, DataFrame]:
+def text_bundle(df: DataFrame, column: str, k: int = 15, japanese: bool | text.Lexicon = False) -> dict[str, DataFrame]:
     """All that can be said of a text column."""
     return {
         "statistics": text.text_statistics(df, column, japanese),

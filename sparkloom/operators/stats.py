@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coerce import equal_width_bin, num, safe_percent
+from ..sources.scratch import kept
 from .filters import Filter, apply_filters
 
 
@@ -21,64 +23,96 @@ def long_numbers(df: DataFrame, columns: Sequence[str], filters: Sequence[Filter
 
 #: Relative rank error of the sketch that brackets a quantile, as its inverse.
 ACCURACY = 10_000
+#: Different values that a task puts in order for a quantile, and the pieces that more of them are cut into.
+ORDERED, PIECES = 1_000_000, 200
 
+QUARTILES = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
 
-def values_at(df: DataFrame, x: str, groups: Sequence[str], places: dict[str, tuple[float, Callable[[Column], Column]]]) -> DataFrame:
-    """For each group the values at exact places of its sorted values: name -> (share, place from 0 by the number of values).
+#: A place among n sorted values, from 0, near a share of them.
+Place = tuple[float, Callable[[Column], Column]]
 
-    A mergeable sketch brackets each place between two values, one pass counts what lies below and keeps the values in
-    between, and only these, a few ten-thousandths of all, are put in order.
+
+def values_at(df: DataFrame, x: str, groups: Sequence[str], places: dict[str, Place], figures: Sequence[Column] = (), most: int = ORDERED) -> DataFrame:
+    """For each group that has values, the exact values at places of its sorted values, and ``figures`` (aggregates) of them.
+
+    Two passes over ``df``: the first takes the figures and a mergeable sketch, which brackets each place between two
+    values; the second counts what lies below a bracket and keeps the values inside, a few ten-thousandths of all. While
+    those are more than ``most`` in a group, they are cut into pieces and all but the piece that holds the place goes.
     """
-    e, flat = 2.0 / ACCURACY, [(name, share) for name, (share, _) in places.items()]
-    cuts = [min(1.0, max(0.0, share + d)) for _, share in flat for d in (-e, e)]
-    bounds = df.where(F.col(x).isNotNull()).groupBy(*groups).agg(F.count(x).alias("__n"), F.percentile_approx(x, cuts, ACCURACY).alias("__b"))
+    shares = sorted({share for share, _ in places.values()})
+    e = 2.0 / ACCURACY
+    cuts = [min(1.0, max(0.0, share + d)) for share in shares for d in (-e, e)]
+    rows = df.where(F.col(x).isNotNull())
+    by = [*groups] or [F.lit(0).alias("__all")]
+    names = [*groups] or ["__all"]
+    facts = kept(rows.groupBy(*by).agg(F.count(x).alias("__n"), F.percentile_approx(x, cuts, ACCURACY).alias("__b"), *figures), "brackets")
     # one row for each group
-    joined = df.join(F.broadcast(bounds), list(groups)).where(F.col(x).isNotNull())
-    low, high = {}, {}
-    for i, (name, share) in enumerate(flat):
-        few = F.col("__n") <= 10 * ACCURACY  # then a bracket is but a few values wide, and all may be put in order
-        low[name] = F.lit(True) if share - e <= 0 else few | (F.col(x) >= F.col("__b")[2 * i])
-        high[name] = F.lit(True) if share + e >= 1 else few | (F.col(x) <= F.col("__b")[2 * i + 1])
-    below = joined.groupBy(*groups).agg(F.first("__n").alias("__n"), *(F.count_if(~low[name]).alias(f"__below_{name}") for name in places))
-    within = F.explode(F.array_compact(F.array(*(F.when(low[name] & high[name], F.lit(name)) for name in places))))
-    counted = joined.select(*groups, x, within.alias("__name")).groupBy(*groups, "__name", x).agg(F.count("*").alias("__c"))
-    upto = F.sum("__c").over(Window.partitionBy(*groups, "__name").orderBy(x))
-    placed = counted.withColumn("__upto", upto).join(F.broadcast(below), list(groups))
-    hits = {}
-    for name, (_, place) in places.items():
-        at = F.greatest(F.lit(0), F.least(place(F.col("__n")).cast("long"), F.col("__n") - 1)) - F.col(f"__below_{name}")
-        hits[name] = F.max(F.when((F.col("__name") == name) & (F.col("__upto") > at) & (F.col("__upto") - F.col("__c") <= at), F.col(x)))
-    return placed.groupBy(*groups).agg(*(v.alias(k) for k, v in hits.items()))
-
-
-def index_quantiles(x: str, groups: Sequence[str], df: DataFrame, points: dict[str, float]) -> DataFrame:
-    """For each group the value at place floor(n * p) of its sorted values, from 0."""
-    return values_at(df, x, groups, {name: (p, lambda n, p=p: F.floor(n * p)) for name, p in points.items()})
-
-
-def interpolated_quantiles(x: str, groups: Sequence[str], df: DataFrame, points: dict[str, float]) -> DataFrame:
-    """For each group the quantile between the values at the places around (n - 1) * p."""
+    joined = rows.select(*by, F.col(x).alias("__x")).join(F.broadcast(facts.select(*names, "__n", "__b")), names)
+    few = F.col("__n") <= 10 * ACCURACY  # then a bracket is but a few values wide, and all may be put in order
+    v, entries = F.col("__x"), []
+    for i, share in enumerate(shares):
+        low = F.lit(True) if share - e <= 0 else few | (v >= F.col("__b")[2 * i])
+        high = F.lit(True) if share + e >= 1 else few | (v <= F.col("__b")[2 * i + 1])
+        none = F.lit(None).cast(df.schema[x].dataType)
+        entries.append(F.when(~low, F.struct(F.lit(i).alias("__i"), none.alias("__v"))).when(high, F.struct(F.lit(i).alias("__i"), v.alias("__v"))))
+    spread = joined.select(*names, F.inline(F.array_compact(F.array(*entries))))
+    # a null value stands for all that lie below
+    inside = kept(spread.groupBy(*names, "__i", "__v").agg(F.count("*").alias("__c")), "inside")
+    at = {name: F.greatest(F.lit(0), F.least(place(F.col("__n")).cast("long"), F.col("__n") - 1)) for name, (_, place) in places.items()}
+    own = {name: F.col("__i") == shares.index(share) for name, (share, _) in places.items()}
+    key = [*names, "__i"]
+    while (inside.groupBy(*key).agg(F.count("__v").alias("k")).agg(F.max("k")).first()[0] or 0) > most:
+        inside = kept(_piece(inside, facts, names, at, own), "inside")
+    upto = F.sum("__c").over(Window.partitionBy(*key).orderBy(F.col("__v").asc_nulls_first()))
+    placed = inside.withColumn("__upto", upto).join(F.broadcast(facts.select(*names, "__n")), names)
+    hits = [F.max(F.when(own[name] & (F.col("__upto") > at[name]) & (F.col("__upto") - F.col("__c") <= at[name]), F.col("__v"))).alias(name) for name in places]
+    found = placed.groupBy(*names).agg(*hits).join(F.broadcast(facts.drop("__b")), names)
+    return found if groups else found.drop("__all")
+
+
+def _piece(inside: DataFrame, facts: DataFrame, names: list[str], at: dict[str, Column], own: dict[str, Column]) -> DataFrame:
+    """Of values with counts only the pieces from the first to the last that holds a place; what is below them is counted as such."""
+    key = [*names, "__i"]
+    cuts = inside.groupBy(*key).agg(F.percentile_approx("__v", [k / PIECES for k in range(1, PIECES)], ACCURACY).alias("__cuts"))
+    cut = inside.join(F.broadcast(cuts), key).withColumn("__p", F.when(F.col("__v").isNull(), -1).otherwise(F.size(F.filter("__cuts", lambda c: c < F.col("__v"))))).drop("__cuts")
+    sums = cut.groupBy(*key, "__p").agg(F.sum("__c").alias("__s"))  # as many as pieces
+    upto = F.sum("__s").over(Window.partitionBy(*key).orderBy("__p"))
+    sums = sums.withColumn("__upto", upto).join(F.broadcast(facts.select(*names, "__n")), names)
+    holds = [own[name] & (F.col("__upto") > at[name]) & (F.col("__upto") - F.col("__s") <= at[name]) for name in at]
+    ends = sums.where(reduce(lambda a, b: a | b, holds)).groupBy(*key).agg(F.min("__p").alias("__low"), F.max("__p").alias("__high"))
+    left = cut.join(F.broadcast(ends), key).where("__p <= __high")
+    return left.groupBy(*key, F.when(F.col("__p") >= F.col("__low"), F.col("__v")).alias("__v")).agg(F.sum("__c").alias("__c"))
+
+
+def index_quantiles(x: str, groups: Sequence[str], df: DataFrame, points: dict[str, float], figures: Sequence[Column] = ()) -> DataFrame:
+    """For each group the value at place floor(n * p) of its sorted values, from 0; and ``figures`` of them."""
+    return values_at(df, x, groups, {name: (p, lambda n, p=p: F.floor(n * p)) for name, p in points.items()}, figures).drop("__n")
+
+
+def interpolated_quantiles(x: str, groups: Sequence[str], df: DataFrame, points: dict[str, float], figures: Sequence[Column] = ()) -> DataFrame:
+    """For each group the quantile between the values at the places around (n - 1) * p; and ``figures`` of its values."""
     places = {}
     for name, p in points.items():
         places[f"__{name}_low"] = (p, lambda n, p=p: F.floor((n - 1) * p))
         places[f"__{name}_high"] = (p, lambda n, p=p: F.ceil((n - 1) * p))
-    found = values_at(df.withColumn("__x", F.col(x)), "__x", groups, places).join(F.broadcast(df.where(F.col(x).isNotNull()).groupBy(*groups).agg(F.count(x).alias("__n"))), list(groups))
+    found = values_at(df, x, groups, places, figures)
     part = lambda p: (F.col("__n") - 1) * p - F.floor((F.col("__n") - 1) * p)
-    return found.select(*groups, *((F.col(f"__{n}_low") * (1 - part(p)) + F.col(f"__{n}_high") * part(p)).alias(n) for n, p in points.items()))
+    between = {n: F.col(f"__{n}_low") * (1 - part(p)) + F.col(f"__{n}_high") * part(p) for n, p in points.items()}
+    return found.withColumns(between).drop("__n", *places)
 
 
 def basic_stats(df: DataFrame, columns: Sequence[str], filters: Sequence[Filter] | None = None) -> DataFrame:
     """count, mean, population std, min, max, and quartiles by index, for each column that has numbers."""
     x = long_numbers(df, columns, filters)
-    plain = x.groupBy("column_name").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
-    return plain.join(index_quantiles("x", ["column_name"], x, {"q1": 0.25, "q2": 0.5, "q3": 0.75}), "column_name")
+    figures = [F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max")]
+    return index_quantiles("x", ["column_name"], x, QUARTILES, figures).select("column_name", "count", "mean", "std", "min", "max", *QUARTILES)
 
 
 def basic_stats_sql(df: DataFrame, columns: Sequence[str], filters: Sequence[Filter] | None = None) -> DataFrame:
     """As ``basic_stats``, with the sample std and interpolated quartiles."""
     x = long_numbers(df, columns, filters)
-    plain = x.groupBy("column_name").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
-    return plain.join(interpolated_quantiles("x", ["column_name"], x, {"q1": 0.25, "q2": 0.5, "q3": 0.75}), "column_name")
+    figures = [F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max")]
+    return interpolated_quantiles("x", ["column_name"], x, QUARTILES, figures).select("column_name", "count", "mean", "std", "min", "max", *QUARTILES)
 
 
 def pearson(a: Column, b: Column) -> Column:

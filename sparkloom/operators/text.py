@@ -1,16 +1,22 @@
-"""Text statistics over a column. Only Japanese text needs Python, for its tokens."""
+"""Text statistics over a column. Only Japanese text needs Python, for its words.
+
+``japanese`` says how texts that are Japanese, or mixed with it, are cut: False at white space and marks like others;
+True by a lexicon that is learned from the column first; or by a lexicon that is given.
+"""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coerce import has_text, safe_percent, trim_text
+from ..sources.scratch import kept
+from .segment import Lexicon, learn_lexicon
 
 # Character ranges, marks and patterns.
 HIRAGANA, KATAKANA, KANJI = r"\x{3040}-\x{309F}", r"\x{30A0}-\x{30FF}", r"\x{4E00}-\x{9FAF}"
@@ -47,31 +53,34 @@ def characters_in(text: Column, kind: str) -> Column:
 
 
 def detect_language(text: Column) -> Column:
-    """A struct (language, confidence) by the shares of Japanese and Latin letters among characters that aren't space."""
+    """A struct (language, confidence) by the shares of Japanese and of Latin letters and digits among characters that aren't space."""
     size = F.length(text) - characters_in(text, r"(?U)\s")
-    ja, en = (F.coalesce(F.try_divide(characters_in(text, p), size), F.lit(0.0)) for p in (f"[{JAPANESE}]", "[a-zA-Z]"))
+    ja, en = (F.coalesce(F.try_divide(characters_in(text, p), size), F.lit(0.0)) for p in (f"[{JAPANESE}]", CLASSES["alphanumeric"]))
     name = F.when(size == 0, "unknown").when(ja > 0.3, "japanese").when(en > 0.7, "english").when((ja > 0.1) & (en > 0.3), "mixed").otherwise("other")
     sure = F.when(size == 0, 0.0).when(ja > 0.3, F.least(ja * 2, F.lit(1.0))).when(en > 0.7, en).when((ja > 0.1) & (en > 0.3), 0.8).otherwise(0.5)
     return F.struct(name.alias("language"), sure.cast("double").alias("confidence"))
 
 
-def segment_japanese(text: str) -> list[str]:
-    """Runs of one kind of character."""
-    return re.findall(r"[一-龯]+|[぀-ゟ]+|[゠-ヿ]+|[a-zA-Z]+|\d+", text)
+def learned(df: DataFrame, column: str | Column, japanese: bool | Lexicon) -> Lexicon | None:
+    """What ``japanese`` means for a column: a lexicon, or None."""
+    if not isinstance(japanese, bool):
+        return japanese
+    return learn_lexicon(df.select(F.lower(column).alias("t")), "t") if japanese else None
 
 
-def tokens(text: Column, segmenter: Callable[[str], list[str]] | None = None, japanese: bool = False) -> Column:
-    """Words: text without listed punctuation, at white space. With ``japanese``, texts in it go through ``segmenter``."""
+def tokens(text: Column, lexicon: Lexicon | None = None) -> Column:
+    """Words: text without listed punctuation, at white space; with a lexicon, Japanese and mixed texts are cut by it."""
     plain = F.filter(F.split(text, _SPLIT), lambda t: t != "")
-    if not japanese:
+    if lexicon is None:
         return plain
-    cut = F.pandas_udf(lambda s: s.map(lambda t: None if t is None else (segmenter or segment_japanese)(t)).astype(object) if len(s) else pd.Series([], dtype=object), "array<string>")
-    return F.when(detect_language(text)["language"].isin("japanese", "mixed"), cut(text)).otherwise(plain)
+    cut = F.pandas_udf(lambda s: s.map(lambda t: None if t is None else lexicon.words_of(t)).astype(object) if len(s) else pd.Series([], dtype=object), "array<string>")
+    own = detect_language(text)["language"].isin("japanese", "mixed")
+    return F.when(own, cut(F.when(own, text))).otherwise(plain)  # other texts aren't sent to Python
 
 
-def word_count(text: Column, japanese: bool = False) -> Column:
-    """Number of words, without making them."""
-    return F.size(tokens(text, japanese=japanese)) if japanese else F.regexp_count(text, F.lit(_WORD))
+def word_count(text: Column, lexicon: Lexicon | None = None) -> Column:
+    """Number of words, without making them where there is no lexicon."""
+    return F.size(tokens(text, lexicon)) if lexicon is not None else F.regexp_count(text, F.lit(_WORD))
 
 
 def sentences(text: Column) -> Column:
@@ -87,39 +96,50 @@ def readability(words_per_sentence: Column, chars_per_word: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))
 
 
-def _measured(df: DataFrame, column: str, japanese: bool = False) -> DataFrame:
-    t = F.col(f"`{column}`").cast("string")
-    blank = t.isNull() | ~has_text(t)
-    return df.select(t.alias("t"), blank.alias("blank")).select(
-        "t", "blank", F.length("t").alias("chars"), word_count(F.col("t"), japanese).alias("words"), F.regexp_count("t", F.lit(_FILLED)).alias("sentences"), F.size(paragraphs(F.col("t"))).alias("paragraphs")
-    )
+#: What is counted of each text.
+MEASURES = ("chars", "words", "sentences", "paragraphs")
+
+
+def _measured(df: DataFrame, column: str, japanese: bool | Lexicon) -> DataFrame:
+    """(digest, blank, chars, words, sentences, paragraphs) of each text that isn't null."""
+    c = F.col(f"`{column}`").cast("string")
+    lexicon, t = learned(df, c, japanese), F.col("t")
+    counts = {"chars": F.length(t), "words": word_count(t, lexicon), "sentences": F.regexp_count(t, F.lit(_FILLED)), "paragraphs": F.size(paragraphs(t))}
+    rows = df.select(c.alias("t")).where("t is not null")
+    return rows.select(F.unhex(F.sha2(t, 256)).alias("digest"), (~has_text(t)).alias("blank"), *(v.cast("long").alias(k) for k, v in counts.items()))
+
+
+def _totals() -> list[Column]:
+    return [F.coalesce(F.sum(m), F.lit(0)).cast("long").alias(f"total_{m}") for m in MEASURES]
 
 
-def text_statistics(df: DataFrame, column: str, japanese: bool = False) -> DataFrame:
-    """One row: records, totals, means, medians, least and most of characters, words and sentences, and readability.
+def text_statistics(df: DataFrame, column: str, japanese: bool | Lexicon = False) -> DataFrame:
+    """One row: records, empty and unique ones and their shares, totals, means, medians, least and most of characters, words and sentences, readability.
 
-    Figures are over records that aren't blank; a median is the value at place floor(n / 2).
+    Null rows have no part; blank texts count as records, and as empty ones. A median is the value at place floor(n / 2).
+    Texts are read once: three numbers and a digest of each are kept for the rest.
     """
-    rows = _measured(df, column, japanese)
-    full = F.when(~F.col("blank"), 1)
-    of = lambda c: F.when(~F.col("blank"), F.col(c))
-    aggs = [F.count("*").alias("records"), F.count_if("blank").alias("empty_records"), F.count_distinct(F.when(~F.col("blank"), F.unhex(F.sha2("t", 256)))).alias("unique_records"), F.count(full).alias("n")]
-    for c in ("chars", "words", "sentences", "paragraphs"):
-        aggs += [F.coalesce(F.sum(of(c)), F.lit(0)).cast("long").alias(f"total_{c}"), F.avg(of(c)).alias(f"mean_{c}")]
-    for c in ("chars", "words", "sentences"):
-        aggs += [F.min(of(c)).cast("long").alias(f"min_{c}"), F.max(of(c)).cast("long").alias(f"max_{c}")]
-    flat = rows.agg(*aggs)
+    rows = kept(_measured(df, column, japanese), "measured")
+    records = F.count("*")
+    aggs = [
+        records.alias("records"), F.count_if("blank").alias("empty_records"), safe_percent(F.count_if("blank"), records).alias("empty_pct"),
+        F.count_distinct("digest").alias("unique_records"), safe_percent(F.count_distinct("digest"), records).alias("unique_pct"),
+    ]
+    aggs += _totals() + [F.avg(m).alias(f"mean_{m}") for m in MEASURES]
+    for m in MEASURES[:3]:
+        aggs += [F.min(m).alias(f"min_{m}"), F.max(m).alias(f"max_{m}")]
     from .stats import index_quantiles
 
-    long = rows.where("not blank").select(F.inline(F.array(*(F.struct(F.lit(c).alias("m"), F.col(c).cast("long").alias("v")) for c in ("chars", "words", "sentences")))))
-    medians = index_quantiles("v", ["m"], long, {"median": 0.5}).agg(*(F.max(F.when(F.col("m") == c, F.col("median"))).alias(f"median_{c}") for c in ("chars", "words", "sentences")))
-    score = readability(F.coalesce(F.try_divide(F.col("total_words"), F.col("total_sentences")), F.lit(0.0)), F.coalesce(F.try_divide(F.col("total_chars"), F.col("total_words")), F.lit(0.0)))
-    return flat.crossJoin(F.broadcast(medians)).withColumn("readability", score).drop("n")
+    long = rows.select(F.inline(F.array(*(F.struct(F.lit(m).alias("m"), F.col(m).alias("v")) for m in MEASURES[:3]))))
+    medians = index_quantiles("v", ["m"], long, {"median": 0.5}).agg(*(F.max(F.when(F.col("m") == m, F.col("median"))).alias(f"median_{m}") for m in MEASURES[:3]))
+    wps, cpw = (F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)) for a, b in (("total_words", "total_sentences"), ("total_chars", "total_words")))
+    return rows.agg(*aggs).crossJoin(F.broadcast(medians)).withColumn("words_per_sentence", wps).withColumn("readability", readability(wps, cpw))
 
 
-def word_frequency(df: DataFrame, column: str, k: int = 20, japanese: bool = False) -> DataFrame:
+def word_frequency(df: DataFrame, column: str, k: int = 20, japanese: bool | Lexicon = False) -> DataFrame:
     """(word, count, pct): lower-case words of two letters or more; the share is of all words."""
-    words = df.select(F.explode(tokens(F.lower(F.col(f"`{column}`")), japanese=japanese)).alias("word")).groupBy("word").agg(F.count("*").alias("count"))
+    t = F.lower(F.col(f"`{column}`").cast("string"))
+    words = df.select(F.explode(tokens(t, learned(df, t, japanese))).alias("word")).groupBy("word").agg(F.count("*").alias("count"))
     total = words.agg(F.sum("count").alias("n"))
     # short words come last rather than being filtered first, so that both uses of the counts share one pass over the texts
     long = F.length("word") >= 2
@@ -133,28 +153,45 @@ def char_frequency(df: DataFrame, column: str, k: int = 20) -> DataFrame:
     return chars.orderBy(F.desc("count"), "char").limit(k).crossJoin(F.broadcast(total)).select("char", "count", safe_percent(F.col("count"), F.col("n")).alias("pct"))
 
 
+def _least_three(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(pattern, count, example) of a task: each pattern's count with its first text, and up to two more."""
+    counts: Counter = Counter()
+    least: dict[str, list[str]] = {}
+    for pdf in batches:
+        counts[""] += len(pdf)
+        for name in PATTERNS:
+            own = pdf["t"][pdf[name]]
+            if len(own):
+                counts[name] += len(own)
+                least[name] = sorted({*own, *least.get(name, [])}, key=lambda t: t.encode("utf-8", "surrogatepass"))[:3]
+    rows = [(name, n if not i else 0, t) for name, n in counts.items() for i, t in enumerate(least.get(name, [None]))]
+    yield pd.DataFrame(rows, columns=["pattern", "count", "example"])
+
+
 def text_patterns(df: DataFrame, column: str) -> DataFrame:
-    """(pattern, count, pct, examples): rows that match, of all that aren't null; the first three different texts in their order, if so many, as examples; patterns without a match are left out."""
-    t = F.col(f"`{column}`")
-    hit = F.filter(F.array(*(F.when(_matches(t, name), F.lit(name)) for name in PATTERNS)), lambda x: x.isNotNull())
-    rows = df.select(t.alias("t"), F.explode(hit).alias("pattern"))
-    total = df.agg(F.count(t).alias("n"))
-    found = rows.groupBy("pattern").agg(F.count("*").alias("count"))
-    # the next larger text that matches, three times: bounded, and not computed where examples aren't asked for
-    least = []
-    for _ in range(3):
-        later = {name: t > F.element_at(least[-1], name) if least else F.lit(True) for name in PATTERNS}
-        least.append(df.agg(F.create_map(*(x for name in PATTERNS for x in (F.lit(name), F.min(F.when(_matches(t, name) & later[name], t)))))).scalar())
-    examples = F.array_compact(F.array(*(F.element_at(m, F.col("pattern")) for m in least)))
-    return found.crossJoin(F.broadcast(total)).select("pattern", "count", safe_percent(F.col("count"), F.col("n")).alias("pct"), examples.alias("examples"))
+    """(pattern, count, pct, examples): rows that match, of all that aren't null; the first three different texts in their order, if so many, as examples; patterns without a match are left out.
+
+    One pass: patterns are matched by Spark, and each task passes on its counts and three texts for each pattern. A text
+    that matches nothing isn't sent to Python.
+    """
+    t = F.col(f"`{column}`").cast("string")
+    marked = df.select(t.alias("t")).where("t is not null").select("t", *(_matches(F.col("t"), name).alias(name) for name in PATTERNS))
+    any_of = reduce(lambda a, b: a | b, (F.col(name) for name in PATTERNS))
+    parts = kept(marked.withColumn("t", F.when(any_of, F.col("t"))).mapInPandas(_least_three, "pattern string, count long, example string"), "patterns")
+    counts = parts.groupBy("pattern").agg(F.sum("count").alias("count"))
+    total = counts.where("pattern = ''").select(F.col("count").alias("n"))
+    place = F.row_number().over(Window.partitionBy("pattern").orderBy("example"))
+    first = parts.where("example is not null").select("pattern", "example").distinct().withColumn("place", place).where("place <= 3")
+    examples = first.groupBy("pattern").agg(F.array_sort(F.collect_list("example")).alias("examples"))
+    return counts.where("pattern <> ''").join(F.broadcast(total)).join(examples, "pattern").select("pattern", "count", safe_percent(F.col("count"), F.col("n")).alias("pct"), "examples")
 
 
 def language_detection(df: DataFrame, column: str) -> DataFrame:
-    """(language, count, pct, confidence)."""
-    rows = df.select(F.coalesce(F.col(f"`{column}`"), F.lit("")).alias("t")).select(detect_language(F.col("t")).alias("d"))
-    total = rows.agg(F.count("*").alias("n"))
+    """(language, count, pct, confidence) of the rows that aren't null; a blank text's language is unknown."""
+    rows = df.select(F.col(f"`{column}`").cast("string").alias("t")).where("t is not null").select(detect_language(F.col("t")).alias("d"))
     found = rows.groupBy(F.col("d.language").alias("language")).agg(F.count("*").alias("count"), F.avg("d.confidence").alias("confidence"))
-    return found.crossJoin(F.broadcast(total)).select("language", "count", safe_percent(F.col("count"), F.col("n")).alias("pct"), "confidence")
+    total = F.sum("count").over(Window.partitionBy())  # of five languages at most
+    return found.select("language", "count", safe_percent(F.col("count"), total).alias("pct"), "confidence")
 
 
 def char_types(df: DataFrame, column: str) -> DataFrame:
@@ -167,10 +204,10 @@ def char_types(df: DataFrame, column: str) -> DataFrame:
     return long.where("count > 0").select("char_type", "count", safe_percent(F.col("count"), F.col("n")).alias("pct"))
 
 
-def sentence_analysis(df: DataFrame, column: str, japanese: bool = False) -> DataFrame:
+def sentence_analysis(df: DataFrame, column: str, japanese: bool | Lexicon = False) -> DataFrame:
     """(kind, name, count, mean): sentences in all with their mean number of words, by length, and punctuation marks."""
-    t = F.coalesce(F.col(f"`{column}`"), F.lit(""))
-    one = df.select(F.explode(sentences(t)).alias("s")).select(word_count(F.col("s"), japanese).alias("w"))
+    t = F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
+    one = df.select(F.explode(sentences(t)).alias("s")).select(word_count(F.col("s"), learned(df, t, japanese)).alias("w"))
     w = F.col("w")
     band = F.when(w <= 5, "0-5").when(w <= 10, "6-10").when(w <= 20, "11-20").when(w <= 30, "21-30").otherwise("31+")
     none = F.lit(None).cast("double")
@@ -181,12 +218,11 @@ def sentence_analysis(df: DataFrame, column: str, japanese: bool = False) -> Dat
     return total.unionByName(bands).unionByName(marks)
 
 
-def readability_report(df: DataFrame, column: str, japanese: bool = False) -> DataFrame:
-    """(score, level, words_per_sentence, chars_per_word, recommendations)."""
-    rows = _measured(df, column, japanese).where("not blank")
-    wps = F.coalesce(F.try_divide(F.sum("words"), F.sum("sentences")), F.lit(0.0))
-    cpw = F.coalesce(F.try_divide(F.sum("chars"), F.sum("words")), F.lit(0.0))
-    base = rows.agg(wps.alias("words_per_sentence"), cpw.alias("chars_per_word")).withColumn("score", readability(F.col("words_per_sentence"), F.col("chars_per_word")))
+def readability_report(df: DataFrame, column: str, japanese: bool | Lexicon = False) -> DataFrame:
+    """(score, level, words_per_sentence, chars_per_word, recommendations) of the rows that aren't null."""
+    sums = _measured(df, column, japanese).agg(*_totals())
+    wps, cpw = (F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)) for a, b in (("total_words", "total_sentences"), ("total_chars", "total_words")))
+    base = sums.select(wps.alias("words_per_sentence"), cpw.alias("chars_per_word")).withColumn("score", readability(F.col("words_per_sentence"), F.col("chars_per_word")))
     s, a, b = F.col("score"), F.col("words_per_sentence"), F.col("chars_per_word")
     level = F.when(s >= 80, "very easy").when(s >= 60, "easy").when(s >= 40, "normal").when(s >= 20, "difficult").otherwise("very difficult")
     advice = F.array_compact(F.array(F.when(a > 20, F.lit("shorten sentences")), F.when(a < 5, F.lit("join short sentences")), F.when(b > 8, F.lit("use shorter words")), F.when(s < 40, F.lit("simplify"))))

@@ -388,15 +388,36 @@ _TOKENS = r"list_filter(regexp_split_to_array({t}, '[\s.,!?;:''\"()\[\]{{}}\-_/\
 _SENTENCES = r"list_filter(list_transform(regexp_split_to_array(text, '[.!?。！？]+'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '')"
 
 
+# Documents of which some are null, blank, numbers or in Japanese letters, by their id.
+_LATIN, _KANA, _HIRAGANA, _KANJI = "abcdefghijklmnopqrstuvwxyz", "アイウエオカキクケコサシスセソタチツテトナニヌネノハ", "あいうえおかきくけこさしすせそたちつてとなにぬねのは", "日本語東京大学生時間人国会社今年新聞車駅前後食事水木"
+_VARIED = f"""(SELECT CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN repeat(' ', CAST(doc_id % 5 AS INT)) || chr(10) WHEN doc_id % 13 = 0 THEN doc_id || ' ' || n_chars || '-007'
+ WHEN doc_id % 17 = 0 THEN translate(lower(text), '{_LATIN}', '{_KANA}') WHEN doc_id % 19 = 0 THEN translate(lower(text), 'aeiou', 'あいうえお') ELSE text END AS text FROM documents)"""
+
+
+def _varied(s: SparkSession, d: str) -> DataFrame:
+    k, t = F.col("doc_id"), F.col("text")
+    kinds = F.when(k % 7 == 0, F.lit(None)).when(k % 11 == 0, F.concat(F.repeat(F.lit(" "), (k % 5).cast("int")), F.lit("\n"))).when(k % 13 == 0, F.concat_ws("", k, F.lit(" "), "n_chars", F.lit("-007")))
+    return table(s, d, "documents").select(kinds.when(k % 17 == 0, F.translate(F.lower(t), _LATIN, _KANA)).when(k % 19 == 0, F.translate(F.lower(t), "aeiou", "あいうえお")).otherwise(t).alias("text"))
+
+
+_READABLE = "greatest(0, least(100, 100 - least({w} / {s} / 20, 1) * 40 - least(({c} / {w} - 3) / 5, 1) * 40))"
+_MEASURED = rf"SELECT text, length(text) AS c, len({_TOKENS.format(t='text')}) AS w, len({_SENTENCES}) AS s, len(list_filter(regexp_split_to_array(text, '\n\s*\n|\r\n\s*\r\n'), lambda x: regexp_matches(x, '\S'))) AS p FROM {_VARIED} WHERE text IS NOT NULL"
+_STATISTICS = {
+    "records": "count(*)", "empty_records": r"count(*) FILTER (NOT regexp_matches(text, '\S'))", "unique_records": "count(DISTINCT text)",
+    **{f"total_{k}": f"CAST(sum({v}) AS BIGINT)" for k, v in zip(text.MEASURES, "cwsp", strict=True)}, **{f"min_{k}": f"min({v})" for k, v in zip(text.MEASURES, "cws", strict=False)}, **{f"max_{k}": f"max({v})" for k, v in zip(text.MEASURES, "cws", strict=False)},
+    **{f"median_{k}": f"max(CASE WHEN {v}i = floor(n / 2) + 1 THEN {v} END)" for k, v in zip(text.MEASURES, "cws", strict=False)},
+}
+_SHARES = {
+    "empty_pct": r"count(*) FILTER (NOT regexp_matches(text, '\S')) * 100.0 / count(*)", "unique_pct": "count(DISTINCT text) * 100.0 / count(*)", **{f"mean_{k}": f"avg({v})" for k, v in zip(text.MEASURES, "cwsp", strict=True)},
+    "words_per_sentence": "sum(w) / sum(s)", "readability": _READABLE.format(c="sum(c)", w="sum(w)", s="sum(s)"),
+}
+
+
 @query(f"""
-WITH m AS (SELECT text, length(text) AS c, len({_TOKENS.format(t='text')}) AS w, len({_SENTENCES}) AS s FROM documents WHERE trim(text) <> ''),
-q AS (SELECT *, row_number() OVER (ORDER BY c) AS ci, row_number() OVER (ORDER BY w) AS wi, row_number() OVER (ORDER BY s) AS si, count(*) OVER () AS n FROM m)
-SELECT count(*) AS records, count(DISTINCT text) AS unique_records, CAST(sum(c) AS BIGINT) AS total_chars, CAST(sum(w) AS BIGINT) AS total_words, CAST(sum(s) AS BIGINT) AS total_sentences, {st('avg(c)')} AS mean_chars, {st('avg(w)')} AS mean_words,
- max(CASE WHEN ci = floor(n / 2) + 1 THEN c END) AS median_chars, max(CASE WHEN wi = floor(n / 2) + 1 THEN w END) AS median_words, max(CASE WHEN si = floor(n / 2) + 1 THEN s END) AS median_sentences, min(w) AS min_words, max(w) AS max_words,
- {st('greatest(0, least(100, 100 - least(sum(w) / sum(s) / 20, 1) * 40 - least((sum(c) / sum(w) - 3) / 5, 1) * 40))')} AS readability FROM q""")
+WITH m AS ({_MEASURED}), q AS (SELECT *, row_number() OVER (ORDER BY c) AS ci, row_number() OVER (ORDER BY w) AS wi, row_number() OVER (ORDER BY s) AS si, count(*) OVER () AS n FROM m)
+SELECT {', '.join(f'{v} AS {k}' for k, v in _STATISTICS.items())}, {', '.join(f'{st(v)} AS {k}' for k, v in _SHARES.items())} FROM q""")
 def text_statistics(s, d):
-    t = text.text_statistics(table(s, d, "documents"), "text")
-    return even(t.select("records", "unique_records", "total_chars", "total_words", "total_sentences", "mean_chars", "mean_words", "median_chars", "median_words", "median_sentences", "min_words", "max_words", "readability"), "mean_chars", "mean_words", "readability")
+    return even(text.text_statistics(_varied(s, d), "text"), *_SHARES)
 
 
 @query(f"WITH w AS (SELECT unnest({_TOKENS.format(t='lower(text)')}) AS word FROM documents), c AS (SELECT word, count(*) AS c, sum(count(*)) OVER () AS n FROM w GROUP BY 1) SELECT word, c AS count, {st('c * 100.0 / n')} AS pct FROM c WHERE length(word) >= 2 ORDER BY c DESC, word LIMIT 20")
@@ -434,18 +455,32 @@ def text_patterns(s, d):
     return even(text.text_patterns(_mixed(s, d), "text"), "pct").withColumn("examples", F.array_join("examples", " || "))
 
 
-@query(f"SELECT text, array_to_string({_TOKENS.format(t='text')}, ' ') AS words FROM ({_ODD}) WHERE NOT regexp_matches(text, '[ぁ-んァ-ヶ一-龯]')")
+@query(f"SELECT md5(text) AS digest, md5(array_to_string({_TOKENS.format(t='text')}, ' ')) AS words FROM {_MIXED} WHERE text IS NOT NULL")
 def text_tokens(s, d):
-    odd = s.createDataFrame([(t,) for t in _ODD_TEXTS], "text string").where(~F.col("text").rlike("[ぁ-んァ-ヶ一-龯]"))
-    return odd.select("text", F.array_join(text.tokens(F.col("text")), " ").alias("words"))
+    return _mixed(s, d).where("text is not null").select(F.md5("text").alias("digest"), F.md5(F.array_join(text.tokens(F.col("text")), " ")).alias("words"))
 
 
-@query(f"""
-WITH r AS (SELECT length(regexp_replace(text, '\\s', '', 'g')) AS n, length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) / length(regexp_replace(text, '\\s', '', 'g')) AS en FROM documents),
-l AS (SELECT CASE WHEN n = 0 THEN 'unknown' WHEN en > 0.7 THEN 'english' ELSE 'other' END AS language, CASE WHEN n = 0 THEN 0 WHEN en > 0.7 THEN en ELSE 0.5 END AS c FROM r)
+@query(rf"""
+WITH r AS (SELECT length(regexp_replace(text, '\s', '', 'g')) AS n, length(regexp_replace(text, '[^a-zA-Z0-9]', '', 'g')) AS a, length(regexp_replace(text, '[^\x{{3040}}-\x{{30FF}}\x{{4E00}}-\x{{9FAF}}]', '', 'g')) AS j FROM {_VARIED} WHERE text IS NOT NULL),
+s AS (SELECT n, a / greatest(n, 1) AS en, j / greatest(n, 1) AS ja FROM r),
+l AS (SELECT CASE WHEN n = 0 THEN 'unknown' WHEN ja > 0.3 THEN 'japanese' WHEN en > 0.7 THEN 'english' WHEN ja > 0.1 AND en > 0.3 THEN 'mixed' ELSE 'other' END AS language,
+ CASE WHEN n = 0 THEN 0 WHEN ja > 0.3 THEN least(ja * 2, 1) WHEN en > 0.7 THEN en WHEN ja > 0.1 AND en > 0.3 THEN 0.8 ELSE 0.5 END AS c FROM s)
 SELECT language, count(*) AS count, {st('count(*) * 100.0 / (SELECT count(*) FROM l)')} AS pct, {st('avg(c)')} AS confidence FROM l GROUP BY 1""")
 def language_detection(s, d):
-    return even(text.language_detection(table(s, d, "documents"), "text"), "pct", "confidence")
+    return even(text.language_detection(_varied(s, d), "text"), "pct", "confidence")
+
+
+def in_japanese(words):
+    """Each word in letters of one Japanese script, by its crc32."""
+    script = F.crc32(words) % 3
+    return F.when(script == 0, F.translate(words, _LATIN, _HIRAGANA)).when(script == 1, F.translate(words, _LATIN, _KANA)).otherwise(F.translate(words, _LATIN, _KANJI))
+
+
+@query()
+def japanese_words(s, d):
+    """The words of all conversations, written in Japanese scripts without spaces, as cut by a lexicon that is learned from them."""
+    spelled = F.array_join(F.transform(F.split(F.lower("text"), " "), in_japanese), "")
+    return even(text.word_frequency(table(s, d, "conversations").select(spelled.alias("text")), "text", 200, japanese=True), "pct")
 
 
 _CHAR_TYPES = {"hiragana": r"\x{3040}-\x{309F}", "katakana": r"\x{30A0}-\x{30FF}", "kanji": r"\x{4E00}-\x{9FAF}", "alphanumeric": "a-zA-Z0-9", "punctuation": r".,!?;:''\"()\[\]{}\-_/\\@#$%^&*+=<>|~`", "whitespace": r"\s"}
@@ -461,10 +496,10 @@ def char_types(s, d):
 
 
 @query(f"""
-WITH s AS (SELECT unnest({_SENTENCES}) AS s FROM documents), w AS (SELECT len({_TOKENS.format(t='s')}) AS w FROM s)
-SELECT CASE WHEN w <= 5 THEN '0-5' WHEN w <= 10 THEN '6-10' WHEN w <= 20 THEN '11-20' WHEN w <= 30 THEN '21-30' ELSE '31+' END AS name, count(*) AS count FROM w GROUP BY 1""")
+WITH s AS (SELECT unnest({_SENTENCES}) AS s FROM {_VARIED}), w AS (SELECT len({_TOKENS.format(t='s')}) AS w FROM s)
+SELECT CASE WHEN w <= 5 THEN '0-5' WHEN w <= 10 THEN '6-10' WHEN w <= 20 THEN '11-20' WHEN w <= 30 THEN '21-30' ELSE '31+' END AS name, count(*) AS count, CAST(NULL AS DOUBLE) AS mean FROM w GROUP BY 1 UNION ALL SELECT 'sentences', count(*), {st('avg(w)')} FROM w""")
 def sentence_lengths(s, d):
-    return text.sentence_analysis(table(s, d, "documents"), "text").where("kind = 'length'").select("name", "count")
+    return even(text.sentence_analysis(_varied(s, d), "text").where("kind <> 'mark'").select("name", "count", "mean"), "mean")
 
 
 @query("WITH m AS (SELECT unnest(['.', ',', '!', '?', ';', ':']) AS name), c AS (SELECT name, CAST(sum(length(text) - length(replace(text, name, ''))) AS BIGINT) AS c FROM m, documents GROUP BY 1) SELECT name, c AS count FROM c WHERE c > 0")
@@ -473,11 +508,12 @@ def sentence_marks(s, d):
 
 
 @query(f"""
-WITH m AS (SELECT length(text) AS c, len({_TOKENS.format(t='text')}) AS w, len({_SENTENCES}) AS s FROM conversations WHERE trim(text) <> ''), a AS (SELECT sum(w) / sum(s) AS wps, sum(c) / sum(w) AS cpw FROM m),
-r AS (SELECT *, greatest(0, least(100, 100 - least(wps / 20, 1) * 40 - least((cpw - 3) / 5, 1) * 40)) AS sc FROM a)
-SELECT {st('sc')} AS score, CASE WHEN sc >= 80 THEN 'very easy' WHEN sc >= 60 THEN 'easy' WHEN sc >= 40 THEN 'normal' WHEN sc >= 20 THEN 'difficult' ELSE 'very difficult' END AS level, {st('wps')} AS words_per_sentence, {st('cpw')} AS chars_per_word FROM r""")
+WITH a AS (SELECT sum(w) / sum(s) AS wps, sum(c) / sum(w) AS cpw FROM ({_MEASURED})), r AS (SELECT *, greatest(0, least(100, 100 - least(wps / 20, 1) * 40 - least((cpw - 3) / 5, 1) * 40)) AS sc FROM a),
+v AS (SELECT *, list_filter([CASE WHEN wps > 20 THEN 'shorten sentences' END, CASE WHEN wps < 5 THEN 'join short sentences' END, CASE WHEN cpw > 8 THEN 'use shorter words' END, CASE WHEN sc < 40 THEN 'simplify' END], lambda x: x IS NOT NULL) AS r FROM r)
+SELECT {st('sc')} AS score, CASE WHEN sc >= 80 THEN 'very easy' WHEN sc >= 60 THEN 'easy' WHEN sc >= 40 THEN 'normal' WHEN sc >= 20 THEN 'difficult' ELSE 'very difficult' END AS level, {st('wps')} AS words_per_sentence, {st('cpw')} AS chars_per_word,
+ array_to_string(CASE WHEN len(r) = 0 THEN ['fine as it is'] ELSE r END, '; ') AS recommendations FROM v""")
 def readability(s, d):
-    return even(text.readability_report(table(s, d, "conversations"), "text").drop("recommendations"), "score", "words_per_sentence", "chars_per_word")
+    return even(text.readability_report(_varied(s, d), "text").withColumn("recommendations", F.array_join("recommendations", "; ")), "score", "words_per_sentence", "chars_per_word")
 
 
 @query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, row_number() OVER (ORDER BY event_id) AS _source_row_id, 'events' AS _source_table, 'props' AS _source_column FROM events")

@@ -1,15 +1,18 @@
 import math
 import random
+import re
 import sqlite3
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions.coerce import num, parse_date
-from sparkloom.operators import filters, missing, multivariate, preview, profile, sampling, series, stats, text
+from sparkloom.operators import filters, missing, multivariate, preview, profile, sampling, segment, series, stats, text
 from sparkloom.operators.filters import Filter
 from sparkloom.operators.ordering import with_row_index
+from sparkloom.plans import catalogue
 from sparkloom.sources import encoding, files
 from sparkloom.sources.workspace import Workspace, write
 from sparkloom.streaming import monitor, simulator
@@ -21,6 +24,25 @@ def test_numbers_in_text(spark):
     assert [r[0] for r in df.select(num(df, "s")).collect()] == [5.0, 1e5, 0.5, 5.0] + [None] * 10
 
 
+def test_values_at_places(spark):
+    """With brackets and with many rounds of cutting, against sorted values."""
+    rng = random.Random(5)
+    rows = [("a", float(rng.randint(0, 400))) for _ in range(3000)] + [("b", rng.gauss(0, 1)) for _ in range(2000)] + [("c", 7.0)] * 500 + [("d", None)] + [("e", 1.5)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(3)
+    places = {"low": (0.25, lambda n: F.floor((n - 1) * 0.25)), "high": (0.25, lambda n: F.ceil((n - 1) * 0.25)), "first": (0.0, lambda n: F.lit(0)), "last": (1.0, lambda n: n - 1), "mid": (0.5, lambda n: F.floor(n * 0.5))}
+    want = {}
+    for g in "abce":
+        v = sorted(x for k, x in rows if k == g)
+        n = len(v)
+        want[g] = (v[math.floor((n - 1) * 0.25)], v[math.ceil((n - 1) * 0.25)], v[0], v[-1], v[min(n - 1, n // 2)], n)
+    for most in (stats.ORDERED, 50, 3):
+        got = {r.g: (r.low, r.high, r.first, r["last"], r.mid, r.k) for r in stats.values_at(df, "x", ["g"], places, [F.count("x").alias("k")], most).collect()}
+        assert got == want
+    whole = stats.values_at(df.where("g = 'b'"), "x", [], {"mid": places["mid"]}).first()
+    assert whole.mid == want["b"][4]
+    assert stats.values_at(df.limit(0), "x", ["g"], places).count() == 0
+
+
 def test_dates(spark):
     values = ["2024-03-01", "2024-03-01T10:20:30", "03/01/2024", "2024/03/01", "2024-3-1", "2024年3月1日", "2024年3月1日 10時20分30秒", "nothing", "2024-13-45"]
     df = spark.createDataFrame([(v,) for v in values], "s string")
@@ -133,15 +155,99 @@ def test_text(spark):
     rows = [("これは日本語の文章です。とても短い。",), ("Hello world. This is text!",), ("",), (None,), ("mail a@b.co or https://x.y",)]
     df = spark.createDataFrame(rows, "t string")
     got = {r.language: r["count"] for r in text.language_detection(df, "t").collect()}
-    assert got["japanese"] == 1 and got["unknown"] == 2
+    assert got == {"japanese": 1, "unknown": 1, "english": 2}
     row = text.text_statistics(df, "t").first()
-    assert row.records == 5 and row.empty_records == 2
+    assert row.records == 4 and row.empty_records == 1
     assert {r.pattern for r in text.text_patterns(df, "t").collect()} == {"email", "url"}
     words = {r.word for r in text.word_frequency(df, "t", japanese=True).collect()}
     assert {"hello", "日本語"} <= words
     assert text.readability_report(df, "t").first().level
 
 
+def test_text_rules(spark):
+    """Nulls have no part, blank texts are records, digits count as letters."""
+    df = spark.createDataFrame([("ab cd",), (None,), ("   ",), ("12345 67",)], "t string")
+    row = text.text_statistics(df, "t").first()
+    assert (row.records, row.empty_records, row.unique_records, row.mean_chars, row.total_words, row.median_words, row.min_words) == (3, 1, 3, 16 / 3, 4, 2, 0)
+    got = {r.language: (r["count"], round(r.pct, 3), r.confidence) for r in text.language_detection(df, "t").collect()}
+    assert got == {"english": (2, 66.667, 1.0), "unknown": (1, 33.333, 0.0)}
+    none = text.text_statistics(df.where("t is null"), "t").first()
+    assert none.records == 0 and none.median_chars is None and none.total_chars == 0
+
+
+def all_cuts(run):
+    if not run:
+        yield []
+    for i in range(1, len(run) + 1):
+        for rest in all_cuts(run[i:]):
+            yield [run[:i], *rest]
+
+
+def test_japanese_cuts_against_all_cuts():
+    """Viterbi and expected counts against every way to cut a run."""
+    rng = random.Random(7)
+    for _ in range(150):
+        words = {"".join(rng.choice("日本ですタ") for _ in range(rng.randint(1, 3))): -rng.uniform(0.5, 6) for _ in range(12)}
+        lexicon = segment.Lexicon(words)
+        run = "".join(rng.choice("日本ですタ京") for _ in range(rng.randint(1, 9)))
+
+        def score(cut):
+            total, at = 0.0, 0
+            for w in cut:
+                one_script = re.fullmatch("[一-龯]{2,}|[ァ-ヶ]{2,}", w) and any(m.span() == (at, at + len(w)) for m in re.finditer("[一-龯]+|[ァ-ヶ]+", run))
+                if w not in words and len(w) > 1 and not one_script:
+                    return -math.inf
+                total += words.get(w, lexicon.unknown - (len(w) - 1))
+                at += len(w)
+            return total
+
+        scores = {tuple(c): score(c) for c in all_cuts(run)}
+        best = max(scores.values())
+        assert math.isclose(scores[tuple(lexicon.cut(run))], best)
+        whole = math.log(sum(math.exp(v) for v in scores.values()))
+        want = Counter()
+        for cut, v in scores.items():
+            for w in cut:
+                if w in words:
+                    want[w] += 3 * math.exp(v - whole)
+        got = {}
+        assert math.isclose(lexicon.expected(run, 3, got), 3 * whole, abs_tol=1e-9)
+        assert all(math.isclose(got.get(w, 0), want[w], abs_tol=1e-9) for w in {*got, *want})
+
+
+def test_japanese_long_runs_are_cut_in_windows():
+    lexicon = segment.Lexicon({"日本": -2.0, "語": -2.0, "です": -2.0})
+    run = "日本語です" * 5000
+    assert lexicon.cut(run) == ["日本", "語", "です"] * 5000
+
+
+def test_japanese_lexicon(spark):
+    rng = random.Random(3)
+    nouns, ends = ["東京", "大学", "コーヒー", "日本語", "新聞", "テレビ"], ["です", "でした", "がある", "を見る", "へ行く"]
+    rows = [("".join(rng.choice(nouns) + "の" for _ in range(2)) + rng.choice(nouns) + rng.choice(ends) + "。",) for _ in range(400)] + [(None,), ("",), ("plain words",)]
+    df = spark.createDataFrame(rows, "t string")
+    lexicon = segment.learn_lexicon(df, "t")
+    assert lexicon.words_of("東京の大学でした。mixed テキスト") == ["東京", "の", "大学", "でした", "mixed", "テキスト"]
+    counts = {r.word: r["count"] for r in text.word_frequency(df, "t", 50, japanese=True).collect()}
+    want = Counter(w for t, in rows if t for w in lexicon.words_of(t) if len(w) >= 2)
+    assert {w: n for w, n in counts.items() if w != "plain" and w != "words"} == {w: n for w, n in want.items() if w not in ("plain", "words")}
+    assert {"東京", "大学", "コーヒー", "日本語", "新聞", "テレビ"} <= counts.keys()
+    assert segment.learn_lexicon(df.where("t = 'plain words'"), "t").words == {}
+    assert text.sentence_analysis(df, "t", lexicon).where("kind = 'total'").first()["count"] == 401
+
+
+def test_japanese_words_query(spark):
+    """Most words of the transliterated conversations are cut where the spaces were."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").where("text is not null").select(F.transform(F.split(F.lower("text"), " "), catalogue.in_japanese).alias("w")).select("w", F.array_join("w", "").alias("t"))
+    lexicon = segment.learn_lexicon(rows, "t")
+    hit = true = 0
+    for r in rows.collect():
+        places = lambda words: set(np.cumsum([len(w) for w in words]).tolist())
+        got, want = places(lexicon.words_of(r.t)), places([x for w in r.w for x in re.findall(segment.JAPANESE_RUN, w)])
+        hit, true = hit + len(got & want), true + len(want)
+    assert hit > 0.7 * true
+
+
 def test_pattern_examples(spark):
     rows = [("d@x.org",), ("b@x.org",), ("a@x.org",), ("a@x.org",), ("c@x.org",), ("7",), (None,), ("no match here",)]
     got = {r.pattern: (r["count"], r.examples) for r in text.text_patterns(spark.createDataFrame(rows, "t string"), "t").collect()}
