@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -525,7 +526,6 @@ def json_child_table(s, d):
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in ("region", "nation", "customer", "orders")))
 def union_counts(s, d):
-    from functools import reduce
 
     return reduce(DataFrame.unionAll, (table(s, d, t).agg(F.lit(t).alias("table_name"), F.count("*").alias("rows")) for t in ("region", "nation", "customer", "orders")))
 
@@ -768,35 +768,76 @@ def csv_odd_lines(s, d):
     return _loaded(s, _written(s, "odd.csv", ["a,b", "1, 2 ", "", ",", "   ", "3,4,9", "5", '"x,y","say ""hi"""', ""]))
 
 
-_CITIES = ("東京,タワー", "大阪,ソース", "Zürich,für", "plain,text")
+def _written_lines(s: SparkSession, name: str, header: str | None, lines: DataFrame, encoding: str = "utf-8", mark: str = "") -> str:
+    """A file of a line for each row of (at, line), in that order, in an encoding; written by Spark, which passes bytes on."""
+    path = scratch_path(s, name)
+    encode = F.pandas_udf(lambda x: x.map(lambda t: t.encode(encoding)), "binary")
+    rows = lines if header is None else s.createDataFrame([(-1, mark + header)], "at long, line string").unionAll(lines)
+    rows.repartition(1).sortWithinPartitions("at").select(encode("line").cast("string").alias("value")).write.text(path)
+    return path
+
 
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_ACCENTED = "ÀBÇDÉFGHÎJKLMÑÖPQRŠTÜVWXŸŽ"
 
-def _in_encoding(encoding: str, cities: tuple[str, ...]) -> Query:
+
+def _in_encoding(letters: str, encoding: str, named: str | None = None, mark: str = "") -> Query:
     def load(s: SparkSession, d: str) -> DataFrame:
-        return _loaded(s, _written(s, f"{encoding}.csv", ["city,word", *cities * 3], encoding), encoding=encoding).groupBy("city", "word").agg(F.count("*").alias("count"))
+        """Customers with their segment in other letters, written in an encoding and loaded; unless it is named, it is found."""
+        line = F.concat_ws(",", "c_custkey", F.translate("c_mktsegment", _CAPITALS, letters), F.concat(F.lit('"'), "c_name", F.lit(', "'), F.lit('"'), "c_nationkey", F.lit('"""')))
+        path = _written_lines(s, f"{encoding}.csv", "番号,segment,name" if letters == _KANA else "number,segment,name", table(s, d, "customer").select(F.col("c_custkey").alias("at"), line.alias("line")), encoding, mark)
+        found = _loaded(s, path, **({"encoding": named} if named else {}))
+        return found.toDF("number", "segment", "name")
 
     return load
 
 
-for _code in ("shift_jis", "euc_jp", "iso2022_jp", "utf-16", "utf-8-sig", "cp1252"):
-    _own = tuple(c for c in _CITIES if ("ü" not in c or _code.startswith("utf") or _code == "cp1252") and (c.isascii() or "ü" in c or _code != "cp1252"))
-    _rows = ", ".join("('{}', '{}', 3)".format(*c.split(",")) for c in _own)
-    query(f"SELECT city, word, CAST(count AS BIGINT) AS count FROM (VALUES {_rows}) v(city, word, count)", f"csv_{_code.replace('-', '_')}")(_in_encoding({"utf-16": "utf-16-le", "utf-8-sig": "utf-8"}.get(_code, _code), _own) if _code != "utf-8-sig" else lambda s, d, own=_own: _loaded(s, _written(s, "bom.csv", ["city,word", *own * 3], "utf-8-sig")).groupBy("city", "word").agg(F.count("*").alias("count")))
+for _code, _letters, _named, _mark in (("shift_jis", _KANA, None, ""), ("euc_jp", _KANA, None, ""), ("iso2022_jp", _KANA, None, ""), ("utf-8-sig", _KANA, None, ""), ("cp1252", _ACCENTED, "cp1252", "")):
+    _file = {"utf-8-sig": "utf-8"}.get(_code, _code)
+    query(f"""SELECT CAST(c_custkey AS VARCHAR) AS number, translate(c_mktsegment, '{_CAPITALS}', '{_letters}') AS segment, c_name || ', "' || c_nationkey || '"' AS name FROM customer""", f"csv_{_code.replace('-', '_')}")(
+        _in_encoding(_letters, _file, _named, "\ufeff" if _code == "utf-8-sig" else "")
+    )
+
 
+@query(f"SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, translate(c_mktsegment, '{_CAPITALS}', '{_KANA}') AS segment FROM customer")
+def csv_utf_16(s, d):
+    path = scratch_path(s, "utf16.csv")
+    rows = table(s, d, "customer").select("c_custkey", F.translate("c_mktsegment", _CAPITALS, _KANA).alias("segment"))
+    rows.coalesce(1).write.option("header", True).option("encoding", "UTF-16LE").csv(path)
+    return _loaded(s, path)
 
-@query("SELECT * FROM (VALUES ('shift_jis'), ('euc_jp'), ('iso2022_jp'), ('utf-8'), ('utf-16-le')) v(encoding)")
+
+@query("SELECT encoding, count(*) AS rows FROM (VALUES ('shift_jis'), ('euc_jp'), ('iso2022_jp'), ('utf-8')) v(encoding), customer GROUP BY 1")
 def encoding_detection(s, d):
-    """What the detector says of the same Japanese text in several encodings."""
+    """What the detector says of customers' names with Japanese words around them, in several encodings; and the lines of each."""
     from ..sources import encoding, files
 
-    text_of = ["名前,町", *["東京の人はソースが好きです,大阪"] * 20]
-    found = [encoding.detect(files.head(s, _written(s, "probe", text_of, e))).encoding for e in ("shift_jis", "euc_jp", "iso2022_jp", "utf-8", "utf-16")]
-    return s.createDataFrame([(e,) for e in found], "encoding string")
+    line = F.concat(F.lit("東京の人は"), "c_name", F.lit("が好きです,"), F.translate("c_mktsegment", _CAPITALS, _KANA))
+    lines = table(s, d, "customer").select(F.col("c_custkey").alias("at"), line.alias("line"))
+    found = []
+    for e in ("shift_jis", "euc_jp", "iso2022_jp", "utf-8"):
+        path = _written_lines(s, f"{e}.txt", None, lines, e)
+        name = encoding.detect(files.head(s, path)).encoding
+        found.append(files.decoded_lines(s, path, name).where(F.col("value").contains("の人は")).agg(F.lit(name).alias("encoding"), F.count("*").alias("rows")))
+    return reduce(DataFrame.unionAll, found)
+
+
+_JSON_ORDERS = """
+SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_totalprice AS VARCHAR) AS price, CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END AS even, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus || ' "[{,\\' END AS status,
+ CASE WHEN o_orderkey % 5 > 0 THEN '{"priority":"' || o_orderpriority || '","keys":[' || o_orderkey || ',' || o_custkey || ']}' END AS nested, CASE WHEN o_orderkey = (SELECT max(o_orderkey) FROM orders) THEN 'here' END AS a_late_one FROM orders"""
 
 
-@query("SELECT * FROM (VALUES ('1', 'x', NULL, NULL), ('2.5', NULL, '{\"c\":[1,2]}', NULL), ('true', 'é', '[3]', 'z')) v(b, a, d, e)")
+@query(_JSON_ORDERS)
 def json_load(s, d):
-    return _loaded(s, _written(s, "rows.json", ['[{"b": 1, "a": "x"}, {"b": 2.5, "d": {"c": [1, 2]}}, {"b": true, "a": "é", "d": [3], "e": "z"}]']))
+    """Orders as one JSON document on a single line but for its elements, with brackets and quotes in texts and a key that only the last one has."""
+    o = table(s, d, "orders")
+    last = o.agg(F.max("o_orderkey")).first()[0]
+    k = F.col("o_orderkey")
+    nested = F.when(k % 5 > 0, F.struct(F.col("o_orderpriority").alias("priority"), F.array("o_orderkey", "o_custkey").alias("keys")))
+    text_of = F.when(k % 3 > 0, F.concat("o_orderstatus", F.lit(' "[{,\\')))
+    object_of = F.to_json(F.struct(k, F.format_string("%.2f", "o_totalprice").cast("decimal(12,2)").alias("price"), (k % 2 == 0).alias("even"), text_of.alias("status"), nested.alias("nested"), F.when(k == last, "here").alias("a_late_one")))
+    lines = o.select(k.alias("at"), F.concat(object_of, F.when(k == last, "]").otherwise(",")).alias("line"))
+    return _loaded(s, _written_lines(s, "orders.json", "[", lines)).withColumn("price", F.col("price").cast("double").cast("string"))
 
 
 @query("SELECT n_nationkey + 1 AS _source_row_id, n_nationkey AS k, n_name AS name FROM nation WHERE n_nationkey % 3 <> 0")

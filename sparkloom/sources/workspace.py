@@ -79,11 +79,15 @@ class Workspace:
             first = files.head(self.spark, path).split(b"\n", 1)[0]
             options.setdefault("sep", "\t" if first.count(b"\t") > first.count(b",") else ",")
         read = {"csv": files.read_csv, "txt": files.read_csv, "tsv": files.read_tsv, "json": files.read_json, "parquet": files.read_parquet}[kind]
-        df = read(self.spark, path, **options)
+        if kind == "json":
+            placed = read(self.spark, path, at="__at", **options)
+            df = placed.drop("__at")
+        else:
+            df = read(self.spark, path, **options)
+            placed = df.withColumn("__at", F.monotonically_increasing_id())  # rows of a file are read in its order
         names = [self.create(name, df)]
         if children and kind != "parquet":
-            # rows of a file are read in its order
-            found = files.json_child_tables(df.withColumn("__at", F.monotonically_increasing_id()), names[0], ["__at"])
+            found = files.json_child_tables(placed, names[0], ["__at"])
             names += [self.create(n, child) for n, child in found.items()]
         return names
 

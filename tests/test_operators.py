@@ -1,3 +1,4 @@
+import json
 import math
 import random
 import re
@@ -13,7 +14,7 @@ from sparkloom.operators import filters, missing, multivariate, preview, profile
 from sparkloom.operators.filters import Filter
 from sparkloom.operators.ordering import with_row_index
 from sparkloom.plans import catalogue
-from sparkloom.sources import encoding, files
+from sparkloom.sources import encoding, files, json_document
 from sparkloom.sources.workspace import Workspace, write
 from sparkloom.streaming import monitor, simulator
 
@@ -270,6 +271,76 @@ def test_encodings(spark, tmp_path, name):
     assert encoding.describe("sjis").startswith("Japanese") and encoding.corruption("�") == 1
 
 
+@pytest.mark.parametrize("name", ["shift_jis", "euc_jp", "iso2022_jp", "cp1252"])
+def test_encodings_in_ranges(spark, tmp_path, name):
+    """A file in ranges of a few hundred bytes, which begin anywhere in a character: the same rows as decoded whole."""
+    rng = random.Random(2)
+    letters = "abcéü" if name == "cp1252" else "abc東京表示ソ能十ーあいう"  # some of these have bytes of ASCII letters, brackets and backslashes in them
+    rows = [(str(i), "".join(rng.choice(letters) for _ in range(rng.randint(1, 30)))) for i in range(400)]
+    p = tmp_path / "own.csv"
+    p.write_bytes("".join(f"{a},{b}\r\n" for a, b in [("id", "名" if name != "cp1252" else "nom"), *rows]).encode(name))
+    j = tmp_path / "own.json"
+    j.write_bytes(json.dumps([{"id": a, "v": b} for a, b in rows], ensure_ascii=False, indent=1).encode(name))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "997")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        df = files.read_csv(spark, str(p), encoding=name)
+        assert df.rdd.getNumPartitions() >= 8
+        assert [tuple(r) for r in df.collect()] == rows
+        assert sorted(map(tuple, files.read_json(spark, str(j), name).collect())) == sorted(rows)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def json_like(rng, depth=0):
+    odd = ['"', "\\", "[", "]", "{", "}", ",", ":", "é", "\n", "日", "a", " "]
+    kind = rng.randint(0, 6 if depth < 3 else 3)
+    if kind == 0:
+        return rng.choice([True, None, 12, -3, False])
+    if kind <= 3:
+        return "".join(rng.choice(odd) for _ in range(rng.randint(0, 12)))
+    if kind <= 4:
+        return [json_like(rng, depth + 1) for _ in range(rng.randint(0, 3))]
+    return {rng.choice(odd) + str(rng.randint(0, 3)): json_like(rng, depth + 1) for _ in range(rng.randint(0, 4))}
+
+
+def test_json_elements_in_ranges(spark, tmp_path):
+    """Documents full of brackets and quotes inside strings, read in ranges of a few bytes, against a parser."""
+    rng = random.Random(4)
+    for k, indent in enumerate((None, None, 1)):
+        rows = [json_like(rng) for _ in range(60)]
+        p = tmp_path / f"{k}.json"
+        p.write_text("\ufeff" * (k == 1) + json.dumps(rows, ensure_ascii=k == 0, indent=indent) + "\n")
+        for size in ("97", "1500", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            try:
+                found = json_document.elements(files.raw_lines(spark, str(p), ","))
+                got = [json.loads(r.text) for r in found.orderBy("path", "block", "i").collect()]
+            finally:
+                spark.conf.unset("spark.sql.files.maxPartitionBytes")
+                spark.conf.unset("spark.sql.files.openCostInBytes")
+            assert got == rows
+
+
+def test_json_documents(spark, tmp_path):
+    def read(text):
+        p = tmp_path / f"{abs(hash(text))}.json"
+        p.write_text(text)
+        return files.read_json(spark, str(p))
+
+    df = read('[{"z": 1, "a": "mentions \\"b\\" and late"}, 5, {"b": {"y": 1, "x": [1, 2]}, "7": true, "3": null, "it\'s": "q"}, {"late": 2.5, "Z": 0}]')
+    assert df.columns == ["z", "a", "3", "7", "b", "it_s", "late", "Z_2"]
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(
+        [("1", 'mentions "b" and late') + (None,) * 6, (None,) * 8, (None, None, None, "true", '{"y":1,"x":[1,2]}', "q", None, None), (None,) * 6 + ("2.5", "0")], key=str
+    )
+    assert read(' {"only": [1, {"k": "]"}]} ').collect() == [('[1,{"k":"]"}]',)]
+    for bad in ("[1, 2]", "[]", "", '[{"a": 1}', '[{"a": 1}]]', '[{"a": nope}]', '[{"a": "open]', "[{}]", '"text"'):
+        with pytest.raises(ValueError):
+            read(bad)
+
+
 def test_json_and_children(spark, tmp_path):
     p = tmp_path / "j.json"
     p.write_text('[{"b": 1, "a": "x", "o": {"k": 2}}, {"b": null, "c": true}]', encoding="utf-8")
