@@ -1,14 +1,17 @@
 """Toxicity by weak supervision.
 
-Voters are lexicons and patterns: each votes toxic or clean on a document, or abstains. The labelled sample is cut into
-folds, and a lexicon that votes in one fold was found in the others, so that no row's label decides how it is voted on.
-Lexicons are told apart by what they hold (words, or beginnings of words) and by how sure that was where it was found;
-a word of a text speaks through the surest feature of its own alone. Patterns look at how a text is written. A generative
-label model, fitted on the votes by expectation maximisation, estimates how often each voter votes and errs given the
-label, and which voters depend on each other beyond it: those are joined in a tree, in which a vote depends on the label
-and on the parent's vote. The label is hidden but in some of the folds, which hold the model to what is meant by toxic
-(left alone, it would find the language or the junk instead). A linear classifier over words and beginnings of words is
-trained on the posterior labels, calibrated, and scores every document.
+Voters are lexicons and patterns: each votes toxic or clean on a document, or abstains. Lexicons are told apart by what
+they hold (words, or beginnings of words), by how sure that was where it was found, and by a part that a feature is dealt
+to; a word of a text speaks through the surest feature of its own alone. A pattern looks at how a text is written; labels give it its one sign, and a pattern that
+goes with neither label has no vote. A generative label model, fitted on the votes by expectation maximisation, estimates
+how often each voter votes and errs given the label, and which voters depend on each other beyond it: those are joined in
+a tree, in which a vote depends on the label and on the parent's vote. A linear classifier over words and beginnings of
+words is trained on the posterior labels, calibrated, and scores every document.
+
+No label is a training target, and none has a part in its own posterior. The sample is cut into folds. For each fold a
+label model is fitted whose lexicons, signs, class balance and known labels all come from other folds; a lexicon that
+votes in one of those was found without it too. Labels of other folds hold the model to what is meant by toxic: left
+alone, it would find the language or the junk instead.
 
 Features are counted on the executors; only the kept ones, and where the sample has them, reach the driver.
 """
@@ -16,12 +19,13 @@ Features are counted on the executors; only the kept ones, and where the sample
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._linear import Sparse, fit_logistic, platt, sigmoid
@@ -39,10 +43,14 @@ SURE, STRONG = (0.9, 0.75, 0.6, 0.4), 3.5
 DOUBT = 5.0
 #: Parts of the sample: lexicons that vote in one come from all others.
 FOLDS = 5
+#: Lexicons of one kind and sureness: features are dealt over so many, so that two words of a text can be two voters.
+PARTS = 3
 #: Conditional mutual information, in nats, from which on two voters are joined; what a voter's table is smoothed by.
 JOINED, SMOOTH = 0.01, 0.5
-#: Folds whose labels the label model sees; in all others the label is hidden from it.
-SEEN = 3
+#: Standard errors by which a pattern's share of toxic rows must part from the class balance for it to vote.
+TELLING = 3.0
+#: Words whose features a worker remembers.
+REMEMBERED = 200_000
 
 _TOKEN = re.compile(r"[^\W\d_]+")
 #: How toxic words are written to pass filters: with digits and signs for letters, letter by letter, or masked.
@@ -61,13 +69,19 @@ PATTERNS = {
 }
 
 
-def text_features(text: str | None) -> set[str]:
-    """Distinct words of a text, in lower case, also with disguises taken off, and the beginnings of words, which end in a hyphen."""
+def text_words(text: str | None) -> set[str]:
+    """Distinct words of a text, in lower case, also with disguises taken off."""
     text = (text or "").lower()
     words = set(_TOKEN.findall(text))
     if _MAYBE_ODD.search(text):
         words.update(w for odd in _ODD.findall(text) if (w := odd.translate(_LOOKALIKE)).isalpha())
     words.update("".join(filter(str.isalpha, run)) for run in _SPACED.findall(text))
+    return words
+
+
+def text_features(text: str | None) -> set[str]:
+    """``text_words`` and the beginnings of words, which end in a hyphen."""
+    words = text_words(text)
     out = set(words)
     for n in STEMS:
         out.update(w[:n] + "-" for w in words if len(w) > n)
@@ -103,14 +117,37 @@ class Toxicity:
     accuracies: np.ndarray = field(default_factory=lambda: np.zeros(0))
     correlations: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
+    def __post_init__(self):
+        names = list(self.weights)
+        self._place = {name: i for i, name in enumerate(names)}
+        self._weight = [self.weights[name] for name in names]
+        self._known: dict[str, tuple[int, ...]] = {}
+
+    def _features(self, word: str) -> tuple[int, ...]:
+        """Places of the features that a word has: itself and its beginnings."""
+        found = self._known.get(word)
+        if found is None:
+            if len(self._known) > REMEMBERED:
+                self._known.clear()
+            own = [word, *(word[:n] + "-" for n in STEMS if len(word) > n)]
+            found = self._known[word] = tuple(self._place[x] for x in own if x in self._place)
+        return found
+
     def margin(self, text: str | None) -> float:
-        known = self.weights.keys() & text_features(text) if self.weights else ()
-        return self.intercept + sum(self.weights[x] for x in sorted(known))
+        known = {i for word in text_words(text) for i in self._features(word)} if self.weights else ()
+        return self.intercept + sum(self._weight[i] for i in sorted(known))
 
     def score(self, texts: pd.Series) -> np.ndarray:
         m = np.fromiter(map(self.margin, texts), float, len(texts))
         return sigmoid(self.scale[0] * m + self.scale[1])
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.__post_init__()
+
 
 def sketch(text: str | None) -> tuple[int, int]:
     """Two minima over hashes of the text's runs of three words: copies and near copies share one or both."""
@@ -158,19 +195,22 @@ def _parents(joint: np.ndarray, least: float) -> np.ndarray:
     return parent
 
 
-def _tables(joint: np.ndarray, parent: np.ndarray) -> np.ndarray:
+def _tables(which: np.ndarray, post: np.ndarray, parent: np.ndarray) -> np.ndarray:
     """log P(vote | label, parent's vote): label x voter x parent's vote x vote; without a parent all its rows are the same."""
-    own = np.einsum("yjaja->yja", joint) + SMOOTH
-    alone = own / own.sum(-1, keepdims=True)
-    out = np.repeat(alone[:, :, None, :], 3, 2)
-    for j, p in enumerate(parent):
-        if p >= 0:
-            counts = joint[:, p, :, j, :] + 4 * SMOOTH * alone[:, None, j, :]
-            out[:, j] = counts / counts.sum(-1, keepdims=True)
+    k = which.shape[1]
+    out = np.empty((2, k, 3, 3))
+    for y, weight in enumerate((1 - post, post)):
+        for j, p in enumerate(parent):
+            own = np.bincount(which[:, j], weight, 3) + SMOOTH
+            alone = own / own.sum()
+            counts = 4 * SMOOTH * alone[None, :]
+            if p >= 0:
+                counts = counts + np.bincount(3 * which[:, p] + which[:, j], weight, 9).reshape(3, 3)
+            out[y, j] = counts / counts.sum(-1, keepdims=True) if p >= 0 else alone
     return np.log(out)
 
 
-def label_model(votes: np.ndarray, prior: float, start: np.ndarray, known: np.ndarray | None = None, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, prior: float, start: np.ndarray, known: np.ndarray | None = None, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior, accuracies, correlations of errors) from votes; start: how often each voter is thought to be right at first; known: labels, -1 where hidden.
 
     What depends strongly is joined at once; half way, when the posterior has formed, the forest is found anew.
@@ -191,10 +231,15 @@ def label_model(votes: np.ndarray, prior: float, start: np.ndarray, known: np.nd
         at = [tables[y][np.arange(k), above, which].sum(1) for y in (0, 1)]
         new = np.where(known >= 0, known, sigmoid(np.log(prior / (1 - prior)) + at[1] - at[0]))
         settled, post = np.abs(new - post).max(initial=0) < 1e-6, new
-        joint = _joint(votes, post)
-        if turn in (0, rounds // 2):
-            parent, settled = _parents(joint, JOINED * (1 if turn else 10)), False
-        tables = _tables(joint, parent)
+        if turn in (0, rounds // 2) or settled and turn < rounds // 2:
+            parent = _parents(_joint(votes, post), JOINED * (1 if turn else 10))
+            if settled and turn and turn != rounds // 2:  # the posterior has formed early
+                tables = _tables(which, post, parent)
+                rounds = turn + max(2, rounds // 4)
+                settled = False
+                continue
+            settled = False
+        tables = _tables(which, post, parent)
         if settled and turn > rounds // 2:
             break
     own = np.einsum("yjaja->yja", _joint(votes, post))
@@ -205,11 +250,38 @@ def label_model(votes: np.ndarray, prior: float, start: np.ndarray, known: np.nd
     return post, accuracy, rest.T @ rest / max(1, n)
 
 
-def _strength(hits: Column, both: Column, pos: Column, n: Column) -> Column:
-    """Root of the G statistic of a feature against the label, negative where it goes with label 0."""
-    part = lambda a, e: a * F.ln(F.greatest(a, F.lit(1e-12)) / F.greatest(e, F.lit(1e-12)))
-    g = part(hits, both * pos / n) + part(both - hits, both * (n - pos) / n) + part(pos - hits, (n - both) * pos / n) + part(n - pos - both + hits, (n - both) * (n - pos) / n)
-    return F.sqrt(F.greatest(F.lit(0.0), 2 * g)) * F.when(hits * n >= both * pos, 1).otherwise(-1)
+def strengths(counts: np.ndarray, sizes: np.ndarray, without: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Of features, from all folds but some: the root of the G statistic against the label, negative where it goes with label 0, and the share of toxic rows.
+
+    counts: feature x fold x label; sizes: fold x label.
+    """
+    use = [f for f in range(FOLDS) if f not in without]
+    clean, hits = counts[:, use].sum(1).T
+    neg, pos = sizes[use].sum(0)
+    if not pos or not neg:
+        return np.zeros(len(counts)), np.full(len(counts), 0.5)
+    n, both = neg + pos, hits + clean
+    part = lambda a, e: a * np.log(np.maximum(a, 1e-12) / np.maximum(e, 1e-12))
+    g = part(hits, both * pos / n) + part(clean, both * neg / n) + part(pos - hits, (n - both) * pos / n) + part(neg - clean, (n - both) * neg / n)
+    return np.sqrt(np.maximum(0, 2 * g)) * np.where(hits * n >= both * pos, 1, -1), (hits + DOUBT * pos / n) / (both + DOUBT)
+
+
+#: What is left out where a fold's rows are voted on, and where those of another fold anchor that fold's label model.
+LEFT_OUT = [(f,) for f in range(FOLDS)] + [(f, g) for f in range(FOLDS) for g in range(f + 1, FOLDS)]
+
+
+def _telling(sizes: np.ndarray):
+    """Keeps features that are strong in all rows, or in those that some lexicon comes from."""
+    names = [f"c{f}{y}" for f in range(FOLDS) for y in (0, 1)]
+
+    def telling(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            counts = pdf[names].to_numpy(float).reshape(len(pdf), FOLDS, 2)
+            z = strengths(counts, sizes)[0]
+            best = np.max([np.abs(z), *(np.abs(strengths(counts, sizes, w)[0]) for w in LEFT_OUT)], axis=0)
+            yield pdf.assign(z=z)[best > STRONG]
+
+    return telling
 
 
 def _first_of_copies(seen: DataFrame) -> DataFrame:
@@ -234,7 +306,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not pos or pos == n:
         model.intercept = float(np.log((pos + 0.5) / (n - pos + 0.5))) if n else -3.0
         return model
-    kept = _kept(seen, sizes).toPandas().sort_values("name").reset_index(drop=True)
+    by_fold = np.array([[sizes.get((f, y), 0) for y in (0, 1)] for f in range(FOLDS)], float)
+    kept = _kept(seen, by_fold).toPandas().sort_values("name").reset_index(drop=True)
     place = {name: i for i, name in enumerate(kept["name"])}
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -243,68 +316,119 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     # at most ``sample`` rows of numbers, a few for each word that the model knows
     got = seen.mapInPandas(found, "toxic int, fold int, patterns long, k1 long, k2 long, at array<int>").toPandas().sort_values(["k1", "k2"])
-    model = fit_rows(kept, [np.asarray(a, np.int64) for a in got["at"]], got["fold"].to_numpy(), got["patterns"].to_numpy(np.int64), got["toxic"].to_numpy(float))
+    counts = kept[[f"c{f}{y}" for f in range(FOLDS) for y in (0, 1)]].to_numpy(float).reshape(len(kept), FOLDS, 2)
+    rows = Rows([np.asarray(a, np.int64).reshape(-1, 1 + len(STEMS)) for a in got["at"]], got["fold"].to_numpy(), got["patterns"].to_numpy(np.int64), got["toxic"].to_numpy(int))
+    model = fit_rows(list(kept["name"]), counts, rows)
     release_memory()
     return model
 
 
-def _kept(seen: DataFrame, sizes: dict[tuple[int, int], int]) -> DataFrame:
-    """(name, z, share, z0, share0, ...): at most FEATURES features and their strength in all rows and outside of each fold, from counts made on the executors."""
+def _kept(seen: DataFrame, sizes: np.ndarray) -> DataFrame:
+    """(name, counts by fold and label, z): at most FEATURES features, the strongest first, from counts made on the executors."""
     keys = [(f, y) for f in range(FOLDS) for y in (0, 1)]
     counts = seen.select("fold", "toxic", F.explode("names").alias("name")).groupBy("name").agg(*(F.count_if((F.col("fold") == f) & (F.col("toxic") == y)).cast("double").alias(f"c{f}{y}") for f, y in keys))
-    out = {}
-    for out_of in (None, *range(FOLDS)):
-        hits, clean = (sum((F.col(f"c{f}{y}") for f in range(FOLDS) if f != out_of), F.lit(0.0)) for y in (1, 0))
-        pos, neg = (float(sum(sizes.get((f, y), 0) for f in range(FOLDS) if f != out_of)) for y in (1, 0))
-        name = "" if out_of is None else str(out_of)
-        out[f"z{name}"] = _strength(hits, hits + clean, F.lit(pos), F.lit(pos + neg)) if pos and neg else F.lit(0.0)
-        out[f"share{name}"] = (hits + DOUBT * pos / max(1.0, pos + neg)) / (hits + clean + DOUBT)
     often = sum((F.col(f"c{f}{y}") for f, y in keys), F.lit(0.0)) >= 3  # what fewer rows have is no evidence
-    scored = counts.where(often).select("name", *(x.alias(k) for k, x in out.items()))
-    return scored.where(F.greatest(*(F.abs(k) for k in out if k[0] == "z")) > STRONG).orderBy(F.desc(F.abs("z")), "name").limit(FEATURES)
+    telling = counts.where(often).mapInPandas(_telling(sizes), "name string, " + ", ".join(f"c{f}{y} double" for f, y in keys) + ", z double")
+    return telling.orderBy(F.desc(F.abs("z")), "name").limit(FEATURES)
+
+
+@dataclass
+class Rows:
+    """The labelled sample: of each row the known features of its words (words x 4, -1 for none), its fold, patterns and label."""
+
+    words: list[np.ndarray]
+    fold: np.ndarray
+    patterns: np.ndarray
+    toxic: np.ndarray
+
 
+#: Voters: lexicons of toxic features by kind, sureness and part, of clean ones by kind, then patterns.
+TOXIC_DECKS, CLEAN_DECKS = (1 + len(STEMS)) * len(SURE) * PARTS, 1 + len(STEMS)
+VOTERS = TOXIC_DECKS + CLEAN_DECKS + len(PATTERNS)
 
-def lexicons(kept: pd.DataFrame, fold: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each feature the lexicon, by label, kind and sureness outside of ``fold``, that it is in, -1 for none; and how sure it is."""
-    z, share = kept[f"z{fold}"].to_numpy(), kept[f"share{fold}"].to_numpy()
+
+def lexicons(names: list[str], z: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each feature the lexicon, by label, kind, sureness and part, that it is in, -1 for none; and how sure it is."""
     kinds = (0, *STEMS)
-    kind = np.array([kinds.index(feature_kind(x)) for x in kept["name"]], int)
+    kind = np.array([kinds.index(feature_kind(x)) for x in names], int)
     sure = np.where(z > 0, share, 1 - share)
     tier = np.searchsorted(-np.array(SURE), -sure)
     # what goes with label 0 is only said to if no toxic text has it
     fit = (np.abs(z) >= STRONG) & (tier < len(SURE)) & ((z > 0) | (sure > 0.99))
-    return np.where(fit, (kind * len(SURE) + tier) * (z > 0) + (len(kinds) * len(SURE) + kind) * (z < 0), -1), np.where(fit, sure, 0)
-
-
-def cast_votes(kept: pd.DataFrame, at: list[np.ndarray], fold: np.ndarray, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows x voters: lexicons of toxic features, of clean ones, patterns; and the share of right votes that each promises. A row meets lexicons of other folds."""
-    toxic, clean = (1 + len(STEMS)) * len(SURE), 1 + len(STEMS)
-    votes, start = np.full((len(at), toxic + clean + len(PATTERNS)), -1), np.full(toxic + clean + len(PATTERNS), 0.5)
-    decks = [lexicons(kept, f) for f in range(FOLDS)]
-    promised = np.zeros((2, toxic + clean))
-    for i, own in enumerate(at):
-        deck, sure = decks[fold[i]]
-        words = own.reshape(-1, 1 + len(STEMS))
-        best = words[np.arange(len(words)), np.where(words >= 0, sure[words], -1).argmax(1)]
-        hit = np.unique(deck[best], return_index=True)
-        for v, j in zip(*hit, strict=True):
-            if v >= 0:
-                votes[i, v] = int(v < toxic)
-                promised[:, v] += 1, sure[best[j]]
-    start[: toxic + clean] = np.clip((promised[1] + 1) / (promised[0] + 2), 0.5, 0.99)
-    for j in range(len(PATTERNS)):  # of which nothing is known beforehand
-        votes[patterns >> j & 1 == 1, toxic + clean + j] = 1
-    return votes, start
-
-
-def fit_rows(kept: pd.DataFrame, at: list[np.ndarray], fold: np.ndarray, patterns: np.ndarray, toxic: np.ndarray) -> Toxicity:
-    """kept: the features; at: those of each row's words, as of ``features_of_words``."""
-    votes, start = cast_votes(kept, at, fold, patterns)
-    post, accuracies, correlations = label_model(votes, float(np.clip(toxic.mean(), 0.01, 0.99)), start, np.where(fold < SEEN, toxic, -1))
-    at = [np.unique(a[a >= 0]) for a in at]
-    x = Sparse(np.repeat(np.arange(len(at)), [len(a) for a in at]), np.concatenate([*at, np.zeros(0, np.int64)]), np.ones(sum(map(len, at))), len(at), len(kept))
-    w, b = fit_logistic(x, post, l2=0.1, steps=600)
-    return Toxicity(dict(zip(kept["name"], w.tolist(), strict=True)), float(b), platt(x.dot(w) + b, toxic), accuracies, correlations)
+    part = np.array([zlib.crc32(x.encode()) % PARTS for x in names], int)
+    return np.where(fit, np.where(z > 0, (kind * len(SURE) + tier) * PARTS + part, TOXIC_DECKS + kind), -1), np.where(fit, sure, 0)
+
+
+def signs(rows: Rows, without: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Each pattern's vote, 1 or 0, or -1 if it tells nothing; and how often that is right: from all folds but some."""
+    use = ~np.isin(rows.fold, without)
+    toxic, prior = rows.toxic[use], rows.toxic[use].mean() if use.any() else 0.5
+    vote, right = np.full(len(PATTERNS), -1), np.full(len(PATTERNS), 0.5)
+    for j in range(len(PATTERNS)):
+        hit = rows.patterns[use] >> j & 1 == 1
+        n, share = hit.sum(), (toxic[hit].sum() + DOUBT * prior) / (hit.sum() + DOUBT)
+        if n >= 5 and abs(share - prior) > TELLING * np.sqrt(prior * (1 - prior) / n):
+            vote[j] = int(share > prior)
+            right[j] = share if vote[j] else 1 - share
+    return vote, right
+
+
+def cast_votes(names: list[str], counts: np.ndarray, sizes: np.ndarray, rows: Rows, hidden: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows x voters, and the share of right votes that each promises, for the label model in which a fold's labels are hidden.
+
+    Nothing that votes comes from the hidden fold, nor from the fold of the row that is voted on.
+    """
+    votes = np.full((len(rows.fold), VOTERS), -1)
+    promised = np.zeros((2, VOTERS))
+    for g in range(FOLDS):
+        own = np.flatnonzero(rows.fold == g)
+        if not len(own):
+            continue
+        without = tuple({hidden, g})
+        deck, sure = lexicons(names, *strengths(counts, sizes, without))
+        words = np.concatenate([rows.words[i] for i in own])
+        row = np.repeat(own, [len(rows.words[i]) for i in own])
+        best = words[np.arange(len(words)), np.where(words >= 0, sure[words], -1.0).argmax(1)] if len(words) else np.zeros(0, int)
+        voter = deck[best] if len(words) else best
+        row, best, voter = row[voter >= 0], best[voter >= 0], voter[voter >= 0]
+        votes[row, voter] = voter < TOXIC_DECKS
+        promised[0] += np.bincount(voter, minlength=VOTERS)
+        promised[1] += np.bincount(voter, sure[best], VOTERS)
+        sign, right = signs(rows, without)
+        for j in np.flatnonzero(sign >= 0):
+            hit = own[rows.patterns[own] >> j & 1 == 1]
+            votes[hit, TOXIC_DECKS + CLEAN_DECKS + j] = sign[j]
+            promised[:, TOXIC_DECKS + CLEAN_DECKS + j] += len(hit), len(hit) * right[j]
+    return votes, np.clip((promised[1] + 1) / (promised[0] + 2), 0.5, 0.99)
+
+
+def posteriors(names: list[str], counts: np.ndarray, rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's posterior, from a label model that its own label has no part in; and the mean accuracies and correlations of the voters."""
+    post, accuracy, correlation = np.zeros(len(rows.fold)), [], []
+    sizes = np.array([[((rows.fold == f) & (rows.toxic == y)).sum() for y in (0, 1)] for f in range(FOLDS)], float)
+    for f in range(FOLDS):
+        own, rest = rows.fold == f, rows.fold != f
+        if not own.any():
+            continue
+        if not rest.any() or rows.toxic[rest].min() == rows.toxic[rest].max():
+            post[own] = rows.toxic[rest].mean() if rest.any() else 0.5
+            continue
+        votes, start = cast_votes(names, counts, sizes, rows, f)
+        found = label_model(votes, float(np.clip(rows.toxic[rest].mean(), 0.01, 0.99)), start, np.where(rest, rows.toxic, -1))
+        post[own] = found[0][own]
+        accuracy.append(found[1])
+        correlation.append(found[2])
+    none = np.zeros((1, VOTERS))
+    return post, np.mean(accuracy or none, 0), np.mean(correlation or [none.T @ none], 0)
+
+
+def fit_rows(names: list[str], counts: np.ndarray, rows: Rows) -> Toxicity:
+    """The linear classifier, trained on posteriors alone; gold labels only calibrate its scores."""
+    post, accuracies, correlations = posteriors(names, counts, rows)
+    at = [np.unique(a[a >= 0]) for a in rows.words]
+    x = Sparse(np.repeat(np.arange(len(at)), [len(a) for a in at]), np.concatenate([*at, np.zeros(0, np.int64)]), np.ones(sum(map(len, at))), len(at), len(names))
+    w, b = fit_logistic(x, post, np.abs(2 * post - 1), l2=0.3, steps=300)  # an open question teaches nothing
+    return Toxicity(dict(zip(names, w.tolist(), strict=True)), float(b), platt(x.dot(w) + b, rows.toxic.astype(float)), accuracies, correlations)
 
 
 def with_score(docs: DataFrame, model: Toxicity, text_col: str = "text", name: str = "score") -> DataFrame:

@@ -203,7 +203,7 @@ def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.score_toxicity(docs, labels).join(labels, "doc_id").where("held_out").groupBy("toxic", "predicted").count().collect()
     n = {(r.toxic, r.predicted): r["count"] for r in got}
-    assert n[1, 1] / (n[1, 1] + n[1, 0]) > 0.8 and n[1, 1] / (n[1, 1] + n.get((0, 1), 0)) > 0.9
+    assert n[1, 1] / (n[1, 1] + n[1, 0]) > 0.88 and n[1, 1] / (n[1, 1] + n.get((0, 1), 0)) > 0.95
 
 
 def test_toxicity_undisguises():
@@ -212,13 +212,68 @@ def test_toxicity_undisguises():
     assert all(names.values()) and toxicity.pattern_votes("A plain text, with 12 words in it.") == toxicity.pattern_votes(None) == 0
 
 
-def test_votes_come_from_other_folds():
-    import pandas as pd
-
-    fold = {f"z{f}": [9.0 if f else 0.0] for f in range(toxicity.FOLDS)} | {f"share{f}": [0.95 if f else 0.1] for f in range(toxicity.FOLDS)}
-    kept = pd.DataFrame({"name": ["bad"], **fold})  # found everywhere but outside of fold 0
-    votes, _ = toxicity.cast_votes(kept, [np.array([0, -1, -1, -1])] * 2, np.array([0, 1]), np.array([0, 1]))
-    assert (votes[0] == -1).all() and sorted(votes[1][votes[1] >= 0]) == [1, 1]
+def planted_sample(n=1500, seed=2):
+    """(names, rows, counts): words that go with the label, words that don't, and a pattern of each kind."""
+    rng = np.random.default_rng(seed)
+    names = [f"w{i}" for i in range(30)] + [f"wo{i}-" for i in range(3)]
+    toxic = (rng.random(n) < 0.2).astype(int)
+    words, patterns = [], np.zeros(n, np.int64)
+    for i, y in enumerate(toxic):
+        own = {int(w) for w in rng.integers(6, 30, 8)} | {int(w) for w in range(6) if rng.random() < (0.5 if y else 0.01)}
+        words.append(np.array([[w, 30 + w if w < 3 else -1, -1, -1] for w in sorted(own)]))
+        patterns[i] = int(rng.random() < (0.6 if y else 0.05)) + 2 * int(rng.random() < 0.3)
+    rows = toxicity.Rows(words, rng.integers(0, toxicity.FOLDS, n), patterns, toxic)
+    return names, rows
+
+
+def counts_of(names, rows):
+    counts = np.zeros((len(names), toxicity.FOLDS, 2))
+    for own, f, y in zip(rows.words, rows.fold, rows.toxic):
+        counts[np.unique(own[own >= 0]), f, y] += 1
+    return counts
+
+
+def test_own_label_has_no_part_in_its_posterior():
+    names, rows = planted_sample()
+    post, accuracy, _ = toxicity.posteriors(names, counts_of(names, rows), rows)
+    assert ((post > 0.5) == rows.toxic).mean() > 0.95
+    assert accuracy[accuracy > 0].min() > 0.4
+    for i in (0, 7, 100, 1499):
+        other = toxicity.Rows(rows.words, rows.fold, rows.patterns, rows.toxic.copy())
+        other.toxic[i] = 1 - other.toxic[i]
+        assert toxicity.posteriors(names, counts_of(names, other), other)[0][i] == post[i]
+    # nor any label of its fold
+    other = toxicity.Rows(rows.words, rows.fold, rows.patterns, np.where(rows.fold == 1, 1 - rows.toxic, rows.toxic))
+    again = toxicity.posteriors(names, counts_of(names, other), other)[0]
+    assert (again[rows.fold == 1] == post[rows.fold == 1]).all()
+
+
+def test_classifier_is_trained_on_posteriors(monkeypatch):
+    names, rows = planted_sample(600)
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit_logistic", lambda x, target, *_, **__: seen.update(target=target) or (np.zeros(len(names)), 0.0))
+    toxicity.fit_rows(names, counts_of(names, rows), rows)
+    assert (seen["target"] == toxicity.posteriors(names, counts_of(names, rows), rows)[0]).all() and not np.isin(seen["target"], (0, 1)).all()
+
+
+def test_patterns_have_one_sign_or_none():
+    _, rows = planted_sample()
+    vote, right = toxicity.signs(rows, (0, 3))
+    assert vote[0] == 1 and right[0] > 0.5 and (vote[1:] == -1).all()
+    rows.toxic = 1 - rows.toxic
+    assert toxicity.signs(rows, ())[0][0] == 0
+
+
+def test_margin_against_features(spark):
+    import pickle
+
+    rng = random.Random(3)
+    weights = {"bad": 2.0, "bad-": 1.0, "badl-": 0.5, "idiot": 3.0, "fool": 1.5, "w-": 9.0}
+    model = toxicity.Toxicity(weights, -1.0)
+    for _ in range(300):
+        text = "".join(rng.choice(["bad", "badly", "id1ot", " ", " ", "f o o l", "f.o-o l", "x", "\n", "Bad", "1", "é"]) for _ in range(rng.randint(0, 14)))
+        want = -1.0 + sum(weights[x] for x in sorted(weights.keys() & toxicity.text_features(text)))
+        assert math.isclose(model.margin(text), want) and math.isclose(pickle.loads(pickle.dumps(model)).margin(text), want)
 
 
 def test_quality_learns(spark):
