@@ -6,7 +6,8 @@ are fitted on the labelled rows and on what each has been taught, and each hands
 of all without a label, as pseudo-labels to the other. Documents stay where they are: a round is its two classifiers and
 the margins from which on they teach, and a pass over the documents goes through the rounds again. The classifiers are
 naive Bayes models, so a fit is sums by feature. In the end both are calibrated on labelled rows, each row judged by a
-model without it, their log odds are combined, and every document is scored.
+model without it, their log odds are combined, and every document is scored. A view that predicts labelled rows no better
+than their share of good ones neither teaches nor counts.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ MASS, SURE = 2.0, 0.95
 WIDTHS = (1 << 14, 1 << 12)
 #: Buckets whose counts travel as one row.
 SPAN = 1 << 10
+#: Standard errors by which a view must predict labelled rows better than their share of good ones does, to teach and to count.
+SKILL = 3.0
 #: What a feature's counts are smoothed by, and how many times the variance of its log odds their square has to be.
 SMOOTH, NOISE = 0.5, 4.0
 
@@ -39,8 +42,8 @@ _LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 
 
 def shape(word: str) -> str:
-    """What a word looks like: runs of letters as A (capitals) or a, of digits as 0, all else as it is; eight characters at most."""
-    return _DIGITS.sub("0", _LETTERS.sub(lambda m: "A" if len(m[0]) > 1 and m[0].isupper() else "a", word))[:8]
+    """What a whole word looks like: runs of letters as A (capitals) or a, of digits as 0, all else as it is."""
+    return _DIGITS.sub("0", _LETTERS.sub(lambda m: "A" if len(m[0]) > 1 and m[0].isupper() else "a", word))
 
 
 def content_view(text: str) -> set[str]:
@@ -218,8 +221,34 @@ class Quality:
         return sigmoid(self.mix[0] * one + self.mix[1] * two + self.mix[2]), sigmoid(one), sigmoid(two)
 
 
+def loss(logit: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """What each row's label costs, in nats."""
+    return np.logaddexp(0, np.where(label == 1, -logit, logit))
+
+
 def _scales(models: tuple[Bayes, Bayes], views: tuple[View, View], label: np.ndarray) -> list[tuple[float, float]]:
-    return [platt(m.margin(v, label), label.astype(float)) for m, v in zip(models, views, strict=True)]
+    """Calibration of each view on rows judged without themselves; a view without skill says the share of good rows of every row."""
+    prior = float(np.log((label.sum() + 1) / (len(label) - label.sum() + 1)))
+    out = []
+    for m, v in zip(models, views, strict=True):
+        margin = m.margin(v, label)
+        a, b = platt(margin, label.astype(float))
+        won = loss(np.full(len(label), prior), label) - loss(a * margin + b, label)
+        skilled = a > 0 and won.mean() > SKILL * won.std() / np.sqrt(len(won))
+        out.append((a, b) if skilled else (0.0, prior))
+    return out
+
+
+def _mix(logits: list[np.ndarray], label: np.ndarray) -> tuple[float, float, float]:
+    """Weights of both views' log odds and an intercept; a view alone, unless both together, neither against its own word, predict labelled rows better by a standard error."""
+    both = np.stack(logits, 1)
+    w, b = fit_logistic(Sparse(np.repeat(np.arange(len(label)), 2), np.tile([0, 1], len(label)), both.ravel(), len(label), 2), label.astype(float), l2=0.1, steps=300)
+    ways = [(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (float(w[0]), float(w[1]), float(b))]
+    lost = [loss(x * logits[0] + y * logits[1] + z, label) for x, y, z in ways]
+    alone = int(lost[1].mean() < lost[0].mean())
+    won = lost[alone] - lost[2]
+    better = won.mean() > won.std() / np.sqrt(len(won))
+    return ways[2 if min(w) > 0 and better else alone]
 
 
 def co_train(pool: DataFrame, unlabelled: int, views: tuple[View, View], label: np.ndarray, rounds: int = ROUNDS, share: float = SHARE) -> Quality:
@@ -232,9 +261,7 @@ def co_train(pool: DataFrame, unlabelled: int, views: tuple[View, View], label:
         done.append(_surest(pool, models, _scales(models, views, label), done, round(many * (1 - prior)), round(many * prior)))
     models = _fit(pool, views, label, done, weight)
     out = Quality(models, _scales(models, views, label), rounds=done)
-    both = np.stack(out.logits(views, label), 1)
-    w, b = fit_logistic(Sparse(np.repeat(np.arange(len(label)), 2), np.tile([0, 1], len(label)), both.ravel(), len(label), 2), label.astype(float), l2=0.1, steps=300)
-    out.mix = (float(w[0]), float(w[1]), float(b))
+    out.mix = _mix(out.logits(views, label), label)
     return out
 
 

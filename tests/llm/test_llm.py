@@ -282,6 +282,26 @@ def test_quality_learns(spark):
     assert got and sum(r.predicted == r.quality for r in got) / len(got) > 0.9
 
 
+def test_quality_held_out(spark):
+    """A view without skill doesn't spoil the other: at most as many errors together as from the content alone."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.score_quality(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
+    wrong = lambda c: int(((got[c] >= 0.5) != got["quality"]).sum())
+    assert wrong("score") <= 8 and wrong("score") <= min(wrong("content_score"), wrong("metadata_score"))
+
+
+def test_quality_views_without_skill():
+    rng = np.random.default_rng(3)
+    label = (rng.random(800) < 0.7).astype(int)
+    told = np.where(label == 1, 1.0, -1.0) + rng.normal(0, 1, 800)
+    noise = rng.normal(0, 1, 800)
+    w = quality._mix([2 * told, 0 * noise + 0.8], label)
+    assert w == (1.0, 0.0, 0.0)
+    w = quality._mix([2 * told, 2 * (np.where(label == 1, 1.0, -1.0) + rng.normal(0, 1, 800))], label)
+    assert w[0] > 0.3 and w[1] > 0.3
+    assert quality.shape("ABCdef-12-34-5!xyz") == "a-0-0-0!a" and quality.shape("NASA") == "A"
+
+
 def odd_half(spark, n=4000, labelled=400):
     """Documents whose words and whose source each tell their quality in nine of ten cases."""
     rng = random.Random(4)
