@@ -3,22 +3,22 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.coerce import size_band
+from ..sources.scratch import kept
 from .filters import Filter, apply_filters
 
 
-def transactions(df: DataFrame, columns: Sequence[str], filters: Sequence[Filter] | None = None) -> DataFrame:
-    """(items, n): the sorted items ``column=value`` of a row, and how many rows have just these.
-
-    A boolean counts only if true, numbers by their band, null and blank text not at all.
-    """
+def _items(df: DataFrame, columns: Sequence[str]) -> Column:
+    """The sorted items ``column=value`` of a row: a boolean counts only if true, numbers by their band, null and blank text not at all."""
     items = []
     for c in columns:
         v, kind = F.col(f"`{c}`"), df.schema[c].dataType
@@ -28,19 +28,88 @@ def transactions(df: DataFrame, columns: Sequence[str], filters: Sequence[Filter
             items.append(F.concat(F.lit(f"{c}="), size_band(v)))
         else:
             items.append(F.when(v.cast("string") != "", F.concat(F.lit(f"{c}="), v.cast("string"))))
-    rows = apply_filters(df, filters).select(F.array_sort(F.array_compact(F.array(*items))).alias("items"))
-    return rows.where(F.size("items") > 0).groupBy("items").agg(F.count("*").alias("n"))
+    return F.array_sort(F.array_compact(F.array(*items)))
+
+
+def item_counts(df: DataFrame, columns: Sequence[str], filters: Sequence[Filter] | None = None) -> DataFrame:
+    """(item, count, share) of all items; the share is of the rows that have an item."""
+    rows = apply_filters(df, filters).select(_items(df, columns).alias("items")).where(F.size("items") > 0)
+    total = rows.agg(F.count("*").alias("total"))
+    counted = rows.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("count"))
+    return counted.crossJoin(F.broadcast(total)).select("item", "count", (F.col("count") / F.col("total")).alias("share"))
+
+
+Itemset = tuple[int, ...]
+
+
+def candidates(frequent: Iterable[Itemset]) -> list[Itemset]:
+    """Sets one larger than the given ones, all of one size: two that differ in their last item alone are joined, and stay if every subset is among them."""
+    known = set(frequent)
+    by_prefix: dict[Itemset, list[int]] = {}
+    for s in sorted(known):
+        by_prefix.setdefault(s[:-1], []).append(s[-1])
+    out = []
+    for prefix, last in by_prefix.items():
+        for a, b in combinations(last, 2):
+            joined = (*prefix, a, b)
+            if all(joined[:i] + joined[i + 1 :] in known for i in range(len(joined) - 2)):
+                out.append(joined)
+    return out
+
+
+def _counts(sets: list[Itemset], items: int):
+    """How many rows of a task hold each set: rows x items as a matrix, sets by what they share but for the last item."""
+    by_prefix: dict[Itemset, list[int]] = {}
+    for i, s in enumerate(sets):
+        by_prefix.setdefault(s[:-1], []).append(i)
+    lasts = {p: np.array([sets[i][-1] for i in own]) for p, own in by_prefix.items()}
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = np.zeros(len(sets))
+        for pdf in batches:
+            held = np.zeros((len(pdf), items), np.float64)
+            at = np.repeat(np.arange(len(pdf)), pdf["items"].map(len))
+            held[at, np.concatenate([*pdf["items"], np.zeros(0, np.int64)]).astype(np.int64)] = 1
+            n = pdf["n"].to_numpy(float)
+            for prefix, own in by_prefix.items():
+                some = np.flatnonzero(held[:, list(prefix)].all(1))
+                if len(some):
+                    found[own] += n[some] @ held[np.ix_(some, lasts[prefix])]
+        hit = np.flatnonzero(found)
+        yield pd.DataFrame({"set": hit, "count": found[hit].astype(np.int64)})
+
+    return count
 
 
 def frequent_itemsets(df: DataFrame, columns: Sequence[str], filters: Sequence[Filter] | None = None, min_support: float = 0.1, max_size: int = 3) -> DataFrame:
-    """(items, size, count, support). Rows are first counted by their whole item list, then by its subsets."""
-    baskets = transactions(df, columns, filters)
-    places = [list(p) for k in range(1, max_size + 1) for p in combinations(range(len(columns)), k)]
-    subsets = F.filter(F.transform(F.lit(places), lambda p: F.transform(p, lambda i: F.get("items", i))), lambda s: ~F.exists(s, lambda x: x.isNull()))
-    total = baskets.agg(F.sum("n").alias("total"))
-    counted = baskets.select("n", F.explode(subsets).alias("set")).groupBy("set").agg(F.sum("n").alias("count"))
-    kept = counted.crossJoin(F.broadcast(total)).where(F.col("count") >= F.ceil(F.lit(min_support) * F.col("total")))
-    return kept.select(F.col("set").alias("items"), F.size("set").alias("size"), "count", (F.col("count") / F.col("total")).alias("support"))
+    """(items, size, count, support) of the sets of at most ``max_size`` items that a share ``min_support`` of rows have, level by level.
+
+    A column has at most 1 / ``min_support`` frequent values, so the items, and the sets of a level, are bounded by the
+    number of columns. Rows are reduced to their frequent items, as numbers, and counted once; each level counts only
+    the sets whose every subset is frequent.
+    """
+    spark = df.sparkSession
+    single = kept(item_counts(df, columns, filters), "items")
+    first = single.agg(F.max(F.col("count") / F.col("share")).alias("n")).first().n
+    total = round(first or 0)
+    least = min_count(min_support, total)
+    found = {(i,): r["count"] for i, r in enumerate(single.where(F.col("count") >= max(1, least)).orderBy("item").collect())}
+    names = [r.item for r in single.where(F.col("count") >= max(1, least)).orderBy("item").select("item").collect()]
+    number = F.create_map(*(x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i)))) if names else None
+    if names and max_size > 1:
+        known = F.filter(F.transform(_items(df, columns), lambda x: F.try_element_at(number, x)), lambda i: i.isNotNull())
+        rows = apply_filters(df, filters).select(known.alias("items")).where(F.size("items") > 1)
+        baskets = kept(rows.groupBy("items").agg(F.count("*").alias("n")), "baskets")
+    level = list(found)
+    for _ in range(1, max_size):
+        sets = candidates(level)
+        if not sets:
+            break
+        got = baskets.mapInPandas(_counts(sets, len(names)), "set long, count long").groupBy("set").agg(F.sum("count").alias("count")).where(F.col("count") >= max(1, least)).collect()
+        level = [sets[r.set] for r in got]
+        found |= {sets[r.set]: r["count"] for r in got}
+    rows = [([names[i] for i in s], len(s), n, n / total) for s, n in found.items()]
+    return spark.createDataFrame(rows, "items array<string>, size int, count long, support double")
 
 
 def association_rules(itemsets: DataFrame, min_confidence: float = 0.5) -> DataFrame:

@@ -3,14 +3,16 @@ import math
 import random
 import re
 import sqlite3
+import time
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions.coerce import num, parse_date
-from sparkloom.operators import filters, missing, multivariate, preview, profile, sampling, segment, series, stats, text
+from sparkloom.operators import filters, mining, missing, multivariate, preview, profile, sampling, segment, series, stats, text
 from sparkloom.operators.filters import Filter
 from sparkloom.operators.ordering import with_row_index
 from sparkloom.plans import catalogue
@@ -454,3 +456,43 @@ def test_quantiles_beyond_few_values(spark):
     assert (got["a"].q1, got["a"].q3, got["a"]["all"]) == (want[int(n * 0.25)], want[int(n * 0.75)], want[-1]) and got["b"].q1 == 1.0
     got = {r.g: r for r in stats.interpolated_quantiles("x", ["g"], df, {"q": 0.37}).collect()}
     assert abs(got["a"].q - np.quantile(x, 0.37)) < 1e-9 and got["b"].q == 1.0
+
+
+def test_itemsets_against_all_subsets(spark):
+    rng = random.Random(9)
+    columns = [f"c{i}" for i in range(6)] + ["n", "b"]
+    rows = [(*(rng.choice(["x", "y", "z", "", None]) for _ in range(6)), rng.choice([None, -1.0, 0.0, 5.0, 5000.0]), rng.choice([True, False, None])) for _ in range(300)] + [(None,) * 8]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns[:6]) + ", n double, b boolean")
+    band = {-1.0: "negative", 0.0: "zero", 5.0: "low", 5000.0: "very_high"}
+    baskets = []
+    for r in rows:
+        own = [f"{c}={v}" for c, v in zip(columns[:6], r, strict=False) if v] + ([f"n={band[r[6]]}"] if r[6] is not None else []) + (["b=true"] if r[7] else [])
+        baskets += [frozenset(own)] if own else []
+    for support, size in ((0.05, 3), (0.02, 4), (0.3, 2), (0.9, 3), (0.0, 1)):
+        least = max(1, math.ceil(support * len(baskets)))
+        want = {}
+        for k in range(1, size + 1):
+            for s in {s for b in baskets for s in combinations(sorted(b), k)}:
+                n = sum(set(s) <= b for b in baskets)
+                if n >= least:
+                    want[s] = n
+        got = {tuple(r["items"]): r["count"] for r in mining.frequent_itemsets(df, columns, min_support=support, max_size=size).collect()}
+        assert got == want
+    assert mining.frequent_itemsets(df.limit(0), columns).count() == 0
+    rules = mining.association_rules(mining.frequent_itemsets(df, columns, min_support=0.02), 0.1).collect()
+    assert rules and all(math.isclose(r.support, sum(set(r.antecedent) | set(r.consequent) <= b for b in baskets) / len(baskets)) for r in rules)
+
+
+def test_itemsets_of_many_columns(spark):
+    """Fifty columns: sets of three come from frequent pairs, not from all 20825 subsets of columns in an expression."""
+    rng = random.Random(1)
+    rows = [tuple(rng.choice("ab") if i % 5 else "a" for i in range(50)) for _ in range(400)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{i} string" for i in range(50)))
+    start = time.perf_counter()
+    got = mining.frequent_itemsets(df, df.columns, min_support=0.3).groupBy("size").count().collect()
+    assert {r["size"] for r in got} == {1, 2, 3} and time.perf_counter() - start < 30
+
+
+def test_candidates():
+    assert mining.candidates([(1,), (2,), (4,)]) == [(1, 2), (1, 4), (2, 4)]
+    assert mining.candidates([(1, 2), (1, 4), (2, 4), (2, 5)]) == [(1, 2, 4)]
