@@ -50,17 +50,15 @@ def st(x: str) -> str:
 # Filters: one query for each operator.
 _FILTERS: dict[str, tuple[str, list[Filter], str]] = {
     "filter_equals": ("lineitem", [Filter("l_returnflag", "equals", "A")], "l_returnflag = 'A'"),
-    "filter_equals_null": ("orders", [Filter("o_orderstatus", "equals", None)], "o_orderstatus IS NULL"),
     "filter_not_equals": ("lineitem", [Filter("l_linestatus", "not_equals", "O")], "l_linestatus <> 'O'"),
     "filter_greater_than": ("lineitem", [Filter("l_quantity", "greater_than", 45)], "l_quantity > 45"),
     "filter_less_than": ("lineitem", [Filter("l_discount", "less_than", 0.02)], "l_discount < 0.02"),
     "filter_greater_equal": ("orders", [Filter("o_totalprice", "greater_equal", 300000)], "o_totalprice >= 300000"),
     "filter_less_equal": ("part", [Filter("p_size", "less_equal", 5)], "p_size <= 5"),
-    "filter_contains": ("part", [Filter("p_type", "contains", "BRASS")], "p_type LIKE '%BRASS%'"),
-    "filter_not_contains": ("part", [Filter("p_type", "not_contains", "BRASS")], "p_type NOT LIKE '%BRASS%'"),
+    "filter_contains": ("part", [Filter("p_type", "contains", "DIU")], "p_type LIKE '%DIU%'"),
+    "filter_not_contains": ("part", [Filter("p_type", "not_contains", "DIU")], "p_type NOT LIKE '%DIU%'"),
     "filter_starts_with": ("part", [Filter("p_type", "starts_with", "PROMO")], "p_type LIKE 'PROMO%'"),
-    "filter_ends_with": ("part", [Filter("p_type", "ends_with", "STEEL")], "p_type LIKE '%STEEL'"),
-    "filter_is_null": ("customer", [Filter("c_mktsegment", "is_null")], "c_mktsegment IS NULL"),
+    "filter_ends_with": ("part", [Filter("p_type", "ends_with", "ARD")], "p_type LIKE '%ARD'"),
     "filter_is_not_null": ("customer", [Filter("c_mktsegment", "is_not_null")], "c_mktsegment IS NOT NULL"),
     "filter_in": ("orders", [Filter("o_orderpriority", "in", values=["1-URGENT", "2-HIGH"])], "o_orderpriority IN ('1-URGENT', '2-HIGH')"),
     "filter_not_in": ("orders", [Filter("o_orderpriority", "not_in", values=["1-URGENT", "2-HIGH"])], "o_orderpriority NOT IN ('1-URGENT', '2-HIGH')"),
@@ -72,6 +70,15 @@ for _name, (_table, _filters, _where) in _FILTERS.items():
     query(f"SELECT * FROM {_table} WHERE {_where}", _name)(lambda s, d, t=_table, f=_filters: apply_filters(table(s, d, t), f))
 
 
+def _with_nulls(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "orders").withColumn("status", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderstatus")))
+
+
+for _name, _filter in (("filter_equals_null", Filter("status", "equals", None)), ("filter_is_null", Filter("status", "is_null")), ("filter_null_in_compound", (Filter("status", "is_null"), Filter("o_orderpriority", "starts_with", "1")))):
+    _where = "o_orderkey % 4 = 0" + (" AND o_orderpriority LIKE '1%'" if isinstance(_filter, tuple) else "")
+    query(f"SELECT *, CAST(NULL AS VARCHAR) AS status FROM orders WHERE {_where}", _name)(lambda s, d, f=_filter: apply_filters(_with_nulls(s, d), list(f) if isinstance(f, tuple) else [f]))
+
+
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 = 0 OR o_orderstatus <> 'F'")
 def filter_keeping_nulls(s, d):
     rows = table(s, d, "orders").select("o_orderkey", "o_orderstatus").withColumn("v", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")))
@@ -184,18 +191,28 @@ def changepoint_sql(s, d):
     return even(series.change_points_sql(table(s, d, "events"), "value", ["event_id"]), "score", "confidence")
 
 
-_CP = _UNIFORM.format(k="event_id", m=2000) + ", x AS (SELECT row_number() OVER (ORDER BY row_index) - 1 AS i, value AS v, count(*) OVER () AS n, avg(value) OVER () AS mu, stddev_pop(value) OVER () AS sd FROM p)"
+_CP = _UNIFORM.format(k="event_id", m=2000) + ", x AS (SELECT row_number() OVER (ORDER BY row_index) - 1 AS i, CAST(row_index AS DOUBLE) AS x, value AS v, count(*) OVER () AS n, avg(value) OVER () AS mu, stddev_pop(value) OVER () AS sd FROM p)"
+#: Events whose value stands on six steps of three heights.
+_STEPS = _CP.replace("WITH e AS (SELECT *,", "WITH events AS (SELECT event_id, value / 20 + 400 * (event_id * 6 // (SELECT count(*) FROM main.events) % 3) AS value FROM main.events), e AS (SELECT *,")
+_LEVEL = "CASE WHEN confidence >= 0.8 THEN 'very high' WHEN confidence >= 0.6 THEN 'high' WHEN confidence >= 0.4 THEN 'medium' ELSE 'low' END AS level"
+
+
+def _stepped(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events")
+    step = F.floor(F.col("event_id") * 6 / F.lit(e.count())) % 3
+    return e.select("event_id", (F.col("value") / 20 + 400 * step).alias("value"))
 
 
-@query(_CP + f""", w AS (SELECT *, avg(v) OVER (ORDER BY i ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS a, avg(v) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS b FROM x)
-SELECT i AS index, v AS value, {st('least(abs(b - a) / (2 * sd), 3) / 3')} AS confidence FROM w WHERE i >= 10 AND i < n - 10 AND abs(b - a) > 2 * sd""")
+@query(_STEPS + f""", w AS (SELECT *, avg(v) OVER (ORDER BY i ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS a, avg(v) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS b FROM x),
+r AS (SELECT i AS index, x, v AS value, least(abs(b - a) / (2 * sd), 3) / 3 AS confidence FROM w WHERE i >= 10 AND i < n - 10 AND abs(b - a) > 2 * sd)
+SELECT index, x, {st('value')} AS value, {st('confidence')} AS confidence, {_LEVEL} FROM r""")
 def changepoint_moving_average(s, d):
-    return even(series.change_points(table(s, d, "events"), "value", order_by=["event_id"]), "confidence").drop("x", "level")
+    return even(series.change_points(_stepped(s, d), "value", order_by=["event_id"]), "value", "confidence")
 
 
 @query()
 def changepoint_moving_average_reference(s, d):
-    return series.change_points(table(s, d, "events"), "value", order_by=["event_id"], exact_reference=True)
+    return series.change_points(_stepped(s, d), "value", order_by=["event_id"], exact_reference=True)
 
 
 @query("WITH RECURSIVE " + _CP.removeprefix("WITH ") + f""", c(i, v, up, down, hit, u, dn) AS (
@@ -218,7 +235,7 @@ def changepoint_ewma(s, d):
 
 @query()
 def changepoint_binary_segmentation(s, d):
-    return series.change_points(table(s, d, "events"), "value", order_by=["event_id"], algorithm="binary_segmentation")
+    return series.change_points(_stepped(s, d), "value", order_by=["event_id"], algorithm="binary_segmentation")
 
 
 _PROFILED = ["o_orderstatus", "o_orderpriority", "o_totalprice", "o_custkey"]
@@ -546,10 +563,10 @@ def recursive_cte(s, d):
     return s.sql("WITH RECURSIVE n(i) AS (SELECT 1 UNION ALL SELECT i + 1 FROM n WHERE i < 90) SELECT count(*) AS n, sum(i) AS total FROM n")
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders, (SELECT avg(o_totalprice) + 2 * stddev_samp(o_totalprice) AS t FROM orders) WHERE o_totalprice > t")
+@query("SELECT o_orderkey, o_totalprice FROM orders, (SELECT avg(o_totalprice) + 1.5 * stddev_samp(o_totalprice) AS t FROM orders) WHERE o_totalprice > t")
 def crossjoin_threshold(s, d):
     o = table(s, d, "orders")
-    limit = o.agg((F.avg("o_totalprice") + 2 * F.stddev_samp("o_totalprice")).alias("t"))
+    limit = o.agg((F.avg("o_totalprice") + 1.5 * F.stddev_samp("o_totalprice")).alias("t"))
     return o.crossJoin(F.broadcast(limit)).where("o_totalprice > t").select("o_orderkey", "o_totalprice")
 
 

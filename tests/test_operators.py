@@ -496,3 +496,47 @@ def test_itemsets_of_many_columns(spark):
 def test_candidates():
     assert mining.candidates([(1,), (2,), (4,)]) == [(1, 2), (1, 4), (2, 4)]
     assert mining.candidates([(1, 2), (1, 4), (2, 4), (2, 5)]) == [(1, 2, 4)]
+
+
+def stepped(rng, n=160):
+    return [rng.gauss(0, 1) + (i * 5 // n % 3) * 12 for i in range(n)]
+
+
+def squares(v):
+    return sum((x - sum(v) / len(v)) ** 2 for x in v)
+
+
+def test_binary_segmentation_against_all_splits():
+    """Every split of every stretch, the whole series' squares measuring how sure it is; down to the shortest stretches."""
+    for seed in range(4):
+        v = stepped(random.Random(seed))
+        found, todo = {}, [(0, len(v))]
+        while todo:
+            a, b = todo.pop()
+            splits = {k: squares(v[a:k]) + squares(v[k:b]) for k in range(a + 5, b - 5)}
+            if splits:
+                k = min(splits, key=splits.get)
+                sure = min(1 - splits[k] / squares(v), 1)
+                if sure > 0.1:
+                    found[k] = sure
+                    todo += [(a, k), (k, b)]
+        got = dict(series.binary_segmentation(np.array(v)))
+        assert got.keys() == found.keys() and len(got) > 4 and all(math.isclose(got[k], found[k], abs_tol=1e-9) for k in got)
+
+
+def test_moving_average_points_against_windows():
+    """Both modes: means of the windows before and after each point, and the running sum whose later window drops the wrong value."""
+    for seed in range(4):
+        v = stepped(random.Random(seed), 230)
+        n, w = len(v), max(3, min(10, 230 // 20))
+        limit = 2 * np.std(v)
+        plain = {i: abs(np.mean(v[i : i + w]) - np.mean(v[i - w : i])) for i in range(w, n - w)}
+        odd, later = {}, sum(v[w : 2 * w])
+        for i in range(w, n - w):
+            if i > w:
+                later += v[min(i + w, n - 1)] - v[i + w - 1]
+            odd[i] = abs(later / w - np.mean(v[i - w : i]))
+        for exact, want in ((False, plain), (True, odd)):
+            got = dict(series.moving_average(np.array(v), exact_reference=exact))
+            assert got.keys() == {i for i, x in want.items() if x > limit} and all(math.isclose(got[i], min(want[i] / limit, 3) / 3, abs_tol=1e-9) for i in got)
+        assert dict(series.moving_average(np.array(v)))
