@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions.coerce import num, parse_date
-from sparkloom.operators import filters, mining, missing, multivariate, preview, profile, sampling, segment, series, stats, text
+from sparkloom.operators import filters, mining, missing, multivariate, preview, profile, ranks, sampling, segment, series, stats, text
 from sparkloom.operators.filters import Filter
 from sparkloom.operators.ordering import with_row_index
 from sparkloom.plans import catalogue
@@ -540,3 +540,27 @@ def test_moving_average_points_against_windows():
             got = dict(series.moving_average(np.array(v), exact_reference=exact))
             assert got.keys() == {i for i, x in want.items() if x > limit} and all(math.isclose(got[i], min(want[i] / limit, 3) / 3, abs_tol=1e-9) for i in got)
         assert dict(series.moving_average(np.array(v)))
+
+
+def test_rows_at_places(spark):
+    """Keys of several kinds with nulls, odd numbers and many equal values; buckets that must be cut again and again."""
+    rng = random.Random(6)
+    odd = [None, float("nan"), float("inf"), float("-inf"), 0.0, 1e308, -1e308]
+    words = ["", "a", "prefix", "prefixa", "prefixb", "prefixprefixz", "prefixprefixa", "é", "日本", None]
+    rows = [(i, rng.choice(odd) if rng.random() < 0.2 else rng.gauss(0, 5), rng.choice(words), rng.choice([1, 1, 1, 1, 2, 2**60, 2**60 + 1])) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, x double, t string, k long").withColumn("d", F.timestamp_millis(F.col("id") % 50 * 10**9)).repartition(3)
+    for keys in (["x", "id"], ["t", "x", "id"], ["k", "t", "id"], ["d", "id"], [F.col("k"), F.col("id")], [F.desc("x"), "id"]):
+        want = [r.id for r in df.orderBy(*keys).select("id").collect()]
+        for buckets, heavy in ((ranks.BUCKETS, ranks.HEAVY), (40, 300)):
+            places = sorted(rng.sample(range(900), 12)) + [2000]
+            got = {r.row_index: r.id for r in ranks.rows_at(df, keys, places, buckets=buckets, heavy=heavy).collect()}
+            assert got == {p: want[p] for p in places if p < 900}
+    assert ranks.rows_at(df.limit(0), ["x"], [0, 1]).count() == 0
+
+
+def test_samples_write_nothing(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "with_row_index", None)
+    df = spark.range(5000).withColumn("v", F.col("id") * 2)
+    for method in ("uniform", "systematic", "stratified"):
+        got = sampling.sample_rows(df, ["v"], 100, method).collect()
+        assert 90 < len(got) <= 100 and all(r.row_index == r.id for r in got)
