@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.coerce import num, parse_date
 from .filters import Filter, apply_filters
+from .frequent import most_frequent
 
 PAGE_SIZES = (5, 10, 25, 50, 100)
 
@@ -56,8 +57,9 @@ def preview(df: DataFrame, filters: Sequence[Filter] = (), sort: str | None = No
 
 def top_values(df: DataFrame, column: str, order_by: Sequence[str], k: int = 10) -> DataFrame:
     """The ``k`` most frequent values; ties by first appearance in the order of ``order_by``."""
-    first = F.min(F.struct(*order_by)).alias("__first")
-    return df.where(F.col(f"`{column}`").isNotNull()).groupBy(F.col(f"`{column}`").alias("value")).agg(F.count("*").alias("count"), first).orderBy(F.desc("count"), "__first").limit(k).drop("__first")
+    value = F.col(f"`{column}`")
+    long = df.where(value.isNotNull()).select(F.lit(column).alias("column_name"), value.alias("value"), F.struct(*order_by).alias("at"))
+    return most_frequent(long, k).orderBy("rank").select("value", "count")
 
 
 def first_values(df: DataFrame, column: str, order_by: Sequence[str], k: int = 10) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.coerce import num, parse_date, safe_percent, trim_text
 from .filters import Filter, apply_filters
+from .frequent import most_frequent
 
 SAMPLE, SHARE = 100, 0.8
 _FULL_DATES = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2})?|^\d{2}/\d{2}/\d{4}$|^\d{4}/\d{2}/\d{2}$|^\d{4}-\d{1,2}-\d{1,2}$|^\d{4}年\d{1,2}月\d{1,2}日( \d{1,2}時\d{1,2}分\d{1,2}秒)?$"
@@ -94,11 +95,7 @@ def profile_top_values(df: DataFrame, columns: Sequence[str], order_by: Sequence
     """(column_name, rank, value, count, pct) of each column's most frequent values, ties by first appearance."""
     first = F.struct(*order_by)
     long = df.select(first.alias("at"), F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), trim_text(F.col(f"`{c}`").cast("string")).alias("value")) for c in columns)))).where("value <> ''")
-    counted = long.groupBy("column_name", "value").agg(F.count("*").alias("count"), F.min("at").alias("at"))
-    total = counted.groupBy("column_name").agg(F.sum("count").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("column_name").orderBy(F.desc("count"), "at"))
-    top = counted.withColumn("rank", rank).where(F.col("rank") <= k)
-    return top.join(F.broadcast(total), "column_name").select("column_name", "rank", "value", "count", safe_percent(F.col("count"), F.col("n")).alias("pct"))
+    return most_frequent(long, k).select("column_name", "rank", "value", "count", safe_percent(F.col("count"), F.col("n")).alias("pct"))
 
 
 def profile_samples(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], k: int = 10) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions.coerce import num, parse_date
-from sparkloom.operators import filters, mining, missing, multivariate, preview, profile, ranks, sampling, segment, series, stats, text
+from sparkloom.operators import filters, frequent, mining, missing, multivariate, preview, profile, ranks, sampling, segment, series, stats, text
 from sparkloom.operators.filters import Filter
 from sparkloom.operators.ordering import with_row_index
 from sparkloom.plans import catalogue
@@ -564,3 +564,32 @@ def test_samples_write_nothing(spark, monkeypatch):
     for method in ("uniform", "systematic", "stratified"):
         got = sampling.sample_rows(df, ["v"], 100, method).collect()
         assert 90 < len(got) <= 100 and all(r.row_index == r.id for r in got)
+
+
+def test_most_frequent_values(spark):
+    """Heavy values proven by the summary, and columns in which only a count of everything tells; against plain counts."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(6000):
+        heavy = min(int(rng.paretovariate(0.9)), 5000)
+        rows += [("heavy", f"v{heavy}", i), ("flat", f"u{rng.randint(0, 1500)}", i), ("few", rng.choice("abc"), i), ("unique", str(9 * i % 6000), i)]
+    df = spark.createDataFrame(rows, "column_name string, value string, at long").repartition(4)
+    want = {}
+    for c in ("heavy", "flat", "few", "unique"):
+        n, first = Counter(), {}
+        for name, v, at in rows:
+            if name == c:
+                n[v] += 1
+                first[v] = min(at, first.get(v, at))
+        want |= {(c, i + 1): (v, n[v]) for i, v in enumerate(sorted(n, key=lambda v: (-n[v], first[v]))[:7])}
+    for tracked, candidates in ((frequent.TRACKED, frequent.CANDIDATES), (400, 50), (20, 10)):
+        got = {(r.column_name, r["rank"]): (r.value, r["count"]) for r in frequent.most_frequent(df, 7, tracked, candidates).collect()}
+        assert got == want
+    assert frequent.most_frequent(df.limit(0), 3).count() == 0
+
+
+def test_heavy_values_need_no_full_count(spark, monkeypatch):
+    monkeypatch.setattr(frequent, "ERROR", 3.5)
+    df = spark.range(20000).select(F.lit("c").alias("column_name"), F.when(F.col("id") % 2 == 0, F.col("id") % 6).otherwise(F.col("id")).cast("string").alias("value"), F.col("id").alias("at"))
+    plan = frequent.most_frequent(df, 3, 2000, 100)._jdf.queryExecution().toString()
+    assert "Range" not in plan  # the table isn't read a third time
