@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions.coerce import num, parse_date
-from sparkloom.operators import filters, frequent, mining, missing, multivariate, preview, profile, ranks, sampling, segment, series, stats, text
+from sparkloom.operators import filters, frequent, information, mining, missing, multivariate, preview, profile, ranks, sampling, segment, series, stats, text
 from sparkloom.operators.filters import Filter
 from sparkloom.operators.ordering import with_row_index
 from sparkloom.plans import catalogue
@@ -593,3 +593,30 @@ def test_heavy_values_need_no_full_count(spark, monkeypatch):
     df = spark.range(20000).select(F.lit("c").alias("column_name"), F.when(F.col("id") % 2 == 0, F.col("id") % 6).otherwise(F.col("id")).cast("string").alias("value"), F.col("id").alias("at"))
     plan = frequent.most_frequent(df, 3, 2000, 100)._jdf.queryExecution().toString()
     assert "Range" not in plan  # the table isn't read a third time
+
+
+def test_mutual_information_against_counts(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, "", "p", "q"]), rng.choice([None, 0.0, 1.0, 2.5, 9.0]), str(rng.randint(0, 30)), rng.choice(["7", "x", None]), 5) for _ in range(500)]
+    df = spark.createDataFrame(rows, "a string, b double, c string, d string, e int").repartition(3)
+    got = {(r.column1, r.column2): r for r in information.mutual_information(df, list("abcde")).collect()}
+    number = lambda v: isinstance(v, (int, float)) or v.lstrip("-").isdigit()
+    for (i, p), (j, q) in combinations(enumerate("abcde"), 2):
+        both = [(r[i], r[j]) for r in rows if r[i] not in (None, "") and r[j] not in (None, "")]
+        sides = []
+        for own in zip(*both, strict=True):
+            if all(map(number, own)):
+                v = [float(x) for x in own]
+                low, high = min(v), max(v)
+                own = [0 if low == high else min(int((x - low) / ((high - low) / 10)), 9) for x in v]
+            sides.append(own)
+        h = lambda x: -sum(c / len(both) * math.log2(c / len(both)) for c in Counter(x).values())  # noqa: E731, B023
+        want = (len(both), h(sides[0]), h(sides[1]), h(list(zip(*sides, strict=True))))
+        assert got[p, q].n == want[0] and all(math.isclose(x, y, abs_tol=1e-9) for x, y in zip((got[p, q].h1, got[p, q].h2, got[p, q].h12), want[1:], strict=True))
+    assert information.mutual_information(df.limit(2), list("ab")).count() == 0
+
+
+def test_mutual_information_of_many_columns(spark):
+    df = spark.range(3000).select(*(F.concat(F.lit("t"), F.hash("id", F.lit(i)) % 5).alias(f"c{i}") for i in range(40)))
+    start = time.perf_counter()
+    assert information.mutual_information(df, df.columns).count() == 780 and time.perf_counter() - start < 40
