@@ -602,6 +602,42 @@ def stream_monitor(s, d):
     return watch.notifications.frame(s).select("id", "table_name", "change_type", "count")
 
 
+@query("""
+WITH p AS (SELECT event_id % 3 AS batch, count(*) AS count FROM events GROUP BY 1), c AS (SELECT count(*) AS count FROM customer)
+SELECT batch, 'events' AS table_name, 'inserted' AS change_type, count, CAST(sum(count) OVER (ORDER BY batch) AS BIGINT) AS total, batch = 1 AS acknowledged FROM p
+UNION ALL SELECT 1, 'customers', 'inserted', count, count, false FROM c""")
+def stream_durable_monitor(s, d):
+    """Events arrive in three parts; the monitor stops after each and is opened anew, and once it has nothing new to tell."""
+    folder, events = scratch_path(s, "monitor"), table(s, d, "events")
+    watched = {"events": (f"{folder}/in/events", events.schema), "customers": (f"{folder}/in/customers", table(s, d, "customer").schema)}
+    table(s, d, "customer").limit(0).write.parquet(f"{folder}/in/customers")
+    for part in range(3):
+        events.where(F.col("event_id") % 3 == part).write.mode("append").parquet(f"{folder}/in/events")
+        if part == 1:
+            table(s, d, "customer").write.mode("append").parquet(f"{folder}/in/customers")
+        for _ in range(2):
+            watch = monitor.DurableMonitor(s, folder)
+            watch.catch_up(watched)
+            watch.stop()
+        if part == 1:
+            watch.acknowledge(1, "events")
+    return monitor.DurableMonitor(s, folder).notifications().drop("at")
+
+
+@query("SELECT *, CAST(NULL AS VARCHAR) AS note FROM orders WHERE o_orderkey % 4 <> 3 UNION ALL SELECT *, 'late' FROM orders WHERE o_orderkey % 4 = 3")
+def stored_table(s, d):
+    """Orders put into a stored table part by part, by rows and by queries with parameters; read after the workspace was opened anew."""
+    space = workspace.Workspace(s, scratch_path(s, "space"))
+    source = f"orders_{uuid.uuid4().hex[:8]}"
+    space.create(source, table(s, d, "orders"))
+    name = space.create_as(f"stored_{uuid.uuid4().hex[:8]}", f"SELECT * FROM {source} WHERE o_orderkey % 4 = :part", part=0)
+    space.insert(name, f"SELECT * FROM {source} WHERE o_orderkey % 4 = :part", part=1)
+    space.insert(name, table(s, d, "orders").where("o_orderkey % 4 = 2"))
+    space.insert(name, table(s, d, "orders").where("o_orderkey % 4 = 3").withColumn("note", F.lit("late")))
+    space.save_manifest()
+    return workspace.Workspace.reopen(space.folder, s).table(name)
+
+
 @query("SELECT i AS id FROM range(1, 501) r(i)")
 def simulated_table(s, d):
     return simulator.sample_table(s, 500).select("id")

@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.filters import Filter, apply_filters
 from . import databases, files
+from .scratch import scratch_path
+from .store import StoredTable, delete, read_text, write_text
+
+#: The file of a workspace's folder that says what it holds.
+MANIFEST = "workspace.json"
 
 
 def session(app: str = "sparkloom", **conf: str) -> SparkSession:
@@ -22,26 +29,65 @@ def session(app: str = "sparkloom", **conf: str) -> SparkSession:
 
 
 class Workspace:
-    def __init__(self, spark: SparkSession | None = None):
+    """Named tables. Those that rows are put into are stored in ``folder`` (a scratch folder unless one is given), which ``reopen`` reads again."""
+
+    def __init__(self, spark: SparkSession | None = None, folder: str | None = None):
         self.spark = spark or session()
+        self.folder = folder.rstrip("/") if folder else None
         self.meta: dict[tuple[str, str], dict] = {}
+        self.stored: dict[str, StoredTable] = {}
         self.current: str | None = None
 
     def create(self, name: str, df: DataFrame, connection: str = "default") -> str:
         """Register a table, replacing one of that name."""
         name = files.clean_table(name)
+        self.stored.pop(name, None)
+        return self._register(name, df, connection)
+
+    def _register(self, name: str, df: DataFrame, connection: str = "default") -> str:
         df.createOrReplaceTempView(f"`{name}`")
         self.meta[name, connection] = {"name": name, "connection": connection, "columns": df.columns, "loaded": True}
         self.current = name
         return name
 
-    def insert(self, name: str, rows: DataFrame) -> None:
-        """Append rows; columns that they lack are null. The table must exist."""
-        self.create(name, self.table(name).unionByName(rows, allowMissingColumns=True))
+    def store(self, name: str, df: DataFrame) -> str:
+        """As ``create``, with the rows written to the workspace's folder."""
+        name = files.clean_table(name)
+        self.folder = self.folder or scratch_path(self.spark, "tables")
+        table = StoredTable(self.spark, f"{self.folder}/{name}-{uuid.uuid4().hex}")
+        table.append(df)
+        old = self.stored.get(name)
+        self.stored[name] = table
+        self._register(name, table.frame())
+        if old:
+            delete(self.spark, old.path)
+        return name
+
+    def create_as(self, name: str, query: str, **args) -> str:
+        """A stored table of what a query returns."""
+        return self.store(name, self.sql(query, **args))
+
+    def insert(self, name: str, rows: DataFrame | str, **args) -> None:
+        """Append rows, or what a query returns; columns that they lack are null. The table must exist, and is stored from then on.
+
+        Rows go to files of their own: the table's plan stays one scan.
+        """
+        name = files.clean_table(name)
+        if name not in self.stored:
+            self.store(name, self.table(name))
+        self.stored[name].append(self.sql(rows, **args) if isinstance(rows, str) else rows)
+        self._register(name, self.stored[name].frame())
+
+    def compact(self, name: str, files: int = 1) -> None:
+        """A stored table in fewer files."""
+        self.stored[name].compact(files)
+        self._register(name, self.stored[name].frame())
 
     def drop(self, name: str, connection: str = "default") -> None:
         self.spark.catalog.dropTempView(name)
         self.meta.pop((name, connection), None)
+        if name in self.stored:
+            delete(self.spark, self.stored.pop(name).path)
         self.current = None if self.current == name else self.current
 
     def tables(self) -> list[str]:
@@ -109,9 +155,29 @@ class Workspace:
         """The rows of several tables with their table's name in ``source``; columns that a table lacks are null."""
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (self.table(n).withColumn("source", F.lit(n)) for n in names))
 
-    def save_manifest(self, path: str) -> None:
-        with open(path, "w", encoding="utf-8") as out:
-            json.dump(list(self.meta.values()), out)
+    def save_manifest(self, path: str | None = None) -> None:
+        """What the workspace holds, as a file in its folder or elsewhere: tables, their columns, and where stored ones are."""
+        if path is None:
+            self.folder = self.folder or scratch_path(self.spark, "tables")
+        tables = [m | ({"path": t.path, "schema": t.schema.jsonValue()} if (t := self.stored.get(m["name"])) else {}) for m in self.meta.values()]
+        write_text(self.spark, path or f"{self.folder}/{MANIFEST}", json.dumps({"folder": self.folder, "current": self.current, "tables": tables}))
+
+    @classmethod
+    def reopen(cls, folder: str, spark: SparkSession | None = None, path: str | None = None) -> Workspace:
+        """A workspace as its manifest tells: stored tables are there again; the others are known, but not loaded."""
+        out = cls(spark, folder)
+        text = read_text(out.spark, path or f"{out.folder}/{MANIFEST}")
+        if text is None:
+            raise FileNotFoundError(f"{folder} holds no workspace")
+        told = json.loads(text)
+        for m in told["tables"]:
+            if "path" in m:
+                out.stored[m["name"]] = StoredTable(out.spark, m["path"], T.StructType.fromJson(m["schema"]))
+                out._register(m["name"], out.stored[m["name"]].frame(), m["connection"])
+            else:
+                out.meta[m["name"], m["connection"]] = m | {"loaded": False}
+        out.current = told["current"]
+        return out
 
 
 def write(df: DataFrame, path: str, kind: str = "csv", single: bool = False, mode: str = "overwrite") -> None:

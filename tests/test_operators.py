@@ -620,3 +620,50 @@ def test_mutual_information_of_many_columns(spark):
     df = spark.range(3000).select(*(F.concat(F.lit("t"), F.hash("id", F.lit(i)) % 5).alias(f"c{i}") for i in range(40)))
     start = time.perf_counter()
     assert information.mutual_information(df, df.columns).count() == 780 and time.perf_counter() - start < 40
+
+
+def test_many_inserts_stay_one_scan(spark, tmp_path):
+    w = Workspace(spark, f"{tmp_path}/space")
+    w.create("own", spark.createDataFrame([(0, "a")], "i long, s string"))
+    for i in range(1, 41):
+        w.insert("own", spark.createDataFrame([(i, i / 2)], "i int, half double"))
+    plan = w.table("own")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("Relation") == 1
+    assert w.table("own").agg(F.count("*"), F.sum("i"), F.sum("half"), F.count("s")).first() == (41, 820, 410.0, 1)
+    w.compact("own")
+    w.create("view", spark.range(3).toDF("k"))
+    w.save_manifest()
+    again = Workspace.reopen(f"{tmp_path}/space", spark)
+    assert again.table("own").count() == 41 and again.current == "view" and again.meta["view", "default"]["loaded"] is False
+    again.insert("own", "SELECT CAST(:i AS BIGINT) AS i", i=99)
+    assert again.table("own").where("i = 99").count() == 1
+    again.drop("own")
+    with pytest.raises(FileNotFoundError):
+        Workspace.reopen(f"{tmp_path}/nowhere", spark)
+
+
+def test_durable_monitor_repeats_a_batch(spark, tmp_path):
+    """A batch that fails after its counts were written is run again, and told once."""
+    folder, schema = f"{tmp_path}/m", spark.range(1).schema
+    spark.range(5).write.parquet(f"{tmp_path}/in")
+    watch = monitor.DurableMonitor(spark, folder)
+    watch.catch_up({"t": (f"{tmp_path}/in", schema)})
+    spark.range(7).write.mode("append").parquet(f"{tmp_path}/in")
+    watch.catch_up({"t": (f"{tmp_path}/in", schema)})
+    for commit in (tmp_path / "m" / "checkpoint" / "commits").glob("*1*"):  # as if the driver had died before the commit
+        commit.unlink()
+    monitor.DurableMonitor(spark, folder).catch_up({"t": (f"{tmp_path}/in", schema)})
+    got = [(r.batch, r["count"], r.total) for r in watch.notifications().orderBy("batch").collect()]
+    assert got == [(0, 5, 5), (1, 7, 12)]
+    assert watch.notifications(1).first().batch == 1
+
+
+def test_monitor_reports_errors(spark):
+    m = monitor.Monitor(spark)
+    answers = [1, 2, ValueError("gone"), 3]
+    m.subscribe("t", lambda: (_ for _ in ()).throw(a) if isinstance(a := answers.pop(0), Exception) else a)
+    m.on_change("t", lambda t: 1 / 0)
+    m.check()
+    assert "division" in m.subscriptions["t"].error
+    m.check()
+    assert "gone" in m.subscriptions["t"].error and m.subscriptions["t"].rows == 2
