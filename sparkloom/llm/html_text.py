@@ -49,11 +49,15 @@ PRIOR = 1.0
 
 
 class Element:
-    """An open element: its features, the one it stands in, and whether what speaks for main text stands in it."""
+    """An open element: its features, the one it stands in, and whether what speaks for main text stands in it.
 
-    __slots__ = ("features", "hidden", "holds", "inside", "left_out", "parent", "tag")
+    ``holder`` is the nearest element that isn't inline, itself or around it; ``link`` and ``skip`` say whether an inline
+    element from there on is a link, or hidden; ``base`` is the holder's place among the open elements.
+    """
+
+    __slots__ = ("base", "features", "hidden", "holder", "holds", "inside", "left_out", "link", "parent", "skip", "tag")
 
-    def __init__(self, tag: str, rest: str, parent: Element | None):
+    def __init__(self, tag: str, rest: str, parent: Element | None, place: int = 0):
         self.tag, self.parent, self.holds = tag, parent, False
         self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
         self.left_out = (parent is not None and parent.left_out) or "data-left-out" in rest
@@ -62,18 +66,38 @@ class Element:
         mark = "~" if tag in TEXTUAL else "."
         own = () if tag in WRAPPERS else (tag + "@" if self.inside and tag not in TEXTUAL else tag,)
         self.features = (*own, *(mark + x for x in sorted(names)))
+        if tag in INLINE:
+            self.holder, self.base = (parent.holder, parent.base) if parent is not None else (None, -1)
+            self.link, self.skip = tag == "a" or (parent is not None and parent.link), self.hidden or (parent is not None and parent.skip)
+        else:
+            self.holder, self.base, self.link, self.skip = self, place, False, False
+
+
+#: Tags with broken quotes until which quotes are heeded; a page with more is read without.
+BROKEN = 20
+_PLAIN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)()()()", re.S)
 
 
 def parts(page: str, elements: list[Element] | None = None) -> Iterator[tuple[str, str, Element | None]]:
-    """("text" or "open" or "close", words or tag, innermost open element) in page order, without raw elements; all elements go to ``elements``."""
+    """("text" or "open" or "close", words or tag, innermost open element) in page order, without raw elements; all elements go to ``elements``.
+
+    Every step takes constant time, or ends what it walks over, so a page of any markup is read in linear time.
+    """
     stack: list[Element] = []
-    at, n = 0, len(page)
+    many: Counter = Counter()  # open elements by tag
+
+    def end_from(i: int) -> None:
+        for e in stack[i:]:
+            many[e.tag] -= 1
+        del stack[i:]
+
+    at, n, part, broken, endless = 0, len(page), _PART, 0, set()
     while at < n:
         lt = page.find("<", at)
-        m = _PART.match(page, lt) if lt >= 0 else None
+        m = part.match(page, lt) if lt >= 0 else None
         while lt >= 0 and m is None:  # a bare less-than sign is text
             lt = page.find("<", lt + 1)
-            m = _PART.match(page, lt) if lt >= 0 else None
+            m = part.match(page, lt) if lt >= 0 else None
         end = n if lt < 0 else lt
         if end > at:
             yield "text", page[at:end], stack[-1] if stack else None
@@ -83,17 +107,22 @@ def parts(page: str, elements: list[Element] | None = None) -> Iterator[tuple[st
         tag, close, rest = (m[2] or m[5]), (m[1] or m[4]), (m[3] or m[6] or "")
         if not tag:
             continue
+        if m[5]:
+            broken += 1
+            part = _PLAIN if broken > BROKEN else part
         tag = tag.lower()
         if close:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if many[tag]:
+                i = len(stack) - 1
+                while stack[i].tag != tag:
+                    i -= 1
+                end_from(i)
             yield "close", tag, stack[-1] if stack else None
             continue
         if tag in _ENDS and not rest.rstrip().endswith("/"):
-            done = _ENDS[tag].search(page, at)
+            done = None if tag in endless else _ENDS[tag].search(page, at)
             if done is None:
+                endless.add(tag)
                 if tag in ("script", "style"):
                     return
                 continue
@@ -102,15 +131,11 @@ def parts(page: str, elements: list[Element] | None = None) -> Iterator[tuple[st
             continue
         if tag not in VOID:
             ended = CLOSES.get(tag, "p" if tag not in INLINE else "").split()
-            if ended:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].tag in ended:
-                        del stack[i:]
-                        break
-                    if stack[i].tag not in INLINE:
-                        break
+            if ended and stack and stack[-1].base >= 0 and stack[stack[-1].base].tag in ended:
+                end_from(stack[-1].base)
             if not rest.rstrip().endswith("/"):
-                stack.append(Element(tag, rest, stack[-1] if stack else None))
+                stack.append(Element(tag, rest, stack[-1] if stack else None, len(stack)))
+                many[tag] += 1
                 if elements is not None:
                     elements.append(stack[-1])
         yield "open", tag, stack[-1] if stack else None
@@ -139,16 +164,13 @@ def blocks(page: str, elements: list[Element] | None = None) -> Iterator[tuple[s
     own: Block | None = None
     for kind, what, element in parts(page, elements):
         if kind == "text":
-            holder, link, skip = element, False, False
-            while holder is not None and holder.tag in INLINE:
-                link, skip, holder = link or holder.tag == "a", skip or holder.hidden, holder.parent
             if own is None:
-                own = Block(holder)
-            if not skip:
+                own = Block(element.holder if element is not None else None)
+            if element is None or not element.skip:
                 n = len(what.split())
                 own.text.append(what)
                 own.words += n
-                own.links += n if link else 0
+                own.links += n if element is not None and element.link else 0
         elif what not in INLINE:
             if own is not None:
                 yield "", own

@@ -48,4 +48,16 @@ PAGES = (
     """<html lang="en"><head><meta charset="utf-8"><title>A walk</title><style>p{margin:0}</style></head><body><nav><ul><li><a href="/a">walks</a></li><li><a href="/b">maps</a></li></ul></nav><div class="ad">Shoes that never wear out, half off today.</div><article>[[<h1>A walk along the dyke</h1><p><b>The path starts at the lock and follows the water for two hours.<br><p>Halfway there is a bench. Sheep look after the grass.</p><p>Take the bus back.</p>]]</article><footer>&copy; walks &middot; written at home</footer></body></html>""",
     # elements without any attributes
     """<body><header><h2>Sea and shore</h2><p>A journal of the coast</p></header><nav><a href="/">Start</a> <a href="/old">Older texts</a></nav><main><article>[[<h1>Where seals rest</h1><p>At low tide the seals lie on the bank north of the harbour. From the pier you can count them, and on some days there are more than forty.</p><h2>When to come</h2><p>The best time is an hour before the water turns.</p><ul><li>Bring a glass.</li><li>Leave dogs at home.</li></ul><section><h3>How to get there</h3><p>A bus runs every hour from the station to the pier.</p></section>]]</article></main><aside><h3>Tides</h3><p>High water today at nine and at half past nine in the evening</p></aside><form><p>Write to us, your name and your mail please</p></form><footer><p>Printed on the island</p></footer></body>""",
+    # an article that holds a column of other stories, a form and what readers wrote
+    """<body><header class="top"><a href="/">The Valley Post</a></header><main><article>[[<h1>New bridge opens</h1><p>The bridge over the narrow river was opened on Friday. It took two years and cost more than was planned.</p>
+<aside data-left-out><h3>Related stories</h3><p>Why the old bridge had to go</p><p>Ferries stop in the autumn</p></aside><p>The first to cross it was a farmer with two goats, who had waited since dawn.</p>
+<form data-left-out><label>Your name</label><input name="n"><label>Your address for letters</label><button>Send</button><p>We write to you once a week and never share your address.</p></form><p>Lorries may use it from Monday on.</p>]]
+<section class="discussion"><h2>Discussion</h2><p>Finally! I drove forty minutes every day because of this bridge.</p><p>Nice, but who pays for it in the end?</p></section></article></main><footer><p>The Valley Post, all rights reserved</p></footer></body>""",
+    # a recipe: asides and forms in the text, remarks under it
+    """<body><div class="head"><a href="/">Kitchen table</a></div><article class="recipe">[[<h1>Bread with walnuts</h1><p>This bread keeps for a week if you wrap it in linen.</p><aside data-left-out><p>Also on this site: rye bread, rolls with poppy seeds, flat bread</p></aside>
+<h2>Dough</h2><p>Mix flour, water and salt and let it rest for an hour. Then add the yeast and the nuts.</p><form action="/vote" data-left-out><p>How did you like this recipe? Tell us with one to five stars.</p><label>Your remark</label><textarea></textarea></form><p>Bake it in a hot oven until it sounds hollow.</p>]]
+<section class="discussion thread"><h3>What readers say</h3><p>I took hazelnuts instead, which worked just as well for us.</p><div class="reply"><p>Same here, and a little honey.</p></div></section></article></body>""",
+    # a report in sections, which are its text; the last of them is of readers
+    """<body><nav><a href="/">Home</a></nav><article>[[<section><h1>A year on the island</h1><p>We came in April, when the ferries start again, and stayed until the next spring.</p></section><section class="chapter"><h2>Winter</h2><p>From November on there was no post. We read all that we had, twice.</p><aside data-left-out><h4>More from this author</h4><p>Letters from the north, part one to nine</p></aside></section>
+<section class="chapter"><h2>Spring</h2><p>The first boat brought oranges, and we ate them on the pier, one after the other.</p></section>]]<section class="discussion"><p>What a lovely text. I have been there as a child and it was just like that.</p><p>I would not have lasted a week.</p></section><form class="reply-form"><label>Write a reply</label><textarea></textarea></form></article></body>""",
 )
