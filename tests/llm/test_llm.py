@@ -154,6 +154,42 @@ def test_nearest(spark, many):
     assert {tuple(r) for r in knn.nearest(df).collect()} == brute_knn(rows)
 
 
+def compared(x, every=10, k=10, pivots=40, seed=0):
+    """The share of all pairs of queries and data that are compared; no neighbour may be among the others."""
+    rng = np.random.default_rng(seed)
+    x = np.floor(1024 * x)
+    square = (x**2).sum(1).max()
+    centres = knn._lift(x[rng.choice(len(x), pivots, replace=False)], square)
+    d = knn._distances(knn._lift(x, square), centres)
+    cell, own = d.argmin(1), d.min(1)
+    near = [[sorted(zip(own[cell == c], np.flatnonzero(cell == c), strict=True))[: k + 1] for c in range(pivots)]][0]
+    import pandas as pd
+
+    summary = pd.DataFrame({"cell": range(pivots), "near": [[a for a, _ in n] for n in near], "ids": [[i for _, i in n] for n in near]})
+    asked = np.arange(0, len(x), every)
+    to = knn._distances(np.hstack([x[asked], np.zeros((len(asked), 1))]), centres)
+    limit = knn.limits(to, *knn.near_ids(summary), k)
+    order = np.argsort(cell, kind="stable")
+    seen = np.zeros((len(asked), len(x)), bool)
+    for part, some in knn.parts_of(to, limit, centres, cell[order], own[order]):
+        seen[np.ix_(some, order[part])] = True
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    least = np.sort(score, 1)[:, -k]
+    assert seen[score >= least[:, None]].all()
+    return seen.mean()
+
+
+def test_nearest_compares_few_pairs():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16))
+    clustered = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16)) / 40
+    clustered /= np.linalg.norm(clustered, axis=1)[:, None]
+    assert compared(clustered, pivots=160) < 0.05
+    plain = rng.normal(size=(2000, 16))
+    assert 0.1 < compared(plain / np.linalg.norm(plain, axis=1)[:, None]) <= 1
+
+
 def test_nearest_extremes(spark):
     kinds = "vec_id long, embedding array<float>"
     assert knn.nearest(spark.createDataFrame([], kinds)).count() == 0
