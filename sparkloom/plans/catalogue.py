@@ -142,12 +142,10 @@ def correlation_matrix_sql(s, d):
 @query(f"""
 WITH f AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, count(*) AS n FROM orders),
 b AS (SELECT CAST(least(floor((o_totalprice - lo) / ((hi - lo) / 10)), 9) AS INTEGER) AS bin, count(*) AS c FROM orders, f GROUP BY 1)
-SELECT CAST(i AS INTEGER) AS bin, {st('lo + i * ((hi - lo) / 10)')} AS low, {st('lo + (i + 1) * ((hi - lo) / 10)')} AS high, coalesce(c, 0) AS count, {st('coalesce(c, 0) * 100.0 / n')} AS pct
+SELECT CAST(i AS INTEGER) AS bin, {st('lo + i * ((hi - lo) / 10)')} AS low, {st('lo + (i + 1) * ((hi - lo) / 10)')} AS high, CAST(lo + i * ((hi - lo) / 10) AS DECIMAL(18, 1)) || '-' || CAST(lo + (i + 1) * ((hi - lo) / 10) AS DECIMAL(18, 1)) AS label, coalesce(c, 0) AS count, CAST(CAST(coalesce(c, 0) * 100.0 / n AS DECIMAL(9, 1)) AS VARCHAR) AS frequency
 FROM range(10) r(i) CROSS JOIN f LEFT JOIN b ON b.bin = i""")
 def histogram(s, d):
-    h = stats.histogram(table(s, d, "orders"), "o_totalprice", 10)
-    total = table(s, d, "orders").agg(F.count("*").alias("n"))
-    return even(h.crossJoin(F.broadcast(total)).select("bin", "low", "high", "count", (F.col("count") * 100.0 / F.col("n")).alias("pct")), "low", "high", "pct")
+    return even(stats.histogram(table(s, d, "orders"), "o_totalprice", 10), "low", "high")
 
 
 @query(f"""
@@ -558,9 +556,13 @@ def count_distinct_rows(s, d):
     return table(s, d, "orders").select("o_orderstatus", "o_orderpriority").distinct().agg(F.count("*").alias("rows"))
 
 
-@query("WITH RECURSIVE n(i) AS (SELECT 1 UNION ALL SELECT i + 1 FROM n WHERE i < 90) SELECT count(*) AS n, CAST(sum(i) AS BIGINT) AS total FROM n")
+_CHAIN = """WITH RECURSIVE n(k, total) AS (SELECT c_custkey, c_acctbal FROM {t} WHERE c_custkey = 0 UNION ALL SELECT c.c_custkey, n.total + c.c_acctbal FROM n JOIN {t} c ON c.c_custkey = n.k + 1 WHERE n.k < 60)"""
+
+
+@query(_CHAIN.format(t="customer") + f" SELECT k, {st('total')} AS total FROM n")
 def recursive_cte(s, d):
-    return s.sql("WITH RECURSIVE n(i) AS (SELECT 1 UNION ALL SELECT i + 1 FROM n WHERE i < 90) SELECT count(*) AS n, sum(i) AS total FROM n")
+    """A running balance from customer to customer."""
+    return even(s.sql(_CHAIN.format(t=f"parquet.`{d}/customer.parquet`") + " SELECT k, total FROM n"), "total")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders, (SELECT avg(o_totalprice) + 1.5 * stddev_samp(o_totalprice) AS t FROM orders) WHERE o_totalprice > t")
@@ -714,14 +716,19 @@ def safe_percentages(s, d):
 
 
 # Rows without a table, text of SQL, sorting and paging.
-@query("SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) v(id, name)")
+_RANKED = "VALUES ('1-URGENT', 1), ('2-HIGH', 2), ('3-MEDIUM', NULL), ('9-NONE', 9)"
+
+
+@query(f"SELECT v.priority, v.weight, count(o_orderkey) AS orders FROM ({_RANKED}) v(priority, weight) LEFT JOIN orders ON o_orderpriority = v.priority GROUP BY 1, 2")
 def values_scan(s, d):
-    return s.sql("SELECT * FROM VALUES (1, 'a'), (2, 'b'), (3, NULL) AS v(id, name)")
+    """Rows written out in the query, joined with orders."""
+    return s.sql(f"SELECT v.priority, v.weight, count(o_orderkey) AS orders FROM {_RANKED} AS v(priority, weight) LEFT JOIN parquet.`{d}/orders.parquet` ON o_orderpriority = v.priority GROUP BY 1, 2")
 
 
-@query("SELECT i AS id, i * i AS square FROM range(5, 1005) r(i)")
+@query("SELECT i AS quantity, count(l_quantity) AS lines FROM range(5, 61) r(i) LEFT JOIN lineitem ON CAST(l_quantity AS BIGINT) = i GROUP BY 1")
 def range_scan(s, d):
-    return s.range(5, 1005).select("id", (F.col("id") * F.col("id")).alias("square"))
+    """A range of numbers, each with its lines, also where there are none."""
+    return s.sql(f"SELECT id AS quantity, count(l_quantity) AS lines FROM range(5, 61) LEFT JOIN parquet.`{d}/lineitem.parquet` ON CAST(l_quantity AS BIGINT) = id GROUP BY 1")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%a%' AND p_brand NOT LIKE '%1%' ORDER BY p_partkey DESC LIMIT 40 OFFSET 10")
@@ -815,10 +822,16 @@ def _loaded(s: SparkSession, path: str, **options) -> DataFrame:
     return space.table(space.load(path, f"own_{uuid.uuid4().hex[:8]}", children=False, **options)[0])
 
 
-@query("SELECT * FROM (VALUES ('1', '2'), (NULL, NULL), ('3', '4'), ('5', NULL), ('x,y', 'say \"hi\"')) v(a, b)")
+@query("""
+SELECT CASE WHEN c_custkey % 6 = 1 THEN NULL ELSE CAST(c_custkey AS VARCHAR) END AS a,
+ CASE c_custkey % 6 WHEN 1 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN c_name || ', "' || c_mktsegment || '"' ELSE c_name END AS b FROM customer WHERE c_custkey % 6 <> 5""")
 def csv_odd_lines(s, d):
-    """Rows of empty cells are rows, blank lines aren't; short rows are filled up, cells beyond the header dropped."""
-    return _loaded(s, _written(s, "odd.csv", ["a,b", "1, 2 ", "", ",", "   ", "3,4,9", "5", '"x,y","say ""hi"""', ""]))
+    """Customers as lines of six kinds: cells with space around them, rows of empty cells, cells beyond the header, short rows, quotes and commas in cells, and blank lines, which alone are no rows."""
+    k, name = F.col("c_custkey"), F.col("c_name")
+    plain = F.concat_ws(",", k, name)
+    kinds = [F.concat(F.lit(" "), F.concat_ws(" , ", k, name), F.lit("  ")), F.lit(","), F.concat(plain, F.lit(",9")), k.cast("string"), F.concat(k, F.lit(',"'), name, F.lit(', ""'), "c_mktsegment", F.lit('"""')), F.lit("   ")]
+    line = F.element_at(F.array(*kinds), (k % 6 + 1).cast("int"))
+    return _loaded(s, _written_lines(s, "odd.csv", "a,b", table(s, d, "customer").select(k.alias("at"), line.alias("line"))))
 
 
 def _written_lines(s: SparkSession, name: str, header: str | None, lines: DataFrame, encoding: str = "utf-8", mark: str = "") -> str:
@@ -960,21 +973,29 @@ def missing_zero_and_blank(s, d):
     return table(s, d, "customer").select("c_custkey", missing.is_missing(v).alias("missing"))
 
 
-@query("SELECT * FROM (VALUES ('2024-01-02x', true), ('01/02/2024', true), ('1/2/2024', false), ('2024/01/02', true), ('2024/1/2', false), (' 2024-01-02', true), ('20240102', false)) v(text, is_date)")
+@query("SELECT f AS form, is_date, count(*) AS rows FROM (SELECT o_orderkey % 6 AS f, o_orderkey % 6 <> 4 AS is_date FROM orders) GROUP BY 1, 2")
 def date_starts(s, d):
-    return s.createDataFrame([(t,) for t in ("2024-01-02x", "01/02/2024", "1/2/2024", "2024/01/02", "2024/1/2", " 2024-01-02", "20240102")], "text string").select("text", is_date("text").alias("is_date"))
+    """Orders' dates written in six ways, of which one is no date."""
+    at = F.col("o_orderdate")
+    forms = [F.date_format(at, x) for x in ("yyyy-MM-dd", "MM/dd/yyyy", "yyyy/MM/dd", "' 'yyyy-MM-dd", "yyyyMMdd", "yyyy-MM-dd'x'")]
+    written = F.element_at(F.array(*forms), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return table(s, d, "orders").select((F.col("o_orderkey") % 6).alias("form"), is_date(written).alias("is_date")).groupBy("form", "is_date").agg(F.count("*").alias("rows"))
+
+
+_DEEP = "WITH RECURSIVE c(i, top) AS (SELECT CAST(1 AS BIGINT), (SELECT max(c_custkey) FROM {t}) UNION ALL SELECT i + 1, top FROM c WHERE i < least(top, 1000)) SELECT count(*) AS rows, CAST(sum(i) AS BIGINT) AS total, max(top) AS top FROM c"
 
 
-@query("WITH RECURSIVE c(i) AS (SELECT 1 UNION ALL SELECT i + 1 FROM c WHERE i < 1000) SELECT count(*) AS rows, CAST(sum(i) AS BIGINT) AS total FROM c")
+@query(_DEEP.format(t="customer"))
 def recursive_cte_deep(s, d):
+    """As many steps as customers, up to a thousand: more than the session allows by itself."""
     key = "spark.sql.cteRecursionLevelLimit"
     before = s.conf.get(key)
     s.conf.set(key, "2000")
     try:
-        found = s.sql("WITH RECURSIVE c(i) AS (SELECT 1 UNION ALL SELECT i + 1 FROM c WHERE i < 1000) SELECT count(*) AS rows, sum(i) AS total FROM c").collect()
+        found = s.sql(_DEEP.format(t=f"parquet.`{d}/customer.parquet`")).collect()  # one row
     finally:
         s.conf.set(key, before)
-    return s.createDataFrame(found, "rows long, total long")
+    return s.createDataFrame(found, "rows long, total long, top long")
 
 
 @query("SELECT l_shipmode_like AS item, count(*) AS count FROM (SELECT 'l_returnflag=' || l_returnflag AS l_shipmode_like FROM lineitem UNION ALL SELECT 'l_linestatus=' || l_linestatus FROM lineitem) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
@@ -1002,3 +1023,39 @@ def generated_ids(s, d):
     rows = table(s, d, "nation").select(F.uuid().alias("id"))
     form = "^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
     return rows.agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids"), F.count_if(F.col("id").rlike(form)).alias("well_formed"))
+
+
+def _analysed(name: str, oracle: str, run: Query) -> None:
+    """An analysis by its name gives what its own function gives."""
+    query(ORACLE_SQL[oracle], f"analysis_{name}")(run)
+
+
+_analysed("correlation", "correlation_matrix", lambda s, d: even(analysis.analyse(table(s, d, "lineitem"), "correlation", _NUMBERS)["pairs"], "correlation"))
+_analysed("changepoint", "changepoint_moving_average", lambda s, d: even(analysis.analyse(_stepped(s, d), "changepoint", ["value"], order_by=["event_id"])["points"], "value", "confidence"))
+_analysed("histogram", "histogram", lambda s, d: even(analysis.analyse(table(s, d, "orders"), "histogram", ["o_totalprice"])["bins"], "low", "high"))
+_analysed("timeseries", "timeseries_trend", lambda s, d: even(analysis.analyse(table(s, d, "events"), "timeseries", ["value"], order_by=["event_id"], x="ts")["series"], "moving_average", "trend").drop("x"))
+_analysed("missing", "missing_stats", lambda s, d: even(analysis.analyse(_gappy(s, d), "missing", ["a", "b"], order_by=["event_id"])["columns"], "avg_length", "missing_pct"))
+_analysed("missing_events", "missing_events", lambda s, d: analysis.analyse(_gappy(s, d), "missing", ["a", "b"], order_by=["event_id"])["events"])
+_analysed("association", "association_itemsets", lambda s, d: even(analysis.analyse(table(s, d, "orders"), "association", _ITEMS, min_support=0.05)["itemsets"].withColumn("items", F.array_join("items", "|")), "support"))
+_analysed("mutual", "mutual_information_summary", lambda s, d: even(analysis.analyse(table(s, d, "lineitem"), "mutual", ["l_returnflag", "l_linestatus"])["summary"], "mean", "max", "min"))
+_analysed("canonical", "canonical_correlation_single", lambda s, d: even(analysis.analyse(table(s, d, "lineitem"), "canonical", ["l_quantity", "l_extendedprice"])["correlations"].select("pair", "correlation", "wilks"), "correlation", "wilks"))
+_analysed("column", "column_top_values", lambda s, d: even(analysis.analyse(table(s, d, "orders"), "column", ["o_orderstatus", "o_orderpriority"], order_by=["o_orderkey"])["top_values"], "pct"))
+_analysed("text_statistics", "text_statistics", lambda s, d: even(analysis.analyse(_varied(s, d), "text", ["text"])["statistics"], *_SHARES))
+_analysed("text_languages", "language_detection", lambda s, d: even(analysis.analyse(_varied(s, d), "text", ["text"])["languages"], "pct", "confidence"))
+_analysed("text_patterns", "text_patterns", lambda s, d: even(analysis.analyse(_mixed(s, d), "text", ["text"])["patterns"], "pct").withColumn("examples", F.array_join("examples", " || ")))
+
+
+@query(f"""
+WITH c AS (SELECT var_pop(l_quantity) AS a, var_pop(l_extendedprice) AS b, covar_pop(l_quantity, l_extendedprice) AS c FROM lineitem),
+e AS (SELECT (a + b) / 2 + sqrt(((a - b) / 2) ** 2 + c * c) AS l1, (a + b) / 2 - sqrt(((a - b) / 2) ** 2 + c * c) AS l2 FROM c)
+SELECT CAST(f AS INTEGER) AS factor, column_name, {st('CASE WHEN f = 1 THEN l1 ELSE l2 END * 100 / (l1 + l2)')} AS share FROM e, range(1, 3) r(f), (VALUES ('l_quantity'), ('l_extendedprice')) v(column_name)""")
+def pca_two_columns(s, d):
+    """Two columns, whose factors' shares follow from their correlation."""
+    return even(multivariate.pca(table(s, d, "lineitem"), ["l_quantity", "l_extendedprice"]).select("factor", "column_name", "share"), "share")
+
+
+@query("SELECT column1, value1, column2, value2, count FROM (SELECT 'l_returnflag' AS column1, l_returnflag AS value1, 'l_linestatus' AS column2, l_linestatus AS value2, count(*) AS count FROM lineitem GROUP BY 2, 4) ORDER BY count DESC, value1, value2 LIMIT 5")
+def top_pairs(s, d):
+    """The five most frequent pairs of values of two columns."""
+    pairs = table(s, d, "lineitem").groupBy(F.lit("l_returnflag").alias("column1"), F.col("l_returnflag").alias("value1"), F.lit("l_linestatus").alias("column2"), F.col("l_linestatus").alias("value2"))
+    return pairs.agg(F.count("*").alias("count")).orderBy(F.desc("count"), "value1", "value2").limit(5)
