@@ -1059,3 +1059,67 @@ def top_pairs(s, d):
     """The five most frequent pairs of values of two columns."""
     pairs = table(s, d, "lineitem").groupBy(F.lit("l_returnflag").alias("column1"), F.col("l_returnflag").alias("value1"), F.lit("l_linestatus").alias("column2"), F.col("l_linestatus").alias("value2"))
     return pairs.agg(F.count("*").alias("count")).orderBy(F.desc("count"), "value1", "value2").limit(5)
+
+
+# What a user types and edits.
+@query("SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE o_totalprice >= 150000.5 AND o_orderpriority IN ('1-URGENT', '5-LOW') AND o_custkey < 100")
+def filter_list_edited(s, d):
+    """Filters that were typed as text, then changed, switched off and removed."""
+    from ..operators.filters import FilterList, coerce_list, coerce_value, operators_for
+
+    o = table(s, d, "orders")
+    typed = lambda c, op, text: Filter(c, op, coerce_value(text, o.schema[c].dataType)) if op in operators_for(o.schema[c].dataType) else None
+    edited = FilterList()
+    for f in (typed("o_totalprice", "greater_equal", "99"), typed("o_custkey", "less_than", "100"), typed("o_orderstatus", "equals", "F"), typed("o_orderkey", "equals", "7"), typed("o_totalprice", "contains", "9")):
+        if f is not None:
+            edited.add(f)
+    edited.add(Filter("o_orderpriority", "in", values=coerce_list("1-URGENT, 5-LOW,", o.schema["o_orderpriority"].dataType)))
+    edited.update(0, value=coerce_value("150000.5", o.schema["o_totalprice"].dataType))
+    edited.toggle(2)
+    edited.remove(3)
+    return apply_filters(o, edited.filters).select("o_orderkey", "o_totalprice", "o_orderpriority")
+
+
+@query("SELECT c_custkey, c_name AS name, c_custkey || '-' || (c_custkey + 5) AS span FROM customer")
+def trimmed_names(s, d):
+    """Names with white space of several scripts around them, and ranges of numbers as labels."""
+    from ..functions.coerce import trim_text
+
+    k = F.col("c_custkey")
+    around = F.element_at(F.array(*(F.lit(x) for x in (" ", "\u3000", "\u00a0\t", "\ufeff", "\r\n", "\u2003"))), (k % 6 + 1).cast("int"))
+    rows = table(s, d, "customer").withColumn("name", F.concat(around, "c_name", around, F.lit("\n")))
+    return rows.select("c_custkey", trim_text(F.col("name")).alias("name"), F.concat(k, F.lit("-"), k + 5).alias("span"))
+
+
+@query("SELECT n_nationkey AS k, n_name AS name, n_regionkey / 2 AS half, n_regionkey = 1 AS first, CASE WHEN n_nationkey = 3 THEN 'three' ELSE CAST(n_nationkey AS VARCHAR) END AS mixed, CASE WHEN n_nationkey > 5 THEN n_nationkey END AS late FROM nation")
+def objects_as_table(s, d):
+    """Python objects, of which some lack a key and one column holds numbers and text."""
+    from ..sources import files
+
+    rows = table(s, d, "nation").collect()  # 25 rows
+    objects = [{"k": r.n_nationkey, "name": r.n_name, "half": r.n_regionkey / 2, "first": r.n_regionkey == 1, "mixed": "three" if r.n_nationkey == 3 else r.n_nationkey} | ({"late": r.n_nationkey} if r.n_nationkey > 5 else {}) for r in rows]
+    return files.table_from_objects(s, objects)
+
+
+@query("SELECT * FROM (SELECT 'customer_' || unnest(['c_custkey', 'c_name', 'c_acctbal']) AS col_name, unnest(['bigint', 'string', 'double']) AS data_type), (SELECT count(*) AS rows FROM customer)")
+def catalog_columns(s, d):
+    """A workspace's table as the catalog describes it, with its rows."""
+    space = workspace.Workspace(s)
+    name = space.create(f"customers_{uuid.uuid4().hex[:8]}", table(s, d, "customer").select(*(F.col(c).alias(f"customer_{c}") for c in ("c_custkey", "c_name", "c_acctbal"))))
+    found = space.sql(f"DESCRIBE {name}").select("col_name", "data_type").crossJoin(space.sql(f"SELECT count(*) AS rows FROM {name}"))  # one row
+    assert name in space.tables()
+    return found
+
+
+@query("SELECT column_name, inferred_type FROM (VALUES ('whole', 'INTEGER'), ('price', 'FLOAT'), ('either', 'NUMERIC'), ('day', 'DATE'), ('even', 'BOOLEAN'), ('word', 'TEXT')) v(column_name, inferred_type) WHERE (SELECT count(*) FROM orders) > 0")
+def infer_types_of_all_rows(s, d):
+    """Types that four fifths of all rows look like, with other values among them."""
+    k = F.col("o_orderkey")
+    odd = lambda x, other: F.when(k % 10 == 3, other).otherwise(x)
+    price = F.format_string("%.2f", "o_totalprice")
+    rows = table(s, d, "orders").select(
+        odd(k.cast("string"), "none").alias("whole"), odd(price, "-").alias("price"), F.when(k % 2 == 0, k.cast("string")).otherwise(price).alias("either"),
+        odd(F.date_format("o_orderdate", "yyyy/MM/dd"), "soon").alias("day"), odd(F.when(k % 2 == 0, "true").otherwise("false"), "maybe").alias("even"), F.col("o_orderpriority").alias("word"),
+    )
+    return profile.infer_types(rows, rows.columns, sample_rows=None)
+

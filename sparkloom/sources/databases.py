@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import closing
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -58,30 +59,32 @@ class DatabaseReader(DataSourceReader):
         self.parts, self.kinds = int(options.get("numpartitions", 4)), kinds
 
     def partitions(self) -> list[Rows]:
-        con = _connect(self.path, self.engine)
-        try:
-            low, high = con.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(self.table)}").fetchone()
-        except Exception as why:
-            if "rowid" not in str(why):
-                raise
-            return [Rows(None, None)]
-        finally:
-            con.close()
-        if not isinstance(low, int):  # no rows, or a view
-            return [Rows(None, None)]
-        step = max(1, -(-(high - low + 1) // self.parts))
-        return [Rows(a, a + step) for a in range(low, high + 1, step)]
+        with closing(_connect(self.path, self.engine)) as con:
+            try:
+                low, high, rows = con.execute(f"SELECT min(rowid), max(rowid), count(*) FROM {_quoted(self.table)}").fetchone()
+            except Exception as why:
+                if "rowid" not in str(why):
+                    raise
+                return [Rows(None, None)]
+            if not isinstance(low, int):  # no rows, or a view
+                return [Rows(None, None)]
+            if high - low + 1 <= 2 * rows:
+                step = max(1, -(-(high - low + 1) // self.parts))
+                starts = list(range(low, high + 1, step))
+            else:  # ids with wide gaps: as many rows in each range
+                step = max(1, -(-rows // self.parts))
+                starts = [con.execute(f"SELECT rowid FROM {_quoted(self.table)} ORDER BY rowid LIMIT 1 OFFSET {i}").fetchone()[0] for i in range(0, rows, step)]
+        return [Rows(a, b) for a, b in zip(starts, [*starts[1:], high + 1], strict=True)]
 
     def read(self, partition: Rows) -> Iterator[tuple]:
-        con = _connect(self.path, self.engine)
         text = lambda v: v if isinstance(v, str) else v.decode("utf-8", "replace") if isinstance(v, bytes) else str(v)
         cast = {"string": text, "bigint": int, "double": float, "boolean": bool, "binary": bytes}
         which = "" if partition.low is None else f" WHERE rowid >= {partition.low} AND rowid < {partition.high}"
-        cur = con.execute(f"SELECT * FROM {_quoted(self.table)}{which}")
-        while rows := cur.fetchmany(10_000):
-            for r in rows:
-                yield tuple(None if v is None else cast[k](v) for v, k in zip(r, self.kinds, strict=True))
-        con.close()
+        with closing(_connect(self.path, self.engine)) as con:
+            cur = con.execute(f"SELECT * FROM {_quoted(self.table)}{which}")
+            while rows := cur.fetchmany(10_000):
+                for r in rows:
+                    yield tuple(None if v is None else cast[k](v) for v, k in zip(r, self.kinds, strict=True))
 
 
 class DatabaseSource(DataSource):

@@ -667,3 +667,41 @@ def test_monitor_reports_errors(spark):
     assert "division" in m.subscriptions["t"].error
     m.check()
     assert "gone" in m.subscriptions["t"].error and m.subscriptions["t"].rows == 2
+
+
+def test_database_ranges_of_sparse_ids(tmp_path):
+    from sparkloom.sources import databases
+
+    path = str(tmp_path / "sparse.sqlite")
+    con = sqlite3.connect(path)
+    con.execute("CREATE TABLE t (v TEXT)")
+    ids = [*range(1, 101), *range(10**12, 10**12 + 100)]
+    con.executemany("INSERT INTO t (rowid, v) VALUES (?, 'x')", [(i,) for i in ids])
+    con.commit()
+    con.close()
+    reader = databases.DatabaseReader({"path": path, "dbtable": "t", "numpartitions": "4"}, ["string"])
+    parts = reader.partitions()
+    assert [len(list(reader.read(p))) for p in parts] == [50] * 4
+
+
+def test_small_rules(spark):
+    from pyspark.sql import types as T
+
+    assert encoding.corruption("clean") == 0 and math.isclose(encoding.corruption("a\ufffd\x01¿"), (1 + 0.5 + 0.3) / 4)
+    assert encoding.has_japanese("x日") and encoding.has_japanese("カ") and not encoding.has_japanese("plain é")
+    assert len(encoding.supported()) == 8 and encoding.describe("sjis") == "Japanese (Shift_JIS)" and encoding.describe("koi8-r") == "koi8-r"
+    assert files.clean_column(' a"b;c  d ') == "a_b_c_d" and files.clean_column("  ", 3) == "column_3"
+    assert files.clean_table("2024 sales") == "t_2024_sales" and len(files.clean_table("x" * 200)) == 63 and files.clean_table("") == "data"
+    assert sampling.recommended(500)["method"] == "none" and sampling.recommended(50_000) == {"points": 1500, "method": "uniform"} and sampling.recommended(10**6)["method"] == "stratified"
+    assert "contains" in filters.operators_for(T.StringType()) and "greater_than" in filters.operators_for(T.LongType()) and "contains" not in filters.operators_for(T.DateType())
+    assert filters.coerce_value("", T.LongType()) is None and filters.coerce_value(" TRUE", T.BooleanType()) is True and filters.coerce_list("1, ,2", T.LongType()) == [1, 2]
+    with pytest.raises(ValueError):
+        filters.compile_filter(Filter("x", "resembles", 1))
+    for kind, columns in (("correlation", ["a"]), ("histogram", ["a", "b"]), ("nothing", ["a"])):
+        with pytest.raises((ValueError, KeyError)):
+            profile.check_arity(kind, columns)
+
+
+def test_eligible_columns(spark):
+    df = spark.createDataFrame([], "i int, d double, s string, t timestamp, b boolean")
+    assert profile.eligible_columns(df, "numeric") == ["i", "d"] and profile.eligible_columns(df, "date") == ["t"] and profile.eligible_columns(df, "x") == ["index", "i", "d", "t"]
