@@ -35,11 +35,9 @@ PATTERNS = {
 }
 CLASSES = {"hiragana": f"[{HIRAGANA}]", "katakana": f"[{KATAKANA}]", "kanji": f"[{KANJI}]", "alphanumeric": "[a-zA-Z0-9]", "punctuation": f"[{PUNCTUATION}]", "whitespace": rf"(?U)[{_SPACE}]"}
 _SENTENCE = r"[.!?。！？]+"
-#: What words are cut at.
-_BETWEEN = rf"{_SPACE}{PUNCTUATION}。、！？；：「」『』（）【】"
-_SPLIT, _WORD = rf"(?U)[{_BETWEEN}]+", rf"(?U)[^{_BETWEEN}]+"
-#: The start of a sentence that isn't blank, up to its end.
-_FILLED = rf"(?U)[{_SPACE}]*+[^{_SPACE}.!?。！？][^.!?。！？]*+"
+#: What words are cut at, as characters: white space, ends of sentences, all others.
+_BLANKS = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
+_ENDS, _OTHERS = ".!?。！？", ",;:'\"()[]{}-_/\\@#$%^&*+=<>|~`、；：「」『』（）【】"
 
 
 def _matches(t: Column, name: str) -> Column:
@@ -68,9 +66,15 @@ def learned(df: DataFrame, column: str | Column, japanese: bool | Lexicon) -> Le
     return learn_lexicon(df.select(F.lower(column).alias("t")), "t") if japanese else None
 
 
+def _classed(text: Column) -> Column:
+    """A text whose white space is all spaces, whose ends of sentences are all points, and whose other marks between words are commas."""
+    return F.translate(text, _BLANKS + _ENDS + _OTHERS, " " * len(_BLANKS) + "." * len(_ENDS) + "," * len(_OTHERS))
+
+
 def tokens(text: Column, lexicon: Lexicon | None = None) -> Column:
     """Words: text without listed punctuation, at white space; with a lexicon, Japanese and mixed texts are cut by it."""
-    plain = F.filter(F.split(text, _SPLIT), lambda t: t != "")
+    between = _BLANKS + _ENDS + _OTHERS
+    plain = F.filter(F.split(F.translate(text, between, " " * len(between)), " "), lambda t: t != "")
     if lexicon is None:
         return plain
     cut = F.pandas_udf(lambda s: s.map(lambda t: None if t is None else lexicon.words_of(t)).astype(object) if len(s) else pd.Series([], dtype=object), "array<string>")
@@ -80,7 +84,7 @@ def tokens(text: Column, lexicon: Lexicon | None = None) -> Column:
 
 def word_count(text: Column, lexicon: Lexicon | None = None) -> Column:
     """Number of words, without making them where there is no lexicon."""
-    return F.size(tokens(text, lexicon)) if lexicon is not None else F.regexp_count(text, F.lit(_WORD))
+    return F.size(tokens(text, lexicon)) if lexicon is not None else F.regexp_count(_classed(text), F.lit("[^ .,]+"))
 
 
 def sentences(text: Column) -> Column:
@@ -96,6 +100,11 @@ def readability(words_per_sentence: Column, chars_per_word: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))
 
 
+def sentence_count(text: Column) -> Column:
+    """Number of sentences that aren't blank, without making them."""
+    return F.regexp_count(_classed(text), F.lit(" *+[^ .][^.]*+"))
+
+
 #: What is counted of each text.
 MEASURES = ("chars", "words", "sentences", "paragraphs")
 
@@ -104,7 +113,7 @@ def _measured(df: DataFrame, column: str, japanese: bool | Lexicon) -> DataFrame
     """(digest, blank, chars, words, sentences, paragraphs) of each text that isn't null."""
     c = F.col(f"`{column}`").cast("string")
     lexicon, t = learned(df, c, japanese), F.col("t")
-    counts = {"chars": F.length(t), "words": word_count(t, lexicon), "sentences": F.regexp_count(t, F.lit(_FILLED)), "paragraphs": F.size(paragraphs(t))}
+    counts = {"chars": F.length(t), "words": word_count(t, lexicon), "sentences": sentence_count(t), "paragraphs": F.size(paragraphs(t))}
     rows = df.select(c.alias("t")).where("t is not null")
     return rows.select(F.unhex(F.sha2(t, 256)).alias("digest"), (~has_text(t)).alias("blank"), *(v.cast("long").alias(k) for k, v in counts.items()))
 

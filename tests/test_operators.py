@@ -705,3 +705,17 @@ def test_small_rules(spark):
 def test_eligible_columns(spark):
     df = spark.createDataFrame([], "i int, d double, s string, t timestamp, b boolean")
     assert profile.eligible_columns(df, "numeric") == ["i", "d"] and profile.eligible_columns(df, "date") == ["t"] and profile.eligible_columns(df, "x") == ["index", "i", "d", "t"]
+
+
+def test_words_and_sentences_against_patterns(spark):
+    """White space and marks of all kinds, against the patterns that say what words and sentences are."""
+    rng = random.Random(12)
+    parts = [*"ab.!?。！？,;()-_/\\`~「」、； \t\n", "\u00a0", "\u3000", "\ufeff", "\u2009", "\x85", "\x0b", "日", "é", "😀", "word"]
+    rows = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(400)]
+    space = r"\s\ufeff"
+    between = rf"[{space}.,!?;:'\"()\[\]{{}}\-_/\\@#$%^&*+=<>|~`。、！？；：「」『』（）【】]+"
+    got = spark.createDataFrame([(t,) for t in rows], "t string").select("t", text.tokens(F.col("t")).alias("w"), text.word_count(F.col("t")).alias("n"), text.sentence_count(F.col("t")).alias("s")).collect()
+    for r in got:
+        words = [w for w in re.split(between, r.t) if w]
+        assert r.w == words and r.n == len(words)
+        assert r.s == len([x for x in re.split("[.!?。！？]+", r.t) if x.strip(" \t\n\x0b\x0c\r\x85\u00a0\u3000\ufeff\u2009")])
