@@ -65,7 +65,8 @@ def _counts(noise: int | None, shortest: int):
                         total[kept] += n
                 if len(total) > COUNTED:
                     yield passed_on()
-        yield passed_on()
+        if total:
+            yield passed_on()
 
     return counts
 
@@ -94,7 +95,8 @@ def places(word: str) -> list[tuple[str, int]]:
 def _weights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         seen = Counter(p for word in pdf["word"] for p in places(word))
-        yield pd.DataFrame([(*p, n) for p, n in seen.items()], columns=["letter", "before", "n"])
+        if seen:
+            yield pd.DataFrame([(*p, n) for p, n in seen.items()], columns=["letter", "before", "n"])
 
 
 def parts_by_weight(weights: list[tuple[str, int, int]], parts: int) -> dict[tuple[str, int], int]:
