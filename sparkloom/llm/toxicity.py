@@ -276,10 +276,13 @@ def _telling(sizes: np.ndarray):
 
     def telling(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            if not len(pdf):
+                continue
             counts = pdf[names].to_numpy(float).reshape(len(pdf), FOLDS, 2)
             z = strengths(counts, sizes)[0]
             best = np.max([np.abs(z), *(np.abs(strengths(counts, sizes, w)[0]) for w in LEFT_OUT)], axis=0)
-            yield pdf.assign(z=z)[best > STRONG]
+            if (best > STRONG).any():
+                yield pdf.assign(z=z)[best > STRONG]
 
     return telling
 
