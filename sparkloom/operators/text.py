@@ -174,7 +174,8 @@ def _least_three(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 counts[name] += len(own)
                 least[name] = sorted({*own, *least.get(name, [])}, key=lambda t: t.encode("utf-8", "surrogatepass"))[:3]
     rows = [(name, n if not i else 0, t) for name, n in counts.items() for i, t in enumerate(least.get(name, [None]))]
-    yield pd.DataFrame(rows, columns=["pattern", "count", "example"])
+    if rows:
+        yield pd.DataFrame(rows, columns=["pattern", "count", "example"])
 
 
 def text_patterns(df: DataFrame, column: str) -> DataFrame:

@@ -65,7 +65,8 @@ def _summaries(sep: str, encoding: str):
             deltas = [int(steps(b, bool(entered))[1].sum()) for entered in (0, 1)]
             # entered outside of a string, the block is now in one if flips is odd; entered inside, if it is even
             found[path, block] = [(flips + int(quotes(b).sum())) % 2, out + deltas[flips], into + deltas[1 - flips]]
-        yield pd.DataFrame([(*k, *v) for k, v in found.items()], columns=["path", "block", "flips", "out", "into"])
+        if found:
+            yield pd.DataFrame([(*k, *v) for k, v in found.items()], columns=["path", "block", "flips", "out", "into"])
 
     return summaries
 
