@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -834,12 +835,29 @@ def csv_odd_lines(s, d):
     return _loaded(s, _written_lines(s, "odd.csv", "a,b", table(s, d, "customer").select(k.alias("at"), line.alias("line"))))
 
 
-def _written_lines(s: SparkSession, name: str, header: str | None, lines: DataFrame, encoding: str = "utf-8", mark: str = "") -> str:
-    """A file of a line for each row of (at, line), in that order, in an encoding; written by Spark, which passes bytes on."""
+#: Lines of each file that ``_written_lines`` makes.
+PART = 500_000
+
+
+def _written_lines(s: SparkSession, name: str, header: str | None, lines: DataFrame, encoding: str = "utf-8", mark: str = "", every: bool = True) -> str:
+    """A line for each row of (at, line), in that order, in an encoding, written by Spark, which passes bytes on.
+
+    The lines go to a folder of files of about ``PART`` lines each, which follow each other by name. The header stands in
+    each of them, or in the first alone.
+    """
     path = scratch_path(s, name)
-    encode = F.pandas_udf(lambda x: x.map(lambda t: t.encode(encoding)), "binary")
+
+    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = header is not None and every
+        for pdf in batches:
+            values = [t.encode(encoding) for t in pdf["line"]]
+            if first and values:
+                values, first = ([] if pdf["at"].iloc[0] == -1 else [(mark + header).encode(encoding)]) + values, False
+            yield pd.DataFrame({"value": values})
+
     rows = lines if header is None else s.createDataFrame([(-1, mark + header)], "at long, line string").unionAll(lines)
-    rows.repartition(1).sortWithinPartitions("at").select(encode("line").cast("string").alias("value")).write.text(path)
+    parts = rows.repartitionByRange(-(-lines.count() // PART) or 1, "at").sortWithinPartitions("at")
+    parts.mapInPandas(encoded, "value binary").select(F.col("value").cast("string")).write.text(path)
     return path
 
 
@@ -903,7 +921,7 @@ def json_load(s, d):
     text_of = F.when(k % 3 > 0, F.concat("o_orderstatus", F.lit(' "[{,\\')))
     object_of = F.to_json(F.struct(k, F.format_string("%.2f", "o_totalprice").cast("decimal(12,2)").alias("price"), (k % 2 == 0).alias("even"), text_of.alias("status"), nested.alias("nested"), F.when(k == last, "here").alias("a_late_one")))
     lines = o.select(k.alias("at"), F.concat(object_of, F.when(k == last, "]").otherwise(",")).alias("line"))
-    return _loaded(s, _written_lines(s, "orders.json", "[", lines)).withColumn("price", F.col("price").cast("double").cast("string"))
+    return _loaded(s, _written_lines(s, "orders.json", "[", lines, every=False), parts=True).withColumn("price", F.col("price").cast("double").cast("string"))
 
 
 @query("SELECT n_nationkey + 1 AS _source_row_id, n_nationkey AS k, n_name AS name FROM nation WHERE n_nationkey % 3 <> 0")

@@ -133,21 +133,24 @@ def read_tsv(spark: SparkSession, path: str, **options) -> DataFrame:
     return read_csv(spark, path, "\t", **options)
 
 
-def read_json(spark: SparkSession, path: str, encoding: str | None = None, at: str | None = None) -> DataFrame:
+def read_json(spark: SparkSession, path: str, encoding: str | None = None, at: str | None = None, parts: bool = False) -> DataFrame:
     """An array of objects or one object: keys as columns in the order of first appearance, scalars as text, the rest as JSON.
 
     The document is cut at its elements in ranges, so it may be of any size; an element must fit in a task. Elements
     that are no objects give rows of nulls. A ValueError says if a document isn't valid JSON, or holds no rows or no keys.
     Keys that are whole numbers come first in their object, in their order, as in JSON itself for many readers. ``at``
-    names a column that orders rows as they stand in the document.
+    names a column that orders rows as they stand in the document. With ``parts`` the files of a folder, by name, are one
+    document, of which each file ends between two elements; otherwise each file is one.
     """
     encoding = enc.normalize(encoding) if encoding else enc.detect(head(spark, path)).encoding
     if encoding.startswith("utf-16"):
+        if parts:
+            raise ValueError("a document in UTF-16 is read from one file")
         rows = spark.read.option("multiLine", True).option("singleVariantColumn", "v").json(path)
         text = rows.select(F.explode(F.when(F.schema_of_variant("v").startswith("ARRAY"), F.expr("variant_get(v, '$', 'array<variant>')")).otherwise(F.array("v"))).alias("v")).select(F.to_json("v").alias("text"))
         rows = text.withColumns({"path": F.lit(""), "block": F.spark_partition_id().cast("long"), "i": F.monotonically_increasing_id()})
     else:
-        rows = elements(raw_lines(spark, path, "\n" if encoding == "iso2022_jp" else ","), "\n" if encoding == "iso2022_jp" else ",", encoding)
+        rows = elements(raw_lines(spark, path, "\n" if encoding == "iso2022_jp" else ","), "\n" if encoding == "iso2022_jp" else ",", encoding, parts)
     rows = kept(rows, "elements")
     parsed = F.try_parse_json("text")
     facts = rows.agg(F.count("*").alias("n"), F.count_if(parsed.isNull()).alias("bad")).first()
@@ -157,8 +160,10 @@ def read_json(spark: SparkSession, path: str, encoding: str | None = None, at: s
         raise ValueError(f"{path} holds no rows")
     named = rows.select("path", "block", "i", F.posexplode(F.json_object_keys("text")).alias("pos", "k"))
     number = F.when(F.col("k").rlike(r"^(0|[1-9]\d{0,8})$"), F.col("k").cast("long"))
-    first = F.struct("path", "block", "i", number.isNull().alias("named"), F.coalesce(number, "pos").alias("pos"))
-    keys = [r.k for r in named.groupBy("k").agg(F.min(first).alias("first")).orderBy("first").collect()]  # as many as there are columns
+    # a place in its block as one number, which is aggregated by hashing; a least struct would have all keys of all rows sorted
+    place = F.col("i").cast("decimal(19,0)") * F.lit(2**33).cast("decimal(10,0)") + number.isNull().cast("long") * F.lit(2**32) + F.coalesce(number, F.col("pos").cast("long"))
+    of_block = named.groupBy("path", "block", "k").agg(F.min(place).alias("place"))
+    keys = [r.k for r in of_block.groupBy("k").agg(F.min(F.struct("path", "block", "place")).alias("first")).orderBy("first").collect()]  # as many as there are columns
     if not keys:
         raise ValueError(f"{path} holds no objects with keys")
     raw = F.from_json("text", "map<string,string>")

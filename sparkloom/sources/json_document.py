@@ -5,7 +5,7 @@ of a longer character). What a range does to a reader of
 JSON is a small summary that composes: whether it leaves a string that it was entered in or not, and by how much the
 depth changes in either case. The summaries of all ranges, a few numbers each, give every range the state that it begins
 in; then each range is cut at the commas between elements, and the pieces of an element that lies in several ranges are
-put together again.
+put together again. A document may also be written in parts, as a folder of files that follow each other by name.
 """
 
 from __future__ import annotations
@@ -71,13 +71,16 @@ def _summaries(sep: str, encoding: str):
     return summaries
 
 
-def compose(summaries: list[tuple[str, int, int, int, int]]) -> tuple[dict[tuple[str, int], tuple[bool, int]], dict[str, tuple[bool, int]]]:
-    """The state, in a string and depth, that each block begins in, and that each file ends in."""
-    begins, ends = {}, {}
+def compose(summaries: list[tuple[str, int, int, int, int]], parts: bool = False) -> tuple[dict[tuple[str, int], tuple[bool, int]], dict[str, tuple[bool, int]]]:
+    """The state, in a string and depth, that each block begins in, and that each file ends in; of ``parts``, a file begins as the one before ended."""
+    begins, ends, before = {}, {}, (False, 0)
     for path, block, flips, out, into in sorted(summaries):
-        inside, depth = ends.get(path, (False, 0))
+        inside, depth = ends.get(path, before)
+        if parts and ends and path not in ends and (inside, depth) != (False, 1):
+            raise ValueError(f"{max(ends)} is no part of a JSON document: it ends inside an element, or outside of the array")
         begins[path, block] = inside, depth
         ends[path] = inside != bool(flips), depth + (into if inside else out)
+        before = ends[path] if parts else before
     return begins, ends
 
 
@@ -107,30 +110,33 @@ def _cut(begins: dict[tuple[str, int], tuple[bool, int]], sep: str, encoding: st
     return cut
 
 
-def elements(lines: DataFrame, sep: str = ",", encoding: str = "utf-8") -> DataFrame:
+def elements(lines: DataFrame, sep: str = ",", encoding: str = "utf-8", parts: bool = False) -> DataFrame:
     """(path, block, i, text): the elements of each file's array, in the order of those columns; a file that is no array is one element.
 
-    lines: files as (path, block, n, value), read at ``sep``. A ValueError says if a document ends inside a string or a
-    bracket. Elements are not parsed.
+    lines: files as (path, block, n, value), read at ``sep``. With ``parts`` the files, by name, are one document; each
+    must end between two elements. A ValueError says if a document ends inside a string or a bracket, or a part elsewhere.
+    Elements are not parsed.
     """
     spark = lines.sparkSession
     # a few numbers for each range of a file
-    begins, ends = compose([tuple(r) for r in lines.mapInPandas(_summaries(sep, encoding), "path string, block long, flips int, out long, into long").collect()])
-    broken = sorted(p for p, (inside, depth) in ends.items() if inside or depth)
+    begins, ends = compose([tuple(r) for r in lines.mapInPandas(_summaries(sep, encoding), "path string, block long, flips int, out long, into long").collect()], parts)
+    whole = {p: ends[p] for p in [max(ends)]} if parts and ends else ends
+    broken = sorted(p for p, (inside, depth) in whole.items() if inside or depth)
     if broken:
-        raise ValueError(f"{broken[0]} is no valid JSON: it ends inside a {'string' if ends[broken[0]][0] else 'bracket'}, or closes one that isn't open")
+        raise ValueError(f"{broken[0]} is no valid JSON: it ends inside a {'string' if whole[broken[0]][0] else 'bracket'}, or closes one that isn't open")
     pieces = kept(lines.mapInPandas(_cut(begins, sep, encoding), "path string, block long, i long, text string, closed boolean"), "pieces")
     # a piece that isn't closed, and the first of a block, are parts of the element that began last
     counts = {(r.path, r.block): r.n for r in pieces.groupBy("path", "block").agg(F.max("i").alias("n")).collect()}
     owner, last = {}, {}
     for p, b in sorted(counts):
-        owner[p, b] = last.get(p, (b, 0))
-        if counts[p, b] or p not in last:
-            last[p] = (b, counts[p, b])
-    of = spark.createDataFrame([(*k, *v) for k, v in owner.items()] or [("", 0, 0, 0)], "path string, block long, own_block long, own_i long")
-    parts = pieces.where("i = 0 or not closed").join(F.broadcast(of), ["path", "block"])
-    first = F.col("i") == 0
-    parts = parts.select("path", F.when(first, F.col("own_block")).otherwise(F.col("block")).alias("block"), F.when(first, F.col("own_i")).otherwise(F.col("i")).alias("i"), F.struct(F.col("block").alias("at"), "text").alias("part"))
-    joined = parts.groupBy("path", "block", "i").agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["text"]), "").alias("text"))
+        document = "" if parts else p
+        owner[p, b] = last.get(document, (p, b, 0))
+        if counts[p, b] or document not in last:
+            last[document] = (p, b, counts[p, b])
+    of = spark.createDataFrame([(*k, *v) for k, v in owner.items()] or [("", 0, "", 0, 0)], "path string, block long, own_path string, own_block long, own_i long")
+    ends_of = pieces.where("i = 0 or not closed").join(F.broadcast(of), ["path", "block"])
+    own = (F.when(F.col("i") == 0, F.col(f"own_{c}")).otherwise(F.col(c)).alias(c) for c in ("path", "block", "i"))
+    ends_of = ends_of.select(*own, F.struct(F.col("path").alias("file"), F.col("block").alias("at"), "text").alias("part"))
+    joined = ends_of.groupBy("path", "block", "i").agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["text"]), "").alias("text"))
     every = pieces.where("i > 0 and closed").select("path", "block", "i", "text").unionByName(joined)
     return every.where(F.trim(F.translate("text", "\t\r\n﻿,", "     ")) != "")

@@ -1,5 +1,6 @@
 import json
 import math
+import os
 import random
 import re
 import sqlite3
@@ -343,6 +344,48 @@ def test_json_documents(spark, tmp_path):
             read(bad)
 
 
+def test_json_document_in_parts(spark, tmp_path):
+    """A folder's files as one document, of which each is read in ranges of a few bytes; each file must end between elements."""
+    rng = random.Random(9)
+    rows = [{"k": i, "v": json_like(rng)} for i in range(90)] + [{"late": 1}]
+    lines = [json.dumps(r) + ("," if i < 90 else "]") + "\n" for i, r in enumerate(rows)]
+    for n in (1, 20, 91):
+        folder = tmp_path / f"{n}.json"
+        folder.mkdir()
+        for i, at in enumerate(range(0, 91, n)):
+            (folder / f"part-{i:05d}.txt").write_text("[\n" * (i == 0) + "".join(lines[at : at + n]))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "197")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            found = json_document.elements(files.raw_lines(spark, str(folder), ","), parts=True)
+            assert [json.loads(r.text) for r in found.orderBy("path", "block", "i").collect()] == rows
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    df = files.read_json(spark, str(folder), parts=True)
+    assert df.columns == ["k", "v", "late"] and df.count() == 91
+    for cut in (['[{"a": 1}, {"b":', " 2}]"], ['[{"a": 1}]', '[{"a": 2}]'], ['[{"a": "x,', 'y"}]'], ['[{"a": 1},', '{"a": 2}']):
+        bad = tmp_path / f"bad{len(list(tmp_path.iterdir()))}.json"
+        bad.mkdir()
+        for i, part in enumerate(cut):
+            (bad / f"{i}.txt").write_text(part)
+        with pytest.raises(ValueError):
+            files.read_json(spark, str(bad), parts=True)
+
+
+@pytest.mark.parametrize("name", ["json_load", "csv_odd_lines", "csv_shift_jis", "csv_iso2022_jp", "csv_utf_8_sig", "encoding_detection"])
+def test_lines_are_written_in_parts(spark, monkeypatch, name):
+    """No task writes the whole of a file: the same rows from files of some 40 lines each."""
+    made, folder = [], catalogue.scratch_path
+    monkeypatch.setattr(catalogue, "scratch_path", lambda s, n: made.append(folder(s, n)) or made[-1])
+    read = lambda: sorted(map(str, catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").collect()))
+    want = read()
+    monkeypatch.setattr(catalogue, "PART", 40)
+    made.clear()
+    assert read() == want
+    assert made and all(len([f for f in os.listdir(p.removeprefix("file:")) if f.startswith("part-")]) > 2 for p in made)
+
+
 def test_json_and_children(spark, tmp_path):
     p = tmp_path / "j.json"
     p.write_text('[{"b": 1, "a": "x", "o": {"k": 2}}, {"b": null, "c": true}]', encoding="utf-8")
