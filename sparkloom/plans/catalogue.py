@@ -723,13 +723,15 @@ _RANKED = "VALUES ('1-URGENT', 1), ('2-HIGH', 2), ('3-MEDIUM', NULL), ('9-NONE',
 @query(f"SELECT v.priority, v.weight, count(o_orderkey) AS orders FROM ({_RANKED}) v(priority, weight) LEFT JOIN orders ON o_orderpriority = v.priority GROUP BY 1, 2")
 def values_scan(s, d):
     """Rows written out in the query, joined with orders."""
-    return s.sql(f"SELECT v.priority, v.weight, count(o_orderkey) AS orders FROM {_RANKED} AS v(priority, weight) LEFT JOIN parquet.`{d}/orders.parquet` ON o_orderpriority = v.priority GROUP BY 1, 2")
+    counted = f"SELECT o_orderpriority, count(o_orderkey) AS n FROM parquet.`{d}/orders.parquet` GROUP BY 1"  # before the join, which would sort all rows of a value in one task
+    return s.sql(f"SELECT v.priority, v.weight, coalesce(sum(n), 0) AS orders FROM {_RANKED} AS v(priority, weight) LEFT JOIN ({counted}) ON o_orderpriority = v.priority GROUP BY 1, 2")
 
 
 @query("SELECT i AS quantity, count(l_quantity) AS lines FROM range(5, 61) r(i) LEFT JOIN lineitem ON CAST(l_quantity AS BIGINT) = i GROUP BY 1")
 def range_scan(s, d):
     """A range of numbers, each with its lines, also where there are none."""
-    return s.sql(f"SELECT id AS quantity, count(l_quantity) AS lines FROM range(5, 61) LEFT JOIN parquet.`{d}/lineitem.parquet` ON CAST(l_quantity AS BIGINT) = id GROUP BY 1")
+    counted = f"SELECT CAST(l_quantity AS BIGINT) AS i, count(l_quantity) AS n FROM parquet.`{d}/lineitem.parquet` GROUP BY 1"  # before the join, as in values_scan
+    return s.sql(f"SELECT id AS quantity, coalesce(n, 0) AS lines FROM range(5, 61) LEFT JOIN ({counted}) ON i = id")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%a%' AND p_brand NOT LIKE '%1%' ORDER BY p_partkey DESC LIMIT 40 OFFSET 10")

@@ -386,6 +386,14 @@ def test_lines_are_written_in_parts(spark, monkeypatch, name):
     assert made and all(len([f for f in os.listdir(p.removeprefix("file:")) if f.startswith("part-")]) > 2 for p in made)
 
 
+@pytest.mark.parametrize("name", ["range_scan", "values_scan"])
+def test_large_tables_are_counted_before_a_join_on_few_values(spark, name):
+    """Joined as they are, all rows of a value would be sorted in one task."""
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join, scan = (next(i for i, line in enumerate(plan) if word in line) for word in ("Join ", " parquet"))
+    assert any("Aggregate " in line for line in plan[join:scan])
+
+
 def test_json_and_children(spark, tmp_path):
     p = tmp_path / "j.json"
     p.write_text('[{"b": 1, "a": "x", "o": {"k": 2}}, {"b": null, "c": true}]', encoding="utf-8")
