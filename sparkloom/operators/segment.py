@@ -3,8 +3,9 @@
 The lexicon is a unigram model: each word has a probability, and a run of Japanese characters is as likely as the product
 over its words, summed over all ways to cut it. Candidates are the substrings that occur often enough anywhere in the
 column and change script at most from kanji to hiragana, as Japanese words do; a run of kanji or katakana that is no such
-word may stand whole as an unknown one. Expectation maximisation over the lattice of a run's cuts gives their expected counts; words that the data don't
-bear out go from round to round. Counting, and every round, is one pass over the column's distinct runs; what reaches the
+word may stand whole as an unknown one. A word has one script, or is
+kanji with an ending of up to four hiragana. Expectation maximisation over the lattice of a run's cuts gives their expected counts; words that the data don't
+bear go from round to round. Counting, and every round, is one pass over the column's distinct runs; what reaches the
 driver is the lexicon alone, whose size is a parameter.
 """
 
@@ -12,7 +13,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,9 +26,6 @@ from ..sources.scratch import kept
 #: Runs of Japanese characters, and other words, as the text functions know them.
 JAPANESE_RUN = "[぀-ヿ一-龯々]+"
 _PIECE = re.compile(rf"({JAPANESE_RUN})|([^\W_]+)")
-#: What a word may look like: one script, or kanji with an ending in hiragana.
-_PLAUSIBLE = re.compile("[一-龯々]+[ぁ-ゟ]{0,4}|[ぁ-ゟー]+|[゠-ヿ]+")
-_ONE_SCRIPT = re.compile("[一-龯々]{2,}|[゠-ヿ]{2,}")
 #: What each further character of an unknown word costs, and a change of script inside a word: particles are likelier than endings.
 FURTHER, CHANGE = 1.0, 2.5
 _CHANGES = re.compile("[一-龯々][ぁ-ゟ]")
@@ -36,8 +33,158 @@ _CHANGES = re.compile("[一-龯々][ぁ-ゟ]")
 LONGEST, FEWEST, SIZE, ROUNDS = 8, 3, 50_000, 4
 #: Code points of a run that are cut at once: a longer one is cut in windows, of which the last word waits for the next.
 WINDOW = 2000
-#: Expected occurrences below which a word of several characters is given up, and substrings of a task counted at once.
-GIVEN_UP, COUNTED = 0.5, 300_000
+#: Expected occurrences below which a word of several characters is given up, and code points whose substrings are counted at once.
+GIVEN_UP, COUNTED = 0.5, 500_000
+#: Code points of the runs that are gone through side by side.
+AT_ONCE = 100_000
+
+
+class _Index:
+    """A lexicon's words as sorted keys, a level for each length: (prefix, character) to the longer prefix and its word."""
+
+    def __init__(self, words: dict[str, float]):
+        self.p = np.fromiter(words.values(), np.float64, len(words))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        longest = int(sizes.max(initial=1))
+        letters = np.array(list(words), dtype=f"U{longest}").view(np.uint32).reshape(len(words), longest)
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        prefix = np.zeros(len(words), np.int64)
+        for n in range(1, longest + 1):
+            has = np.flatnonzero(sizes >= n)
+            keys, own = np.unique(prefix[has] << 21 | letters[has, n - 1], return_inverse=True)
+            prefix[has] = own
+            word = np.full(len(keys), -1)
+            word[own[sizes[has] == n]] = has[sizes[has] == n]
+            self.levels.append((keys, word))
+
+
+class _Text:
+    """Runs one after the other as code points, with each character's run, its place there, and what is left of the run."""
+
+    def __init__(self, runs: list[str]):
+        self.text = "".join(runs)
+        self.codes = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        self.sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.run = np.repeat(np.arange(len(runs)), self.sizes)
+        self.place = np.arange(len(self.codes)) - self.starts[self.run]
+        self.left = self.sizes[self.run] - self.place
+        c = self.codes
+        self.kanji, self.hiragana, self.kana = (c >= 0x4E00) & (c <= 0x9FAF) | (c == 0x3005), (c >= 0x3041) & (c <= 0x309F), (c >= 0x30A0) & (c <= 0x30FF)
+
+    def stretch(self, of: np.ndarray) -> np.ndarray:
+        """How many characters from each on are of a class, within its run."""
+        n = len(of)
+        stops = np.where(~of, np.arange(n), n)
+        nearest = np.minimum.accumulate(stops[::-1])[::-1] if n else stops
+        return np.minimum(nearest - np.arange(n), self.left)
+
+    def one_script(self) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) of whole stretches of two or more kanji, or of katakana."""
+        kind = self.kanji + 2 * self.kana
+        begins = np.flatnonzero((kind > 0) & ((self.place == 0) | (kind != np.roll(kind, 1))))
+        size = np.where(self.kanji, self.stretch(self.kanji), self.stretch(self.kana))[begins]
+        return begins[size > 1], size[size > 1]
+
+
+class _Lattice:
+    """All cuts of many runs: edges from place to place with their log probability and word, -1 where it is unknown.
+
+    A run of n characters has n + 1 nodes. Runs are gone through side by side: a step takes the edges of all runs that
+    end, or begin, at one place.
+    """
+
+    def __init__(self, runs: list[str], lexicon: Lexicon):
+        self.t = t = _Text(runs)
+        at, prefix = np.arange(len(t.codes)), np.zeros(len(t.codes), np.int64)
+        single = np.full(len(t.codes), -1)
+        found = []
+        for n, (keys, word) in enumerate(lexicon.index.levels if lexicon.words else [], 1):
+            keep = t.left[at] >= n
+            at, prefix = at[keep], prefix[keep]
+            key = prefix << 21 | t.codes[at + n - 1]
+            own = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = keys[own] == key
+            at, prefix = at[hit], own[hit]
+            w = word[prefix]
+            if n == 1:
+                single[at] = w
+            else:
+                found.append((at[w >= 0], np.full(int((w >= 0).sum()), n), w[w >= 0]))
+        start, size, word = (np.concatenate(x) for x in zip((np.arange(len(t.codes)), np.ones(len(t.codes), np.int64), single), *found, strict=True))
+        p = np.where(word >= 0, lexicon.index.p[word], lexicon.unknown) if lexicon.words else np.full(len(word), lexicon.unknown)
+        more, length = t.one_script()
+        whole, known = np.zeros(len(t.codes), np.int64), np.zeros(len(t.codes), bool)
+        whole[more] = length
+        known[start[whole[start] == size]] = True
+        more, length = more[~known[more]], length[~known[more]]
+        start, size, word = np.append(start, more), np.append(size, length), np.append(word, np.full(len(more), -1))
+        p = np.append(p, lexicon.unknown - FURTHER * (length - 1))
+        order = np.argsort((t.place[start] + size) << 42 | t.run[start] << 21 | (2**21 - 1 - size))  # by end; of a node's edges the longest first
+        self.start, self.size, self.word, self.p = start[order], size[order], word[order], p[order]
+        self.run, self.place = t.run[self.start], t.place[self.start]
+        self.source = self.start + self.run
+        self.target = self.source + self.size
+        self.first = t.starts + np.arange(len(runs))
+        self.last = self.first + t.sizes
+
+    @staticmethod
+    def _steps(node: np.ndarray, place: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """The edges of each place, by node: (edges, the first of each node among them, nodes)."""
+        begins = np.flatnonzero(np.diff(node, prepend=-1))
+        bounds = np.flatnonzero(np.diff(place, prepend=-1))
+        groups = np.searchsorted(begins, np.append(bounds, len(node)))
+        for a, b, i, j in zip(bounds.tolist(), [*bounds[1:].tolist(), len(node)], groups[:-1].tolist(), groups[1:].tolist(), strict=True):
+            yield slice(a, b), begins[i:j] - a, node[begins[i:j]]
+
+    @staticmethod
+    def _sums(terms: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        top = np.maximum.reduceat(terms, firsts)
+        return top + np.log(np.add.reduceat(np.exp(terms - np.repeat(top, np.diff(np.append(firsts, len(terms))))), firsts))
+
+    def expected(self, times: np.ndarray, into: np.ndarray) -> np.ndarray:
+        """The runs' log probabilities; words' expected occurrences in all runs, each of which occurs ``times``, are added to ``into``."""
+        ahead, behind = np.zeros(len(self.t.codes) + len(times)), np.zeros(len(self.t.codes) + len(times))
+        for edges, firsts, nodes in self._steps(self.target, self.place + self.size):
+            ahead[nodes] = self._sums(ahead[self.source[edges]] + self.p[edges], firsts)
+        order = np.argsort((2**21 - self.place) << 21 | self.run)
+        source, target, p = self.source[order], self.target[order], self.p[order]
+        for edges, firsts, nodes in self._steps(source, self.place[order]):
+            behind[nodes] = self._sums(behind[target[edges]] + p[edges], firsts)
+        known = self.word >= 0  # unknown words don't become known
+        run, word = self.run[known], self.word[known]
+        share = np.exp(ahead[self.source[known]] + self.p[known] + behind[self.target[known]] - ahead[self.last[run]])
+        sums = np.bincount(word, times[run] * share, len(into))
+        seen = np.flatnonzero(np.bincount(word, minlength=len(into)))
+        into[seen] = np.nan_to_num(into[seen]) + sums[seen]
+        return ahead[self.last]
+
+    def best(self) -> list[list[str]]:
+        """Each run's likeliest cut; of equally likely ones that with the longest last word, then the one before, and so on."""
+        score, back = np.zeros(len(self.t.codes) + len(self.first)), np.zeros(len(self.t.codes) + len(self.first), np.int64)
+        for edges, firsts, nodes in self._steps(self.target, self.place + self.size):
+            terms = score[self.source[edges]] + self.p[edges]
+            score[nodes] = top = np.maximum.reduceat(terms, firsts)
+            best = np.flatnonzero(terms == np.repeat(top, np.diff(np.append(firsts, len(terms)))))[::-1]
+            back[self.target[edges][best]] = self.source[edges][best]  # the first of a node is written last
+        out, back, text = [], back.tolist(), self.t.text
+        for r, (first, last) in enumerate(zip(self.first.tolist(), self.last.tolist(), strict=True)):
+            words = []
+            while last > first:
+                words.append(text[back[last] - r : last - r])
+                last = back[last]
+            out.append(words[::-1])
+        return out
+
+
+def _at_once(runs: list[str], most: int) -> Iterator[slice]:
+    """Runs of about ``most`` characters in all."""
+    begin = size = 0
+    for i, r in enumerate(runs, 1):
+        size += len(r)
+        if size >= most or i == len(runs):
+            yield slice(begin, i)
+            begin, size = i, 0
 
 
 @dataclass
@@ -48,125 +195,111 @@ class Lexicon:
     unknown: float = -20.0
 
     def __post_init__(self):
-        self.longest = max(map(len, self.words), default=1)
-        self.starts = {w[:n] for w in self.words for n in range(1, len(w))}
-
-    def edges(self, run: str) -> list[list[tuple[int, float, str]]]:
-        """For each place the words that end there: (start, log probability, word)."""
-        n, words, starts = len(run), self.words, self.starts
-        out: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            c = run[i]
-            out[i + 1].append((i, words.get(c, self.unknown), c))
-            j = i + 1
-            while run[i:j] in starts and j < n:
-                j += 1
-                p = words.get(run[i:j])
-                if p is not None:
-                    out[j].append((i, p, run[i:j]))
-        for m in _ONE_SCRIPT.finditer(run):
-            if m[0] not in words:
-                out[m.end()].append((m.start(), self.unknown - FURTHER * (len(m[0]) - 1), m[0]))
+        self.index = _Index(self.words) if self.words else None
+
+    def cut_all(self, runs: list[str]) -> list[list[str]]:
+        """The likeliest cut of each run, window by window for one longer than WINDOW."""
+        out: list[list[str]] = [[] for _ in runs]
+        rest = {i: r for i, r in enumerate(runs) if r}
+        while rest:
+            places, ahead = list(rest), [r[:WINDOW] for r in rest.values()]
+            for part in _at_once(ahead, AT_ONCE):
+                for i, words in zip(places[part], _Lattice(ahead[part], self).best(), strict=True):
+                    if len(rest[i]) > WINDOW:
+                        words = words[:-1] or words
+                    out[i] += words
+                    rest[i] = rest[i][sum(map(len, words)) :]
+            rest = {i: r for i, r in rest.items() if r}
         return out
 
-    def best(self, run: str) -> list[str]:
-        """The likeliest cut; of equally likely ones that with the longest last word, then the one before, and so on."""
-        edges = self.edges(run)
-        score, last = [0.0] * len(edges), [0] * len(edges)
-        for j in range(1, len(edges)):
-            top = -math.inf
-            for i, p, _ in sorted(edges[j]):  # longest first
-                if score[i] + p > top:
-                    top, last[j] = score[i] + p, i
-            score[j] = top
-        out, j = [], len(run)
-        while j:
-            out.append(run[last[j] : j])
-            j = last[j]
-        return out[::-1]
-
     def cut(self, run: str) -> list[str]:
-        """As ``best``, window by window for a run longer than WINDOW."""
-        out = []
-        while len(run) > WINDOW:
-            words = self.best(run[:WINDOW])[:-1]
-            out += words
-            run = run[sum(map(len, words)) :]
-        return out + self.best(run) if run else out
+        return self.cut_all([run])[0]
+
+    def expected_all(self, runs: list[str], times: np.ndarray, into: np.ndarray) -> float:
+        """Add each word's expected occurrences, over all cuts of runs of which each occurs ``times``, to ``into`` (a place for each word, NaN before it occurs); the log probability of all."""
+        total = 0.0
+        for part in _at_once(runs, AT_ONCE):
+            total += float(times[part] @ _Lattice(runs[part], self).expected(times[part], into))
+        return total
 
     def expected(self, run: str, times: float, into: dict[str, float]) -> float:
-        """Add each word's expected occurrences in a run that occurs ``times``, over all its cuts; the run's log probability."""
-        edges = self.edges(run)
-        n = len(run)
-        ahead, behind = [0.0] * (n + 1), [-math.inf] * (n + 1)
-        for j in range(1, n + 1):
-            terms = [ahead[i] + p for i, p, _ in edges[j]]
-            top = max(terms)
-            ahead[j] = top + math.log(sum(math.exp(t - top) for t in terms))
-        behind[n] = 0.0
-        for j in range(n, 0, -1):
-            own = behind[j]
-            for i, p, _ in edges[j]:
-                a, b = behind[i], own + p
-                behind[i] = b if a == -math.inf else max(a, b) + math.log1p(math.exp(-abs(a - b)))
-        for j in range(1, n + 1):
-            rest = behind[j] - ahead[n]
-            for i, p, w in edges[j]:
-                if w in self.words:  # unknown words don't become known
-                    into[w] = into.get(w, 0.0) + times * math.exp(ahead[i] + p + rest)
-        return times * ahead[n]
+        counts = np.full(len(self.words), np.nan)
+        total = self.expected_all([run], np.array([times], np.float64), counts)
+        for w, n in zip(self.words, counts.tolist(), strict=True):
+            if n == n:
+                into[w] = into.get(w, 0.0) + n
+        return total
+
+    def words_of_all(self, texts: list[str | None]) -> list[list[str] | None]:
+        """Each text's words: runs of Japanese characters as cut by the lexicon, other runs of letters and digits whole."""
+        pieces = [None if t is None else _PIECE.findall(t) for t in texts]
+        runs = list(dict.fromkeys(japanese for own in pieces for japanese, _ in own or () if japanese))
+        cuts = dict(zip(runs, self.cut_all(runs), strict=True))
+        return [None if own is None else [w for japanese, other in own for w in (cuts[japanese] if japanese else (other,))] for own in pieces]
 
     def words_of(self, text: str) -> list[str]:
-        """A text's words: runs of Japanese characters as cut by the lexicon, other runs of letters and digits whole."""
-        out = []
-        for japanese, other in _PIECE.findall(text):
-            if japanese:
-                out += self.cut(japanese)
-            else:
-                out.append(other)
-        return out
+        return self.words_of_all([text])[0]
 
 
 def _windows(run: str) -> list[str]:
     return [run[i : i + WINDOW] for i in range(0, len(run), WINDOW)]
 
 
+def _pieces(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Runs in windows, with how often each occurs, of about ``most`` characters at once."""
+    pieces: list[str] = []
+    times: list[int] = []
+    size = 0
+    for pdf in batches:
+        for run, n in zip(pdf["run"], pdf["n"], strict=True):
+            own = _windows(run)
+            pieces += own
+            times += [n] * len(own)
+            size += len(run)
+            if size >= most:
+                yield pieces, np.array(times, np.float64)
+                pieces, times, size = [], [], 0
+    if pieces:
+        yield pieces, np.array(times, np.float64)
+
+
 def _substrings(longest: int):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-        whole: set[str] = set()
-
-        def passed_on() -> pd.DataFrame:
-            out = pd.DataFrame({"word": list(seen), "n": np.fromiter(seen.values(), np.int64, len(seen)), "whole": [w in whole for w in seen]})
-            seen.clear()
-            whole.clear()
-            return out
-
-        for pdf in batches:
-            for run, times in zip(pdf["run"], pdf["n"], strict=True):
-                for piece in _windows(run):
-                    whole.update(w for w in _ONE_SCRIPT.findall(piece) if len(w) <= longest)
-                    for size in range(1, longest + 1):
-                        for i in range(len(piece) - size + 1):
-                            if _PLAUSIBLE.fullmatch(piece, i, i + size):
-                                seen[piece[i : i + size]] += times
-                    if len(seen) > COUNTED:
-                        yield passed_on()
-        if seen:
-            yield passed_on()
+        for runs, times in _pieces(batches, COUNTED):
+            t = _Text(runs)
+            n = len(t.codes)
+            # what begins a word of one of the three forms is of that form itself: one greatest size says all of a start
+            endings = np.append(t.stretch(t.hiragana), 0)
+            kanji, loose, kana = t.stretch(t.kanji), t.stretch(t.hiragana | (t.codes == 0x30FC)), t.stretch(t.kana)
+            mixed = np.where(kanji > 0, kanji + np.where(kanji < t.left, np.minimum(endings[np.arange(n) + kanji], 4), 0), 0)
+            most = np.minimum(np.maximum(np.maximum(mixed, loose), kana), longest)
+            begins, size = t.one_script()
+            whole = np.zeros(n, np.int64)
+            whole[begins] = size
+            at, prefix = np.flatnonzero(most), np.zeros(n, np.int64)
+            for k in range(1, longest + 1):
+                at = at[most[at] >= k]
+                if not len(at):
+                    break
+                _, first, own = np.unique(prefix[at] << 21 | t.codes[at + k - 1], return_index=True, return_inverse=True)
+                prefix[at] = own
+                yield pd.DataFrame({
+                    "word": [t.text[i : i + k] for i in at[first].tolist()], "n": np.rint(np.bincount(own, times[t.run[at]])).astype(np.int64),
+                    "whole": np.bincount(own, whole[at] == k) > 0,
+                })
 
     return count
 
 
 def _expected(lexicon: Lexicon):
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        into: dict[str, float] = {}  # at most the lexicon's words
-        for pdf in batches:
-            for run, times in zip(pdf["run"], pdf["n"], strict=True):
-                for piece in _windows(run):
-                    lexicon.expected(piece, times, into)
-        if into:
-            yield pd.DataFrame({"word": list(into), "n": list(into.values())})
+        into = np.full(len(lexicon.words), np.nan)
+        for runs, times in _pieces(batches, AT_ONCE):
+            lexicon.expected_all(runs, times, into)
+        seen = np.flatnonzero(~np.isnan(into))
+        if len(seen):
+            words = list(lexicon.words)
+            yield pd.DataFrame({"word": [words[i] for i in seen.tolist()], "n": into[seen]})
 
     return step
 

@@ -77,7 +77,7 @@ def tokens(text: Column, lexicon: Lexicon | None = None) -> Column:
     plain = F.filter(F.split(F.translate(text, between, " " * len(between)), " "), lambda t: t != "")
     if lexicon is None:
         return plain
-    cut = F.pandas_udf(lambda s: s.map(lambda t: None if t is None else lexicon.words_of(t)).astype(object) if len(s) else pd.Series([], dtype=object), "array<string>")
+    cut = F.pandas_udf(lambda s: pd.Series(lexicon.words_of_all(s.tolist()), dtype=object), "array<string>")
     own = detect_language(text)["language"].isin("japanese", "mixed")
     return F.when(own, cut(F.when(own, text))).otherwise(plain)  # other texts aren't sent to Python
 

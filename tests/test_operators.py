@@ -9,6 +9,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,6 +220,39 @@ def test_japanese_cuts_against_all_cuts():
         assert all(math.isclose(got.get(w, 0), want[w], abs_tol=1e-9) for w in {*got, *want})
 
 
+def test_japanese_runs_side_by_side():
+    """Many runs at once: substrings against a pattern, cuts and expected counts against each run by itself; in a few microseconds a character."""
+    rng = random.Random(11)
+    letters = "日本語々東京ですまーテレビのぁゟ゠"
+    runs = ["".join(rng.choice(letters) for _ in range(rng.choice((1, 2, 3, 9, 40, 200)))) for _ in range(300)] + ["東" * 5000]
+    times = [rng.randint(1, 5) for _ in runs]
+    pdf = pd.DataFrame({"run": runs, "n": times})
+    got = pd.concat(segment._substrings(8)(iter([pdf[:100], pdf[100:]]))).groupby("word").agg({"n": "sum", "whole": "max"})
+    want, whole = Counter(), set()
+    for run, n in zip(runs, times, strict=True):
+        for piece in (run[i : i + segment.WINDOW] for i in range(0, len(run), segment.WINDOW)):
+            whole.update(w for w in re.findall("[一-龯々]{2,}|[゠-ヿ]{2,}", piece) if len(w) <= 8)
+            for i in range(len(piece)):
+                for w in (piece[i : i + k] for k in range(1, min(8, len(piece) - i) + 1)):
+                    if re.fullmatch("[一-龯々]+[ぁ-ゟ]{0,4}|[ぁ-ゟー]+|[゠-ヿ]+", w):
+                        want[w] += n
+    assert got["n"].to_dict() == want and set(got.index[got["whole"]]) == whole
+    lexicon = segment.maximised({w: float(n) for w, n in want.items() if n > 2})
+    assert lexicon.cut_all(runs) == [lexicon.cut(r) for r in runs]
+    assert all("".join(words) == r for words, r in zip(lexicon.cut_all(runs), runs, strict=True))
+    each: dict = {}
+    for run, n in zip(runs[:-1], times, strict=False):
+        lexicon.expected(run, n, each)
+    into = np.full(len(lexicon.words), np.nan)
+    lexicon.expected_all(runs[:-1], np.array(times[:-1], float), into)
+    counts = {w: n for w, n in zip(lexicon.words, into.tolist(), strict=True) if n == n}
+    assert counts.keys() == each.keys() and all(math.isclose(counts[w], each[w], rel_tol=1e-9) for w in each)
+    many = ["".join(rng.choice(letters) for _ in range(25)) for _ in range(8000)]
+    began = time.process_time()
+    lexicon.expected_all(many, np.ones(len(many)), np.full(len(lexicon.words), np.nan))
+    assert time.process_time() - began < 8e-6 * 200_000
+
+
 def test_japanese_long_runs_are_cut_in_windows():
     lexicon = segment.Lexicon({"日本": -2.0, "語": -2.0, "です": -2.0})
     run = "日本語です" * 5000
