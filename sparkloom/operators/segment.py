@@ -36,7 +36,7 @@ WINDOW = 2000
 #: Expected occurrences below which a word of several characters is given up, and code points whose substrings are counted at once.
 GIVEN_UP, COUNTED = 0.5, 500_000
 #: Code points of the runs that are gone through side by side.
-AT_ONCE = 100_000
+AT_ONCE = 20_000
 
 
 class _Index:
@@ -202,7 +202,8 @@ class Lexicon:
         out: list[list[str]] = [[] for _ in runs]
         rest = {i: r for i, r in enumerate(runs) if r}
         while rest:
-            places, ahead = list(rest), [r[:WINDOW] for r in rest.values()]
+            places = sorted(rest, key=lambda i: len(rest[i]))  # runs of one length share all steps
+            ahead = [rest[i][:WINDOW] for i in places]
             for part in _at_once(ahead, AT_ONCE):
                 for i, words in zip(places[part], _Lattice(ahead[part], self).best(), strict=True):
                     if len(rest[i]) > WINDOW:
@@ -218,6 +219,8 @@ class Lexicon:
     def expected_all(self, runs: list[str], times: np.ndarray, into: np.ndarray) -> float:
         """Add each word's expected occurrences, over all cuts of runs of which each occurs ``times``, to ``into`` (a place for each word, NaN before it occurs); the log probability of all."""
         total = 0.0
+        order = sorted(range(len(runs)), key=lambda i: len(runs[i]))  # runs of one length share all steps
+        runs, times = [runs[i] for i in order], times[order]
         for part in _at_once(runs, AT_ONCE):
             total += float(times[part] @ _Lattice(runs[part], self).expected(times[part], into))
         return total
@@ -294,7 +297,7 @@ def _substrings(longest: int):
 def _expected(lexicon: Lexicon):
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         into = np.full(len(lexicon.words), np.nan)
-        for runs, times in _pieces(batches, AT_ONCE):
+        for runs, times in _pieces(batches, COUNTED):
             lexicon.expected_all(runs, times, into)
         seen = np.flatnonzero(~np.isnan(into))
         if len(seen):
